@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.llm import packing, quality, sharding, token_files
+from glossweave.llm import neardup, packing, quality, sharding, token_files
 from glossweave.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": lambda s, d: token_files.token_files(table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
+        "op2_near_duplicates": lambda s, d: neardup.near_duplicates(table(s, d, "documents"), 85),
         "op5_quality_rules": lambda s, d: quality.quality_rules(table(s, d, "documents"), table(s, d, "labels")),
         "op7_packing": lambda s, d: packing.pack(table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
         "op8_sharding": lambda s, d: sharding.shard_documents(table(s, d, "documents")),
