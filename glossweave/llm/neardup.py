@@ -70,7 +70,7 @@ def shingle_sets(texts: list, width: int = 5) -> list[np.ndarray]:
         if size >= width:
             out.append(np.unique(mixed[at : at + size - width + 1]))
         elif size:
-            out.append(_mix(np.array([np.sum(flat[at : at + size] * PLACES[:size]) + PLACES[7] * np.uint64(size)], np.uint64)))
+            out.append(_mix((flat[at : at + size] * PLACES[:size]).sum(keepdims=True) + PLACES[7:] * np.uint64(size)))
         else:
             out.append(np.zeros(0, np.uint64))
         at += size
@@ -228,7 +228,8 @@ def exact_links(docs: DataFrame, clusters: DataFrame, percent: int, width: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    sets = named.join(members.select("node"), "node", "left_semi").mapInArrow(run_sets, "node long, set binary")
+    # the same join at every size: whether the cluster's nodes would fit a broadcast must not change the plan
+    sets = named.join(members.select("node").hint("merge"), "node", "left_semi").mapInArrow(run_sets, "node long, set binary")
     blocks = F.ceil(F.greatest(F.col("m") / CLUSTER, F.col("s") / SHINGLES))
     placed = _block_pairs(members, F.greatest(blocks, F.lit(1))).join(sets, "node")
 
