@@ -1,14 +1,15 @@
 """Operator 2: near-duplicates by MinHash with sequential Bayesian verification.
 
 1. Each text becomes its set of word shingles (64-bit hashes); equal sets are one class, known by its smallest doc_id.
-2. A class's MinHash signature (ROWS * BANDS hashes) is banded; classes that share a band's key are candidates.
+2. A class's MinHash signature (ROWS hashes for each band) is banded; classes that share a band's key are candidates.
 3. Candidates in a bucket are compared batch after batch of signature places. With a uniform prior, after n places with
    m matches the posterior chance that the similarity reaches the threshold is P(Bin(n + 1, t) <= m); a pair goes when
    it is under MISS. Survivors of a bucket are returned as a forest, not as all pairs.
 4. Components of survivors are clusters. Inside a cluster the survivors' full sets are compared exactly, and components
    of exact links are the answer.
 
-A linked pair shares no band with chance (1 - t^ROWS)^BANDS, under 7e-7 at the threshold and far less above it.
+A linked pair shares no band with chance (1 - t^ROWS)^bands; there are as many bands as keep that under LOST at the
+threshold (30 for 0.85, 46 for 0.8), and it is far less above it.
 Buckets and clusters over a bound are cut into blocks and compared block against block, so nothing unbounded meets in
 one task and no pair is left out. Near copies that lie below the threshold of each other cost block pairs.
 
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 from glossweave.llm.common import scratch_table
 from glossweave.llm.components import connected_components
 
-ROWS, BANDS, BATCH, MISS = 6, 30, 36, 1e-9
+ROWS, BATCH, LOST, MISS = 6, 36, 1e-6, 1e-9
+MOST_BANDS = 256
 BUCKET, CLUSTER, SHINGLES = 1024, 512, 4_000_000
 _random = np.random.default_rng(7)
-MULTIPLIERS = _random.integers(0, 2**63, ROWS * BANDS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+MULTIPLIERS = _random.integers(0, 2**63, ROWS * MOST_BANDS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 PLACES = _random.integers(0, 2**63, 8, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -77,21 +79,25 @@ def shingle_sets(texts: list, width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def bands_for(threshold: float) -> int:
+    return min(MOST_BANDS, math.ceil(math.log(LOST) / math.log(1 - threshold**ROWS)))
+
+
+def signatures(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
     """For non-empty sets: a byte for each signature place, and a key for each band."""
     if not sets:
-        return np.zeros((0, ROWS * BANDS), np.uint8), np.zeros((0, BANDS), np.int64)
+        return np.zeros((0, ROWS * bands), np.uint8), np.zeros((0, bands), np.int64)
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    least = np.empty((len(sets), ROWS * BANDS), np.uint64)
+    least = np.empty((len(sets), ROWS * bands), np.uint64)
     product = np.empty_like(flat)
-    for i, a in enumerate(MULTIPLIERS):
+    for i, a in enumerate(MULTIPLIERS[: ROWS * bands]):
         np.multiply(flat, a, out=product)
         least[:, i] = np.minimum.reduceat(product, starts)
-    keys = np.zeros((len(sets), BANDS), np.uint64)
+    keys = np.zeros((len(sets), bands), np.uint64)
     for r in range(ROWS):
         keys += least[:, r::ROWS] * PLACES[r]
-    keys = _mix(keys + np.arange(BANDS, dtype=np.uint64) * PLACES[6])
+    keys = _mix(keys + np.arange(bands, dtype=np.uint64) * PLACES[6])
     return ((least >> np.uint64(20)) & np.uint64(255)).astype(np.uint8), keys.view(np.int64)
 
 
@@ -107,23 +113,23 @@ def _in_blocks(texts: list, most: int = 400_000):
         yield texts[at:]
 
 
-def sign(docs: DataFrame, width: int = 5) -> DataFrame:
+def sign(docs: DataFrame, bands: int, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, set_key (of the whole set), sig, bands of docs (doc_id, text); the last three null without shingles."""
 
     def run(batches):
         for b in batches:
-            counts, prints, sigs, bands = [], [], [], []
+            counts, prints, sigs, all_keys = [], [], [], []
             for texts in _in_blocks(b.column(1).to_pylist()):
                 sets = shingle_sets(texts, width)
-                sig, keys = signatures([s for s in sets if len(s)])
+                sig, keys = signatures([s for s in sets if len(s)], bands)
                 i = 0
                 for s in sets:
                     counts.append(len(s))
                     prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     sigs.append(sig[i].tobytes() if len(s) else None)
-                    bands.append(keys[i] if len(s) else None)
+                    all_keys.append(keys[i] if len(s) else None)
                     i += len(s) > 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(all_keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "sig", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
 
@@ -132,7 +138,7 @@ def least_matches(threshold: float, places: int, batch: int, miss: float) -> lis
     """(n, fewest matches that survive) after each batch. Signature bytes also match by chance, 1 in 256."""
     t = threshold + (1 - threshold) / 256
     out = []
-    for n in range(batch, places + 1, batch):
+    for n in [*range(batch, places, batch), places]:
         below, m = 0.0, -1
         while below < miss and m < n:
             m += 1
@@ -180,12 +186,12 @@ def _block_pairs(df: DataFrame, blocks) -> DataFrame:
     return d.select(*df.columns, F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"))
 
 
-def survivors(nodes: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
+def survivors(nodes: DataFrame, bands: int, threshold: float, miss: float = MISS) -> DataFrame:
     """u, v: for each bucket of nodes (node, sig, bands), a forest over pairs that Bayesian pruning leaves."""
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     placed = _block_pairs(rows.join(shared, "key"), F.ceil(F.col("m") / BUCKET)).drop("m").join(nodes.select("node", "sig"), "node")
-    steps = least_matches(threshold, ROWS * BANDS, BATCH, miss)
+    steps = least_matches(threshold, ROWS * bands, BATCH, miss)
 
     def run(batches):
         for t in _runs(batches, ["key", "bi", "bj"]):
@@ -272,11 +278,12 @@ def exact_links(docs: DataFrame, clusters: DataFrame, percent: int, width: int =
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of docs (doc_id, text); links from `percent` of common to all shingles."""
-    signed = scratch_table(sign(docs, width), "signed")
+    bands = bands_for(percent / 100)
+    signed = scratch_table(sign(docs, bands, width), "signed")
     classes = scratch_table(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles")), "classes")
     named = classes.filter("node is not null").select("node").distinct()
     nodes = signed.filter("set_key is not null").select(F.col("doc_id").alias("node"), "sig", "bands").join(named, "node", "left_semi")
-    clusters = connected_components(survivors(nodes, percent / 100)).withColumnRenamed("component", "cluster")
+    clusters = connected_components(survivors(nodes, bands, percent / 100)).withColumnRenamed("component", "cluster")
     sized = clusters.join(classes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node")
     found = connected_components(exact_links(docs, sized, percent, width))
     labelled = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))

@@ -45,22 +45,25 @@ def _paired(hashes: Column, step: int) -> Column:
     return let(hashes, pair)
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, carry_hash: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed of docs (doc_id, text).
 
     A window of 8 words is known by a 64-bit hash made of the hashes of its halves, its quarters and its words.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_t"))
+    more = ["text_hash"] if carry_hash else []
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_t"), *[F.xxhash64("text").alias(c) for c in more])
     body = F.btrim("_t", F.lit(SPACE))
     lines = F.filter(F.split("_t", "\n"), lambda s: F.btrim(s, F.lit(SPACE)) != "")
     d = d.select(
         "doc_id",
+        *more,
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("u"))).alias("_l"),
         F.when(body != "", F.split(body, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")).alias("_w"),
     )
     d = d.select(
         "doc_id",
+        *more,
         "n_symbols",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
@@ -85,7 +88,7 @@ def measure(docs: DataFrame) -> DataFrame:
     )
     d = d.withColumn("n_repeat_words", F.coalesce(cover, F.lit(0).cast("long"))).drop("_p")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", failed.alias("base_failed"))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", failed.alias("base_failed"), *more)
 
 
 def percent(part: str, whole: str) -> Column:
@@ -143,13 +146,13 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, d
     return out.select("stratum", *chosen)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, carry_hash: bool = False) -> DataFrame:
     """The counts, base_failed and kept of every document. The counts, a few numbers a document, go to the shared folder
     once; cutoffs and verdicts are taken from there."""
-    measured = scratch_table(measure(docs), "quality")
+    measured = scratch_table(measure(docs, carry_hash), "quality")
     judged = measured.withColumn("stratum", stratum()).join(F.broadcast(choose_cutoffs(measured, labels, risk, delta)), "stratum", "left")
     over = F.lit(False)
     for rule, s in scores().items():
         over = over | F.coalesce(s > F.col(f"{rule}_cutoff"), F.lit(False))
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return judged.select(*cols, (~F.col("base_failed") & ~over).alias("kept"))
+    return judged.select(*cols, (~F.col("base_failed") & ~over).alias("kept"), *(["text_hash"] if carry_hash else []))

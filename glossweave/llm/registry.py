@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.llm import ann, langid, neardup, packing, quality, sharding, token_files
+from glossweave.llm import ann, html_text, katz, langid, merge_dropout, neardup, packing, quality, sharding, token_files
 from glossweave.llm.common import table
 
 
@@ -15,10 +15,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": lambda s, d: token_files.token_files(table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
         "op2_near_duplicates": lambda s, d: neardup.near_duplicates(table(s, d, "documents"), 85),
+        "op3_merge_dropout": lambda s, d: merge_dropout.round_trip(table(s, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
         "op4_language_id": lambda s, d: langid.language_id(table(s, d, "documents")),
         "op5_quality_rules": lambda s, d: quality.quality_rules(table(s, d, "documents"), table(s, d, "labels")),
+        "op6_html_text": lambda s, d: html_text.extract(table(s, d, "pages")),
         "op7_packing": lambda s, d: packing.pack(table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
         "op8_sharding": lambda s, d: sharding.shard_documents(table(s, d, "documents")),
+        "op9_katz_lm": lambda s, d: katz.score(table(s, d, "documents")),
         "op10_nearest": lambda s, d: ann.nearest(table(s, d, "embeddings")),
     }
 
