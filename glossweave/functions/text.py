@@ -85,7 +85,7 @@ def suffix_strip(word: Column, endings: list[str], least: int = 3, vowels: str =
     """Candidate stems after the first ending that fits, longest first: for a consonant stem with the nominative before
     without; then likewise without a plural mark."""
     ends = sorted(set(endings), key=lambda e: (-len(e), e))
-    hit = F.element_at(F.filter(F.array(*map(F.lit, ends)), lambda e: F.endswith(word, e) & (F.length(word) - F.length(e) >= least)), 1)
+    hit = F.try_element_at(F.filter(F.array(*map(F.lit, ends)), lambda e: F.endswith(word, e) & (F.length(word) - F.length(e) >= least)), F.lit(1))
     stem = F.substring(word, F.lit(1), F.length(word) - F.length(hit))
 
     def forms(s: Column) -> list[Column]:
