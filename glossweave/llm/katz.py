@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 
 from glossweave.llm.common import scratch_table
 
-BLOCK, K, EPS = 1_000_000, 5, 1e-3
+BLOCK, K, EPS = 600_000, 5, 1e-3
 START, END = np.uint64(1), np.uint64(2)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -121,17 +121,23 @@ class Block:
                 yield int(part[lo]), [c[at] for c in (self.keys[kind], *columns)]
 
 
+def _rows(batches):
+    """Rows as dicts, made one at a time: they are large."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 def _whole(batches, names: list[str]):
     """(key, rows) of runs of equal names[0..], each whole; a row is a dict."""
     key, rows = None, []
-    for b in batches:
-        for r in b.to_pylist():
-            k = tuple(r[n] for n in names)
-            if k != key:
-                if rows:
-                    yield key, rows
-                key, rows = k, []
-            rows.append(r)
+    for r in _rows(batches):
+        k = tuple(r[n] for n in names)
+        if k != key:
+            if rows:
+                yield key, rows
+            key, rows = k, []
+        rows.append(r)
     if rows:
         yield key, rows
 
@@ -175,7 +181,7 @@ def sum_counts(sent: DataFrame) -> DataFrame:
             owner = np.zeros(len(flat), np.int64)
             owner[seen[np.unique(at[seen], return_index=True)[1]]] = 1
             out, lo = [], 0
-            answer = total[at] * 2 + owner
+            answer = (total[at] * 2 + owner).astype(np.int64)
             for r, k in zip(rows, keys, strict=True):
                 out.append((r["block"], kind, part, answer[lo : lo + len(k)].tobytes(), None))
                 lo += len(k)
@@ -194,11 +200,10 @@ def score(docs: DataFrame) -> DataFrame:
     cut = blocks(docs)
 
     def send(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                own = Block(row, parts)
-                for kind in (0, 1):
-                    yield _batch([(kind, p, row["block"], k.tobytes(), n.tobytes(), None) for p, (k, n) in own.sent(kind, own.counts[kind])], SENT)
+        for row in _rows(batches):
+            own = Block(row, parts)
+            for kind in (0, 1):
+                yield _batch([(kind, p, row["block"], k.tobytes(), n.tobytes(), None) for p, (k, n) in own.sent(kind, own.counts[kind])], SENT)
 
     answers = scratch_table(sum_counts(cut.mapInArrow(send, SENT_SQL)), "counts")
     stats = {0: np.zeros(K + 3, np.int64), 1: np.zeros(K + 3, np.int64)}

@@ -40,7 +40,7 @@ PLACES = _random.integers(0, 2**63, 8, np.int64).astype(np.uint64) * np.uint64(2
 
 class _Hashes(dict):
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

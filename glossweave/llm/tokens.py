@@ -22,7 +22,7 @@ SPLIT = {
     "word": re.compile(rf"[{LETTER}]+|{CONTRACTIONS}|[0-9]|[^\s{LETTER}0-9]+"),
 }
 ODD_SPACE = re.compile(r"\s[ ]|[ ]\s")
-CACHE = 800_000
+CACHE = 500_000
 
 
 def byte_letters() -> dict[int, str]:
