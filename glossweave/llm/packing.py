@@ -19,10 +19,11 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import gapless_rank, scratch_table
+from glossweave.llm.common import scratch_table
 from glossweave.llm.tokens import encoder
 
 WINDOW, END_ID, SWEEPS = 1024, 0, 300
@@ -130,46 +131,55 @@ class Placer:
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece of docs (doc_id, text).
 
-    Texts are encoded twice, once to count and once to cut, which moves each text once and stores no ids.
+    Texts are encoded once and never shuffled: the task that encodes a document stores checksums of its whole windows
+    and the ids of its remainder. Ranks need no order of documents, so each task counts on its own in every remainder,
+    and the counts of earlier tasks (a row for each task and remainder) are joined to its rows.
     """
     end = end_id.to_bytes(4, "little")
+    kind = np.dtype("<u2") if max(encoder(tokenizer, "byte").whole.get_vocab_size(), end_id + 1) <= 2**16 else np.dtype("<u4")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = texts.select("doc_id", F.xxhash64("text").alias("hash"), "text")
 
-    def count(batches):
-        enc = encoder(tokenizer, "byte")
+    def encode(batches):
+        enc, part, seen, fulls = encoder(tokenizer, "byte"), TaskContext.get().partitionId(), np.zeros(window, np.int64), np.zeros(window, np.int64)
         for b in batches:
-            n = np.array([len(enc.encode(t)) // 4 + 1 for t in b.column(2).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array((n % window).astype(np.int32)), pa.array(n // window)], ["doc_id", "hash", "n", "rem", "full"])
-
-    counted = scratch_table(keyed.mapInArrow(count, "doc_id long, hash long, n long, rem int, full long"), "lengths")
-    histogram = np.zeros(window, np.int64)
-    for row in counted.groupBy("rem").count().collect():  # at most `window` rows
-        histogram[row["rem"]] = row["count"]
+            rows = []
+            for text in b.column(1).to_pylist():
+                ids = enc.encode(text) + end
+                full, rem = divmod(len(ids) // 4, window)
+                crcs = [zlib.crc32(ids[4 * window * i : 4 * window * (i + 1)]) for i in range(full)]
+                rest = np.frombuffer(ids, np.uint32, rem, 4 * window * full).astype(kind).tobytes()
+                rows.append((part, len(ids) // 4, rem, crcs, rest, int(seen[rem]), int(fulls[rem])))
+                seen[rem] += 1
+                fulls[rem] += full
+            types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
+            cols = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "part", "n", "rem", "crcs", "rest", "rank", "before"])
+
+    coded = scratch_table(texts.mapInArrow(encode, "doc_id long, part int, n long, rem int, crcs array<long>, rest binary, rank long, before long"), "coded")
+    full = (F.col("n") / window).cast("long")
+    ends = scratch_table(coded.groupBy("rem", "part").agg(F.count(F.lit(1)).alias("_n"), F.sum(full).alias("_f")), "ends")
+    histogram, windows = np.zeros(window, np.int64), np.zeros(window, np.int64)
+    for row in ends.groupBy("rem").agg(F.sum("_n").alias("n"), F.sum("_f").alias("f")).collect():  # at most `window` rows
+        histogram[row["rem"]], windows[row["rem"]] = row["n"], row["f"]
     histogram[0] = 0
     p = plan(histogram, window)
-    ranked = gapless_rank(counted, "rem", ["doc_id", "hash"]).withColumnRenamed("rank", "rem_rank")
-    ranked = gapless_rank(ranked.withColumn("one", F.lit(0)), "one", ["doc_id", "hash"], "full").select("doc_id", "hash", "n", "rem", "rem_rank", F.col("before").alias("full_before"))
-    first_full = p["sequences"] + p["total"] // window + len(tail(p["total"], window))
-
-    both = ranked.withColumn("text", F.lit(None).cast("string")).unionByName(keyed, allowMissingColumns=True).withColumn("tag", F.col("text").isNotNull())
-    both = both.repartition("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "tag", "full_before")
-
-    def cut(batches):
-        enc, placer, waiting = encoder(tokenizer, "byte"), Placer(p), []
+    first_full = p["sequences"] + p["total"] // window + len(tail(p["total"], window)) + np.concatenate([[0], np.cumsum(windows)[:-1]])
+    w = Window.partitionBy("rem").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("rem", "part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_f").over(w), F.lit(0)).alias("_f0"))
+    # the same join at every size
+    ranked = coded.join(starts.hint("merge"), ["rem", "part"])
+    ranked = ranked.select("doc_id", "n", "rem", "crcs", "rest", (F.col("rank") + F.col("_n0")).alias("rank"), (F.col("before") + F.col("_f0")).alias("before"))
+
+    def place(batches):
+        placer = Placer(p)
         for b in batches:
-            rows = b.to_pydict()
             out = []
-            for doc, h, n, rem, rank, full, text in zip(*[rows[k] for k in ("doc_id", "hash", "n", "rem", "rem_rank", "full_before", "text")], strict=True):
-                if text is None:
-                    waiting.append((doc, h, n, rem, rank, full))
-                    continue
-                doc, h, n, rem, rank, full = waiting.pop(0)
-                ids = enc.encode(text) + end
-                own = [(i * window, window, first_full + full + i, 0) for i in range(n // window)]
-                own += [(n - rem + s, m, q, o) for s, m, q, o in placer.pieces(rem, rank)]
-                out += [(doc, s, m, zlib.crc32(ids[4 * s : 4 * (s + m)]), n, q, o) for s, m, q, o in own]
+            for doc, n, rem, crcs, rest, rank, before in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                at = int(first_full[rem]) + before
+                out += [(doc, i * window, window, crc, n, at + i, 0) for i, crc in enumerate(crcs)]
+                ids = np.frombuffer(rest, kind).astype("<u4").tobytes()
+                out += [(doc, n - rem + s, m, zlib.crc32(ids[4 * s : 4 * (s + m)]), n, q, o) for s, m, q, o in placer.pieces(rem, rank)]
             cols = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return both.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
