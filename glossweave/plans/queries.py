@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 
 from glossweave.functions import extract, text
 from glossweave.operators import analytics, etl, evals, lookup, search
+from glossweave.plans import translate
+from glossweave.sources import sinks
+from glossweave.streaming.events import append_events
 
 NORM = r"lower(regexp_replace(regexp_replace(coalesce({0},''),'^[\s\p{{Z}}]+|[\s\p{{Z}}]+$','','g'),'[\s\p{{Z}}]+',' ','g'))"
 TOK = r"[\p{L}\p{N}_]+"
@@ -22,6 +27,12 @@ def n(x: str) -> str:
     return NORM.format(x)
 
 
+def _scratch(s: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; a local one only where none is set."""
+    folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def query(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -406,14 +417,49 @@ def bridge_lookup(s, d):
     return bridge.join(rows, "token").groupBy("request").agg(F.min("p_partkey").alias("target"))
 
 
-@query("event_stream_append")
-def event_stream_append(s, d):
-    import uuid
+@query("translate_requests", """with r as (select distinct p_name as request_id, 'mingrelian' as target from part union select distinct p_type, 'mingrelian' from part union select distinct p_brand, 'georgian' from part),
+ c as (select lower(p_name) as k, count(distinct lower(p_brand)) as n, min(p_brand) as sole from part group by 1), b as (select lower(p_type) as k, min(p_brand) as t from part where p_size > 45 group by 1),
+ x as (select request_id, coalesce(n, 0) as n, sole, t, case when n = 1 then 'exact_lexicon' when n is null and t is not null then 'dictionary_google_bridge' when target = 'georgian' then 'google_translate_direct' else 'llm' end as response_source
+ from r left join c on target = 'mingrelian' and c.k = lower(request_id) left join b on target = 'mingrelian' and b.k = lower(request_id))
+ select request_id, response_source, n as exact_candidate_count, case response_source when 'exact_lexicon' then sole when 'dictionary_google_bridge' then t when 'google_translate_direct' then 'mt ' || request_id else request_id end as translation,
+ response_source = 'llm' as used_llm, response_source = 'llm' and n = 0 as has_dictionary_entries from x""")
+def translate_requests(s, d):
+    part = t(s, d, "part")
+    ask = lambda c, target: part.select(F.col(c).alias("request_id"), F.col(c).alias("input_text"), F.lit("english").alias("source"), F.lit(target).alias("target")).distinct()
+    requests = ask("p_name", "mingrelian").union(ask("p_type", "mingrelian")).union(ask("p_brand", "georgian"))
+    pair = lambda x, a, b, target: x.select(F.lit("english").alias("source"), F.lit(target).alias("target"), F.col(a).alias("source_text"), b.alias("target_text"))
+    lexicon = part.select(F.col("p_partkey").alias("row_id"), F.lit("english").alias("source"), F.lit("mingrelian").alias("target"), F.col("p_name").alias("source_text"), F.col("p_brand").alias("target_text"), F.lit("part").alias("source_name"))
+    bridge = pair(part.filter("p_size > 45"), "p_type", F.col("p_brand"), "mingrelian")
+    memory = pair(part, "p_brand", F.concat(F.lit("mt "), "p_brand"), "georgian")
+    entry = lambda words: words.select("word", F.concat(F.lit("\n"), "word", F.lit(": an entry\n")).alias("output"))
+    out = translate.translate(requests, lexicon, bridge, memory, entry, "Endings follow stems.")
+    return out.select("request_id", "response_source", "exact_candidate_count", "translation", "used_llm", "has_dictionary_entries")
+
+
+@query("csv_sink", "select doc_id, text, lang from documents")
+def csv_sink(s, d):
+    path = _scratch(s, "csv")
+    sinks.csv(t(s, d, "documents"), path, ["doc_id", "text", "lang"])
+    return s.read.schema("doc_id long, text string, lang string").option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").csv(path)
 
-    from glossweave.streaming.events import append_events
 
-    folder = s.conf.get("spark.checkpoint.dir", None) or __import__("tempfile").mkdtemp()
-    at = f"{folder}/events-{uuid.uuid4().hex}"
+@query("json_sink", "select event_type, count(*) as n, min(value) as least from events group by 1")
+def json_sink(s, d):
+    path = _scratch(s, "json")
+    sinks.json(t(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least")), path, single=True)
+    return s.read.schema("event_type string, n long, least double").json(path)
+
+
+@query("event_insert", """select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events where event_type in ('error', 'click') group by 1""")
+def event_insert(s, d):
+    path, status = _scratch(s, "events"), F.when(F.col("event_type") == "click", "success").otherwise(F.col("event_type"))
+    sinks.insert_events(t(s, d, "events").select("event_id", F.col("ts").alias("created_at"), status.alias("status")), path)
+    return s.read.parquet(path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("event_stream_append")
+def event_stream_append(s, d):
+    at = _scratch(s, "stream")
     return append_events(s, f"{d}/events.parquet*", t(s, d, "events").schema, f"{at}/log", f"{at}/checkpoint").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
