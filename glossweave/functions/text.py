@@ -114,8 +114,8 @@ def preverb_strip(word: Column, preverbs: list[str] = PREVERBS, least: int = 5)
 
 def gloss_segment(c: Column) -> Column:
     edge = F.lit(" ;,\n\t")
-    x = F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "), edge)
-    return F.btrim(F.regexp_replace(F.regexp_replace(x, r"^\d+\.\s*", ""), r"\s+\d+\.$", ""), edge)
+    x = F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "), edge)
+    return F.btrim(F.regexp_replace(F.regexp_replace(x, r"(?U)^\d+\.\s*", ""), r"(?U)\s+\d+\.$", ""), edge)
 
 
 def figurative_split(c: Column, markers: list[str]) -> Column:

@@ -391,10 +391,20 @@ def visitor_id_clean(s, d):
 @query("extract_translation", "select conv_id, turn, trim(text) as extracted from conversations where text not like '%' || chr(10) || '%' and trim(text, '`\"'' ') = text and text <> ''")
 def extract_translation(s, d):
     c = t(s, d, "conversations").filter(~F.contains("text", F.lit("\n")) & (F.btrim("text", F.lit("`\"' ")) == F.col("text")) & (F.col("text") != ""))
+    return _extracted(c)
+
+
+def _extracted(c: DataFrame) -> DataFrame:
     wrapped = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Notes: x\n<<<TRANSLATION>>>\n"), "text", F.lit("\n<<<END_TRANSLATION>>> y"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("z <<<TRANSLATION>>> "), "text")).otherwise(F.concat(F.lit("Based on a\nFinal translation: "), "text"))
     return c.select("conv_id", "turn", extract.extract_translation(wrapped, "english").alias("extracted"))
 
 
+@query("extract_translation_all")
+def extract_translation_all(s, d):
+    """Every row of conversations, whatever its text; no SQL, the tests hold it against a plain version."""
+    return _extracted(t(s, d, "conversations").withColumn("text", F.coalesce("text", F.lit(""))))
+
+
 @query("prompt_section_lengths", "select conv_id, turn, cast(length(trim(text)) as int) as section, cast(length(role) as int) as tail from conversations")
 def prompt_section_lengths(s, d):
     prompt = F.concat(F.lit("intro\nEVIDENCE:\n"), "text", F.lit("\nREMINDER:\n"), "role")
@@ -410,6 +420,13 @@ def figurative_split(s, d):
     return x.select("doc_id", text.figurative_split(F.col("g"), [" the "]).alias("f")).select("doc_id", "f.*")
 
 
+@query("figurative_split_all")
+def figurative_split_all(s, d):
+    """Every line of documents, with digits and without the marker too; no SQL, the tests hold it against a plain version."""
+    x = t(s, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("g"))
+    return x.select("doc_id", text.figurative_split(F.col("g"), [" the "]).alias("f")).select("doc_id", "f.*")
+
+
 @query("bridge_lookup", """with m(src, word) as (values ('metal', 'STEEL'), ('shiny', 'POLISHED'), ('none', 'NOTHING')) select src as request, min(p_partkey) as target from m join part on contains(p_type, word) group by 1""")
 def bridge_lookup(s, d):
     bridge = s.createDataFrame([("metal", "steel"), ("shiny", "polished"), ("none", "nothing")], "request string, token string")
