@@ -3,7 +3,8 @@
 Each of TABLES tables has a pseudo-rotation (three rounds of random signs and a fast Hadamard transform, on vectors
 padded to a power of two) and a bucket for each signed axis. A vector lies in the bucket of its nearest signed axis; a
 query probes its PROBES nearest. Candidates are reranked exactly, in double precision, on the original vectors. PROBES
-is a share of the axes (1 in 8), so recall does not fall as tables grow.
+is a share of the axes (1 in 8), so recall does not fall as tables grow. A query whose buckets hold fewer than k rows is
+compared exactly with all rows of its length, in blocks.
 
 Equal vectors: only the smallest KEEP = k + 1 ids of a vector can be among k nearest with ties to the smaller id, so the
 rest leave before hashing and a vector with very many copies makes no large bucket; nothing is lost. Buckets over BLOCK
@@ -78,7 +79,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = TABLE
     base = v.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k + 1).drop("n")
     queries = v.filter(F.col("vec_id") % every == 0)
 
-    def hashed(share: int):
+    def hashed(share: int | None):
+        """Rows of each bucket; without a share one row for each vector, in one bucket for each length."""
+
         def run(batches):
             for b in batches:
                 ids, lists = b.column(0).to_numpy(), b.column(1)
@@ -90,8 +93,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = TABLE
                     x = flat[at[rows][:, None] + np.arange(dim)]
                     unit = x / np.abs(x).max(1, keepdims=True)
                     raw = [r.tobytes() for r in x]
-                    for t in range(tables):
-                        a = axes(unit, t, 2 * (1 << max(0, dim - 1).bit_length()) // share if share else 1)
+                    for t in range(tables) if share is not None else [-1]:
+                        a = axes(unit, t, 2 * (1 << max(0, dim - 1).bit_length()) // share if share else 1) if t >= 0 else np.zeros((len(rows), 1), np.int64)
                         n, p = a.shape
                         take = np.repeat(np.arange(n), p)
                         yield pa.RecordBatch.from_arrays(
@@ -103,15 +106,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = TABLE
 
     schema = "dim int, t int, axis int, id long, x binary"
     place = ["dim", "t", "axis"]
-    stored = base.mapInArrow(hashed(0), schema)
-    # one row for each bucket: tables * 2 * width for each vector length
-    blocks = stored.groupBy(place).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    stored = stored.join(blocks, place).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
-    asked = queries.mapInArrow(hashed(PROBE_SHARE), schema).join(blocks, place)
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    both = stored.withColumn("q", F.lit(0)).unionByName(asked.withColumn("q", F.lit(1)))
     keys = [*place, "block"]
-    both = both.repartition(*keys).sortWithinPartitions(*keys, "q", "id").select(*keys, "q", "id", "x")
 
     def rerank(batches):
         at, ids, xs = None, [], []
@@ -144,6 +139,26 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = TABLE
                 score = (qx[row] * base_x[col]).sum(1) / (qn[row] * base_n[col])
                 yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(own[col]), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    found = both.mapInArrow(rerank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def met(stored: DataFrame, asked: DataFrame, few: bool = False) -> DataFrame:
+        """query_id, vec_id, score of the rows that meet in a bucket, each block of which meets all queries of the bucket. few: buckets are so few that their sizes are broadcast."""
+        blocks = stored.groupBy(place).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        blocks = F.broadcast(blocks) if few else blocks
+        stored = stored.join(blocks, place).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
+        asked = asked.join(blocks, place).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        both = stored.withColumn("q", F.lit(0)).unionByName(asked.withColumn("q", F.lit(1)))
+        return both.repartition(*keys).sortWithinPartitions(*keys, "q", "id").select(*keys, "q", "id", "x").mapInArrow(rerank, "query_id long, vec_id long, score double")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        found = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    # the groups of met: tables * 2 * width for each vector length
+    found = scratch_table(ranked(met(base.mapInArrow(hashed(0), schema), queries.mapInArrow(hashed(PROBE_SHARE), schema))), "found")
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = scratch_table(queries.join(full, "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    lengths = short.select(F.size("v").alias("length")).distinct()
+    same = base.withColumn("length", F.size("v")).join(F.broadcast(lengths), "length", "left_semi").drop("length")
+    return ranked(found.select("query_id", "vec_id", "score").unionByName(met(same.mapInArrow(hashed(None), schema), short.mapInArrow(hashed(None), schema), few=True)))

@@ -225,3 +225,20 @@ def test_nearest(spark):
         hit += len({int(i) for i in np.lexsort((np.arange(240), -np.round(s, 12)))[:5]} & {v for _, v, _ in got[q]})
     assert sorted(got) == [0, 50, 100, 150, 200] and hit >= 23
     assert [v for _, v, _ in sorted(got[200])] == [201, 202, 203, 204, 205]
+
+
+@pytest.mark.parametrize(("n", "dim"), [(5, 64), (9, 3), (1, 16), (2, 1)])
+def test_nearest_is_whole_for_few_rows(spark, n, dim):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, dim)).astype(np.float32)
+    many = rng.standard_normal((300, 32)).astype(np.float32)
+    rows = [(50 * i, r.tolist()) for i, r in enumerate(x)] + [(1001 + i, r.tolist()) for i, r in enumerate(many)]
+    got = collections.defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    x = x.astype(float)
+    norm = np.sqrt((x * x).sum(1))
+    for q in range(n):
+        s = (x * x[q]).sum(1) / (norm[q] * norm)
+        want = [50 * i for i in np.lexsort((np.arange(n), -s)).tolist() if i != q][:5]
+        assert sorted(got[50 * q]) == list(enumerate(want, 1))
