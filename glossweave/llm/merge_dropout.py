@@ -1,28 +1,57 @@
 """Operator 3: SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 Encoding follows the model's merge rules (best score first, leftmost on ties, bytes for characters without a piece, a
-space before the text). Each candidate merge that comes off the agenda is skipped when a keyed hash of (seed, variant,
-place, piece) falls under the rate; a word's variant is a hash of (seed, document key, place of the word) modulo
-VARIANTS. Rate 0 gives the library's own segmentation. Decoding gives back the text whatever was skipped.
+space before the text). Each candidate merge that comes off the agenda is skipped with chance rate, apart from all others:
+the merges kept before each next skip are drawn from a hash of (seed, document key, place of the word, skip number), by
+the geometric law that such skips follow. So occurrences of a word vary freely. Rate 0 gives the library's own
+segmentation. Decoding gives back the text whatever was skipped.
 
-A text is cut where no piece of the vocabulary spans the two characters, so no merge is lost; results for (word,
-variant) are kept in a bounded cache. A U+2581 in a text, which stands for a space in pieces, is written as bytes.
+A text is cut where no piece of the vocabulary spans the two characters, so no merge is lost; the ids of (word, skipped
+merges) are kept in a bounded cache, which changes no result. A U+2581 in a text, which stands for a space in pieces, is written as bytes.
 Null text counts as empty and has no ids. Rows that repeat a doc_id get equal ids for equal texts. Null doc_id is a key
 of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import math
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
+from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPACE, RATE, SEED, VARIANTS, CACHE = "▁", 0.1, 20240, 4, 200_000
+SPACE, RATE, SEED, CACHE, NEVER = "▁", 0.1, 20240, 200_000, 2**62
+#: The steps and factors of the hash (splitmix64).
+STEP, DRAW, MIX, FULL = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), 2**64 - 1
+
+
+def first_skips(key: int, n: int, rate: float) -> list[int]:
+    """For each of n words of a document the number of its first skipped merge."""
+    if rate <= 0 or rate >= 1:
+        return [0 if rate > 0 else NEVER] * n
+    x = np.uint64(key) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(STEP)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
+    u = (((x ^ (x >> np.uint64(31))) >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53
+    return (np.log(u) / math.log1p(-rate)).astype(np.int64).tolist()
+
+
+def gap(key: int, place: int, skip: int, rate: float) -> int:
+    """How many merges are kept between a word's skip number `skip` - 1 and the next."""
+    if rate <= 0 or rate >= 1:
+        return 0 if rate > 0 else NEVER
+    x = (key + (place + 1) * STEP + skip * DRAW) & FULL
+    x = (x ^ (x >> 30)) * MIX[0] & FULL
+    x = (x ^ (x >> 27)) * MIX[1] & FULL
+    return int(math.log((((x ^ (x >> 31)) >> 11) + 1) * 2.0**-53) / math.log1p(-rate))
 
 
 class Pieces:
@@ -47,7 +76,9 @@ class Pieces:
         joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.joined = joined
         self.coarse = re.compile(r"[▁]*[^\W\d_]+|[▁]+|.", re.S)
-        self.words: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        # for each word, and each (word, skipped merges): ids, number of candidate merges
+        self.words: dict[str, tuple[bytes, int]] = {}
+        self.cut: dict[tuple, tuple[bytes, int]] = {}
 
     def runs(self, text: str) -> list[str]:
         """text cut wherever no piece spans two neighbours; words that need no cut are found by pattern first."""
@@ -59,66 +90,87 @@ class Pieces:
                 out.append(w)
         return out
 
-    def merge(self, word: str, variant: int, rate: float, seed: int) -> bytes:
-        """Ids of one run of characters."""
+    def merge(self, word: str, skips: Iterator[int]) -> tuple[bytes, int]:
+        """Ids of one run of characters, and how many candidate merges came up. skips: the numbers of those to skip, rising."""
         symbols, n = list(word), len(word)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        rank, agenda, limit = self.rank, [], int(rate * 2**32)
-        key = f"{seed}/{variant}/{word}".encode()
-        start = zlib.crc32(key)
-        for i in range(n - 1):
-            p = symbols[i] + symbols[i + 1]
-            if p in rank:
-                agenda.append((rank[p], i, p))
+        get, pop, push, seen, skip = self.rank.get, heapq.heappop, heapq.heappush, -1, next(skips)
+        agenda = [(r, i, p) for i, p in enumerate(map(add, symbols, symbols[1:])) if (r := get(p)) is not None]
         heapq.heapify(agenda)
         while agenda:
-            _, i, p = heapq.heappop(agenda)
-            j = right[i] if symbols[i] else n
-            if j >= n or symbols[i] + symbols[j] != p:
+            _, i, p = pop(agenda)
+            s, j = symbols[i], right[i]
+            if not s or j >= n or s + symbols[j] != p:
                 continue
-            if limit and (zlib.crc32(p.encode(), start ^ (i * 0x9E3779B1 & 0xFFFFFFFF)) * 0x9E3779B1 & 0xFFFFFFFF) < limit:
+            seen += 1
+            if seen == skip:
+                skip = next(skips)
                 continue
             symbols[i], symbols[j] = p, ""
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
                 q = p + symbols[k]
-                if q in rank:
-                    heapq.heappush(agenda, (rank[q], i, q))
+                if (r := get(q)) is not None:
+                    push(agenda, (r, i, q))
             h = left[i]
             if h >= 0:
                 q = symbols[h] + p
-                if q in rank:
-                    heapq.heappush(agenda, (rank[q], h, q))
-        ids = array("I")
+                if (r := get(q)) is not None:
+                    push(agenda, (r, h, q))
+        ids, own = array("I"), self.ids
         for s in filter(None, symbols):
-            if s in self.ids:
-                ids.append(self.ids[s])
+            if s in own:
+                ids.append(own[s])
             else:
                 ids.extend([self.bytes[b] for b in s.encode()])
-        return ids.tobytes()
+        return ids.tobytes(), seen + 1
+
+    def skipped(self, word: str, first: int, key: int, place: int, rate: float) -> bytes:
+        """Ids of a word whose merges with certain numbers are skipped, the first of them number `first`."""
+        found, skips, at, cut = self.words.get(word), (), first, self.cut
+        while found:
+            if at >= found[1]:
+                return found[0]
+            skips += (at,)
+            at += 1 + gap(key, place, len(skips), rate)
+            found = cut.get((word, skips))
+        drawn = list(skips) + [at]
+        found = self.merge(word, self._skips(drawn, key, place, rate))
+        if len(word) < 64:
+            used = tuple(x for x in drawn if x < found[1])
+            kept, name = (cut, (word, used)) if used else (self.words, word)
+            if len(kept) > CACHE:
+                kept.clear()
+            kept[name] = found
+        return found[0]
+
+    def _skips(self, drawn: list[int], key: int, place: int, rate: float) -> Iterator[int]:
+        """The numbers drawn, then more, which are added to drawn."""
+        yield from drawn
+        while True:
+            drawn.append(drawn[-1] + 1 + gap(key, place, len(drawn), rate))
+            yield drawn[-1]
 
     def encode(self, text: str, key: str = "", rate: float = RATE, seed: int = SEED) -> bytes:
         """Ids of text, little-endian uint32. key: the document's."""
         if not text:
             return b""
-        at, out = zlib.crc32(f"{seed}/{key}".encode()), []
+        own = int.from_bytes(hashlib.blake2b(f"{seed}/{key}".encode(), digest_size=8).digest(), "little")
+        out, parts, n = [], [], 0
         words, literal = self.words, array("I", [self.bytes[b] for b in SPACE.encode()]).tobytes()
         for i, part in enumerate(text.split(SPACE)):
+            part = part.replace(" ", SPACE)
+            parts.append(self.runs(part if i else SPACE + part))
+            n += len(parts[-1])
+        firsts, place = first_skips(own, n, rate), 0
+        for i, part in enumerate(parts):
             if i:
                 out.append(literal)
-            part = part.replace(" ", SPACE)
-            for w in self.runs(part if i else SPACE + part):
-                at = (at * 1664525 + 1013904223) & 0xFFFFFFFF
-                own = words[v := at >> 30]
-                ids = own.get(w)
-                if ids is None:
-                    if len(own) > CACHE:
-                        own.clear()
-                    ids = self.merge(w, v, rate, seed)
-                    if len(w) < 64:
-                        own[w] = ids
-                out.append(ids)
+            for w in part:
+                whole, first = words.get(w), firsts[place]
+                out.append(whole[0] if whole and first >= whole[1] else self.skipped(w, first, own, place, rate))
+                place += 1
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -127,21 +179,21 @@ class Pieces:
         return raw[1:].decode() if raw else ""
 
 
-_models: dict[tuple, Pieces] = {}
+_models: dict[str, Pieces] = {}
 
 
-def pieces(path: str, rate: float = RATE, seed: int = SEED) -> Pieces:
-    """One model, and cache, for each (path, rate, seed) in each Python worker."""
-    if (path, rate, seed) not in _models:
-        _models[path, rate, seed] = Pieces(path)
-    return _models[path, rate, seed]
+def pieces(path: str) -> Pieces:
+    """One model, and cache, for each path in each Python worker."""
+    if path not in _models:
+        _models[path] = Pieces(path)
+    return _models[path]
 
 
 def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """doc_id and ids (binary, little-endian uint32) of docs (doc_id, text)."""
 
     def run(batches):
-        m = pieces(path, rate, seed)
+        m = pieces(path)
         for b in batches:
             ids = [m.encode(t or "", str(d), rate, seed) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -164,7 +216,7 @@ def round_trip(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED)
     """doc_id, n_tokens, ids_crc32, decoded_crc32, lossless: every text encoded, decoded and held against itself."""
 
     def run(batches):
-        m = pieces(path, rate, seed)
+        m = pieces(path)
         for b in batches:
             rows = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -242,3 +242,36 @@ def test_nearest_is_whole_for_few_rows(spark, n, dim):
         s = (x * x[q]).sum(1) / (norm[q] * norm)
         want = [50 * i for i in np.lexsort((np.arange(n), -s)).tolist() if i != q][:5]
         assert sorted(got[50 * q]) == list(enumerate(want, 1))
+
+
+def plain_dropout(m, word, rate, rng):
+    """Best candidate first, leftmost on ties; each is skipped with chance rate and then never tried again."""
+    parts, gone = list(word), set()
+    while True:
+        at = np.cumsum([0, *map(len, parts)]).tolist()
+        best = min(((m.rank[a + b], at[i], i, a + b) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)) if a + b in m.rank and (at[i], a + b) not in gone), default=None)
+        if best is None:
+            return tuple(parts)
+        _, place, i, p = best
+        if rng.random() < rate:
+            gone.add((place, p))
+        else:
+            parts[i : i + 2] = [p]
+
+
+def test_merge_dropout_varies_by_occurrence():
+    path, n, rate, rng = P.path("piece_bpe_32k.model"), 20000, 0.1, np.random.default_rng(3)
+    m = merge_dropout.Pieces(path)
+    for word in ("of", "house", "internationalisation"):
+        text = " ".join([word] * n)
+        raw = m.encode(text, "k", rate)
+        assert m.decode(raw) == text and raw == merge_dropout.Pieces(path).encode(text, "k", rate)
+        got, want = collections.Counter(), collections.Counter(plain_dropout(m, "\u2581" + word, rate, rng) for _ in range(n // 4))
+        ids = [m.texts[i].decode().replace(" ", "\u2581") for i in np.frombuffer(raw, "<u4").tolist()]
+        starts = [i for i, x in enumerate(ids) if x[0] == "\u2581"] + [len(ids)]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            got[tuple(ids[a:b])] += 1
+        assert sum(got.values()) == n and all(abs(got[x] / n - 4 * want[x] / n) < 0.025 for x in {*got, *want})
+        assert word == "of" or len(got) > 4
+    assert len({m.encode("house " * 50, k, rate, seed) for k in ("a", "b") for seed in (1, 2)}) == 4
+    assert np.frombuffer(m.encode("house", "k", 1.0), "<u4").tolist() == [m.ids[c] for c in "\u2581house"]
