@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from glossweave.llm.common import scratch_table
 
-TABLES, PROBE_SHARE, BLOCK, SEED = 6, 8, 8192, 11
+TABLES, PROBE_SHARE, BLOCK, PAIRS, SEED = 6, 8, 8192, 16384, 11
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -130,14 +130,24 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = TABLE
                 qn = np.sqrt((qx * qx).sum(1))
                 s = qx @ base_x.T / base_n
                 s[qid[:, None] == own] = -np.inf
-                m = min(k + 3, s.shape[1])
-                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                row = np.repeat(np.arange(len(qid)), m)
-                col = best.reshape(-1)
-                fine = np.isfinite(s[row, col])
-                row, col = row[fine], col[fine]
-                score = (qx[row] * base_x[col]).sum(1) / (qn[row] * base_n[col])
-                yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(own[col]), pa.array(score)], ["query_id", "vec_id", "score"])
+                first = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
+                each = s if len(first) == len(own) else np.maximum.reduceat(s, first, axis=1)
+                m = min(k, each.shape[1])
+                # every row that rounding could put among the k best ids, so that ties are settled by exact score and id
+                least = -np.partition(-each, m - 1, axis=1)[:, m - 1] - qn * (key[0] + 8) * 1e-15
+                at_row, at_col = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                score = np.empty(len(at_row))
+                for i in range(0, len(at_row), PAIRS):
+                    row, col = at_row[i : i + PAIRS], at_col[i : i + PAIRS]
+                    score[i : i + PAIRS] = (qx[row] * base_x[col]).sum(1) / (qn[row] * base_n[col])
+                order = np.lexsort((-score, own[at_col], at_row))
+                row, vec, score = at_row[order], own[at_col[order]], score[order]
+                fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (vec[1:] != vec[:-1])])[: len(row)]
+                row, vec, score = row[fresh], vec[fresh], score[fresh]
+                order = np.lexsort((vec, -score, row))
+                row, vec, score = row[order], vec[order], score[order]
+                top = np.arange(len(row)) - np.searchsorted(row, row) < k
+                yield pa.RecordBatch.from_arrays([pa.array(qid[row[top]]), pa.array(vec[top]), pa.array(score[top])], ["query_id", "vec_id", "score"])
 
     def met(stored: DataFrame, asked: DataFrame, few: bool = False) -> DataFrame:
         """query_id, vec_id, score of the rows that meet in a bucket, each block of which meets all queries of the bucket. few: buckets are so few that their sizes are broadcast."""

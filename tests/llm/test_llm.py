@@ -275,3 +275,14 @@ def test_merge_dropout_varies_by_occurrence():
         assert word == "of" or len(got) > 4
     assert len({m.encode("house " * 50, k, rate, seed) for k in ("a", "b") for seed in (1, 2)}) == 4
     assert np.frombuffer(m.encode("house", "k", 1.0), "<u4").tolist() == [m.ids[c] for c in "\u2581house"]
+
+
+def test_nearest_ties_of_parallel_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal(16).astype(np.float32).astype(float)
+    ids = (50 * rng.permutation(900) + rng.integers(1, 50, 900)).tolist()
+    tied, rest = ids[:80], ids[80:]
+    rows = [(60000, x.tolist())] + [(i, (x * 2.0 ** (n - 40)).tolist()) for n, i in enumerate(tied)] + [(i, (x + rng.standard_normal(16) / 9).tolist()) for i in rest]
+    rows += [(tied[0], (x * 2.0**n).tolist()) for n in range(45, 60)]
+    got = sorted((r.rank, r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tables=1).collect() if r.query_id == 60000)
+    assert got == list(enumerate(sorted(tied)[:5], 1))
