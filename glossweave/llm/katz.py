@@ -1,20 +1,28 @@
-"""Operator 9: language-model scores with Katz backoff, order 2.
-
-Tokens are the words of a text, A-Z lower-cased, and one end. The training part's counts come from every training
-document. A count r up to K is discounted by Good-Turing's d_r (absolute discounting where count-of-counts do not allow
-it), a larger one by EPS, so every history has mass left. A pair not seen after its history h backs off to
-alpha(h) * P1(word), where alpha(h) = (1 - sum of P(w | h) over w seen after h) / (1 - sum of P1(w) over them) is exact;
-an unseen history backs off with weight 1. P1 is discounted the same way and gives what it saves to one unknown token.
-
-Texts are cut into blocks of about BLOCK tokens. A block sends each of its distinct words and pairs once, with their
-training counts, to the part that owns the hash; the part sums them and sends each block its totals, and lets one block
-own each pair. The owner adds the pair to its history's sums; a second exchange brings those to the blocks that must
-back off. So count tables stay partitioned, nothing is broadcast but a few totals, and a word or pair in a third of all
-texts is one entry of each block. Both passes cut the same blocks from the same scan; a block without its answer is an
-error.
-
-Null or blank text is the end alone. Null doc_id: not held out. Rows that repeat count each. Without training tokens
-scores are null. Words are known by 64-bit hashes. Other columns are ignored.
+"""Operator 9: language-model scores with Katz backoff, of any order (3 unless told otherwise).
+
+Tokens are the words of a text, A-Z lower-cased, and one end. A token is predicted from the `order` - 1 symbols before it
+in its text, of which one start symbol is the first. For an n-gram hw of count c(hw) > 0
+
+    P(w | h) = d(c(hw)) * c(hw) / c(h),                                     else  P(w | h) = alpha(h) * P(w | h'),
+
+where h' is h without its first symbol, and alpha(h) = (1 - sum of P(w | h) over w seen after h) / (1 - sum of P(w | h')
+over the same w) is exact; a history that was not seen backs off with weight 1. A count r up to K is discounted by
+Good-Turing's d_r of its order (absolute discounting where the counts of counts do not allow it), a larger one by EPS, so
+that every history has mass left for unseen words. Single words are discounted the same way and give what that saves to
+one unknown token. So the chances of all known words, the end and the unknown token add up to 1 after every history.
+
+How it runs. Texts are cut into blocks of about BLOCK tokens, which are stored. For each order, a block sends its distinct
+n-grams once, with their training counts, to the partition that owns the range of their hashes. The partition adds them up
+and stores, for each block, the totals of the block's n-grams: the count tables, partitioned by order and hash. Each block
+is then scored from the longest n-gram down. Where it must back off it asks for alpha of the history; the sums that make
+alpha up travel from the blocks that own the n-grams to the partition that owns the history, and from there to those who ask.
+
+Memory: a task holds one block, or the n-grams of one of `parts` hash ranges, whose number grows with the blocks. An n-gram
+in a third of all texts is one entry of each block. Only a few totals go to the driver. Very long texts make a block of
+their own. Tables and shuffles that nothing reads any more are removed as the steps end.
+
+Null or blank text is the end alone. Null doc_id: not held out. Rows that repeat count, and are scored, each. Without
+training tokens scores are null; an empty table gives no rows. Symbols are known by 64-bit hashes. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,15 +30,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import scratch_table
+from glossweave.llm.common import forget, scratch_table
 
-BLOCK, K, EPS = 600_000, 5, 1e-3
+ORDER, BLOCK, BLOCKS_PER_PART, K, EPS = 3, 500_000, 4, 5, 1e-3
 START, END = np.uint64(1), np.uint64(2)
-MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
@@ -44,32 +52,65 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    x = (h ^ (h >> np.uint64(31))) * MIX + w
+def join(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of the n-gram that is made of a history, known by its key, and a word."""
+    x = (history ^ (history >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word
     x ^= x >> np.uint64(33)
     x *= np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(29))
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """A numpy array as bytes: the lowest bytes of all values first, then the next, compressed."""
+    width = values.dtype.itemsize
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unsqueeze(raw: bytes, dtype) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
+
+
+def squeeze_rising(keys: np.ndarray) -> bytes:
+    """Sorted uint64 keys, as the steps between them."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unsqueeze_rising(raw: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(raw, np.uint64), dtype=np.uint64)
+
+
+def batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def held_out():
+    """crc32 of the id as text, mod 5, is 1; a null id is not held out."""
+    return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 1, F.lit(False))
+
+
+BLOCKS = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, words binary, stream binary"
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """block, ids, flags (1: held out, 2: null id), lengths, words (sorted distinct hashes, START and END among them) and
-    stream (place in words of each token) of runs of documents."""
+    """Runs of documents: their ids, which are held out, their lengths in tokens, the sorted distinct symbols (START and END
+    among them), and for each token the place of its symbol."""
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("words", pa.binary()), ("stream", pa.binary())])
 
     def run(batches):
         part, number, rows, size = TaskContext.get().partitionId(), 0, [], 0
 
         def block():
-            lengths = np.array([len(w) + 1 for _, _, w in rows], np.int32)
-            flat = np.fromiter((_hashes[x] if x is not None else 2 for _, _, w in rows for x in (*w, None)), np.uint64, int(lengths.sum()))
+            lengths = [len(w) + 1 for _, w, _ in rows]
+            flat = np.fromiter((_hashes[x] if x is not None else 2 for _, w, _ in rows for x in (*w, None)), np.uint64, sum(lengths))
             words, stream = np.unique(np.concatenate([flat, [START, END]]), return_inverse=True)
-            flags = bytes((1 if held else 0) | (2 if d is None else 0) for d, held, _ in rows)
-            out = [np.array([d or 0 for d, _, _ in rows], np.int64), flags, lengths, words, stream[:-2].astype(np.uint32)]
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | number], pa.int64()), *[pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in out]], ["block", "ids", "flags", "lengths", "words", "stream"])
+            return batch([{"block": part << 32 | number, "doc_ids": [r[0] for r in rows], "held": [r[2] for r in rows], "lengths": lengths, "words": squeeze_rising(words), "stream": squeeze(stream[:-2].astype(np.uint32))}], schema)
 
         for b in batches:
             for d, t, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = (t or "").encode().lower().split()
-                rows.append((d, held, words))
+                rows.append((d, words, held))
                 size += len(words) + 1
                 if size >= BLOCK:
                     yield block()
@@ -77,78 +118,99 @@ def blocks(docs: DataFrame) -> DataFrame:
         if rows:
             yield block()
 
-    held = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 1, F.lit(False))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
-    return d.mapInArrow(run, "block long, ids binary, flags binary, lengths binary, words binary, stream binary")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held"))
+    return d.mapInArrow(run, BLOCKS)
 
 
 class Block:
-    """A block's arrays, its distinct pairs and the order in which both are sent."""
-
-    def __init__(self, row: dict, parts: int):
-        self.ids, self.lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
-        flags = np.frombuffer(row["flags"], np.uint8)
-        self.held, self.null = (flags & 1) > 0, (flags & 2) > 0
-        self.words, self.stream = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["stream"], np.uint32).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
-        before = np.empty_like(self.stream)
-        before[1:] = self.stream[:-1]
-        before[(np.cumsum(self.lengths) - self.lengths).astype(np.int64)] = np.searchsorted(self.words, START)
-        code, self.pair = np.unique(before * len(self.words) + self.stream, return_inverse=True)
-        self.h, self.w = code // len(self.words), code % len(self.words)
+    """A block's tokens. Arrays run over tokens; `at` is a token's place in its text."""
+
+    def __init__(self, row: dict):
+        self.number, self.doc_ids, self.held, self.lengths = row["block"], row["doc_ids"], np.array(row["held"], bool), np.array(row["lengths"], np.int64)
+        self.words, self.stream = unsqueeze_rising(row["words"]), unsqueeze(row["stream"], np.uint32).astype(np.int64)
+        first = np.cumsum(self.lengths) - self.lengths
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.at = np.arange(len(self.stream)) - first[self.doc]
         self.train = ~self.held[self.doc]
-        self.before = before
-        pairs = pair_hash(self.words[self.h], self.words[self.w])
-        count = lambda at, n: np.bincount(at[self.train], minlength=n).astype(np.uint32)
-        counts = count(self.stream, len(self.words))
-        starts = np.searchsorted(self.words, START)
-        counts[starts] = int((~self.held).sum())
-        self.keys, self.counts = (self.words, pairs), (counts, count(self.pair, len(pairs)))
-        self.order, self.part = [], []
-        for k in self.keys:
-            part = (k >> np.uint64(20)) % np.uint64(parts)
-            order = np.lexsort((k, part))
-            self.order.append(order)
-            self.part.append(part[order].astype(np.int64))
-
-    def sent(self, kind: int, *columns: np.ndarray):
-        """(part, slices of the keys and columns in sending order) for each part that has any."""
-        part, order = self.part[kind], self.order[kind]
-        cuts = np.concatenate([[0], np.nonzero(part[1:] != part[:-1])[0] + 1, [len(part)]])
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if hi > lo:
-                at = order[lo:hi]
-                yield int(part[lo]), [c[at] for c in (self.keys[kind], *columns)]
-
-
-def _rows(batches):
-    """Rows as dicts, made one at a time: they are large."""
-    for b in batches:
-        for i in range(b.num_rows):
-            yield b.slice(i, 1).to_pylist()[0]
-
-
-def _whole(batches, names: list[str]):
-    """(key, rows) of runs of equal names[0..], each whole; a row is a dict."""
-    key, rows = None, []
-    for r in _rows(batches):
-        k = tuple(r[n] for n in names)
-        if k != key:
-            if rows:
-                yield key, rows
-            key, rows = k, []
-        rows.append(r)
-    if rows:
-        yield key, rows
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-SENT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
-BACK = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-SENT_SQL, BACK_SQL = "kind int, part int, block long, keys binary, a binary, b binary", "block long, kind int, part int, a binary, b binary"
+
+    def before(self, values: np.ndarray, start) -> np.ndarray:
+        """The value of the token before each token; start for a text's first token."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.at == 0] = start
+        return out
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted distinct keys of an order; one token that ends each; the tokens that end any; their places in the keys.
+        Order 1 also has START, which ends nowhere (token -1)."""
+        if order == 1:
+            token = np.full(len(self.words), -1)
+            token[self.stream] = np.arange(len(self.stream))
+            return self.words, token, np.arange(len(self.stream)), self.stream
+        word = self.words[self.stream]
+        key = word
+        for _ in range(order - 1):
+            key = join(self.before(key, START), word)
+        tokens = np.nonzero(self.at >= order - 2)[0]
+        keys, one, place = np.unique(key[tokens], return_index=True, return_inverse=True)
+        return keys, tokens[one], tokens, place
+
+
+def ranges(keys: np.ndarray, parts: int):
+    """(part, slice) of sorted keys, for each of so many equal ranges of hashes that has any."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    cuts = np.concatenate([[0], np.nonzero(part[1:] != part[:-1])[0] + 1, [len(part)]]).tolist()
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        if hi > lo:
+            yield int(part[lo]), slice(lo, hi)
+
+
+def send_counts(cut: DataFrame, order: int, top: int, parts: int) -> DataFrame:
+    """part, block, keys and counts: 2 * training count, plus 1 if a held-out text may ask for the n-gram's alpha."""
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                own = Block(row)
+                keys, _, tokens, place = own.grams(order)
+                train = own.train[tokens]
+                counts = np.bincount(place[train], minlength=len(keys)) * 2
+                if order < top:
+                    counts += np.bincount(place[~train], minlength=len(keys)) > 0
+                if order == 1:
+                    counts[np.searchsorted(keys, START)] = 2 * int((~own.held).sum()) + int(own.held.any())
+                yield batch([{"part": p, "block": own.number, "keys": squeeze_rising(keys[s]), "counts": squeeze(counts[s].astype(np.uint32))} for p, s in ranges(keys, parts)], schema)
+
+    return cut.mapInArrow(run, "part long, block long, keys binary, counts binary")
+
+
+ANSWERS = "block long, ngram int, part long, totals binary, stats array<long>"
+
+
+def add_up(sent: DataFrame, order: int) -> DataFrame:
+    """For each block and part, 4 * total of each of the block's n-grams, plus 2 if some text may ask, plus 1 where the block
+    owns it. Rows of block -1 hold n_1 to n_(K+1), the sum of totals and the number of n-grams seen."""
+    schema = pa.schema([("block", pa.int64()), ("ngram", pa.int32()), ("part", pa.int64()), ("totals", pa.binary()), ("stats", pa.list_(pa.int64()))])
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["block"])
+        keys, counts = [unsqueeze_rising(r["keys"]) for r in rows], np.concatenate([unsqueeze(r["counts"], np.uint32) for r in rows]).astype(np.int64)
+        names, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.rint(np.bincount(at, counts >> 1, len(names))).astype(np.int64)
+        asked = np.bincount(at, counts & 1, len(names)) > 0
+        seen = np.nonzero(counts >> 1)[0]
+        answer = total[at] * 4 + asked[at] * 2
+        answer[seen[np.unique(at[seen], return_index=True)[1]]] += 1
+        real = total[(total > 0) & (names != START)] if order == 1 else total[total > 0]
+        stats = [*np.bincount(np.minimum(real, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(real.sum()), len(real)]
+        part, out, lo = rows[0]["part"], [], 0
+        for r, k in zip(rows, keys, strict=True):
+            out.append({"block": r["block"], "ngram": order, "part": part, "totals": squeeze(answer[lo : lo + len(k)]), "stats": None})
+            lo += len(k)
+        return pa.Table.from_pylist([*out, {"block": -1, "ngram": order, "part": part, "totals": None, "stats": stats}], schema=schema)
+
+    return sent.groupBy("part").applyInArrow(run, ANSWERS)
 
 
 def discounts(count_of_counts: list[int]) -> np.ndarray:
@@ -167,155 +229,158 @@ def discounts(count_of_counts: list[int]) -> np.ndarray:
     return out
 
 
-def sum_counts(sent: DataFrame) -> DataFrame:
-    """To each block its keys' totals (a: total * 2, plus 1 where the block owns the key); rows with block -1 hold the
-    count-of-counts, sum and number of keys of a part (a)."""
+class Model:
+    """What holds for the whole corpus: the discounts of each order, the tokens and types, and the unknown token's chance."""
+
+    def __init__(self, stats: dict[int, list[int]]):
+        self.order = max(stats)
+        self.d = {k: discounts(s[: K + 1]) for k, s in stats.items()}
+        self.tokens, self.types = stats[1][K + 1], stats[1][K + 2]
+        small = sum(r * n for r, n in enumerate(stats[1][:K], 1))
+        kept = sum(r * n * self.d[1][r] for r, n in enumerate(stats[1][:K], 1)) + (self.tokens - small) * self.d[1][K + 1]
+        self.unknown = (self.tokens - kept) / self.tokens if self.tokens else 1.0
+
+    def gain(self, order: int, count: np.ndarray) -> np.ndarray:
+        """The discounted count."""
+        return self.d[order][np.minimum(count, K + 1)] * count
+
+    def seen(self, order: int, count: np.ndarray, history: np.ndarray) -> np.ndarray:
+        """The chance of an n-gram of this count (for single words also 0) after a history of that count."""
+        if order == 1:
+            return np.where(count > 0, self.gain(1, count) / max(1, self.tokens), self.unknown)
+        return self.gain(order, count) / np.maximum(1, history)
+
+
+#: Rows of sums for a part (ngram: the order of the n-grams that follow the histories), and one row of ngram 0 with a block's scores so far.
+WEIGHED = """ngram int, part long, block long, keys binary, a binary, b binary, asked array<boolean>, doc_ids array<long>, held array<boolean>, lengths array<int>,
+ score array<double>, base array<double>, known array<long>, history_counts array<long>, rest_doc array<int>, rest_at array<int>"""
+
+
+def weigh(row: dict, answers: list[dict], model: Model, parts: int) -> list[dict]:
+    """The block's documents scored but for the weights of the histories where they back off, which it asks for; and the sums
+    of gains (a) and of lower-order chances (b) over the n-grams that it owns, for each history that may be asked for."""
+    own = Block(row)
+    n, zero = len(own.stream), np.zeros(len(own.stream), np.int64)
+    total, asked, owner, ends, keys = {}, {}, {}, {}, {}
+    for k in range(1, model.order + 1):
+        keys[k], ends[k], tokens, place = own.grams(k)
+        got = np.concatenate([np.zeros(0, np.int64), *[unsqueeze(r["totals"], np.int64) for r in answers if r["ngram"] == k]])
+        total[k], asked[k], owner[k] = zero.copy(), np.zeros(n, bool), (got & 1) > 0
+        total[k][tokens], asked[k][tokens] = got[place] >> 2, (got[place] & 2) > 0
+        if k == 1:
+            start = got[np.searchsorted(keys[1], START)]
+    # of the history that precedes each token: count, whether it may be asked for, place in keys of its order
+    where = {k: np.full(n, -1) for k in range(1, model.order)}
+    for k in where:
+        _, _, tokens, place = own.grams(k)
+        where[k][tokens] = place
+    first = int(np.searchsorted(keys[1], START))
+    count = {k: own.before(total[k - 1], start >> 2 if k == 2 else 0) for k in range(2, model.order + 1)}
+    count[1] = zero
+    may = {k: own.before(asked[k - 1], bool(start & 2) if k == 2 else False) for k in range(2, model.order + 1)}
+    place = {k: own.before(where[k - 1], first if k == 2 else -1) for k in range(2, model.order + 1)}
+
+    score, out = np.zeros(n), []
+    level = np.minimum(model.order, own.at + 2)
+    rest_doc, rest_at, history_counts, base = [], [], [], 0
+    for k in range(model.order, 0, -1):
+        here = np.nonzero(level == k)[0]
+        hit = here if k == 1 else here[total[k][here] > 0]
+        score[hit] += np.log10(model.seen(k, total[k][hit], count[k][hit]))
+        if k == 1:
+            break
+        miss = here[total[k][here] == 0]
+        level[miss] -= 1
+        miss = miss[count[k][miss] > 0]
+        m = len(keys[k - 1])
+        want = np.zeros(m, bool)
+        want[place[k][miss]] = True
+        mine = ends[k][owner[k]]
+        mine = mine[may[k][mine]]
+        a = np.bincount(place[k][mine], model.gain(k, total[k][mine]), m)
+        b = np.bincount(place[k][mine], model.seen(k - 1, total[k - 1][mine], count[k - 1][mine]), m)
+        use = np.nonzero(want | (a > 0))[0]
+        for part, s in ranges(keys[k - 1][use], parts):
+            at = use[s]
+            out.append({"ngram": k, "part": part, "block": own.number, "keys": squeeze_rising(keys[k - 1][at]), "a": squeeze(a[at]), "b": squeeze(b[at]), "asked": want[at].tolist()})
+        names = np.nonzero(want)[0]
+        counts = np.zeros(m, np.int64)
+        counts[place[k][miss]] = count[k][miss]
+        history_counts.append(counts[names])
+        rest_doc.append(own.doc[miss])
+        rest_at.append(base + np.searchsorted(names, place[k][miss]))
+        base += len(names)
+    size = len(own.doc_ids)
+    one = np.log10((total[1] + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
+    whole = lambda xs: np.concatenate([*xs, np.zeros(0, np.int64)]).astype(np.int64).tolist()
+    out.append(
+        {
+            "ngram": 0, "part": -1, "block": own.number, "doc_ids": own.doc_ids, "held": own.held.tolist(), "lengths": own.lengths.tolist(),
+            "score": np.bincount(own.doc, score, size).tolist(), "base": np.bincount(own.doc, one, size).tolist(), "known": np.bincount(own.doc, total[1] > 0, size).astype(np.int64).tolist(),
+            "history_counts": whole(history_counts), "rest_doc": whole(rest_doc), "rest_at": whole(rest_at),
+        }
+    )
+    return out
 
-    def run(batches):
-        for (kind, part), rows in _whole(batches, ["kind", "part"]):
-            keys, counts = [np.frombuffer(r["keys"], np.uint64) for r in rows], [np.frombuffer(r["a"], np.uint32) for r in rows]
-            flat, n = np.concatenate(keys), np.concatenate(counts)
-            names, at = np.unique(flat, return_inverse=True)
-            total = np.bincount(at, n, len(names)).astype(np.int64)
-            seen = np.nonzero(n)[0]
-            owner = np.zeros(len(flat), np.int64)
-            owner[seen[np.unique(at[seen], return_index=True)[1]]] = 1
-            out, lo = [], 0
-            answer = (total[at] * 2 + owner).astype(np.int64)
-            for r, k in zip(rows, keys, strict=True):
-                out.append((r["block"], kind, part, answer[lo : lo + len(k)].tobytes(), None))
-                lo += len(k)
-            own = total[(names != START) & (total > 0)] if kind == 0 else total[total > 0]
-            stats = np.array([*np.bincount(np.minimum(own, K + 2), minlength=K + 3)[1 : K + 2], own.sum(), len(own)], np.int64)
-            out.append((-1, kind, part, stats.tobytes(), None))
-            yield _batch(out, BACK)
-
-    return sent.repartition("kind", "part").sortWithinPartitions("kind", "part", "block").mapInArrow(run, BACK_SQL)
-
-
-def score(docs: DataFrame) -> DataFrame:
+
+def settle(t: pa.Table, schema: pa.Schema) -> pa.Table:
+    """For one part and order: to each block the whole sums of the histories that it asked for, in order of their keys."""
+    rows = sorted(t.to_pylist(), key=lambda r: r["block"])
+    keys = [unsqueeze_rising(r["keys"]) for r in rows]
+    names, at = np.unique(np.concatenate(keys), return_inverse=True)
+    a, b = (np.bincount(at, np.concatenate([unsqueeze(r[c], np.float64) for r in rows]), len(names)) for c in ("a", "b"))
+    out, lo = [], 0
+    for r, k in zip(rows, keys, strict=True):
+        want = at[lo : lo + len(k)][np.array(r["asked"], bool)]
+        lo += len(k)
+        if len(want):
+            out.append({"block": r["block"], "ngram": r["ngram"], "part": r["part"], "a": a[want].tolist(), "b": b[want].tolist()})
+    return pa.Table.from_pylist(out, schema=schema)
+
+
+def finish(row: dict, answers: list[dict], model: Model, schema: pa.Schema) -> pa.Table:
+    """The documents of a block with the weights it asked for: answers come longest history first, as they were asked."""
+    score = np.array(row["score"])
+    if row["history_counts"]:
+        a, b = (np.array([x for r in answers for x in r[c]]) for c in ("a", "b"))
+        alpha = (1 - a / np.array(row["history_counts"])) / (1 - b)
+        score += np.bincount(row["rest_doc"], np.log10(alpha)[row["rest_at"]], len(score))
+    none = np.full(len(score), model.tokens == 0)
+    lengths = pa.array(row["lengths"], pa.int64())
+    columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"]), lengths, pa.array(row["known"], pa.int64()), pa.array(np.full(len(score), model.tokens)), pa.array(np.array(row["base"]), mask=none), pa.array(score, mask=none)]
+    return pa.Table.from_arrays(columns, schema=schema)
+
+
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = blocks(docs)
-
-    def send(batches):
-        for row in _rows(batches):
-            own = Block(row, parts)
-            for kind in (0, 1):
-                yield _batch([(kind, p, row["block"], k.tobytes(), n.tobytes(), None) for p, (k, n) in own.sent(kind, own.counts[kind])], SENT)
-
-    answers = scratch_table(sum_counts(cut.mapInArrow(send, SENT_SQL)), "counts")
-    stats = {0: np.zeros(K + 3, np.int64), 1: np.zeros(K + 3, np.int64)}
-    for r in answers.filter("block = -1").select("kind", "a").collect():  # two small rows for each part
-        stats[r["kind"]] += np.frombuffer(r["a"], np.int64)
-    tokens, types = int(stats[0][K + 1]), int(stats[0][K + 2])
-    d1, d2 = discounts(stats[0][: K + 1].tolist()), discounts(stats[1][: K + 1].tolist())
-    # what the discounts save from single words is the unknown token's
-    kept = sum(int(stats[0][r - 1]) * r * d1[r] for r in range(1, K + 1)) + (tokens - sum(int(stats[0][r - 1]) * r for r in range(1, K + 1))) * d1[K + 1]
-    unknown = (tokens - kept) / tokens if tokens else 1.0
-
-    def single(c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, d1[np.minimum(c, K + 1)] * c / max(1, tokens), unknown)
-
-    def with_answers(rows: list[dict]):
-        """The block and its answers by kind, in the order of its keys."""
-        if rows[0]["ids"] is None:
-            raise RuntimeError("answers to a block that the second pass did not cut")
-        own = Block(rows[0], parts)
-        out = []
-        for kind in (0, 1):
-            got = np.empty(len(own.keys[kind]), np.int64)
-            flat = [np.frombuffer(r["a"], np.int64) for r in rows[1:] if r["kind"] == kind]
-            got[own.order[kind]] = np.concatenate(flat)
-            out.append(got)
-        return own, out[0] >> 1, out[1] >> 1, (out[1] & 1) > 0
-
-    def weigh(batches):
-        """For each block: partial sums for the histories of pairs it owns, requests, and its documents' scores so far."""
-        for (block,), rows in _whole(batches, ["block"]):
-            own, words, pairs, owned = with_answers(rows)
-            p1 = single(words)
-            gain = d2[np.minimum(pairs, K + 1)] * pairs
-            n = len(own.words)
-            a, b = np.bincount(own.h[owned], gain[owned], n), np.bincount(own.h[owned], p1[own.w[owned]], n)
-            back = (pairs == 0) & (words[own.h] > 0)
-            asked = np.zeros(n, bool)
-            asked[own.h[back]] = True
-            use = asked | (a > 0)
-            out = []
-            part = (own.words >> np.uint64(20)) % np.uint64(parts)
-            for p in np.unique(part[use]).tolist():
-                at = np.nonzero(use & (part == p))[0]
-                out.append((2, int(p), block, own.words[at].tobytes(), np.concatenate([a[at], b[at]]).tobytes(), asked[at].tobytes()))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                logs = np.where(pairs > 0, np.log10(gain / np.maximum(1, words[own.h])), np.log10(p1[own.w]))
-            size = len(own.ids)
-            sums = np.bincount(own.doc, logs[own.pair], size)
-            base = np.bincount(own.doc, np.log10((words[own.stream] + 0.5) / (tokens + 0.5 * (types + 1))), size)
-            known = np.bincount(own.doc, words[own.stream] > 0, size)
-            still = back[own.pair]
-            state = np.stack([sums, base, known]).tobytes()
-            rest = np.stack([own.doc[still], own.before[still]]).astype(np.uint32)
-            names, place = np.unique(rest[1], return_inverse=True)
-            tail = np.array([len(names)], np.uint64).tobytes() + own.words[names].tobytes() + words[names].astype(np.uint64).tobytes()
-            head = b"".join([own.ids.tobytes(), own.lengths.tobytes(), rows[0]["flags"]])
-            out.append((3, -1, block, head, state, np.array([size], np.int64).tobytes() + tail + np.stack([rest[0], place]).astype(np.uint32).tobytes()))
-            yield _batch(out, SENT)
-
-    empty = {c: F.lit(None).cast("binary").alias(c) for c in ("ids", "flags", "lengths", "words", "stream", "a", "b")}
-    first = cut.select("block", F.lit(-1).alias("kind"), F.lit(-1).alias("part"), "ids", "flags", "lengths", "words", "stream", empty["a"])
-    second = answers.filter("block >= 0").select("block", "kind", "part", *[empty[c] for c in ("ids", "flags", "lengths", "words", "stream")], "a")
-    both = first.unionByName(second).repartition("block").sortWithinPartitions("block", "kind", "part")
-    weighed = scratch_table(both.mapInArrow(weigh, SENT_SQL), "weights")
-
-    def settle(batches):
-        """To each block that asked, the sums over all pairs seen after the histories it asked for."""
-        for (part,), rows in _whole(batches, ["part"]):
-            keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-            both = [np.frombuffer(r["a"], np.float64).reshape(2, -1) for r in rows]
-            names, at = np.unique(np.concatenate(keys), return_inverse=True)
-            a, b = (np.bincount(at, np.concatenate([x[i] for x in both]), len(names)) for i in (0, 1))
-            out, lo = [], 0
-            for r, k in zip(rows, keys, strict=True):
-                asked = np.frombuffer(r["b"], bool)
-                own = at[lo : lo + len(k)][asked]
-                lo += len(k)
-                if asked.any():
-                    out.append((r["block"], 2, part, k[asked].tobytes(), np.concatenate([a[own], b[own]]).tobytes()))
-            if out:
-                yield _batch(out, BACK)
-
-    settled = weighed.filter("kind = 2").repartition("part").sortWithinPartitions("part", "block").mapInArrow(settle, BACK_SQL)
-
-    def finish(batches):
-        for _, rows in _whole(batches, ["block"]):
-            last, answers = rows[0], rows[1:]
-            size = int(np.frombuffer(last["more"][:8], np.int64)[0])
-            ids, lengths = np.frombuffer(last["keys"], np.int64, size), np.frombuffer(last["keys"], np.int32, size, 8 * size)
-            flags = np.frombuffer(last["keys"], np.uint8, size, 12 * size)
-            sums, base, known = np.frombuffer(last["a"], np.float64).reshape(3, size)
-            n = int(np.frombuffer(last["more"], np.uint64, 1, 8)[0])
-            names, count = np.frombuffer(last["more"], np.uint64, 2 * n, 16).reshape(2, n)
-            rest = np.frombuffer(last["more"], np.uint32, -1, 16 + 16 * n).reshape(2, -1)
-            if n:
-                keys = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in answers])
-                a, b = np.concatenate([np.frombuffer(r["b"], np.float64).reshape(2, -1) for r in answers], axis=1)
-                order = np.argsort(keys)
-                at = order[np.searchsorted(keys[order], names)]
-                alpha = (1 - a[at] / count) / (1 - b[at])
-                sums = sums + np.bincount(rest[0], np.log10(alpha)[rest[1]], size)
-            held, null = (flags & 1) > 0, (flags & 2) > 0
-            none = np.full(size, tokens == 0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, mask=null), pa.array(held), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)),
-                    pa.array(np.full(size, tokens, np.int64)), pa.array(base, mask=none), pa.array(sums, mask=none),
-                ],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    state = weighed.filter("kind = 3").select("block", F.lit(-1).alias("part"), "keys", "a", F.lit(None).cast("binary").alias("b"), F.col("b").alias("more"))
-    answers2 = settled.select("block", "part", F.lit(None).cast("binary").alias("keys"), "a", "b", F.lit(None).cast("binary").alias("more"))
-    last = state.unionByName(answers2).repartition("block").sortWithinPartitions("block", "part")
-    return last.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    if order < 2:
+        raise ValueError("the order is 2 or more")
+    cut = scratch_table(blocks(docs), "blocks")
+    parts = max(1, -(-cut.count() // BLOCKS_PER_PART))
+    counts = [scratch_table(add_up(send_counts(cut, k, order, parts), k), f"counts-{k}") for k in range(1, order + 1)]
+    answers = counts[0]
+    for c in counts[1:]:
+        answers = answers.unionByName(c)
+    # n_1 to n_(K+1), tokens and types of each order: one row for each order comes to the driver
+    stats = {k: [0] * (K + 3) for k in range(1, order + 1)}
+    for r in answers.filter("block = -1").select("ngram", F.posexplode("stats").alias("i", "n")).groupBy("ngram", "i").agg(F.sum("n").alias("n")).collect():
+        stats[r["ngram"]][r["i"]] = r["n"]
+    model = Model(stats)
+
+    sums = pa.schema([
+        ("ngram", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("asked", pa.list_(pa.bool_())), ("doc_ids", pa.list_(pa.int64())),
+        ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("score", pa.list_(pa.float64())), ("base", pa.list_(pa.float64())), ("known", pa.list_(pa.int64())),
+        ("history_counts", pa.list_(pa.int64())), ("rest_doc", pa.list_(pa.int32())), ("rest_at", pa.list_(pa.int32())),
+    ])
+    in_order = lambda t: sorted(t.to_pylist(), key=lambda r: (-r["ngram"], r["part"]))
+    weighing = lambda left, right: pa.Table.from_pylist(weigh(left.to_pylist()[0], in_order(right), model, parts), schema=sums)
+    weighed = scratch_table(cut.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(weighing, WEIGHED), "weights")
+    forget(cut, *counts)
+
+    alphas = pa.schema([("block", pa.int64()), ("ngram", pa.int32()), ("part", pa.int64()), ("a", pa.list_(pa.float64())), ("b", pa.list_(pa.float64()))])
+    asked = weighed.filter("ngram > 0").select("ngram", "part", "block", "keys", "a", "b", "asked").groupBy("ngram", "part")
+    settled = scratch_table(asked.applyInArrow(lambda t: settle(t, alphas), "block long, ngram int, part long, a array<double>, b array<double>"), "alphas")
+    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    state = weighed.filter("ngram = 0").select("block", "doc_ids", "held", "lengths", "score", "base", "known", "history_counts", "rest_doc", "rest_at")
+    finishing = lambda left, right: finish(left.to_pylist()[0], in_order(right), model, out)
+    return state.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(finishing, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

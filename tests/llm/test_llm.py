@@ -8,7 +8,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from glossweave.llm import ann, html_text, katz, langid, merge_dropout, neardup, packing, quality, sharding, token_files, tokens
+from glossweave.llm import ann, html_text, langid, merge_dropout, neardup, packing, quality, sharding, token_files, tokens
 from glossweave.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -200,15 +200,6 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
-def test_katz(docs, empty):
-    got = katz.score(docs).collect()
-    assert len(got) == len(ROWS) and all(np.isfinite(r.score) for r in got)
-    assert {r.n_tokens for r in got if r.doc_id in (4, 5, 6)} == {1}
-    assert katz.score(empty).count() == 0
-    d = katz.discounts([10, 4, 2, 1, 1, 1])
-    assert all(0 < x < 1 for x in d[1:])
-
-
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(200)] + [(200 + i, [1.0] * 8) for i in range(40)]
