@@ -7,25 +7,26 @@ one container, weak across) and blocks that follow each other among one containe
 finds the minimum cut; blocks on the source side are the main text.
 
 The model is trained here, in numpy, on pages that a seeded generator makes with known labels; nothing is learned from
-the table, so a page's text depends on the page alone. Null html counts as empty. Rows that repeat are each extracted.
-Broken markup is read as far as it goes. Other columns are ignored. The head, scripts, styles, forms' fields and
-comments of the markup are never text.
+the table, so a page's text depends on the page alone. Null and empty html give an empty text; an empty table gives no rows;
+rows that repeat are each extracted; a null page_id or url stays null. Broken markup is read as far as it goes. A very long
+page costs in proportion to its length, and is held by one task. Other columns are ignored, whatever their names. The head,
+scripts, styles, forms' fields, hidden elements and comments of the markup are never text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[^a-zA-Z/!?]?|[^<]+|<", re.S)
-CUES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+")
 #: Elements whose content is not text.
 OPAQUE = frozenset("script style noscript template svg math iframe title textarea canvas".split())
@@ -34,6 +35,10 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 BOILER = frozenset("nav footer aside form menu dialog button fieldset".split())
 MAIN = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Attributes whose names tell what an element is for; elements that make no container; how styles hide.
+CUES = frozenset("class id role aria-label".split())
+INNER = frozenset("p li td blockquote pre".split())
+NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 #: Parts of class, id and role names that tell of boilerplate and of content.
 BAD = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promoted banner nav navbar navigation menu menubar breadcrumb breadcrumbs footer foot header masthead topbar toolbar sidebar "
@@ -45,14 +50,59 @@ CLAMP, NEXT, ACROSS, SIBLING = 6.0, 0.6, 0.05, 1.0
 FEATURES = 9
 
 
+def tags(source: str):
+    """(text, tag, closing, attributes) of each piece of a page, in order; tag is None for text. Comments and declarations go.
+
+    A quote that opens a value and is never closed is an ordinary character; so is a `<` that begins no tag, and one whose
+    tag never ends. Each character is looked at a bounded number of times, whatever the markup.
+    """
+    at, n = 0, len(source)
+    last = {c: source.rfind(c) for c in ">\"'"}
+    while at < n:
+        lt = source.find("<", at)
+        if lt != at:
+            yield source[at : lt if lt >= 0 else n], None, False, ""
+            if lt < 0:
+                return
+            at = lt
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        m = NAME.match(source, at + 1)
+        if not m and source[at + 1 : at + 2] not in ("!", "?", "/") or last[">"] < at:
+            yield "<", None, False, ""
+            at += 1
+            continue
+        if not m:
+            at = source.find(">", at) + 1
+            continue
+        end = m.end()
+        while True:
+            stop = STOP.search(source, end)
+            if stop is None or stop[0] == ">":
+                break
+            end, quote = stop.end(), stop[0]
+            # a quote opens a value only after an equals sign
+            if last[quote] >= end and source[m.end() : stop.start()].rstrip()[-1:] == "=":
+                end = source.find(quote, end) + 1
+        if stop is None:
+            # no end after the last value: the first `>` after the name is the tag's end
+            end = source.find(">", m.end())
+        else:
+            end = stop.start()
+        yield "", m[1].lower(), source[at + 1] == "/", source[m.end() : end]
+        at = end + 1
+
+
 class Page:
     """The blocks of a page: text, container (its number), and features."""
 
     def __init__(self, source: str):
-        # an element: tag, parent, boilerplate around, main around, bad cue around, good cue around, hidden
-        self.tags, self.state = ["#root"], [(0, 0, 0, 0, 0)]
+        # an element: tag, container, and boilerplate around, main around, bad cue around, good cue around, hidden
+        self.names, self.around, self.state = ["#root"], [0], [(0, 0, 0, 0, 0)]
         self.blocks: list[tuple[str, int, list[float]]] = []
-        self.stack, self.text, self.linked, self.in_link, self.heads = [0], [], 0, 0, set()
+        self.stack, self.open_tags, self.text, self.linked, self.in_link, self.heads = [0], Counter(), [], 0, 0, 0
         self.read(source)
         self.flush()
 
@@ -60,15 +110,9 @@ class Page:
         if self.text:
             words = html.unescape("".join(self.text)).split()
             if words:
-                self.blocks.append((" ".join(words), self.container(), self.features(words)))
+                self.blocks.append((" ".join(words), self.around[self.stack[-1]], self.features(words)))
             self.text, self.linked = [], 0
 
-    def container(self) -> int:
-        for e in reversed(self.stack):
-            if self.tags[e] not in INLINE and self.tags[e] not in HEADING and self.tags[e] not in ("p", "li", "td", "blockquote", "pre"):
-                return e
-        return 0
-
     def features(self, words: list[str]) -> list[float]:
         chars = sum(map(len, words)) + len(words) - 1
         boiler, main, bad, good, _ = self.state[self.stack[-1]]
@@ -77,88 +121,84 @@ class Page:
     def open(self, tag: str, attributes: str) -> None:
         boiler, main, bad, good, hidden = self.state[self.stack[-1]]
         tokens: set[str] = set()
-        if attributes:
-            for m in CUES.finditer(attributes):
-                tokens.update(WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
-            hidden = hidden or bool(HIDDEN.search(attributes))
+        for m in ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if name in CUES:
+                tokens.update(WORDS.findall(value))
+            hidden = hidden or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and bool(NO_DISPLAY.search(value))
         top_header = tag == "header" and not main
-        self.tags.append(tag)
+        inner = tag in INLINE or tag in HEADING or tag in INNER
+        self.names.append(tag)
+        own = len(self.names) - 1
+        self.around.append(self.around[self.stack[-1]] if inner else own)
         plain = tag in ("body", "html")
         self.state.append((boiler or tag in BOILER or top_header, main or tag in MAIN, bad or (not plain and bool(tokens & BAD)), good or (not plain and bool(tokens & GOOD)), hidden))
-        self.stack.append(len(self.tags) - 1)
+        self.stack.append(own)
+        self.open_tags[tag] += 1
 
     def close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.tags[self.stack[i]] == tag:
-                del self.stack[i:]
-                return
+        if self.open_tags[tag] > 0:
+            name = None
+            while name != tag:
+                name = self.names[self.stack.pop()]
+                self.open_tags[name] -= 1
 
     def read(self, source: str) -> None:
-        at, n = 0, len(source)
-        match = TOKEN.match
-        while at < n:
-            m = match(source, at)
-            if m is None:
-                break
-            at, tag = m.end(), m[2]
-            if tag is None:
-                t = m[0]
-                if t[0] != "<" or len(t) == 1 or t[1] not in "!?":
-                    if not self.state[self.stack[-1]][4] and not self.heads:
-                        self.text.append(t)
-                        if self.in_link:
-                            self.linked += len(t)
-                continue
-            tag = tag.lower()
-            if m[1]:
+        skip = None
+        for text, tag, closing, attributes in tags(source):
+            if skip:
+                # inside an element whose content is not text, up to its end tag
+                skip = None if closing and tag == skip else skip
+            elif tag is None:
+                if not self.state[self.stack[-1]][4] and not self.heads:
+                    self.text.append(text)
+                    if self.in_link:
+                        self.linked += len(text)
+            elif closing:
                 if tag == "a":
                     self.in_link = max(0, self.in_link - 1)
                 if tag not in INLINE:
                     self.flush()
-                    self.heads.discard(tag)
+                    if tag == "head":
+                        self.heads = 0
                 self.close(tag)
-                continue
-            if tag in OPAQUE and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = end.end() if end else n
-                continue
-            if tag == "br":
+            elif tag in OPAQUE and not attributes.rstrip().endswith("/"):
+                skip = tag
+            elif tag == "br":
                 self.text.append(" ")
-                continue
-            if tag in VOID:
+            elif tag in VOID:
                 if tag == "hr":
                     self.flush()
-                continue
-            if tag not in INLINE:
-                self.flush()
-                self.in_link = 0
-                if tag == "body":
-                    self.heads.clear()
-                if tag == "head":
-                    self.heads.add(tag)
-                if "p" in (self.tags[e] for e in self.stack[-4:]):
-                    self.close("p")
-                if tag in ("li", "td", "tr", "dd", "dt", "option") and self.tags[self.stack[-1]] == tag:
-                    self.close(tag)
-            elif tag == "a":
-                self.in_link += 1
-            self.open(tag, m[3])
+            else:
+                if tag not in INLINE:
+                    self.flush()
+                    self.in_link = 0
+                    if tag in ("body", "head"):
+                        self.heads = tag == "head"
+                    if "p" in (self.names[e] for e in self.stack[-4:]):
+                        self.close("p")
+                    if tag in ("li", "td", "tr", "dd", "dt", "option") and self.names[self.stack[-1]] == tag:
+                        self.close(tag)
+                elif tag == "a":
+                    self.in_link += 1
+                self.open(tag, attributes)
 
 
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """For each node whether it lies on the source side of a minimum cut.
 
     gain: source capacity less sink capacity (their common part flows straight through); edges: undirected capacities.
-    Flow is pushed from nodes with excess to nodes that lack it along shortest residual paths.
+    Flow is pushed from nodes with excess to nodes that lack it along shortest residual paths. What a search without success
+    has reached is a closed set: no path can leave it later, so it lies on the source side and is never searched again.
     """
     n, rest = len(gain), list(gain)
     arcs: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, c in edges:
         arcs[a][b] = arcs[a].get(b, 0.0) + c
         arcs[b][a] = arcs[b].get(a, 0.0) + c
-    eps = 1e-9
+    eps, side = 1e-9, [False] * n
     for s in range(n):
-        while rest[s] > eps:
+        while rest[s] > eps and not side[s]:
             came, queue, end = {s: s}, deque([s]), -1
             while queue:
                 v = queue.popleft()
@@ -166,10 +206,12 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
                     end = v
                     break
                 for w, c in arcs[v].items():
-                    if c > eps and w not in came:
+                    if c > eps and w not in came and not side[w]:
                         came[w] = v
                         queue.append(w)
             if end < 0:
+                for v in came:
+                    side[v] = True
                 break
             flow, v = min(rest[s], -rest[end]), end
             while v != s:
@@ -182,15 +224,6 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
                 v = u
             rest[s] -= flow
             rest[end] += flow
-    side, queue = [False] * n, deque(i for i in range(n) if rest[i] > eps)
-    for i in queue:
-        side[i] = True
-    while queue:
-        v = queue.popleft()
-        for w, c in arcs[v].items():
-            if c > eps and not side[w]:
-                side[w] = True
-                queue.append(w)
     return side
 
 

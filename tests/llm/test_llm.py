@@ -8,7 +8,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from glossweave.llm import ann, html_text, langid, merge_dropout, neardup, packing, quality, sharding, token_files, tokens
+from glossweave.llm import ann, langid, merge_dropout, neardup, packing, quality, sharding, token_files, tokens
 from glossweave.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -157,23 +157,6 @@ def test_binomial(spark):
         assert math.isclose(r.b, want, rel_tol=1e-8)
 
 
-def test_html():
-    w = html_text.train()
-    page = '<body><header><a href=/>Site</a></header><div class="post-content"><h1>Title &amp; more</h1><p>First&nbsp;para   with a <a href=x>link</a>, and text that goes on.<p>Second one, longer than the first one is.</div><div class="comments"><p>Great post, thank you so much for it.</p></div><footer>c 2020</footer>'
-    assert html_text.main_text(page, w) == "Title & more\nFirst para with a link, and text that goes on.\nSecond one, longer than the first one is."
-    assert html_text.main_text("", w) == "" and "a < b" in html_text.main_text("<<p>a < b & c", w)
-
-
-def test_min_cut_is_minimal():
-    rng = np.random.default_rng(1)
-    for _ in range(30):
-        n = 6
-        gain = rng.normal(0, 2, n).tolist()
-        edges = [(i, j, float(rng.random())) for i in range(n) for j in range(i) if rng.random() < 0.5]
-        cost = lambda s: sum(max(0, g) for g, k in zip(gain, s) if not k) + sum(max(0, -g) for g, k in zip(gain, s) if k) + sum(c for a, b, c in edges if s[a] != s[b])  # noqa: B023, E731, B905
-        assert abs(cost(html_text.min_cut(gain, edges)) - min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(2**n))) < 1e-6
-
-
 def test_packing(docs, empty):
     got = packing.pack(docs, P.path("byte_bpe_50k.json"), window=64).collect()
     total = sum(len(ids_of("byte_bpe_50k.json", r[1])) + 1 for r in ROWS)
