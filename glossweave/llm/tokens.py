@@ -3,8 +3,8 @@
 A text of common Latin characters is split by the vocabulary's own pattern and its pieces go to the library's model. Any
 other text is cut at single spaces into chunks, which no token crosses (byte-level: unless a space stands beside other
 white space; then the text goes to the library whole); plain chunks are split likewise, others go to the whole library
-pipeline. Ids of pieces are kept in a bounded cache that starts anew when full. Special tokens' strings in a text are
-ordinary text.
+pipeline. Ids of pieces are kept in a bounded cache that starts anew when full. A text that may hold an added token of the
+vocabulary (such as one that marks an end) goes to the library whole, which finds such tokens.
 """
 
 from __future__ import annotations
@@ -52,7 +52,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
+        # what all added tokens begin with, as far as it has no case, tells most texts apart at once
+        self.mark = re.match(r"[^\w\s]*", os.path.commonprefix(added))[0] if added else None
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.model, self.kind, self.letters = self.whole.model, kind, byte_letters()
         self.pieces = _Cache(self._piece)
 
@@ -68,6 +71,8 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, SPLIT[self.kind].findall(text.lower() if self.kind == "word" else text)))
 
     def encode(self, text: str) -> bytes:
+        if self.added and self.mark in text and self.added.search(text):
+            return self._whole(text)
         if PLAIN.fullmatch(text):
             return self._plain(text)
         if self.kind == "byte" and ODD_SPACE.search(text):

@@ -37,7 +37,6 @@ def test_stages(spark, tmp_path):
     assert single.columns == columns and ids(single) == sorted({c for _, c in brute_components(rows, 80).values()})
 
     pieces, t = collections.defaultdict(list), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for r in step("packing", single).collect():
         pieces[r.doc_id].append(r)
     for r in single.collect():
