@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -59,14 +60,49 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def scratch_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """scratch_table() in as many buckets by key as there are shuffle partitions: to group it by key moves no row."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    table = os.path.basename(path).replace("-", "_")
+    with shuffles_end(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    out.scratch, out.scratch_name = path, table
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes scratch tables that nothing reads any more."""
     for t in tables:
+        if hasattr(t, "scratch_name"):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t.scratch_name}")
         jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(t.scratch)
         at.getFileSystem(conf).delete(at, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it while df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str = "inner", total: int | None = None, salts: int = 64) -> DataFrame:
+    """rows joined with keyed on key, which keyed holds once each; `count`: how many of rows have the key, `total` in all. A
+    key that holds over 1 in 1000 rows (so at most 1000 keys, which are broadcast) is dealt to `salts` tasks, and so are the
+    rows without a key, which join nothing."""
+    total = keyed.agg(F.sum(count)).first()[0] or 0 if total is None else total
+    salt, hot, some = fresh(rows, "_salt"), fresh(rows, "_hot"), F.col(count) > max(1000, total // 1000)
+    deal = F.pmod(F.hash(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts))
+    few = F.broadcast(keyed.filter(some).select(key, F.lit(True).alias(hot)))
+    one = rows.join(few, key, "left").withColumn(salt, F.when(F.col(hot) | F.col(key).isNull(), deal).otherwise(0)).drop(hot)
+    two = keyed.withColumn(salt, F.explode(F.when(some, F.array(*map(F.lit, range(salts)))).otherwise(F.array(F.lit(0))))).drop(count)
+    # the same join at every size
+    return one.join(two.hint("merge"), [key, salt], how).drop(salt)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,6 +27,9 @@ training tokens scores are null; an empty table gives no rows. Symbols are known
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,29 +38,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import forget, scratch_table
+from glossweave.llm.common import forget, scratch_buckets, scratch_table
 
 ORDER, BLOCK, BLOCKS_PER_PART, K, EPS = 3, 500_000, 4, 5, 1e-3
-START, END = np.uint64(1), np.uint64(2)
+#: Symbols and keys are even: their last bit is free for a mark.
+START, END, LAST = np.uint64(2), np.uint64(4), np.uint64(1)
 
 
 class _Hashes(dict):
     def __missing__(self, word):
         if len(self) > 400_000:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        self[word] = value = xxhash.xxh3_64_intdigest(word) & ~1 if word else int(END)
         return value
 
 
 _hashes = _Hashes()
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, a place of each in keys, and for each of keys its place among them."""
+    order = np.argsort(keys)
+    rising = keys[order]
+    new = np.concatenate([[True], rising[1:] != rising[:-1]])[: len(keys)]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return rising[new], order[new], place
+
+
 def join(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The key of the n-gram that is made of a history, known by its key, and a word."""
     x = (history ^ (history >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word
     x ^= x >> np.uint64(33)
     x *= np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(29))
+    return (x ^ (x >> np.uint64(29))) & ~LAST
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -102,16 +116,17 @@ def blocks(docs: DataFrame) -> DataFrame:
         part, number, rows, size = TaskContext.get().partitionId(), 0, [], 0
 
         def block():
-            lengths = [len(w) + 1 for _, w, _ in rows]
-            flat = np.fromiter((_hashes[x] if x is not None else 2 for _, w, _ in rows for x in (*w, None)), np.uint64, sum(lengths))
-            words, stream = np.unique(np.concatenate([flat, [START, END]]), return_inverse=True)
+            lengths = [len(w) for _, w, _ in rows]
+            flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(w for _, w, _ in rows)), np.uint64, sum(lengths))
+            words, _, stream = distinct(np.concatenate([flat, [START, END]]))
             return batch([{"block": part << 32 | number, "doc_ids": [r[0] for r in rows], "held": [r[2] for r in rows], "lengths": lengths, "words": squeeze_rising(words), "stream": squeeze(stream[:-2].astype(np.uint32))}], schema)
 
         for b in batches:
             for d, t, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = (t or "").encode().lower().split()
+                words.append(b"")
                 rows.append((d, words, held))
-                size += len(words) + 1
+                size += len(words)
                 if size >= BLOCK:
                     yield block()
                     number, rows, size = number + 1, [], 0
@@ -140,20 +155,32 @@ class Block:
         out[self.at == 0] = start
         return out
 
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The sorted distinct keys of an order; one token that ends each; the tokens that end any; their places in the keys.
-        Order 1 also has START, which ends nowhere (token -1)."""
-        if order == 1:
-            token = np.full(len(self.words), -1)
-            token[self.stream] = np.arange(len(self.stream))
-            return self.words, token, np.arange(len(self.stream)), self.stream
+    def keys(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens that end an n-gram of an order from 2, and the n-grams' keys."""
         word = self.words[self.stream]
         key = word
         for _ in range(order - 1):
             key = join(self.before(key, START), word)
         tokens = np.nonzero(self.at >= order - 2)[0]
-        keys, one, place = np.unique(key[tokens], return_index=True, return_inverse=True)
-        return keys, tokens[one], tokens, place
+        return tokens, key[tokens]
+
+    def counted(self, order: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct keys of an order, and for each 2 * its training count, plus 1 if a held-out text may ask for its
+        alpha. Order 1 has START too, which counts texts."""
+        if order == 1:
+            counts = np.bincount(self.stream[self.train], minlength=len(self.words)) * 2
+            counts += np.bincount(self.stream[~self.train], minlength=len(self.words)) > 0
+            counts[np.searchsorted(self.words, START)] = 2 * int((~self.held).sum()) + int(self.held.any())
+            return self.words, counts
+        tokens, keys = self.keys(order)
+        marked = np.sort(keys | (~self.train[tokens]).astype(np.uint64))
+        names = marked & ~LAST
+        first = np.nonzero(np.concatenate([[True], names[1:] != names[:-1]])[: len(names)])[0]
+        if not len(first):
+            return names, np.zeros(0, np.int64)
+        held = np.add.reduceat((marked & LAST).astype(np.int64), first)
+        counts = 2 * (np.diff(first, append=len(names)) - held)
+        return names[first], counts + (held > 0) if order < top else counts
 
 
 def ranges(keys: np.ndarray, parts: int):
@@ -173,13 +200,7 @@ def send_counts(cut: DataFrame, order: int, top: int, parts: int) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 own = Block(row)
-                keys, _, tokens, place = own.grams(order)
-                train = own.train[tokens]
-                counts = np.bincount(place[train], minlength=len(keys)) * 2
-                if order < top:
-                    counts += np.bincount(place[~train], minlength=len(keys)) > 0
-                if order == 1:
-                    counts[np.searchsorted(keys, START)] = 2 * int((~own.held).sum()) + int(own.held.any())
+                keys, counts = own.counted(order, top)
                 yield batch([{"part": p, "block": own.number, "keys": squeeze_rising(keys[s]), "counts": squeeze(counts[s].astype(np.uint32))} for p, s in ranges(keys, parts)], schema)
 
     return cut.mapInArrow(run, "part long, block long, keys binary, counts binary")
@@ -196,12 +217,14 @@ def add_up(sent: DataFrame, order: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: r["block"])
         keys, counts = [unsqueeze_rising(r["keys"]) for r in rows], np.concatenate([unsqueeze(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-        names, at = np.unique(np.concatenate(keys), return_inverse=True)
+        names, _, at = distinct(np.concatenate(keys))
         total = np.rint(np.bincount(at, counts >> 1, len(names))).astype(np.int64)
         asked = np.bincount(at, counts & 1, len(names)) > 0
         seen = np.nonzero(counts >> 1)[0]
         answer = total[at] * 4 + asked[at] * 2
-        answer[seen[np.unique(at[seen], return_index=True)[1]]] += 1
+        owner = np.full(len(names), -1)
+        owner[at[seen[::-1]]] = seen[::-1]  # the first block that has it
+        answer[owner[owner >= 0]] += 1
         real = total[(total > 0) & (names != START)] if order == 1 else total[total > 0]
         stats = [*np.bincount(np.minimum(real, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(real.sum()), len(real)]
         part, out, lo = rows[0]["part"], [], 0
@@ -252,38 +275,36 @@ class Model:
 
 
 #: Rows of sums for a part (ngram: the order of the n-grams that follow the histories), and one row of ngram 0 with a block's scores so far.
-WEIGHED = """ngram int, part long, block long, keys binary, a binary, b binary, asked array<boolean>, doc_ids array<long>, held array<boolean>, lengths array<int>,
- score array<double>, base array<double>, known array<long>, history_counts array<long>, rest_doc array<int>, rest_at array<int>"""
+WEIGHED = """ngram int, part long, block long, keys binary, a binary, b binary, asked binary, doc_ids array<long>, held array<boolean>, lengths array<int>,
+ score array<double>, base array<double>, known array<long>, counts binary, lower binary, rest_doc binary, rest_at binary"""
 
 
 def weigh(row: dict, answers: list[dict], model: Model, parts: int) -> list[dict]:
-    """The block's documents scored but for the weights of the histories where they back off, which it asks for; and the sums
-    of gains (a) and of lower-order chances (b) over the n-grams that it owns, for each history that may be asked for."""
-    own = Block(row)
-    n, zero = len(own.stream), np.zeros(len(own.stream), np.int64)
-    total, asked, owner, ends, keys = {}, {}, {}, {}, {}
-    for k in range(1, model.order + 1):
-        keys[k], ends[k], tokens, place = own.grams(k)
+    """The block's documents scored but for the weights of the histories where they back off, which it asks for; and for each
+    history that may be asked for, the sums over the n-grams that the block owns of their gains (a) and of the gains of
+    their lower-order n-grams (b). The one who asks knows by which counts to divide them."""
+    own, order = Block(row), model.order
+    n = len(own.stream)
+    keys, ends, total, asked, owner, where = {}, {}, {}, {}, {}, {}
+    for k in range(1, order + 1):
         got = np.concatenate([np.zeros(0, np.int64), *[unsqueeze(r["totals"], np.int64) for r in answers if r["ngram"] == k]])
-        total[k], asked[k], owner[k] = zero.copy(), np.zeros(n, bool), (got & 1) > 0
-        total[k][tokens], asked[k][tokens] = got[place] >> 2, (got[place] & 2) > 0
         if k == 1:
-            start = got[np.searchsorted(keys[1], START)]
-    # of the history that precedes each token: count, whether it may be asked for, place in keys of its order
-    where = {k: np.full(n, -1) for k in range(1, model.order)}
-    for k in where:
-        _, _, tokens, place = own.grams(k)
-        where[k][tokens] = place
-    first = int(np.searchsorted(keys[1], START))
-    count = {k: own.before(total[k - 1], start >> 2 if k == 2 else 0) for k in range(2, model.order + 1)}
-    count[1] = zero
-    may = {k: own.before(asked[k - 1], bool(start & 2) if k == 2 else False) for k in range(2, model.order + 1)}
-    place = {k: own.before(where[k - 1], first if k == 2 else -1) for k in range(2, model.order + 1)}
-
-    score, out = np.zeros(n), []
-    level = np.minimum(model.order, own.at + 2)
-    rest_doc, rest_at, history_counts, base = [], [], [], 0
-    for k in range(model.order, 0, -1):
+            keys[k], ends[k], tokens, place = own.words, None, np.arange(n), own.stream
+            first = int(np.searchsorted(own.words, START))
+            texts, start = int(got[first] >> 2), bool(got[first] & 2)
+        else:
+            tokens, key = own.keys(k)
+            keys[k], one, place = distinct(key)
+            ends[k] = tokens[one]
+        total[k], asked[k], where[k], owner[k] = np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, -1), (got & 1) > 0
+        total[k][tokens], asked[k][tokens], where[k][tokens] = got[place] >> 2, (got[place] & 2) > 0, place
+    # of the history before each token: its count, whether it may be asked for, its place among the keys of its order
+    count, may, place = ({k: own.before(x[k - 1], v if k == 2 else w) for k in range(2, order + 1)} for x, v, w in ((total, texts, 0), (asked, start, False), (where, first, -1)))
+    count[1] = np.full(n, model.tokens)
+
+    score, level, out = np.zeros(n), np.minimum(order, own.at + 2), []
+    counts, lower, rest_doc, rest_at, base = [], [], [], [], 0
+    for k in range(order, 0, -1):
         here = np.nonzero(level == k)[0]
         hit = here if k == 1 else here[total[k][here] > 0]
         score[hit] += np.log10(model.seen(k, total[k][hit], count[k][hit]))
@@ -293,31 +314,30 @@ def weigh(row: dict, answers: list[dict], model: Model, parts: int) -> list[dict
         level[miss] -= 1
         miss = miss[count[k][miss] > 0]
         m = len(keys[k - 1])
-        want = np.zeros(m, bool)
-        want[place[k][miss]] = True
+        want = np.full(m, -1)
+        want[place[k][miss]] = miss
         mine = ends[k][owner[k]]
         mine = mine[may[k][mine]]
         a = np.bincount(place[k][mine], model.gain(k, total[k][mine]), m)
-        b = np.bincount(place[k][mine], model.seen(k - 1, total[k - 1][mine], count[k - 1][mine]), m)
-        use = np.nonzero(want | (a > 0))[0]
+        b = np.bincount(place[k][mine], model.gain(k - 1, total[k - 1][mine]), m)
+        use = np.nonzero((want >= 0) | (a > 0))[0]
         for part, s in ranges(keys[k - 1][use], parts):
             at = use[s]
-            out.append({"ngram": k, "part": part, "block": own.number, "keys": squeeze_rising(keys[k - 1][at]), "a": squeeze(a[at]), "b": squeeze(b[at]), "asked": want[at].tolist()})
-        names = np.nonzero(want)[0]
-        counts = np.zeros(m, np.int64)
-        counts[place[k][miss]] = count[k][miss]
-        history_counts.append(counts[names])
+            out.append({"ngram": k, "part": part, "block": own.number, "keys": squeeze_rising(keys[k - 1][at]), "a": squeeze(a[at]), "b": squeeze(b[at]), "asked": squeeze((want[at] >= 0).astype(np.uint8))})
+        names = np.nonzero(want >= 0)[0]
+        counts.append(count[k][want[names]])
+        lower.append(count[k - 1][want[names]])
         rest_doc.append(own.doc[miss])
         rest_at.append(base + np.searchsorted(names, place[k][miss]))
         base += len(names)
     size = len(own.doc_ids)
     one = np.log10((total[1] + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
-    whole = lambda xs: np.concatenate([*xs, np.zeros(0, np.int64)]).astype(np.int64).tolist()
+    whole = lambda xs: squeeze(np.concatenate(xs).astype(np.int64))
     out.append(
         {
             "ngram": 0, "part": -1, "block": own.number, "doc_ids": own.doc_ids, "held": own.held.tolist(), "lengths": own.lengths.tolist(),
             "score": np.bincount(own.doc, score, size).tolist(), "base": np.bincount(own.doc, one, size).tolist(), "known": np.bincount(own.doc, total[1] > 0, size).astype(np.int64).tolist(),
-            "history_counts": whole(history_counts), "rest_doc": whole(rest_doc), "rest_at": whole(rest_at),
+            "counts": whole(counts), "lower": whole(lower), "rest_doc": whole(rest_doc), "rest_at": whole(rest_at),
         }
     )
     return out
@@ -327,24 +347,25 @@ def settle(t: pa.Table, schema: pa.Schema) -> pa.Table:
     """For one part and order: to each block the whole sums of the histories that it asked for, in order of their keys."""
     rows = sorted(t.to_pylist(), key=lambda r: r["block"])
     keys = [unsqueeze_rising(r["keys"]) for r in rows]
-    names, at = np.unique(np.concatenate(keys), return_inverse=True)
+    names, _, at = distinct(np.concatenate(keys))
     a, b = (np.bincount(at, np.concatenate([unsqueeze(r[c], np.float64) for r in rows]), len(names)) for c in ("a", "b"))
     out, lo = [], 0
     for r, k in zip(rows, keys, strict=True):
-        want = at[lo : lo + len(k)][np.array(r["asked"], bool)]
+        want = at[lo : lo + len(k)][unsqueeze(r["asked"], bool)]
         lo += len(k)
         if len(want):
-            out.append({"block": r["block"], "ngram": r["ngram"], "part": r["part"], "a": a[want].tolist(), "b": b[want].tolist()})
+            out.append({"block": r["block"], "ngram": r["ngram"], "part": r["part"], "a": squeeze(a[want]), "b": squeeze(b[want])})
     return pa.Table.from_pylist(out, schema=schema)
 
 
 def finish(row: dict, answers: list[dict], model: Model, schema: pa.Schema) -> pa.Table:
     """The documents of a block with the weights it asked for: answers come longest history first, as they were asked."""
     score = np.array(row["score"])
-    if row["history_counts"]:
-        a, b = (np.array([x for r in answers for x in r[c]]) for c in ("a", "b"))
-        alpha = (1 - a / np.array(row["history_counts"])) / (1 - b)
-        score += np.bincount(row["rest_doc"], np.log10(alpha)[row["rest_at"]], len(score))
+    counts, lower, doc, at = (unsqueeze(row[c], np.int64) for c in ("counts", "lower", "rest_doc", "rest_at"))
+    if len(counts):
+        a, b = (np.concatenate([unsqueeze(r[c], np.float64) for r in answers]) for c in ("a", "b"))
+        alpha = (1 - a / counts) / (1 - b / lower)
+        score += np.bincount(doc, np.log10(alpha)[at], len(score))
     none = np.full(len(score), model.tokens == 0)
     lengths = pa.array(row["lengths"], pa.int64())
     columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"]), lengths, pa.array(row["known"], pa.int64()), pa.array(np.full(len(score), model.tokens)), pa.array(np.array(row["base"]), mask=none), pa.array(score, mask=none)]
@@ -355,12 +376,10 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text)."""
     if order < 2:
         raise ValueError("the order is 2 or more")
-    cut = scratch_table(blocks(docs), "blocks")
+    cut = scratch_buckets(blocks(docs), "blocks", "block")
     parts = max(1, -(-cut.count() // BLOCKS_PER_PART))
     counts = [scratch_table(add_up(send_counts(cut, k, order, parts), k), f"counts-{k}") for k in range(1, order + 1)]
-    answers = counts[0]
-    for c in counts[1:]:
-        answers = answers.unionByName(c)
+    answers = reduce(DataFrame.unionByName, counts)
     # n_1 to n_(K+1), tokens and types of each order: one row for each order comes to the driver
     stats = {k: [0] * (K + 3) for k in range(1, order + 1)}
     for r in answers.filter("block = -1").select("ngram", F.posexplode("stats").alias("i", "n")).groupBy("ngram", "i").agg(F.sum("n").alias("n")).collect():
@@ -368,19 +387,22 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     model = Model(stats)
 
     sums = pa.schema([
-        ("ngram", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("asked", pa.list_(pa.bool_())), ("doc_ids", pa.list_(pa.int64())),
+        ("ngram", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("asked", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
         ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("score", pa.list_(pa.float64())), ("base", pa.list_(pa.float64())), ("known", pa.list_(pa.int64())),
-        ("history_counts", pa.list_(pa.int64())), ("rest_doc", pa.list_(pa.int32())), ("rest_at", pa.list_(pa.int32())),
+        ("counts", pa.binary()), ("lower", pa.binary()), ("rest_doc", pa.binary()), ("rest_at", pa.binary()),
     ])
     in_order = lambda t: sorted(t.to_pylist(), key=lambda r: (-r["ngram"], r["part"]))
     weighing = lambda left, right: pa.Table.from_pylist(weigh(left.to_pylist()[0], in_order(right), model, parts), schema=sums)
     weighed = scratch_table(cut.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(weighing, WEIGHED), "weights")
     forget(cut, *counts)
 
-    alphas = pa.schema([("block", pa.int64()), ("ngram", pa.int32()), ("part", pa.int64()), ("a", pa.list_(pa.float64())), ("b", pa.list_(pa.float64()))])
-    asked = weighed.filter("ngram > 0").select("ngram", "part", "block", "keys", "a", "b", "asked").groupBy("ngram", "part")
-    settled = scratch_table(asked.applyInArrow(lambda t: settle(t, alphas), "block long, ngram int, part long, a array<double>, b array<double>"), "alphas")
+    alphas = pa.schema([("block", pa.int64()), ("ngram", pa.int32()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+    asked, settled = weighed.select("ngram", "part", "block", "keys", "a", "b", "asked"), []
+    for k in range(2, order + 1):
+        sums_of = asked.filter(F.col("ngram") == k).groupBy("part").applyInArrow(lambda t: settle(t, alphas), "block long, ngram int, part long, a binary, b binary")
+        settled.append(scratch_table(sums_of, f"alphas-{k}"))
+    settled = reduce(DataFrame.unionByName, settled)
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    state = weighed.filter("ngram = 0").select("block", "doc_ids", "held", "lengths", "score", "base", "known", "history_counts", "rest_doc", "rest_at")
+    state = weighed.filter("ngram = 0").select("block", "doc_ids", "held", "lengths", "score", "base", "known", "counts", "lower", "rest_doc", "rest_at")
     finishing = lambda left, right: finish(left.to_pylist()[0], in_order(right), model, out)
     return state.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(finishing, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
