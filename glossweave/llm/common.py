@@ -50,11 +50,11 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, was)
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
+def scratch_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and survives lost executors. forget() removes it."""
     path = scratch_path(df.sparkSession, name)
     with shuffles_end(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import scratch_table
+from glossweave.llm.common import forget, scratch_table, spread_join
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -16,22 +16,23 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) for every node of edges (u, v: long, null and u = v are ignored).
 
-    Each round is two joins on edges; nothing is gathered by node, so a node with very many neighbours only makes a
-    skewed join, which adaptive execution splits. Rounds end when edges stay as they are: each node then points at its
-    component's smallest node.
+    Each round is two joins on edges. Nothing is gathered by node: least neighbours are taken before the shuffle, and the
+    edges of a node that holds over 1 in 1000 of them are dealt to many tasks. Rounds end when edges stay as they are: each
+    node then points at its component's smallest node. An empty table gives no rows.
     """
     at = edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    at = scratch_table(at, "edges")
+    at = scratch_table(at, "edges", "none")
     mark = _mark(at)
     for _ in range(rounds):
         if not mark[0]:
             break
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch_table(rest.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both.filter("v > u"), least, "u", "n", total=2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        rest = spread_join(large, least, "u", "n", total=mark[0]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = scratch_table(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", "none")
+        forget(at)
         old, at, mark = mark, new, _mark(new)
         if mark == old:
             break

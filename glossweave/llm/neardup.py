@@ -1,20 +1,22 @@
 """Operator 2: near-duplicates by MinHash with sequential Bayesian verification.
 
 1. Each text becomes its set of word shingles (64-bit hashes); equal sets are one class, known by its smallest doc_id.
-2. A class's MinHash signature (ROWS hashes for each band) is banded; classes that share a band's key are candidates.
+2. A class's MinHash signature (up to ROWS hashes for each band) is banded; classes that share a band's key are candidates.
 3. Candidates in a bucket are compared batch after batch of signature places. With a uniform prior, after n places with
    m matches the posterior chance that the similarity reaches the threshold is P(Bin(n + 1, t) <= m); a pair goes when
    it is under MISS. Survivors of a bucket are returned as a forest, not as all pairs.
 4. Components of survivors are clusters. Inside a cluster the survivors' full sets are compared exactly, and components
-   of exact links are the answer.
+   of exact links are the answer. A cluster over CLUSTER nodes is cut into blocks which first meet themselves and PIVOTS
+   of its nodes; what that links is one part. Then only blocks meet that hold different parts and sizes that could link.
 
-A linked pair shares no band with chance (1 - t^ROWS)^bands; there are as many bands as keep that under LOST at the
-threshold (30 for 0.85, 46 for 0.8), and it is far less above it.
+A linked pair shares no band with chance (1 - t^rows)^bands; there are as many bands as keep that under LOST at the
+threshold (30 for 0.85, 46 for 0.8), and it is far less above it. Low thresholds take fewer rows for a band.
 Buckets and clusters over a bound are cut into blocks and compared block against block, so nothing unbounded meets in
 one task and no pair is left out. Near copies that lie below the threshold of each other cost block pairs.
 
 Null or blank text: no shingles, linked with nothing. Rows that repeat a text are linked; rows that share a doc_id are
-one document. Null doc_id: component_id null, kept. Other columns are ignored.
+one document. Null doc_id: component_id null, kept. An empty table gives no rows. A very long text is read whole by one
+task, and so are two of them when they are compared. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +26,15 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import scratch_table
+from glossweave.llm.common import scratch_table, spread_join
 from glossweave.llm.components import connected_components
 
 ROWS, BATCH, LOST, MISS = 6, 36, 1e-6, 1e-9
 MOST_BANDS = 256
-BUCKET, CLUSTER, SHINGLES = 1024, 512, 4_000_000
+BUCKET, CLUSTER, SHINGLES, PIVOTS = 1024, 512, 4_000_000, 16
 _random = np.random.default_rng(7)
 MULTIPLIERS = _random.integers(0, 2**63, ROWS * MOST_BANDS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 PLACES = _random.integers(0, 2**63, 8, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,7 +42,7 @@ PLACES = _random.integers(0, 2**63, 8, np.int64).astype(np.uint64) * np.uint64(2
 
 class _Hashes(dict):
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -79,24 +81,29 @@ def shingle_sets(texts: list, width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def bands_for(threshold: float) -> int:
-    return min(MOST_BANDS, math.ceil(math.log(LOST) / math.log(1 - threshold**ROWS)))
+def banding(threshold: float) -> tuple[int, int]:
+    """(rows, bands): the most rows up to ROWS, and the bands, that lose a pair at the threshold with chance under LOST."""
+    for rows in range(ROWS, 0, -1):
+        bands = max(1, math.ceil(math.log(LOST) / math.log1p(-min(threshold, 1 - 1e-9) ** rows)))
+        if bands <= MOST_BANDS:
+            return rows, bands
+    raise ValueError(f"a threshold of {threshold} needs over {MOST_BANDS} bands")
 
 
-def signatures(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], rows: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
     """For non-empty sets: a byte for each signature place, and a key for each band."""
     if not sets:
-        return np.zeros((0, ROWS * bands), np.uint8), np.zeros((0, bands), np.int64)
+        return np.zeros((0, rows * bands), np.uint8), np.zeros((0, bands), np.int64)
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    least = np.empty((len(sets), ROWS * bands), np.uint64)
+    least = np.empty((len(sets), rows * bands), np.uint64)
     product = np.empty_like(flat)
-    for i, a in enumerate(MULTIPLIERS[: ROWS * bands]):
+    for i, a in enumerate(MULTIPLIERS[: rows * bands]):
         np.multiply(flat, a, out=product)
         least[:, i] = np.minimum.reduceat(product, starts)
     keys = np.zeros((len(sets), bands), np.uint64)
-    for r in range(ROWS):
-        keys += least[:, r::ROWS] * PLACES[r]
+    for r in range(rows):
+        keys += least[:, r::rows] * PLACES[r]
     keys = _mix(keys + np.arange(bands, dtype=np.uint64) * PLACES[6])
     return ((least >> np.uint64(20)) & np.uint64(255)).astype(np.uint8), keys.view(np.int64)
 
@@ -113,7 +120,7 @@ def _in_blocks(texts: list, most: int = 400_000):
         yield texts[at:]
 
 
-def sign(docs: DataFrame, bands: int, width: int = 5) -> DataFrame:
+def sign(docs: DataFrame, rows: int, bands: int, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, set_key (of the whole set), sig, bands of docs (doc_id, text); the last three null without shingles."""
 
     def run(batches):
@@ -121,7 +128,7 @@ def sign(docs: DataFrame, bands: int, width: int = 5) -> DataFrame:
             counts, prints, sigs, all_keys = [], [], [], []
             for texts in _in_blocks(b.column(1).to_pylist()):
                 sets = shingle_sets(texts, width)
-                sig, keys = signatures([s for s in sets if len(s)], bands)
+                sig, keys = signatures([s for s in sets if len(s)], rows, bands)
                 i = 0
                 for s in sets:
                     counts.append(len(s))
@@ -186,12 +193,12 @@ def _block_pairs(df: DataFrame, blocks) -> DataFrame:
     return d.select(*df.columns, F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"))
 
 
-def survivors(nodes: DataFrame, bands: int, threshold: float, miss: float = MISS) -> DataFrame:
-    """u, v: for each bucket of nodes (node, sig, bands), a forest over pairs that Bayesian pruning leaves."""
+def survivors(nodes: DataFrame, places: int, threshold: float, miss: float = MISS) -> DataFrame:
+    """u, v: for each bucket of nodes (node, sig of so many places, bands), a forest over pairs that Bayesian pruning leaves."""
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     placed = _block_pairs(rows.join(shared, "key"), F.ceil(F.col("m") / BUCKET)).drop("m").join(nodes.select("node", "sig"), "node")
-    steps = least_matches(threshold, ROWS * bands, BATCH, miss)
+    steps = least_matches(threshold, places, BATCH, miss)
 
     def run(batches):
         for t in _runs(batches, ["key", "bi", "bj"]):
@@ -223,48 +230,37 @@ def survivors(nodes: DataFrame, bands: int, threshold: float, miss: float = MISS
     return placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "node").select("key", "bi", "bj", "node", "sig").mapInArrow(run, "u long, v long").distinct()
 
 
-def exact_links(docs: DataFrame, clusters: DataFrame, percent: int, width: int = 5) -> DataFrame:
-    """u, v: a forest over the pairs of a cluster (node, cluster, n_shingles) whose sets hold 100 * both >= percent * either."""
-    size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
-    members = clusters.select("node", "cluster").join(size, "cluster")
-
-    def run_sets(batches):
-        for b in batches:
-            sets = [s.tobytes() for texts in _in_blocks(b.column(1).to_pylist()) for s in shingle_sets(texts, width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "set"])
-
-    named = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    # the same join at every size: whether the cluster's nodes would fit a broadcast must not change the plan
-    sets = named.join(members.select("node").hint("merge"), "node", "left_semi").mapInArrow(run_sets, "node long, set binary")
-    blocks = F.ceil(F.greatest(F.col("m") / CLUSTER, F.col("s") / SHINGLES))
-    placed = _block_pairs(members, F.greatest(blocks, F.lit(1))).join(sets, "node")
-
-    def links(sets: list[np.ndarray]) -> np.ndarray:
-        n = np.array([len(s) for s in sets], np.int64)
-        values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row, shared = np.repeat(np.arange(len(sets)), n), count > 1
-        column, keep = np.cumsum(shared)[place] - 1, shared[place]
-        row, column, total = row[keep], column[keep], int(shared.sum())
-        both = np.zeros((len(sets), len(sets)), np.float64)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for low in range(0, total, 4096):
-            a, b = np.searchsorted(column, [low, low + 4096])
-            m = np.zeros((len(sets), min(4096, total - low)), np.float32)
-            m[row[a:b], column[a:b] - low] = 1
-            both += m @ m.T
-        both = np.rint(both).astype(np.int64)
-        return (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0)
+def _links(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets hold 100 * both >= percent * either."""
+    n = np.array([len(s) for s in sets], np.int64)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), n), count > 1
+    column, keep = np.cumsum(shared)[place] - 1, shared[place]
+    row, column, total = row[keep], column[keep], int(shared.sum())
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, total, 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        m = np.zeros((len(sets), min(4096, total - low)), np.float32)
+        m[row[a:b], column[a:b] - low] = 1
+        both += m @ m.T
+    both = np.rint(both).astype(np.int64)
+    return (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0)
+
+
+def _compare(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: a forest over the linked pairs among the nodes placed (node, meeting: long) at one meeting."""
 
     def run(batches):
-        for t in _runs(batches, ["cluster", "bi", "bj"]):
-            node, sets = t.column("node").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
-            keys = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("cluster", "bi", "bj")])
-            cuts = [0, *(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(0))[0] + 1).tolist(), len(node)]
+        for t in _runs(batches, ["meeting"]):
+            node, held = t.column("node").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+            key = t.column("meeting").to_numpy()
+            cuts = [0, *(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist(), len(node)]
             us, vs = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi - lo > 1:
-                    a, b = np.nonzero(np.triu(links(sets[lo:hi]), 1))
+                    a, b = np.nonzero(np.triu(_links(held[lo:hi], percent), 1))
                     label = _labels(hi - lo, a, b)
                     own = np.nonzero(label != np.arange(hi - lo))[0]
                     us.append(node[lo + own])
@@ -272,21 +268,65 @@ def exact_links(docs: DataFrame, clusters: DataFrame, percent: int, width: int =
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
-    ordered = placed.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "node")
-    return ordered.select("cluster", "bi", "bj", "node", "set").mapInArrow(run, "u long, v long").distinct()
+    ordered = placed.join(sets, "node").repartition("meeting").sortWithinPartitions("meeting", "node")
+    return ordered.select("meeting", "node", "set").mapInArrow(run, "u long, v long").distinct()
+
+
+def exact_links(docs: DataFrame, clusters: DataFrame, percent: int, width: int = 5) -> DataFrame:
+    """u, v: edges whose components are those of the pairs of a cluster (node, cluster, n_shingles) that hold
+    100 * both >= percent * either."""
+
+    def run_sets(batches):
+        for b in batches:
+            sets = [s.tobytes() for texts in _in_blocks(b.column(1).to_pylist()) for s in shingle_sets(texts, width)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+
+    named = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    # the same join at every size: whether the cluster's nodes would fit a broadcast must not change the plan
+    sets = scratch_table(named.join(clusters.select("node").hint("merge"), "node", "left_semi").mapInArrow(run_sets, "node long, set binary"), "sets")
+    size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
+    blocks = F.ceil(F.greatest(F.col("m") / CLUSTER, F.col("s") / SHINGLES))
+    members = scratch_table(spread_join(clusters.select("node", "cluster", "n_shingles"), size.select("cluster", "m", blocks.alias("blocks")), "cluster", "m"), "members", "none")
+    small, large = members.filter("blocks = 1"), members.filter("blocks > 1")
+    found = scratch_table(_compare(small.select("node", F.col("cluster").alias("meeting")), sets, percent), "links", "none")
+    if large.isEmpty():
+        return found
+    large = scratch_table(large.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks")), "large", "none")
+    # each block meets itself and the pivots of its cluster
+    chosen = Window.partitionBy("cluster").orderBy(F.xxhash64("node", F.lit("pivot")), "node")
+    pivots = large.withColumn("_n", F.row_number().over(chosen)).filter(F.col("_n") <= PIVOTS)
+    meet = F.xxhash64("cluster", "block", F.lit("own"))
+    both = large.select("node", meet.alias("meeting")).unionByName(pivots.select("node", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).select("node", meet.alias("meeting")))
+    first = scratch_table(_compare(both.distinct(), sets, percent), "links", "none")
+    parts = connected_components(first).withColumnRenamed("component", "part")
+    large = large.drop("block").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    weight = large.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("p"), F.ceil(F.greatest(F.count(F.lit(1)) / CLUSTER, F.sum("n_shingles") / SHINGLES)).alias("cuts"))
+    large = large.join(weight.hint("merge"), ["cluster", "part"])
+    # a part over a block's size has blocks of its own; smaller ones share blocks, by size of sets
+    own = F.col("p") >= CLUSTER
+    name = F.when(own, F.xxhash64("part", F.pmod(F.xxhash64("node"), F.col("cuts")))).otherwise(F.xxhash64(F.floor(F.log("n_shingles") / F.log(F.lit(200.0 / (100 + percent)))), F.pmod(F.xxhash64("part"), "blocks")))
+    large = scratch_table(large.select("node", "cluster", "n_shingles", F.when(own, F.col("part")).alias("part"), name.alias("block")), "large", "none")
+    ranges = large.groupBy("cluster", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.max("part").alias("part"), F.count(F.lit(1)).alias("n"))
+    one, two = ranges.alias("a"), ranges.alias("b")
+    near = (100 * F.least("a.high", "b.high") >= percent * F.greatest("a.low", "b.low")) & ~F.coalesce(F.col("a.part") == F.col("b.part"), F.lit(False))
+    pairs = one.join(two, "cluster").filter((F.col("a.block") <= F.col("b.block")) & near)
+    meetings = pairs.select("cluster", F.xxhash64("cluster", "a.block", "b.block").alias("meeting"), F.explode(F.array_distinct(F.array("a.block", "b.block"))).alias("block"))
+    second = _compare(large.select("node", "cluster", "block").join(meetings.hint("merge"), ["cluster", "block"]).select("node", "meeting"), sets, percent)
+    return found.unionByName(first).unionByName(second)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of docs (doc_id, text); links from `percent` of common to all shingles."""
-    bands = bands_for(percent / 100)
-    signed = scratch_table(sign(docs, bands, width), "signed")
-    classes = scratch_table(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles")), "classes")
+    rows, bands = banding(percent / 100)
+    signed = scratch_table(sign(docs, rows, bands, width), "signed")
+    grouped = signed.filter("set_key is not null").groupBy("set_key")
+    classes = scratch_table(grouped.agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("m")), "classes")
     named = classes.filter("node is not null").select("node").distinct()
     nodes = signed.filter("set_key is not null").select(F.col("doc_id").alias("node"), "sig", "bands").join(named, "node", "left_semi")
-    clusters = connected_components(survivors(nodes, bands, percent / 100)).withColumnRenamed("component", "cluster")
-    sized = clusters.join(classes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node")
+    clusters = connected_components(survivors(nodes, rows * bands, percent / 100)).withColumnRenamed("component", "cluster")
+    sized = scratch_table(clusters.join(classes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node"), "clusters")
     found = connected_components(exact_links(docs, sized, percent, width))
-    labelled = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(labelled, "set_key", "left")
+    labelled = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "m")
+    out = spread_join(signed.select("doc_id", "n_shingles", "set_key"), scratch_table(labelled, "labelled", "none"), "set_key", "m", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -61,13 +61,12 @@ def brute_components(rows, percent):
     for r in rows:
         w = (r[1] or "").encode().lower().split()
         sets[r[0]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
-    label = {k: k for k in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                both = len(sets[a] & sets[b])
-                if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                    label[a] = label[b] = min(label[a], label[b])
+    linked = [(a, b) for a in sets for b in sets if a < b and (both := len(sets[a] & sets[b])) and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both)]
+    label, was = {k: k for k in sets}, None
+    while label != was:
+        was = dict(label)
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
     return {k: (len(sets[k]), label[k]) for k in sets}
 
 
