@@ -1,27 +1,32 @@
 """Operator 4: language ID by a bidirectional gated recurrent network over bytes.
 
-Training: a bounded sample of labelled texts (PER_LANG windows of SNIPPET characters for each of at most MAX_LANGS
-languages, drawn by hash) goes to the driver, where numpy trains the network by backpropagation through time (Adam,
-cross-entropy at every position). Prediction: every byte of every text, in windows of SPAN bytes that start from a zero
-state in both directions, gets a probability for each language; the document's are the normalised exponentials of the
-summed log-probabilities, tempered by 1 / POOL since neighbouring positions say much the same.
-
-Null text and texts without a letter get "und" and score 0; so does every text when nothing was learned. Labels that
-are null are not learned. Rows that repeat are each predicted. Other columns are ignored.
+Training: a bounded sample of labelled texts (windows of SNIPPET characters drawn by hash: PER_LANG for each language, or a
+share of SNIPPETS where there are many languages, one at least) goes to the driver, where numpy trains the network by
+backpropagation through time (Adam, cross-entropy at every position). Every label of the training part is learned.
+Prediction: every byte of every text, in windows of SPAN bytes that start from a zero state in both directions, gets a
+probability for each language; the document's are the normalised exponentials of the summed log-probabilities, tempered by
+1 / POOL since neighbouring positions say much the same. Ties go to the language that comes first by name.
+
+Null text and texts without a letter (Unicode's categories L) get "und" and score 0; so does every text when nothing was
+learned. Labels that are null are not learned. Rows that repeat are each predicted. A very long text is read whole, in runs
+of windows. An empty table gives no rows. Other columns are kept by identify() and ignored by language_id(), whatever their
+names: identify() puts underscores before the names of its own columns where the table has such columns.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from glossweave.llm.common import fresh
 
-PER_LANG, SNIPPET, MAX_LANGS = 500, 110, 64
+PER_LANG, SNIPPET, SNIPPETS = 500, 110, 32_000
 HIDDEN, SPAN, POOL, EPOCHS, BATCH, RATE, SEED = 8, 160, 8.0, 6, 100, 0.02, 5
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -160,46 +165,49 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample(labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """lang and a window of text: per_lang for each language, by hash; a first cut by share keeps large languages apart
-    from any one task."""
+    """lang, h and a window of text: per_lang for each language, by hash, at most SNIPPETS and one for each language in all.
+    Each task hands on no more than that of a language."""
     d = labelled.filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
+    most = max(1, min(per_lang, SNIPPETS // max(1, d.select("lang").distinct().count())))
     d = d.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
-    counts = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    share = F.pmod(F.xxhash64("h", F.lit("share")), F.lit(1 << 30)) * F.col("count") < F.lit(float(3 * per_lang)) * (1 << 30)
-    d = d.join(F.broadcast(counts), "lang").filter(share)
     at = F.pmod("h", F.greatest(F.length("text") - SNIPPET, F.lit(1)).cast("long")).cast("int") + 1
     d = d.select("lang", "h", F.substring("text", at, F.lit(SNIPPET)).alias("text"))
-    return d.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= per_lang).select("lang", "text", "h")
+    w = Window.partitionBy("lang").orderBy("h", "text")
+    return d.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select("lang", "text", "h")
 
 
 def identify(docs: DataFrame, labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """doc_id, lang_pred, score of docs (doc_id, text), learned from labelled (doc_id, text, lang)."""
-    rows = sorted((r["lang"], r["h"], r["text"]) for r in sample(labelled, per_lang).collect())  # at most per_lang * MAX_LANGS
+    """docs (doc_id, text, ...) with lang_pred and score, learned from labelled (doc_id, text, lang)."""
+    rows = sorted((r["lang"], r["h"], r["text"]) for r in sample(labelled, per_lang).collect())  # SNIPPETS, or one for each language
     names, net = train([r[2] for r in rows], [r[0] for r in rows])
+    text, own = docs.columns.index("text"), own_names(docs)
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(text).to_pylist()
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            own = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if net else []
+            known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if net else []
             at = 0
-            while at < len(own):
+            while at < len(known):
                 size, to = 0, at
-                while to < len(own) and size < 1_000_000:
-                    size += len(texts[own[to]])
+                while to < len(known) and size < 1_000_000:
+                    size += len(texts[known[to]])
                     to += 1
-                p = predict(net, [texts[i].encode() for i in own[at:to]])
-                for i, k, s in zip(own[at:to], p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
+                p = predict(net, [texts[i].encode() for i in known[at:to]])
+                for i, k, s in zip(known[at:to], p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
                     langs[i], scores[i] = names[k], min(1.0, s)
                 at = to
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs), pa.array(scores)], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *own])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(own[0], StringType()), StructField(own[1], DoubleType())]))
+
 
-    first = docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return first.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in first.dtypes) + ", lang_pred string, score double")
+def own_names(docs: DataFrame) -> tuple[str, str]:
+    """The names of identify()'s columns beside those of docs."""
+    return fresh(docs, "lang_pred"), fresh(docs, "score")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of documents, learned from those that are not held out."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    out = identify(d.select("doc_id", "text"), d.filter(~held_out()))
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(d.select("doc_id", "text"), d.filter(~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
