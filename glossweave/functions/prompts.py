@@ -12,7 +12,7 @@ ENTRIES = "Here are some various dictionary entries for word(s) in that phrase:"
 GRAMMAR, GRAMMAR_END = "Here is the Mingrelian grammar information:", "That is the end of the grammar information."
 FINAL = "Now remember, we are translating the following sentence:"
 POLICIES = ["full", "compact", "none"]
-SHORTLIST = 12
+SHORTLIST, TOKEN_SHORTLIST = 12, 6
 ANSWER = f"Answer with this block and nothing else:\n{OPEN}\n{PLACEHOLDER}\n{CLOSE}\n"
 
 
@@ -33,6 +33,19 @@ def candidate_block(text: Column, source: Column, target: Column, candidates: Co
     return F.when(F.size(candidates) > 0, F.concat(head, F.array_join(F.transform(F.slice(candidates, 1, SHORTLIST), entry), "\n\n")))
 
 
+def token_block(token: Column, source: Column, candidates: Column) -> Column:
+    """The first TOKEN_SHORTLIST candidates (array of struct with target_text, headword_raw, translation, matched_on, source_name) of
+    one word; a candidate's empty fields are left out. Null without any."""
+    filled = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"- {name}: "), c))
+
+    def entry(x, i):
+        more = [filled("Mingrelian (Latinized)", x["headword_raw"]), filled("Gloss", x["translation"]), filled("Matched on", x["matched_on"]), filled("Source", x["source_name"])]
+        return F.concat_ws("\n", F.format_string("Candidate %d:", i + 1), F.concat(F.lit("- Mingrelian: "), x["target_text"]), *more)
+
+    head = F.concat(F.lit('Candidates for the word "'), token, F.lit('" ('), label(source), F.lit(" → Mingrelian); they are for this word, not for the sentence:\n\n"))
+    return F.when(F.size(candidates) > 0, F.concat(head, F.array_join(F.transform(F.slice(candidates, 1, TOKEN_SHORTLIST), entry), "\n\n")))
+
+
 def build(text: Column, source: Column, target: Column, block: Column, entries: Column, grammar: Column) -> Column:
     """Task, shortlist, dictionary entries, grammar and reminder; an empty section is left out, and so is the grammar where
     neither shortlist nor entries have text."""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
 #: Words that carry no meaning of their own.
@@ -15,8 +17,9 @@ STOP_WORDS = {
 FIGURATIVE = {"ru": ["переносное значение", "перен."], "ka": ["გადატანილი მნიშვნელობით", "გადატ."]}
 #: Preverbs, two letters before one.
 PREVERBS = ["გა", "გო", "გე", "და", "დო", "წა", "მე", "მო", "შე", "ა", "ო", "ე"]
-#: Case endings, plural marks and vowels of the stripping rule; endings may carry an emphatic vowel.
-CASE_ENDINGS = ["იშე", "შე", "იშა", "შა", "იშ", "შ", "იშოთ", "შოთ", "იშო", "შო", "ით", "თ", "ოთ", "ო", "ი", "ქ", "ს", "კ"]
+#: Case endings, those that may carry an emphatic vowel, such vowels, plural marks, and vowels.
+CASE_ENDINGS = ["იშე", "შე", "იშა", "შა", "იშ", "შ", "იშოთ", "შოთ", "ით", "ოთ", "ო", "თ", "კ", "ს", "ც"]
+EMPHATIC_ENDINGS = ["კ", "ს", "ც", "იშ", "შ", "ით", "თ", "ოთ", "ო", "იშოთ", "შოთ"]
 EMPHATIC, PLURALS, VOWELS = ["ი", "ჷ", "უ"], ["ეფ", "ენ", "ემ"], "აეიოუჷ"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 QUOTES = "“”„’"
@@ -27,6 +30,11 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
 
 
+def strip_space(c: Column) -> Column:
+    """c without white space at its ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def normalize(c: Column) -> Column:
     return F.lower(compact(c))
 
@@ -101,8 +109,8 @@ def suffix_strip(word: Column, endings: list[str], least: int = 3, vowels: str =
 
 def case_strip(word: Column) -> Column:
     """suffix_strip for words of four letters and more in Mkhedruli."""
-    endings = CASE_ENDINGS + [e + v for e in CASE_ENDINGS for v in EMPHATIC if len(e) > 1]
-    return F.when((F.length(word) >= 4) & word.rlike("[ა-ჿ]"), suffix_strip(word, endings)).otherwise(F.array().cast("array<string>"))
+    endings, w = CASE_ENDINGS + [e + v for e in EMPHATIC_ENDINGS for v in EMPHATIC], F.trim(word)
+    return F.when((F.length(w) >= 4) & w.rlike("[ა-ჿ]"), suffix_strip(w, endings)).otherwise(F.array().cast("array<string>"))
 
 
 def preverb_strip(word: Column, preverbs: list[str] = PREVERBS, least: int = 5) -> Column:
@@ -128,6 +136,38 @@ def figurative_split(c: Column, markers: list[str]) -> Column:
     return F.struct(gloss_segment(primary).alias("primary"), F.when(first.isNotNull(), F.nullif(gloss_segment(tail), F.lit(""))).alias("secondary"))
 
 
+def dictionary_entry(mingrelian: Column, russian: Column, georgian: Column) -> Column:
+    """The lines of a four-column dictionary's entry: each language's primary and figurative meaning, where there is one."""
+    lines = [F.concat(F.lit("Mingrelian: "), F.coalesce(mingrelian, F.lit("")))]
+    for name, c, code in (("Russian", russian, "ru"), ("Georgian", georgian, "ka")):
+        split = figurative_split(c, FIGURATIVE[code])
+        lines.append(F.when(split["primary"] != "", F.concat(F.lit(f"{name} primary meaning: "), split["primary"])))
+        lines.append(F.concat(F.lit(f"{name} secondary figurative meaning: "), split["secondary"]))
+    return F.concat_ws("\n", *lines)
+
+
+def bridge_gloss(russian: Column, georgian: Column, target: str | None) -> Column:
+    """struct(gloss, language): the primary meaning to translate by: Russian first for English, else Georgian first."""
+    order = [("ru", russian), ("ka", georgian)] if target == "english" else [("ka", georgian), ("ru", russian)]
+    found = [F.when(p != "", F.struct(p.alias("gloss"), F.lit(code).alias("language"))) for code, c in order for p in [figurative_split(c, FIGURATIVE[code])["primary"]]]
+    return F.coalesce(*found, F.struct(F.lit("").alias("gloss"), F.lit("").alias("language")))
+
+
+@F.pandas_udf(StringType())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFC")
+
+
+#: Texts of these characters alone are composed as they are.
+COMPOSED = r"^[\x{0}-\x{2ff}\x{400}-\x{482}\x{48a}-\x{52f}\x{10a0}-\x{10ff}\x{2010}-\x{201f}]*$"
+
+
+def composed(rows: DataFrame, column: str) -> DataFrame:
+    """rows with column in Unicode's composed form (NFC). Only texts that may change leave the JVM."""
+    safe = F.coalesce(F.col(column).rlike(COMPOSED), F.lit(True))
+    return rows.filter(safe).unionByName(rows.filter(~safe).withColumn(column, _nfc(F.col(column))))
+
+
 def clean_visitor_id(c: Column) -> Column:
     x = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     return F.when(x.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"), x)
@@ -147,8 +187,8 @@ def script_gate(c: Column, target: str) -> Column:
 
 
 def coverage_tokens(c: Column, target: str = "english") -> Column:
-    """Lower-cased letters and digits, joining marks removed first; Mingrelian words lose one final vowel. Compose text
-    to NFC before."""
+    """Lower-cased letters and digits, joining marks removed first; Mingrelian words lose one final vowel. For text that is
+    composed(), as coverage() and signatures() make it."""
     x = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[-‐‑‒–—=·•]", "")
     t = F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return F.transform(t, lambda w: F.regexp_replace(w, "(?<=.)[აეიოუჷ]$", "")) if target == "mingrelian" else t

@@ -1,50 +1,182 @@
-"""Standalone and substring search over rows, in tiers."""
+"""Standalone and substring search over rows, in tiers, and over several dictionaries at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossweave.functions.text import is_standalone_match, is_substring_match, normalize
+from glossweave.functions.text import case_strip, compact, is_standalone_match, is_substring_match, normalize, preverb_strip
 from glossweave.operators.lookup import inverted_index
+from glossweave.sources.shared import stored
 
-CAP = 10_000
-#: Requests over this many distinct words join by shuffle; below, the list is small enough to send to every task.
+CAP, SEPARATOR = 10_000, "========\n"
+#: So many words meet all rows at once; more of them go in blocks of as many.
 SMALL = 10_000
 
 
-def tiered(words: DataFrame, rows: DataFrame, text: str, row_id: str, prune: bool = True) -> DataFrame:
-    """word, tier (1: standalone, 2: substring), row_id.
+def in_blocks(words: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """meet(some) of blocks of words that are small enough to send to every task; every word is in one block."""
+    blocks = max(1, -(-words.count() // SMALL))
+    if blocks == 1:
+        return meet(F.broadcast(words))
+    # a block by hash holds SMALL words, give or take a few in a hundred
+    part = F.pmod(F.xxhash64("word"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [meet(F.broadcast(words.filter(part == i))) for i in range(blocks)])
+
+
+def tiered(words: DataFrame, rows: DataFrame, texts: str | list[str], row_id: str, prune: bool = True, whole: Column | None = None, index: list[str] | None = None, standalone_only: bool = False) -> DataFrame:
+    """word, tier (1: standalone, 2: substring), row_id of distinct words (word).
+
+    A word that the index of the columns `index` (texts unless given) knows is checked only in the rows of its posting list
+    (prune); any other word is searched in all rows. A word stands alone in any of texts. Tier 2 is only for words without a
+    row in tier 1, and searches `whole` (texts, tab-parted, unless given). Words that no index serves meet all rows in blocks
+    of SMALL. Null and blank words find nothing.
+    """
+    texts = [texts] if isinstance(texts, str) else texts
+    whole = F.concat_ws("\t", *texts) if whole is None else whole
+    words = stored(words.select("word").filter(compact(F.col("word")) != "").distinct(), "words")
+    alone = reduce(lambda a, b: a | b, [is_standalone_match(F.col(c), F.col("word")) for c in texts])
+    some = rows.select(row_id, *dict.fromkeys(texts))
+    if prune:
+        keyed = words.withColumn("term", normalize(F.col("word")))
+        postings = inverted_index(rows, index or texts, row_id).join(keyed, "term").select("word", row_id)
+        one = postings.join(some, row_id).filter(alone).select("word", row_id)
+        scan = words.join(postings.select("word").distinct(), "word", "left_anti")
+        one = one.unionByName(in_blocks(scan, lambda w: some.join(w, alone).select("word", row_id)))
+    else:
+        one = in_blocks(words, lambda w: some.join(w, alone).select("word", row_id))
+    one = stored(one, "standalone")
+    found = one.select("word", F.lit(1).alias("tier"), row_id)
+    if standalone_only:
+        return found
+    rest = words.join(one.select("word").distinct(), "word", "left_anti")
+    joined = rows.select(row_id, whole.alias("_whole"))
+    two = in_blocks(rest, lambda w: joined.join(w, is_substring_match(F.col("_whole"), F.col("word"))).select("word", F.lit(2).alias("tier"), row_id))
+    return found.unionByName(two)
+
 
-    A word that the index knows is checked only in the rows of its posting list (prune); any other word, and one without
-    a standalone row, is searched in all rows, tier 2 only where tier 1 found nothing. words holds distinct words; their
-    number is counted and must be under SMALL for the full search, which no index serves.
+def formatted(found: DataFrame, rows: DataFrame, entry: Column, row_id: str, cap: int = CAP) -> DataFrame:
+    """word, output, has_standalone: the entries of a word's rows in order, each between separators, cut at cap.
+
+    An entry with its separator has over len(SEPARATOR) characters, so no more than cap / len(SEPARATOR) rows of a word can
+    show; the rest go before any row is gathered.
     """
-    words = words.select("word").distinct().cache()
-    if words.count() > SMALL:
-        raise ValueError(f"over {SMALL} distinct words; search in batches")
-    keyed = words.withColumn("term", normalize(F.col("word")))
-    index = inverted_index(rows, [text], row_id)
-    probe = keyed.join(index, "term").join(rows, row_id)
-    known = keyed.join(index.select("term").distinct(), "term", "left_semi") if prune else keyed.limit(0)
-    one = probe.filter(is_standalone_match(F.col(text), F.col("word"))).select("word", row_id)
-    scan = F.broadcast(keyed.join(known, "word", "left_anti"))
-    one = one.unionByName(rows.join(scan, is_standalone_match(F.col(text), F.col("word"))).select("word", row_id)).distinct()
-    rest = F.broadcast(words.join(one.select("word").distinct(), "word", "left_anti"))
-    two = rows.join(rest, is_substring_match(F.col(text), F.col("word"))).select("word", row_id)
-    return one.withColumn("tier", F.lit(1)).unionByName(two.withColumn("tier", F.lit(2)))
-
-
-def formatted(found: DataFrame, rows: DataFrame, text: str, row_id: str, cap: int = CAP) -> DataFrame:
-    """word, output (rows in order, each between newlines, cut at cap), has_standalone."""
-    full = found.join(rows.select(row_id, F.col(text).alias("_t")), row_id)
+    most = cap // len(SEPARATOR) + 1
+    w = Window.partitionBy("word").orderBy(row_id)
+    first = found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+    full = first.join(rows.select(row_id, F.substring(entry, 1, cap).alias("_t")), row_id)
     out = full.groupBy("word").agg(F.sort_array(F.collect_list(F.struct(row_id, "_t"))).alias("r"), (F.min("tier") == 1).alias("has_standalone"))
-    return out.select("word", F.substring(F.concat(F.lit("\n"), F.array_join(F.transform("r", lambda x: F.concat(x["_t"], F.lit("\n"))), "")), 1, cap).alias("output"), "has_standalone")
+    text = F.concat(F.lit(SEPARATOR), F.array_join(F.transform("r", lambda x: F.concat(x["_t"], F.lit(SEPARATOR))), ""))
+    return out.select("word", F.substring(text, 1, cap).alias("output"), "has_standalone")
+
+
+@dataclass
+class Source:
+    """A dictionary to search: rows (row_id, ...), the columns in which a word may stand alone, the columns of its index, the
+    text for substrings, and how a row is shown. indexed=False looks through all rows for every word."""
+
+    name: str
+    rows: DataFrame
+    texts: list[str]
+    entry: Column
+    index: list[str] | None = None
+    whole: Column | None = None
+    indexed: bool = True
+
+    def search(self, words: DataFrame, standalone_only: bool = False, cap: int = CAP) -> DataFrame:
+        """word, output, has_standalone of the words (word) that are found."""
+        found = tiered(words, self.rows, self.texts, "row_id", self.indexed, self.whole, self.index, standalone_only)
+        return formatted(found, self.rows, self.entry, "row_id", cap)
+
+
+def sentence_pairs(rows: DataFrame) -> Source:
+    """Of rows (row_id, mingrelian, english)."""
+    return Source("pairs", rows, ["mingrelian", "english"], F.concat(F.lit("Mingrelian: "), "mingrelian", F.lit("\nEnglish: "), "english", F.lit("\n")))
+
+
+def russian_dictionary(rows: DataFrame) -> Source:
+    """Of rows (row_id, russian, mingrelian)."""
+    entry = F.concat(F.lit("Mingrelian: "), "mingrelian", F.lit("\nRussian: "), "russian", F.lit("\n"))
+    return Source("gal", rows, ["mingrelian", "russian"], entry, whole=F.concat_ws("\t", "russian", "mingrelian"))
+
+
+def four_column_dictionary(rows: DataFrame) -> Source:
+    """Of rows (row_id, mingrelian, ipa, russian, georgian)."""
+    from glossweave.functions.text import dictionary_entry
+
+    entry = F.concat(dictionary_entry(F.col("mingrelian"), F.col("russian"), F.col("georgian")), F.lit("\n"))
+    every = ["mingrelian", "ipa", "russian", "georgian"]
+    return Source("kk", rows, ["mingrelian", "russian", "georgian"], entry, index=every, whole=F.concat_ws("\t", *every))
+
+
+def context(rows: DataFrame) -> Source:
+    """Of rows (row_id, entry): paragraphs. Every word looks through all of them."""
+    return Source("context", rows, ["entry"], F.concat(F.trim("entry"), F.lit("\n")), indexed=False)
+
+
+def _probe(requests: DataFrame, asked: DataFrame, term: str, source: Source, name: str) -> DataFrame:
+    """requests with `name` (what the source shows for the column term of asked, empty if nothing) and `name`_alone."""
+    found = source.search(asked.select(F.col(term).alias("word"))).select(F.col("word").alias(term), F.col("output").alias(name), F.col("has_standalone").alias(f"{name}_alone"))
+    return requests.join(found, term, "left").withColumn(name, F.coalesce(name, F.lit(""))).withColumn(f"{name}_alone", F.coalesce(f"{name}_alone", F.lit(False)))
+
+
+def _searched(requests: DataFrame, legs: list[tuple[str, str, Source]], fallback: tuple[str, Source] | None = None) -> DataFrame:
+    """requests with a column for each leg (name, term column, source), and `any`: some leg has a standalone row; with a fallback
+    (term, source) `context`, searched only for requests of which that is not so."""
+    asked = out = stored(requests, "requests")
+    for name, term, source in legs:
+        out = _probe(out, asked, term, source, name)
+    out = stored(out.withColumn("any", reduce(lambda a, b: a | b, [F.col(f"{name}_alone") for name, _, _ in legs])), "searched")
+    if not fallback:
+        return out
+    late = out.withColumn("_late", F.when(~F.col("any"), F.col(fallback[0])))
+    return stored(_probe(late, late, "_late", fallback[1], "context").drop("_late"), "searched")
+
+
+def _output(word: Column, *parts: Column) -> Column:
+    return F.substring(F.concat(F.lit("\nResults for "), word, F.lit(":\n"), *parts), 1, CAP)
+
+
+def from_english(requests: DataFrame, pairs: Source, gal: Source, kk: Source, notes: Source) -> DataFrame:
+    """word, output of requests (word, russian, georgian: its translations, null where there is none): pairs by the word, gal
+    and kk by its Russian, kk by its Georgian; notes by its Georgian if none of them has a standalone row."""
+    r = requests.select("word", F.coalesce("russian", "word").alias("ru"), F.coalesce("georgian", "word").alias("ka")).distinct()
+    r = _searched(r, [("pairs", "word", pairs), ("gal", "ru", gal), ("kk_ru", "ru", kk), ("kk_ka", "ka", kk)], ("ka", notes))
+    return r.select("word", _output(F.col("word"), F.col("pairs"), F.col("gal"), F.col("kk_ru"), F.col("kk_ka"), F.col("context")).alias("output"))
+
+
+def from_georgian(requests: DataFrame, pairs: Source, gal: Source, kk: Source, notes: Source) -> DataFrame:
+    """word, output of requests (word, english, russian): pairs by its English, kk by the word, gal by its Russian, then notes by
+    the word if none of them has a standalone row."""
+    r = requests.select("word", F.coalesce("english", "word").alias("en"), F.coalesce("russian", "word").alias("ru")).distinct()
+    r = _searched(r, [("pairs", "en", pairs), ("kk", "word", kk), ("gal", "ru", gal)], ("word", notes))
+    return r.select("word", _output(F.col("word"), F.col("pairs"), F.col("kk"), F.col("gal"), F.col("context")).alias("output"))
+
+
+def _stems(lost: DataFrame, stems: Column, kind: str, pairs: Source, gal: Source, kk: Source, notes: Source) -> DataFrame:
+    """word, more: for words of lost, what their first stem that any source knows shows; standalone rows alone where there are any."""
+    s = lost.select("word", F.posexplode(stems).alias("i", "stem"))
+    legs = [("pairs", "stem", pairs), ("gal", "stem", gal), ("kk", "stem", kk), ("context", "stem", notes)]
+    s, alone = _searched(s, legs), F.col("any")
+    shown = F.concat(*[F.when(~alone | F.col(f"{name}_alone"), F.col(name)).otherwise("") for name, _, _ in legs])
+    head = F.concat(F.lit(f"\n[{kind}-stripped fallback: "), "word", F.lit(" → "), "stem", F.lit("]\n"))
+    hits = s.select("word", "i", shown.alias("shown"), head.alias("head")).filter("shown != ''")
+    return hits.groupBy("word").agg(F.min(F.struct("i", F.concat("head", "shown").alias("more"))).alias("m")).select("word", "m.more")
 
 
-def with_fallback(tiers: list[DataFrame]) -> DataFrame:
-    """Rows of each table for words that no earlier table has."""
-    out = tiers[0]
-    for t in tiers[1:]:
-        out = out.unionByName(t.join(out.select("word").distinct(), "word", "left_anti"))
-    return out
+def from_mingrelian(words: DataFrame, pairs: Source, gal: Source, kk: Source, notes: Source, case_stems: Callable[[Column], Column] = case_strip, verb_stem: Callable[[Column], Column] = preverb_strip) -> DataFrame:
+    """word, output of words (word): pairs, gal and kk, then notes if none of them has a standalone row. A word that nothing
+    matches is tried without its case ending, each stem in order, and then without its preverb."""
+    r = _searched(words.select("word").distinct(), [("pairs", "word", pairs), ("gal", "word", gal), ("kk", "word", kk)], ("word", notes))
+    r = r.select("word", F.concat("pairs", "gal", "kk", "context").alias("shown"))
+    lost = r.filter("shown = ''").select("word")
+    cases = _stems(lost, case_stems(F.col("word")), "Case", pairs, gal, kk, notes)
+    left = lost.join(cases.select("word"), "word", "left_anti")
+    verb = verb_stem(F.col("word"))
+    verbs = _stems(left, F.array_compact(F.array(verb)), "Preverb", pairs, gal, kk, notes)
+    more = cases.unionByName(verbs)
+    return r.join(more, "word", "left").select("word", _output(F.col("word"), F.col("shown"), F.coalesce("more", F.lit(""))).alias("output"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions import prompts
-from glossweave.functions.extract import extract_translation
-from glossweave.functions.text import normalize, strip_token
+from glossweave.functions.extract import extract_translation, strip
+from glossweave.functions.text import english_variants, georgian_variants, is_low_value, normalize, strip_token
 from glossweave.operators import clients
 
 #: Pairs that machine translation answers by itself, and pairs that have a prompt.
@@ -41,6 +42,50 @@ def evidence(requests: DataFrame, lookup_words: Callable[[DataFrame], DataFrame]
     return found.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("pos", "output"))).alias("e")).select("request_id", F.array_join(F.transform("e", lambda x: x["output"]), "").alias("entries"))
 
 
+def request_tokens(requests: DataFrame) -> DataFrame:
+    """request_id, pos, token, n (tokens of the request): the words of input_text without punctuation around them."""
+    words = F.filter(F.transform(F.split(F.coalesce("input_text", F.lit("")), r"(?U)\s+"), lambda w: strip_token(w)), lambda w: w != "")
+    return requests.select("request_id", words.alias("w")).select("request_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token"))
+
+
+def token_candidates(tokens: DataFrame, lexicon: DataFrame, source: str, target: str = "mingrelian") -> DataFrame:
+    """token, n, candidates: for each of tokens (token) the first targets of its variants in the lexicon, each target once, the
+    first TOKEN_SHORTLIST of n. Earlier variants and then earlier rows of the lexicon go first."""
+    forms = english_variants(F.col("token")) if source == "english" else georgian_variants(F.col("token"))
+    variants = tokens.select("token", F.posexplode(forms).alias("v", "form")).withColumn("_k", normalize(F.col("form")))
+    some = lexicon.filter((F.col("source") == source) & (F.col("target") == target))
+    given = lambda c: F.col(c) if c in lexicon.columns else F.lit(None).cast("string").alias(c)
+    rows = some.select(normalize(F.col("source_text")).alias("_k"), normalize(F.col("target_text")).alias("_t"), "row_id", "target_text", given("headword_raw"), given("translation"), given("matched_on"), "source_name").filter("_t != ''")
+    each = variants.join(rows, "_k").groupBy("token", "_t").agg(F.min(F.struct("v", "row_id", "target_text", "headword_raw", "translation", "matched_on", "source_name")).alias("c"))
+    count = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # no more of a token's rows are gathered than are shown
+    w = Window.partitionBy("token").orderBy("c.v", "c.row_id", "_t")
+    first = each.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= prompts.TOKEN_SHORTLIST)
+    short = first.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("_n", "c"))).alias("x"))
+    return count.join(short, "token").select("token", "n", F.transform("x", lambda x: x["c"]).alias("candidates"))
+
+
+def sentence_evidence(requests: DataFrame, lexicon: DataFrame, source: str, lookup_words: Callable[[DataFrame], DataFrame], bridged: str | None = None) -> DataFrame:
+    """request_id, entries: for each word of input_text, in order, the shortlist of its candidates, else, unless it carries no
+    meaning of its own, what lookup_words (word -> word, output) shows.
+
+    bridged: a column with the sentence in Georgian; where it has text, its words are looked up instead, and it comes first.
+    """
+    asked = requests.select("request_id", "input_text", F.nullif(F.trim(F.col(bridged) if bridged else F.lit("")), F.lit("")).alias("bridge"))
+    parts = []
+    for language, rows in ((source, asked.filter("bridge is null")), ("georgian", asked.filter("bridge is not null").withColumn("input_text", F.col("bridge")))):
+        words = request_tokens(rows)
+        known = token_candidates(words.select("token").distinct(), lexicon, language).select("token", prompts.token_block(F.col("token"), F.lit(language), F.col("candidates")).alias("block"))
+        words = words.join(known, "token", "left")
+        bare = words.filter(F.col("block").isNull() & ~is_low_value(F.col("token"), language, F.col("n")))
+        shown = lookup_words(bare.select(F.col("token").alias("word")).distinct()).select(F.col("word").alias("token"), "output")
+        parts += [words.filter("block is not null").select("request_id", "pos", "block"), bare.join(shown, "token").select("request_id", "pos", F.col("output").alias("block"))]
+    note = F.concat(F.lit("The whole sentence in Georgian, to tell word senses apart:\n- Georgian: "), "bridge", F.lit("\nIt is context only; the answer is in Mingrelian."))
+    parts.append(asked.filter("bridge is not null").select("request_id", F.lit(-1).alias("pos"), note.alias("block")))
+    every = reduce(DataFrame.unionByName, parts).withColumn("block", strip(F.col("block"))).filter("block != ''")
+    return every.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("pos", "block"))).alias("e")).select("request_id", F.array_join(F.transform("e", lambda x: x["block"]), "\n").alias("entries"))
+
+
 def translate(requests: DataFrame, lexicon: DataFrame, bridge: DataFrame, memory: DataFrame, lookup_words: Callable[[DataFrame], DataFrame], grammar: str = "", client: Callable[[], clients.Complete] = clients.offline) -> DataFrame:
     """One row for each request (request_id unique, input_text, source, target).
 
