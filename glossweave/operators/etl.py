@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import compact, normalize
@@ -37,6 +37,43 @@ def candidates(gloss: Column, most: int) -> Column:
     return F.when(reject_reason(gloss, most).isNull(), F.transform(once, lambda s: s["x"])).otherwise(F.array().cast("array<string>"))
 
 
+def gloss_reason(gloss: Column, most: int) -> Column:
+    """Why a gloss gives no row: reject_reason, or that no candidate is left."""
+    return F.coalesce(reject_reason(gloss, most), F.when(F.size(candidates(gloss, most)) == 0, "no_clean_gloss_candidate"))
+
+
+def import_rows(entries: DataFrame, language: str, kinds: list[str], most: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(rows, reasons) of entries (line, lang_code, pos, word, forms, senses): rows line, headword, headword_raw, translation, one
+    for each normalised triple, the first in the file; reasons reason, n of what was left out, and duplicates, most first.
+
+    A line that is no JSON has null for all but line.
+    """
+    bad = F.col("word").isNull() & F.col("lang_code").isNull() & F.col("senses").isNull()
+    e = entries.withColumn("reason", F.when(bad, "invalid_json").otherwise(entry_reason(F.col("lang_code"), F.col("pos"), F.col("word"), language, kinds)))
+    roman = F.coalesce(compact(romanization(F.col("forms"))), F.lit(""))
+    good = e.filter("reason is null").select("line", compact(F.col("word")).alias("headword"), roman.alias("headword_raw"), "senses")
+    senses = good.select("line", "headword", "headword_raw", F.posexplode("senses").alias("i", "s"))
+    none = senses.filter(F.coalesce(F.size("s.glosses"), F.lit(0)) <= 0).select(F.lit("sense_without_gloss").alias("reason"))
+    glosses = senses.select("line", "headword", "headword_raw", "i", F.posexplode("s.glosses").alias("j", "g")).withColumn("reason", gloss_reason(F.col("g"), most))
+    each = glosses.filter("reason is null").select("line", "headword", "headword_raw", "i", "j", F.posexplode(candidates(F.col("g"), most)).alias("k", "translation"))
+    w = Window.partitionBy(*[normalize(F.col(c)) for c in ("headword", "headword_raw", "translation")]).orderBy("line", "i", "j", "k")
+    ranked = each.withColumn("_n", F.row_number().over(w))
+    rows = ranked.filter("_n = 1").select("line", "i", "j", "k", "headword", "headword_raw", "translation")
+    left = e.filter("reason is not null").select("reason").unionByName(none).unionByName(glosses.filter("reason is not null").select("reason"))
+    left = left.unionByName(ranked.filter("_n > 1").select(F.lit("duplicate").alias("reason")))
+    return rows, reason_counts(left, "reason").orderBy(F.desc("n"), "reason")
+
+
+def import_summary(base: DataFrame, candidates_: DataFrame) -> DataFrame:
+    """base_rows, candidate_rows, combined_rows and added_rows: how many rows (headword, headword_raw, translation) there are, one
+    for each normalised headword and translation, with and without the candidates."""
+    key = lambda d: d.select(normalize(F.coalesce(F.nullif(compact(F.col("headword")), F.lit("")), F.col("headword_raw"))).alias("h"), normalize(F.col("translation")).alias("t")).filter("h != '' and t != ''")
+    both = key(base).withColumn("own", F.lit(1)).unionByName(key(candidates_).withColumn("own", F.lit(0))).groupBy("h", "t").agg(F.max("own").alias("own"))
+    count = F.count(F.lit(1))
+    one = base.agg(count.alias("base_rows")).withColumn("_k", F.lit(1)).join(candidates_.agg(count.alias("candidate_rows")).withColumn("_k", F.lit(1)), "_k")
+    return one.join(both.agg(count.alias("combined_rows"), F.sum((F.col("own") == 0).cast("long")).alias("added_rows")).withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
 def entry_reason(lang: Column, pos: Column, word: Column, language: str, kinds: list[str]) -> Column:
     w = compact(word)
     return F.when(lang.isNull() | (lang != language), "other_language").when(~F.coalesce(pos.isin(kinds), F.lit(False)), "pos").when(w == "", "empty_word").when(w.startswith("-") | (F.length(w) <= 1), "affix")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossweave.functions.text import coverage_tokens
+from glossweave.functions.text import composed, coverage_tokens, normalize, strip_space
 
 
 def composite_score(quality: Column, script: Column, reference: Column, strict: Column) -> Column:
@@ -20,12 +20,23 @@ def composite_score(quality: Column, script: Column, reference: Column, strict:
 
 
 def coverage(expected: DataFrame, actual: DataFrame, expected_id: str, actual_id: str, least: float, target: str = "english") -> DataFrame:
-    """expected_id, actual_id, coverage >= least: multiset share of expected tokens in actual, met token by token."""
+    """expected_id, actual_id, coverage >= least: multiset share of expected tokens in actual.
+
+    A pair that reaches the least coverage shares one of the item's rarest tokens: those that a match cannot miss all of. Only
+    pairs that meet on such a token are counted, so that common words make no pairs. least 0 meets on every token.
+    """
+    expected, actual = composed(expected.select(expected_id, "text"), "text"), composed(actual.select(actual_id, "text"), "text")
     e = expected.select(expected_id, F.explode(coverage_tokens(F.col("text"), target)).alias("t")).groupBy(expected_id, "t").agg(F.count(F.lit(1)).alias("ne"))
     a = actual.select(actual_id, F.explode(coverage_tokens(F.col("text"), target)).alias("t"))
     a = a.join(e.select("t").distinct(), "t", "left_semi").groupBy(actual_id, "t").agg(F.count(F.lit(1)).alias("na"))
     total = e.groupBy(expected_id).agg(F.sum("ne").alias("total"))
-    both = e.join(a, "t").groupBy(expected_id, actual_id).agg(F.sum(F.least("ne", "na")).alias("both")).join(total, expected_id)
+    rare = a.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy(expected_id).orderBy(F.coalesce("df", F.lit(0)), "t").rowsBetween(Window.unboundedPreceding, -1)
+    # tokens, rarest first, until those before make up more than a match may miss
+    probe = e.join(rare, "t", "left").join(total, expected_id).withColumn("_before", F.coalesce(F.sum("ne").over(order), F.lit(0)))
+    probe = probe.filter(F.col("_before") <= (1 - least) * F.col("total") + 1e-9).select(expected_id, "t")
+    pairs = probe.join(a.select(actual_id, "t"), "t").select(expected_id, actual_id).distinct()
+    both = e.join(pairs, expected_id).join(a, [actual_id, "t"]).groupBy(expected_id, actual_id).agg(F.sum(F.least("ne", "na")).alias("both")).join(total, expected_id)
     return both.select(expected_id, actual_id, (F.col("both") / F.col("total")).alias("coverage")).filter(F.col("coverage") >= least)
 
 
@@ -34,6 +45,125 @@ def signature(text: Column, target: str, ordered: bool = True) -> Column:
     return F.array_join(t if ordered else F.sort_array(t), "\u0001")
 
 
+def matches_any(output: Column, expected: Column) -> Column:
+    """Whether the normalised output is one of expected (array); blank ones match nothing."""
+    real = F.filter(F.coalesce(expected, F.array().cast("array<string>")), lambda x: normalize(x) != "")
+    return F.array_contains(F.transform(real, normalize), normalize(output))
+
+
+def contains_any(output: Column, values: list[str]) -> Column:
+    """Whether the output holds one of values as it is."""
+    return F.coalesce(F.exists(F.array(*map(F.lit, values)).cast("array<string>"), lambda v: F.contains(output, v)), F.lit(False))
+
+
+def language_gate(c: Column, target: str) -> Column:
+    """The looser gate: some letter of the target's script, none of the others', at most two lines, no word that wraps an answer
+    anywhere in the text."""
+    x = strip_space(F.coalesce(c, F.lit("")))
+    georgian, latin, cyrillic = F.regexp_count(x, F.lit("[ა-ჰ]")), F.regexp_count(x, F.lit("[A-Za-z]")), F.regexp_count(x, F.lit("[Ѐ-ӿ]"))
+    script = (latin > 0) & (georgian == 0) if target == "english" else (georgian > 0) & (latin == 0)
+    lines = F.size(F.filter(F.split(x, "\n+"), lambda y: y != ""))
+    return script & (cyrillic == 0) & (lines <= 2) & ~x.rlike("(?i)(?:translation|translated|output|answer|final)")
+
+
+def strict_reference(target: Column, confidence: Column) -> Column:
+    """1 where a reference form is asked for: Mingrelian cases of high confidence."""
+    return ((F.lower(target) == "mingrelian") & (F.lower(F.trim(F.coalesce(confidence, F.lit("")))) == "high")).cast("int")
+
+
+def named_metric(scores: Column, name: str) -> Column:
+    """A named score, 0 where it is missing."""
+    return F.coalesce(F.try_element_at(scores, F.lit(name)).cast("double"), F.lit(0.0))
+
+
+def row_key(case_id: Column, direction: Column, input_text: Column) -> Column:
+    return F.coalesce(F.nullif(case_id, F.lit("")), F.concat(direction, F.lit(":"), input_text))
+
+
+def case_key(rows: DataFrame, columns: list[str]) -> Column:
+    """One string for what a row asked: its columns by name, in order of their names, nulls kept."""
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+
+
+def row_metadata(response: Column, own: Column) -> Column:
+    """The response's metadata (map), else the row's own, else an empty map; an empty one counts as missing."""
+    full = lambda m: F.when(F.size(m) > 0, m)
+    return F.coalesce(full(response), full(own), F.create_map().cast("map<string,string>"))
+
+
+def case_number(order: list[str | Column], digits: int = 2) -> Column:
+    """The number of a row in order, from 1, with leading zeros. The order is over all rows: for files of cases."""
+    return F.format_string(f"%0{digits}d", F.row_number().over(Window.orderBy(*order)))
+
+
+def option(rows: DataFrame, name: str, config: dict[str, str], default: str | None = None) -> Column:
+    """A run's option: where the configuration names a column for it (`<name>_var`), that column, an error where it is empty;
+    else the configured value, else the default."""
+    column = config.get(f"{name}_var")
+    if not column:
+        return F.lit(config.get(name, default))
+    value = F.col(column).cast("string") if column in rows.columns else F.lit(None).cast("string")
+    return F.when(F.coalesce(value, F.lit("")) != "", value).otherwise(F.raise_error(F.lit(f"no value of '{column}' for {name}")).cast("string"))
+
+
+def csv_list(value: str, allowed: list[str]) -> list[str]:
+    """The parts of a comma list, trimmed, empty ones gone; an error names those that are not allowed."""
+    parts = [x.strip() for x in value.split(",") if x.strip()]
+    if bad := [x for x in parts if x not in allowed]:
+        raise ValueError(f"not among {', '.join(allowed)}: {', '.join(bad)}")
+    return parts
+
+
+def direction_summary(rows: DataFrame, directions: DataFrame, direction: str, score: Column, passed: Column, metrics: dict[str, Column]) -> DataFrame:
+    """For each of directions, whether any row has it: rows, mean score, passes, and the mean of each metric; 0 without rows."""
+    means = [F.avg(c.cast("double")).alias(n) for n, c in metrics.items()]
+    found = rows.groupBy(direction).agg(F.count(F.lit(1)).alias("n"), F.avg(score.cast("double")).alias("mean"), F.sum(passed.cast("long")).alias("passes"), *means)
+    return directions.join(found, direction, "left").fillna(0)
+
+
+def on_off(on: DataFrame, off: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Both runs' values for each key that either has, and their difference."""
+    both = on.select(*keys, F.col(value).alias("n_on")).join(off.select(*keys, F.col(value).alias("n_off")), keys, "full")
+    return both.withColumn("delta", F.col("n_on") - F.col("n_off"))
+
+
+def metric_means(rows: DataFrame, scores: str) -> DataFrame:
+    """metric, n, mean of the maps `scores`; values that are no numbers do not count."""
+    m = rows.select(F.explode(scores).alias("metric", "v")).withColumn("v", F.col("v").try_cast("double"))
+    return m.filter("v is not null").groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+
+
+def accepted_answers(rows: DataFrame, prompt: str, answer: str) -> DataFrame:
+    """prompt (normalised) and accepted: its distinct answers, sorted, parted by a bar."""
+    each = rows.select(normalize(F.col(prompt)).alias("prompt"), F.col(answer).alias("a")).distinct()
+    return each.groupBy("prompt").agg(F.array_join(F.sort_array(F.collect_list("a")), "|").alias("accepted"))
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n distinct keys drawn by a hash of the seed; a report, so the limit is the feature."""
+    return rows.select(key).distinct().orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(key)).cast("binary"))).limit(n)
+
+
+def size_summary(rows: DataFrame, groups: list[str], sizes: dict[str, Column]) -> DataFrame:
+    """Least, middle (cut to a whole number) and greatest of each size by groups, and the number of rows."""
+    parts = [x for n, c in sizes.items() for x in (F.min(c).alias(f"{n}_min"), F.median(c).cast("long").alias(f"{n}_median"), F.max(c).alias(f"{n}_max"))]
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("cases"), *parts)
+
+
+def provider_summary(rows: DataFrame, label: Column, success: Column, sizes: dict[str, Column]) -> DataFrame:
+    """By provider ("unknown" without a label): passed, total, pass_rate, and the sizes of prompts."""
+    r = rows.withColumn("_label", F.coalesce(F.nullif(label, F.lit("")), F.lit("unknown"))).withColumn("_ok", F.coalesce(success, F.lit(False)).cast("long"))
+    passed = r.groupBy("_label").agg(F.sum("_ok").alias("passed"), (F.sum("_ok") / F.count(F.lit(1))).alias("pass_rate"))
+    return size_summary(r, ["_label"], sizes).join(passed, "_label").withColumnRenamed("_label", "provider").withColumnRenamed("cases", "total")
+
+
+def markdown(summary: DataFrame, columns: list[str], most: int = 1000) -> str:
+    """A table in Markdown of a summary's first rows: for reports that are read by people."""
+    cell = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    rows = [[cell(r[c]) for c in columns] for r in summary.select(*columns).orderBy(columns[0]).limit(most).collect()]
+    return "\n".join(f"| {' | '.join(r)} |" for r in [columns, ["---"] * len(columns), *rows])
+
+
 def paired_delta(base: DataFrame, candidate: DataFrame, keys: list[str], score: str, band: float = 0.025) -> DataFrame:
     d = base.select(*keys, F.col(score).alias("b")).join(candidate.select(*keys, F.col(score).alias("c")), keys).select((F.col("c") - F.col("b")).alias("d"))
     count = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0).cast("long"))

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.functions import extract, text
-from glossweave.operators import analytics, etl, evals, lookup, search
+from glossweave.functions import extract, prompts, text
+from glossweave.operators import analytics, clients, etl, evals, lookup, search
 from glossweave.plans import translate
-from glossweave.sources import sinks
+from glossweave.sources import readers, sinks
+from glossweave.sources.shared import scratch_path
 from glossweave.streaming.events import append_events
 
 NORM = r"lower(regexp_replace(regexp_replace(coalesce({0},''),'^[\s\p{{Z}}]+|[\s\p{{Z}}]+$','','g'),'[\s\p{{Z}}]+',' ','g'))"
@@ -27,12 +26,6 @@ def n(x: str) -> str:
     return NORM.format(x)
 
 
-def _scratch(s: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local one only where none is set."""
-    folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
 def query(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -155,11 +148,10 @@ def substring_search(s, d):
     df = grams.join(needles.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     key = lookup.first_match(needles.filter("word is not null").join(df, "word", "left").fillna(0, ["df"]), ["item_id"], ["df", "word"])
     pruned = grams.join(key.select("item_id", "word"), "word").select("item_id", "doc_id")
-    bare = needles.filter("word is null").select("item_id")
-    pairs = pruned.unionByName(bare.crossJoin(docs.select("doc_id").limit(0)).select("item_id", "doc_id"))
-    whole = pairs.join(items, "item_id").join(docs, "doc_id").filter(F.contains("text", "item")).select("item_id", "doc_id")
-    short = items.join(F.broadcast(bare), "item_id")
-    return whole.unionByName(docs.join(F.broadcast(short), F.contains("text", "item")).select("item_id", "doc_id"))
+    whole = pruned.join(items, "item_id").join(docs, "doc_id").filter(F.contains("text", "item")).select("item_id", "doc_id")
+    # items without an inner word prune nothing; they meet all rows, in blocks
+    bare = items.join(needles.filter("word is null").select("item_id"), "item_id").select("item_id", F.col("item").alias("word"))
+    return whole.unionByName(search.in_blocks(bare, lambda w: docs.join(w, F.contains("text", "word")).select("item_id", "doc_id")))
 
 
 def _tier_sql() -> str:
@@ -175,9 +167,17 @@ def tiered_search(s, d):
     return search.tiered(words, t(s, d, "documents"), "text", "doc_id", prune=False).select("word", "tier", "doc_id")
 
 
-@query("context_block_split", "with x as (select doc_id, string_split(text, chr(10)) as b from documents) select doc_id, unnest(generate_series(0, len(b) - 1)) as pos, unnest(b) as block from x")
+_SPACE = r"[\s\x0b\x0c\x1c-\x1f\x{85}\p{Z}]"
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+@query("context_block_split", rf"""with x as (select doc_id, list_filter(list_transform(string_split_regex({_stripped('text')}, '\n\s*\n'), lambda b: {_stripped('b')}), lambda b: b <> '') as b from documents)
+ select doc_id, unnest(generate_series(0, len(b) - 1)) as pos, unnest(b) as block from x where len(b) > 0""")
 def context_block_split(s, d):
-    return t(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "block")).withColumn("pos", F.col("pos").cast("long"))
+    return t(s, d, "documents").select("doc_id", F.posexplode(readers.blocks(F.col("text"))).alias("pos", "block")).withColumn("pos", F.col("pos").cast("long"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS["english"])
@@ -290,12 +290,10 @@ def best_variant_coverage(s, d):
     return evals.coverage(t(s, d, "benchmark"), lines, "item_id", "line", 0.0).groupBy("item_id").agg(F.max("coverage").alias("best"))
 
 
-@query("reference_signature_match", f"""with l as (select distinct doc_id, unnest(string_split(text, chr(10))) as text from documents), e as (select item_id, array_to_string({_ET}, chr(1)) as sig from benchmark), a as (select doc_id, array_to_string({_ET}, chr(1)) as sig from l)
- select distinct item_id, doc_id from e join a using (sig) where sig <> ''""")
+@query("reference_signature_match", f"""with s as (select doc_id, array_to_string({_ET}, chr(1)) as sig from documents) select md5(sig) as signature, min(doc_id) as first, count(*) as n from s where sig <> '' group by 1 having count(*) > 1""")
 def reference_signature_match(s, d):
-    lines = t(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
-    sig = lambda x, k: x.select(k, evals.signature(F.col("text"), "english").alias("sig"))
-    return sig(t(s, d, "benchmark"), "item_id").join(sig(lines, "doc_id"), "sig").filter("sig <> ''").select("item_id", "doc_id").distinct()
+    sig = evals.signature(F.col("text"), "english")
+    return t(s, d, "documents").select("doc_id", sig.alias("sig")).filter("sig <> ''").groupBy(F.md5(F.col("sig").cast("binary")).alias("signature")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 @query("script_format_gate", r"""select doc_id, cast(len(regexp_extract_all(text,'[A-Za-z]')) as int) as latin, cast(len(regexp_extract_all(text,'[ა-ჿ]')) as int) as mkhedruli, cast(len(regexp_extract_all(text,'[Ѐ-ӿ]')) as int) as cyrillic,
@@ -317,8 +315,8 @@ def composite_quality_score(s, d):
  select dim.lang, count(x.lang) as n, coalesce(avg(quality), 0) as mean, cast(coalesce(sum(quality), 0) as bigint) as passes, coalesce(avg(1 - toxic), 0) as script_rate from dim left join x using (lang) group by 1""")
 def direction_summary(s, d):
     dim = s.createDataFrame([(x,) for x in ("en", "de", "fr", "es", "xx")], "lang string")
-    x = t(s, d, "labels").join(t(s, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("mean"), F.sum("quality").alias("passes"), F.avg(1 - F.col("toxic")).alias("script_rate"))
-    return dim.join(x, "lang", "left").fillna(0)
+    rows = t(s, d, "labels").join(t(s, d, "documents").select("doc_id", "lang"), "doc_id")
+    return evals.direction_summary(rows, dim, "lang", F.col("quality"), F.col("quality") == 1, {"script_rate": 1 - F.col("toxic")})
 
 
 @query("paired_delta", """with b as (select user_id, event_type, max(value) as v from events where event_id % 2 = 0 group by 1, 2), c as (select user_id, event_type, max(value) as v from events where event_id % 2 = 1 group by 1, 2),
@@ -332,20 +330,19 @@ def paired_delta(s, d):
  select event_type, user_id, a.n as n_on, b.n as n_off, a.n - b.n as delta from a full join b using (event_type, user_id)""")
 def ablation_full_outer(s, d):
     side = lambda c, name: t(s, d, "events").filter(c).groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias(name))
-    return side("value > 40", "n_on").join(side("value <= 5", "n_off"), ["event_type", "user_id"], "full").withColumn("delta", F.col("n_on") - F.col("n_off"))
+    return evals.on_off(side("value > 40", "n"), side("value <= 5", "n"), ["event_type", "user_id"], "n")
 
 
 @query("repeat_consistency", """with x as (select user_id, event_type, count(*) as n, count(distinct cast(value as bigint) % 2) as k from events group by 1, 2)
  select count(*) filter (n > 1 and k = 1) as consistent, count(*) filter (k > 1) as inconsistent, count(*) as cases from x""")
 def repeat_consistency(s, d):
-    runs = t(s, d, "events").select("user_id", "event_type", (F.round("value").cast("long") % 2).alias("outcome"))
+    runs = t(s, d, "events").select("user_id", "event_type", (F.bround("value").cast("long") % 2).alias("outcome"))
     return evals.consistency(runs, ["user_id", "event_type"], "outcome")
 
 
 @query("named_metric_means", "select 'k' as metric, count(*) as n, avg(cast(json_extract(props,'$.k') as int)) as mean from events where json_extract(props,'$.k') is not null group by 1")
 def named_metric_means(s, d):
-    m = t(s, d, "events").select(F.explode(F.from_json("props", "map<string,double>")).alias("metric", "v"))
-    return m.filter("v is not null").groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+    return evals.metric_means(t(s, d, "events").select(F.from_json("props", "map<string,string>").alias("scores")), "scores")
 
 
 @query("prompt_size_stats", "select lang, min(n_chars) as least, cast(trunc(median(n_chars)) as bigint) as middle, max(n_chars) as most from documents group by 1")
@@ -360,12 +357,12 @@ def pass_rate_rollup(s, d):
 
 @query("sampled_cases", "select p_name from (select distinct p_name from part) order by md5('20260412' || p_name) limit 100")
 def sampled_cases(s, d):
-    return t(s, d, "part").select("p_name").distinct().orderBy(F.md5(F.concat(F.lit("20260412"), "p_name").cast("binary"))).limit(100)
+    return evals.sampled(t(s, d, "part"), "p_name", 100, 20260412)
 
 
 @query("accepted_answer_sets", "select lower(p_name) as prompt, array_to_string(list_sort(list(distinct p_brand)), '|') as accepted from part group by 1")
 def accepted_answer_sets(s, d):
-    return t(s, d, "part").groupBy(text.normalize(F.col("p_name")).alias("prompt")).agg(F.array_join(F.sort_array(F.collect_set("p_brand")), "|").alias("accepted"))
+    return evals.accepted_answers(t(s, d, "part"), "p_name", "p_brand")
 
 
 @query("path_metrics", """with x as (select event_id, case when event_type = 'error' then 'llm' else event_type end as source, cast(json_extract(props,'$.k') as int) as k from events)
@@ -388,50 +385,65 @@ def visitor_id_clean(s, d):
     return t(s, d, "pages").select("page_id", text.clean_visitor_id(F.split_part("url", F.lit("/"), F.lit(3))).alias("visitor"))
 
 
-@query("extract_translation", "select conv_id, turn, trim(text) as extracted from conversations where text not like '%' || chr(10) || '%' and trim(text, '`\"'' ') = text and text <> ''")
-def extract_translation(s, d):
-    c = t(s, d, "conversations").filter(~F.contains("text", F.lit("\n")) & (F.btrim("text", F.lit("`\"' ")) == F.col("text")) & (F.col("text") != ""))
-    return _extracted(c)
+_OPEN, _CLOSE = extract.OPEN, extract.CLOSE
+_TRIM = "'`\"'' '"
 
 
-def _extracted(c: DataFrame) -> DataFrame:
-    wrapped = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Notes: x\n<<<TRANSLATION>>>\n"), "text", F.lit("\n<<<END_TRANSLATION>>> y"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("z <<<TRANSLATION>>> "), "text")).otherwise(F.concat(F.lit("Based on a\nFinal translation: "), "text"))
-    return c.select("conv_id", "turn", extract.extract_translation(wrapped, "english").alias("extracted"))
+def _clean(x: str) -> str:
+    """SQL of the lines of x without markers, labels and quotes."""
+    lines = f"list_transform(string_split_regex({x}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: {_stripped('l')})"
+    real = f"list_filter({lines}, lambda l: l <> '{_OPEN}' and l <> '{_CLOSE}' and not regexp_matches(l, '(?i)^{extract.PLACEHOLDER}[:\\-\\s]*$'))"
+    bare = f"list_transform({real}, lambda l: trim(regexp_replace(l, '(?i)^(final\\s+)?translation\\s*:\\s*', ''), {_TRIM}))"
+    return _stripped(f"array_to_string(list_filter({bare}, lambda l: l <> ''), chr(10))")
 
 
-@query("extract_translation_all")
-def extract_translation_all(s, d):
-    """Every row of conversations, whatever its text; no SQL, the tests hold it against a plain version."""
-    return _extracted(t(s, d, "conversations").withColumn("text", F.coalesce("text", F.lit(""))))
+def _extract_sql() -> str:
+    wrapped = f"case turn % 3 when 0 then 'Notes: x' || chr(10) || '{_OPEN}' || chr(10) || coalesce(text, '') || chr(10) || '{_CLOSE} y' when 1 then 'z {_OPEN} ' || coalesce(text, '') else 'Based on a' || chr(10) || 'Final translation: ' || coalesce(text, '') end"
+    talk = r"(?i)^\s*(?:[-*]\s+|\d+[.)]\s+|notes?\s*:|based\s+on\b|to\s+translate\b|therefore\b|combining\b|putting\s+it\s+together\b|sentence\s+structure\b|grammar(?:atical)?\b|according\s+to\b)"
+    bare = r"trim(regexp_replace(l, '^\s*(?:[-*]\s+|\d+[.)]\s+)', ''), " + _TRIM + ")"
+    return f"""with w as (select conv_id, turn, {wrapped} as r from conversations),
+ p as (select conv_id, turn, r, {_clean(f"regexp_extract(r, '(?s){_OPEN}\\s*(.*?)\\s*{_CLOSE}', 1)")} as one, {_clean(f"regexp_extract(r, '(?s){_OPEN}\\s*(.*)$', 1)")} as two,
+ {_clean("coalesce(list_last(regexp_extract_all(r, '(?im)^(?:final\\s+translation|translation)\\s*:\\s*(.+)$', 1)), '')")} as three,
+ list_filter(list_transform(list_filter(string_split(r, chr(10)), lambda l: {_stripped('l')} <> '' and not contains(l, '{_OPEN}') and not contains(l, '{_CLOSE}') and not contains(l, '{extract.PLACEHOLDER}')), lambda l: regexp_replace({bare}, '(?i)^(final\\s+)?translation\\s*:\\s*', '')), lambda l: trim(l) <> '' and not regexp_matches(l, '{talk}') and not contains(l, '**') and not contains(l, '->')) as lines from w)
+ select conv_id, turn, coalesce(nullif(one, ''), nullif(two, ''), nullif(three, ''), list_last(list_filter(lines, lambda l: length(l) <= 180 and not regexp_matches(l, '[Ⴀ-ჿ]'))), {_stripped('r')}) as extracted from p"""
 
 
-@query("prompt_section_lengths", "select conv_id, turn, cast(length(trim(text)) as int) as section, cast(length(role) as int) as tail from conversations")
+@query("extract_translation", _extract_sql())
+def extract_translation(s, d):
+    """Every row of conversations, wrapped in three ways as a model might."""
+    c = t(s, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    wrapped = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Notes: x\n<<<TRANSLATION>>>\n"), "text", F.lit("\n<<<END_TRANSLATION>>> y"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("z <<<TRANSLATION>>> "), "text")).otherwise(F.concat(F.lit("Based on a\nFinal translation: "), "text"))
+    return c.select("conv_id", "turn", extract.extract_translation(wrapped, "english").alias("extracted"))
+
+
+@query("prompt_section_lengths", r"""select conv_id, turn, cast(length(trim(text, E' \n\t\r')) as int) as section, cast(case when trim(text, E' \n\t\r') <> '' then length(role) else 0 end as int) as tail from conversations""")
 def prompt_section_lengths(s, d):
-    prompt = F.concat(F.lit("intro\nEVIDENCE:\n"), "text", F.lit("\nREMINDER:\n"), "role")
-    part = lambda a, b: F.length(F.trim(F.regexp_replace(F.substring(prompt, a, b), r"^\n|\n$", "")))
-    start, end = F.locate("EVIDENCE:", prompt) + 9, F.length(prompt) - F.length("role") - 10
-    return t(s, d, "conversations").select("conv_id", "turn", part(start, end - start).alias("section"), part(end + 10, F.length(prompt)).alias("tail"))
+    none = F.lit(None).cast("string")
+    m = prompts.measure(prompts.build(F.lit("hello"), F.lit("english"), F.lit("mingrelian"), none, F.col("text"), F.col("role")))
+    return t(s, d, "conversations").select("conv_id", "turn", m["dict_entries_chars"].alias("section"), m["grammar_chars"].alias("tail"))
 
 
-@query("figurative_split", """with x as (select doc_id, unnest(string_split(text, chr(10))) as g from documents), y as (select distinct doc_id, g, strpos(lower(g), ' the ') as p from x where strpos(lower(g), ' the ') > 0 and not regexp_matches(g, '[0-9]'))
- select doc_id, trim(regexp_replace(left(g, p - 1), '\\s+', ' ', 'g'), E' ;,\\n\\t') as primary, nullif(trim(regexp_replace(substr(g, p + 5), '\\s+', ' ', 'g'), E' ;,\\n\\t'), '') as secondary from y""")
-def figurative_split(s, d):
-    x = t(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("g")).filter((F.locate(" the ", F.lower("g")) > 0) & ~F.col("g").rlike("[0-9]")).distinct()
-    return x.select("doc_id", text.figurative_split(F.col("g"), [" the "]).alias("f")).select("doc_id", "f.*")
+def _gloss(x: str) -> str:
+    edge = "E' ;,\\n\\t'"
+    inner = f"trim(regexp_replace({x}, '[\\s\\x0b\\x{{85}}\\p{{Z}}]+', ' ', 'g'), {edge})"
+    return f"trim(regexp_replace(regexp_replace({inner}, '^\\p{{Nd}}+\\.\\s*', ''), '\\s+\\p{{Nd}}+\\.$', ''), {edge})"
 
 
-@query("figurative_split_all")
-def figurative_split_all(s, d):
-    """Every line of documents, with digits and without the marker too; no SQL, the tests hold it against a plain version."""
+@query("figurative_split", f"""with x as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as g from documents), y as (select doc_id, g, strpos(lower(g), ' the ') as p from x)
+ select doc_id, case when p > 0 then {_gloss("left(g, p - 1)")} else {_gloss("g")} end as primary, case when p > 0 then nullif({_gloss("substr(g, p + 5)")}, '') end as secondary from y""")
+def figurative_split(s, d):
+    """Every line of documents; a word stands in for a marker."""
     x = t(s, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("g"))
     return x.select("doc_id", text.figurative_split(F.col("g"), [" the "]).alias("f")).select("doc_id", "f.*")
 
 
-@query("bridge_lookup", """with m(src, word) as (values ('metal', 'STEEL'), ('shiny', 'POLISHED'), ('none', 'NOTHING')) select src as request, min(p_partkey) as target from m join part on contains(p_type, word) group by 1""")
+@query("bridge_lookup", """with m(src, word) as (values ('cheap', 'economy'), ('little', 'small'), ('none', 'nothing')) select src as request, min(p_partkey) as target from m join part on lower(p_type) = word group by 1""")
 def bridge_lookup(s, d):
-    bridge = s.createDataFrame([("metal", "steel"), ("shiny", "polished"), ("none", "nothing")], "request string, token string")
-    rows = t(s, d, "part").select("p_partkey", F.explode(F.array_distinct(text.tokens(F.col("p_type")))).alias("token"))
-    return bridge.join(rows, "token").groupBy("request").agg(F.min("p_partkey").alias("target"))
+    """Requests are translated first, and what that gives is looked up."""
+    asked = s.createDataFrame([(" Cheap", "x", "y"), ("little", "x", "y"), ("none", "x", "y"), ("unknown", "x", "y")], "input_text string, source string, target string")
+    memory = s.createDataFrame([("x", "y", "cheap", "Economy"), ("x", "y", "Little ", "small"), ("x", "y", "none", "nothing"), ("x", "z", "little", "large")], "source string, target string, source_text string, target_text string")
+    bridged = clients.machine_translate(asked, memory).select(text.normalize(F.col("input_text")).alias("request"), F.col("mt_text").alias("word"))
+    return lookup.first_match(lookup.exact(bridged, "word", t(s, d, "part"), "p_type"), ["request"], ["p_partkey"]).select("request", F.col("p_partkey").alias("target"))
 
 
 @query("translate_requests", """with r as (select distinct p_name as request_id, 'mingrelian' as target from part union select distinct p_type, 'mingrelian' from part union select distinct p_brand, 'georgian' from part),
@@ -455,28 +467,28 @@ def translate_requests(s, d):
 
 @query("csv_sink", "select doc_id, text, lang from documents")
 def csv_sink(s, d):
-    path = _scratch(s, "csv")
+    path = scratch_path(s, "csv")
     sinks.csv(t(s, d, "documents"), path, ["doc_id", "text", "lang"])
     return s.read.schema("doc_id long, text string, lang string").option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").csv(path)
 
 
 @query("json_sink", "select event_type, count(*) as n, min(value) as least from events group by 1")
 def json_sink(s, d):
-    path = _scratch(s, "json")
+    path = scratch_path(s, "json")
     sinks.json(t(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least")), path, single=True)
     return s.read.schema("event_type string, n long, least double").json(path)
 
 
 @query("event_insert", """select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events where event_type in ('error', 'click') group by 1""")
 def event_insert(s, d):
-    path, status = _scratch(s, "events"), F.when(F.col("event_type") == "click", "success").otherwise(F.col("event_type"))
+    path, status = scratch_path(s, "events"), F.when(F.col("event_type") == "click", "success").otherwise(F.col("event_type"))
     sinks.insert_events(t(s, d, "events").select("event_id", F.col("ts").alias("created_at"), status.alias("status")), path)
     return s.read.parquet(path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("event_stream_append")
 def event_stream_append(s, d):
-    at = _scratch(s, "stream")
+    at = scratch_path(s, "stream")
     return append_events(s, f"{d}/events.parquet*", t(s, d, "events").schema, f"{at}/log", f"{at}/checkpoint").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 

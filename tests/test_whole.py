@@ -70,8 +70,8 @@ def test_extract_odd_responses(spark, target):
 
 def test_extract_every_row(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
-    got = collections.Counter((r.conv_id, r.turn, r.extracted) for r in QUERIES["extract_translation_all"](spark, SF).collect())
-    assert sum(got.values()) == len(rows) > QUERIES["extract_translation"](spark, SF).count()
+    got = collections.Counter((r.conv_id, r.turn, r.extracted) for r in QUERIES["extract_translation"](spark, SF).collect())
+    assert sum(got.values()) == len(rows)
     assert got == collections.Counter((r.conv_id, r.turn, plain_extract(wrap(r.turn, r.text or ""), "english")) for r in rows)
 
 
@@ -80,4 +80,4 @@ def test_figurative_every_line(spark):
     x = spark.createDataFrame(list(enumerate(odd)), "i int, g string")
     assert {r.i: tuple(r.f) for r in x.select("i", text.figurative_split(F.col("g"), [" the "]).alias("f")).collect()} == {i: plain_split(g) for i, g in enumerate(odd)}
     want = collections.Counter((r.doc_id, *plain_split(g)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for g in (r.text or "").split("\n"))
-    assert collections.Counter(tuple(r) for r in QUERIES["figurative_split_all"](spark, SF).collect()) == want
+    assert collections.Counter(tuple(r) for r in QUERIES["figurative_split"](spark, SF).collect()) == want
