@@ -9,7 +9,8 @@ at the first failure (fixed-sequence testing), which needs no further correction
 probability 1 - DELTA. A stratum with too few good holdouts gets no cutoff and rejects nothing.
 
 Null text has no words and all counts 0; it fails the base rule. Rows that repeat are each judged. Null labels count as
-unlabelled; a doc_id labelled twice counts each time. An empty labels table gives no cutoffs. Other columns are ignored.
+unlabelled; a doc_id labelled twice counts each time. An empty labels table gives no cutoffs, an empty documents table no
+rows. A very long text is counted whole, in one row of one task. Other columns, of either table, are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from glossweave.llm.common import scratch_table
 RISK, DELTA = 0.06, 0.05
 #: The lower ends of the strata in words.
 BANDS = [0, 20, 60, 200, 800]
-#: Ladders of cutoffs in percent, lenient to strict; a rule rejects what lies above.
+#: Ladders of cutoffs in percent, lenient to strict, down to 0, so that the bound and not the ladder ends the search;
+#: a rule rejects what lies above.
 LADDERS = {
-    "symbol_pct": [60.0, 50.0, 40.0, 30.0, 25.0, 20.0, 15.0, 12.0, 10.0, 8.0, 6.0, 5.0],
-    "dup_line_pct": [95.0, 90.0, 80.0, 70.0, 60.0, 50.0, 40.0, 30.0],
-    "repeat_pct": [29.0, 27.0, 25.0, 22.0, 20.0],
+    "symbol_pct": [60.0, 50.0, 40.0, 30.0, 25.0, 20.0, 15.0, 12.0, 10.0, 8.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.0, 0.5, 0.0],
+    "dup_line_pct": [95.0, 90.0, 80.0, 70.0, 60.0, 50.0, 40.0, 30.0, 20.0, 15.0, 10.0, 5.0, 2.0, 0.0],
+    "repeat_pct": [29.0, 27.0, 25.0, 22.0, 20.0, 15.0, 10.0, 5.0, 2.0, 1.0, 0.0],
 }
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -45,13 +47,14 @@ def _paired(hashes: Column, step: int) -> Column:
     return let(hashes, pair)
 
 
-def measure(docs: DataFrame, carry_hash: bool = False) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed of docs (doc_id, text).
+def measure(docs: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed of docs (doc_id, text), and the
+    columns `more` of docs as they are.
 
     A window of 8 words is known by a 64-bit hash made of the hashes of its halves, its quarters and its words.
     """
-    more = ["text_hash"] if carry_hash else []
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_t"), *[F.xxhash64("text").alias(c) for c in more])
+    more = more or []
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_t"), *more)
     body = F.btrim("_t", F.lit(SPACE))
     lines = F.filter(F.split("_t", "\n"), lambda s: F.btrim(s, F.lit(SPACE)) != "")
     d = d.select(
@@ -146,13 +149,48 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, d
     return out.select("stratum", *chosen)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, carry_hash: bool = False) -> DataFrame:
-    """The counts, base_failed and kept of every document. The counts, a few numbers a document, go to the shared folder
-    once; cutoffs and verdicts are taken from there."""
-    measured = scratch_table(measure(docs, carry_hash), "quality")
-    judged = measured.withColumn("stratum", stratum()).join(F.broadcast(choose_cutoffs(measured, labels, risk, delta)), "stratum", "left")
+def over_cutoffs() -> Column:
+    """Whether a measured row, with the cutoffs of its stratum, lies over one of them."""
     over = F.lit(False)
     for rule, s in scores().items():
         over = over | F.coalesce(s > F.col(f"{rule}_cutoff"), F.lit(False))
+    return over
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The counts, base_failed and kept of every document. The counts, a few numbers a document, go to the shared folder
+    once; cutoffs and verdicts are taken from there."""
+    measured = scratch_table(measure(docs), "quality")
+    judged = measured.withColumn("stratum", stratum()).join(F.broadcast(choose_cutoffs(measured, labels, risk, delta)), "stratum", "left")
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return judged.select(*cols, (~F.col("base_failed") & ~over).alias("kept"), *(["text_hash"] if carry_hash else []))
+    return judged.select(*cols, (~F.col("base_failed") & ~over_cutoffs()).alias("kept"))
+
+
+def judged(docs: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_rules() keeps by these cutoffs: counted anew where they lie, so no
+    text moves; cutoffs has at most len(BANDS) rows."""
+    text, own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(None).cast("long")
+    rows = measure(docs.select(own.alias("doc_id"), "text", text.alias("_row")), ["_row"]).withColumn("stratum", stratum())
+    return rows.join(F.broadcast(cutoffs), "stratum", "left").filter(~F.col("base_failed") & ~over_cutoffs()).select("_row.*")
+
+
+def sql(risk: float = RISK, delta: float = DELTA) -> str:
+    """What quality_rules() returns, over the tables documents and labels, for DuckDB."""
+    word, step = r"[^\x20\x09-\x0D]", 7
+    level, p = delta / (len(LADDERS) * len(BANDS)), risk / len(LADDERS)
+    ladder = ", ".join(f"('{rule}', {i}, {c})" for rule, cs in LADDERS.items() for i, c in enumerate(cs))
+    band = " ".join(f"when n_words >= {low} then {i}" for i, low in reversed(list(enumerate(BANDS))))
+    return f"""with w as (select row_number() over () as row, doc_id, regexp_extract_all(coalesce(text, ''), '{word}+') as words, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) as n_symbols,
+ list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{word}')) as lines from documents),
+ windows as (select row, i, array_to_string(words[i:i + {step}], ' ') as k from (select row, words, unnest(generate_series(1, len(words) - {step})) as i from w)),
+ twice as (select row, i from (select row, i, count(*) over (partition by row, k) as n from windows) where n > 1),
+ cover as (select row, count(distinct i + j) as n from twice, (select unnest(generate_series(0, {step})) as j) group by row),
+ m as (select row, doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars, n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, len(lines) as n_lines, coalesce(cover.n, 0) as n_repeat_words from w left join cover using (row)),
+ b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, case {band} end as stratum, case when word_chars > 0 then 100.0::double * n_symbols / word_chars else 0 end as symbol_pct,
+ case when n_lines > 0 then 100.0::double * n_dup_lines / n_lines else 0 end as dup_line_pct, case when n_words > 0 then 100.0::double * n_repeat_words / n_words else 0 end as repeat_pct from m),
+ score as (unpivot b on symbol_pct, dup_line_pct, repeat_pct into name rule value score), ladder(rule, i, c) as (values {ladder}),
+ held as (select stratum, rule, i, c, count(*) as n, count(*) filter (score > c) as k from score join labels using (doc_id) join ladder using (rule) where quality = 1 and not base_failed group by all),
+ tested as (select *, case when k >= n * {p} then false else (select sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({p}) + (n - x) * ln(1 - {p}))) from (select unnest(generate_series(0, k)) as x)) <= {level} end as ok from held),
+ cutoff as (select stratum, rule, arg_max(c, i) filter (ok and i < first) as c from (select *, coalesce(min(i) filter (not ok) over (partition by stratum, rule), 99) as first from tested) group by all),
+ over as (select row, bool_or(score > c) as over from score left join cutoff using (stratum, rule) group by row)
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(over, false) as kept from b join over using (row)"""

@@ -1,11 +1,16 @@
 """Small brute-force, round-trip and held-out tests of the training-data operators, with odd rows."""
 
 import collections
+import glob
+import math
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from glossweave.llm import ann, langid, merge_dropout, neardup, packing, quality, sharding, token_files, tokens
@@ -56,6 +61,34 @@ def test_token_files(docs, empty):
     assert token_files.token_files(empty, path).count() == 0
 
 
+def test_token_files_are_pruned(spark, tmp_path):
+    """The files hold stripes, row indexes and a Bloom filter on doc_id, and a filter on doc_id reads few rows."""
+    rng, path = np.random.default_rng(3), str(tmp_path / "files")
+    ids = rng.permutation(40_000)[:20_000]
+    rows = [(int(2 * i), " ".join(f"w{int(k)}" for k in rng.integers(0, 999, 20))) for i in ids]
+    spark.conf.set("spark.sql.orc.filterPushdown", "true")
+    token_files.encode_to_orc(spark.createDataFrame(rows, "doc_id long, text string"), path, P.path("word_bpe_49k.json"))
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    bloom, stripes, total, last = 0, 0, 0, None
+    for name in sorted(glob.glob(f"{path}/*.orc")):
+        at = jvm.org.apache.hadoop.fs.Path(name)
+        reader = jvm.org.apache.orc.OrcFile.createReader(at, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        n = reader.getStripes().size()
+        stripes, total = stripes + n, total + reader.getNumberOfRows()
+        assert reader.getRowIndexStride() == 1000
+        records = reader.rows()
+        for i in range(n):
+            streams = records.readStripeFooter(reader.getStripes().get(i)).getStreamsList()
+            bloom += sum("BLOOM" in streams.get(j).getKind().toString() for j in range(streams.size()))
+        own = [r.doc_id for r in spark.read.schema(token_files.SCHEMA).orc(name).select("doc_id").collect()]
+        assert own == sorted(own) and (last is None or not own or own[0] > last)
+        last = own[-1] if own else last
+    assert total == len(rows) and stripes > 0 and bloom >= stripes
+    files = token_files.read_orc(spark, path)
+    plan = files.filter("doc_id = 12")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull" in plan and "EqualTo(doc_id,12)" in plan
+
+
 def brute_components(rows, percent):
     sets = {}
     for r in rows:
@@ -110,6 +143,44 @@ def test_language_id(spark, docs, empty):
     assert langid.language_id(empty).count() == 0
 
 
+def plain_probabilities(net, raw):
+    """The network position by position, with plain loops, in windows of SPAN bytes."""
+    sigmoid, total = (lambda x: 1 / (1 + np.exp(-x))), np.zeros(net.k)
+    for lo in range(0, len(raw), langid.SPAN):
+        part = raw[lo : lo + langid.SPAN]
+        part = part + bytes(-len(part) % langid.SPAN)
+        states = {}
+        for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            s, h = np.zeros(net.h), net.h
+            for t in order:
+                g, a = net.p[f"W{d}"][part[t]] + net.p[f"b{d}"], s @ net.p[f"U{d}"]
+                z, r = sigmoid(g[:h] + a[:h]), sigmoid(g[h : 2 * h] + a[h : 2 * h])
+                s = z * s + (1 - z) * np.tanh(g[2 * h :] + r * a[2 * h :])
+                states[d, t] = s
+        for t in range(min(langid.SPAN, len(raw) - lo)):
+            o = np.concatenate([states["f", t], states["b", t]]) @ net.p["V"] + net.p["c"]
+            total += o - np.log(np.exp(o - o.max()).sum()) - o.max()
+    p = np.exp(total / langid.POOL - (total / langid.POOL).max())
+    return p / p.sum()
+
+
+def test_language_id_position_by_position():
+    net, texts = langid.Network(3, seed=4), [b"a", "é ß long enough to fill more than one window. ".encode() * 9, b"x" * 160, b"y" * 161]
+    for raw, got in zip(texts, langid.predict(net, texts), strict=True):
+        assert np.allclose(got, plain_probabilities(net, raw), atol=1e-4)
+
+
+def test_language_id_letters_labels_and_columns(spark):
+    words = {f"l{i:03d}": " ".join(chr(97 + (i + j) % 26) * 3 for j in range(12)) for i in range(90)}
+    rows = [(i, words[k], k, 0.5, "x") for i, k in enumerate(list(words) * 4)] + [(900 + i, t, None, 0.1, "y") for i, t in enumerate(["²", "½ ①", "12 _ 3", "日", "é", "ª"])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    got = {r.doc_id: r.lang_pred for r in langid.language_id(d).collect()}
+    assert [got[900 + i] == "und" for i in range(6)] == [True, True, True, False, False, False]
+    out = langid.identify(d, d.filter(~langid.held_out()))
+    assert out.columns == [*d.columns, "_lang_pred", "_score"] and {r.score for r in out.collect()} == {0.5, 0.1}
+    assert {r.lang for r in langid.sample(d).collect()} == set(words)
+
+
 def test_language_id_gradients():
     net, rng = langid.Network(3), np.random.default_rng(0)
     for k in net.p:
@@ -127,26 +198,47 @@ def test_language_id_gradients():
         assert abs((up - down) / 2e-2 - g[k][i]) < 1e-3
 
 
+def plain_counts(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    cover = {k + j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(cover), len(lines)
+
+
 def test_quality_counts(spark, docs, empty):
-    got = {r.doc_id: r for r in quality.measure(docs).collect()}
-    for doc, text, *_ in ROWS:
-        import re
-
-        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        seen = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
-        cover = {k + j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(8)}
-        r = got[doc]
-        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(cover))
-    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    odd = ["a\nb\na\n \n \na b", "#x $ % & | < > *#", "x " * 30, "a b c d e f g h i a b c d e f g h", "é\u00a0ß\u2003x", "\x0b\x0c a \r\n b", "a " * 100_000]
+    rows = [(r[0], r[1]) for r in ROWS] + [(100 + i, t) for i, t in enumerate(odd)]
+    got = {r.doc_id: r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, text in rows:
+        r, want = got[doc], plain_counts(text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_lines) == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int").withColumn("n_words", F.lit(1)).withColumn("stratum", F.lit("x"))
     assert quality.quality_rules(docs, labels).filter("kept").count() == 5
-    assert quality.quality_rules(empty, labels).count() == 0
+    assert quality.quality_rules(empty, labels).count() == 0 and quality.quality_rules(docs, labels.limit(0)).count() == len(ROWS)
+
+
+def test_quality_cutoffs(spark):
+    """Rungs stand while the exact test holds; the first that fails ends a ladder, and few labels prove none."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "plain words " * 20 + "#" * int(k)) for i, k in enumerate(rng.poisson(0.3, 3000))] + [(5000 + i, "x " * 300) for i in range(50)]
+    measured = spark.createDataFrame([(d, *plain_counts(t), False) for d, t in rows], "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, base_failed boolean")
+    labels = spark.createDataFrame([(d, 1) for d, _ in rows], "doc_id long, quality int")
+    got = {r.stratum: r for r in quality.choose_cutoffs(measured, labels).collect()}
+    held, p, level = [t for d, t in rows if d < 5000], quality.RISK / 3, quality.DELTA / 15
+    cut = None
+    for c in quality.LADDERS["symbol_pct"]:
+        k = sum(100 * t.count("#") / plain_counts(t)[1] > c for t in held)
+        if k >= len(held) * p or sum(math.comb(len(held), i) * p**i * (1 - p) ** (len(held) - i) for i in range(k + 1)) > level:
+            break
+        cut = c
+    assert got[1].symbol_pct_cutoff == cut and 0 < cut < 5
+    assert got[3].symbol_pct_cutoff is None and got[3].dup_line_pct_cutoff is None
 
 
 def test_binomial(spark):
-    import math
-
-    from pyspark.sql import functions as F
-
     cases = [(20, 0, 0.02), (300, 2, 0.02), (1000, 12, 0.02), (7, 0, 0.5), (5000, 70, 0.02)]
     df = spark.createDataFrame(cases, "n long, k long, p double")
     for r in df.withColumn("b", quality.binomial_below(F.col("n"), F.col("k"), F.col("p"))).collect():
@@ -170,14 +262,40 @@ def test_packing(docs, empty):
     assert packing.pack(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
-def test_sharding(docs, empty):
+def plain_shard(key, shards, region=4, rack=2):
+    """Region, rack and shard by the least draw of each level; hashes as Spark's xxhash64 makes them, one column after the other."""
+
+    def least(level, children):
+        draws = []
+        for child, below in children:
+            h = xxhash.xxh64_intdigest(f"{sharding.SEED}/{level}/{child}".encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+            draws.append((-math.log(((h >> 11) + 1) * 2.0**-53) / len(below), child, below))
+        return min(draws)[2]
+
+    groups = lambda xs, size: sorted({x // size: [y for y in xs if y // size == x // size] for x in xs}.items())
+    found = least("region", groups(list(range(shards)), region))
+    found = least("rack", groups(found, rack))
+    return least("shard", [(x, [x]) for x in found])[0]
+
+
+def test_sharding(spark, docs, empty):
     got = sharding.shard_documents(docs).collect()
-    assert len(got) == len(ROWS) and all(r.grown_shard in (r.shard, 16) for r in got)
+    assert len(got) == len(ROWS)
+    texts = collections.defaultdict(list)
+    for r in ROWS:
+        texts[r[0]].append((r[1] or "").encode())
     slots = collections.defaultdict(list)
     for r in got:
+        raw = texts[r.doc_id][0]
+        key = "null" if r.doc_id is None else str(r.doc_id)
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 1, zlib.crc32(raw), "key")
+        assert (r.shard, r.grown_shard) == (plain_shard(key, 16), plain_shard(key, 17)) and r.grown_shard in (r.shard, 16)
         slots[r.shard].append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert sharding.shard_documents(empty).count() == 0
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit(3).alias("slot"), F.lit(1).alias("_rank"))
+    share = collections.Counter(r.shard for r in sharding.shard_documents(many).collect())
+    assert len(share) == 16 and all(170 < n < 330 for n in share.values())
 
 
 def test_nearest(spark):
