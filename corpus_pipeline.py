@@ -1,42 +1,56 @@
 """Corpus pipeline: quality rules, language ID, near-duplicate removal, packing.
 
 Each stage takes (spark, docs, sf_dir), works on every row of docs and returns all columns of documents, but for the
-last, which returns the packed pieces. A text is moved once in each stage; verdicts travel by doc_id and a hash of the
-text, so rows that share a doc_id are judged by their own text.
+last, which returns the packed pieces. Columns beside those of documents are kept too, whatever their names. Quality rules
+and language ID decide where a row lies; only near-duplicate removal moves texts, once.
+
+Rows that share a doc_id are judged by their own text; of rows that repeat doc_id and text one stays after near-duplicate
+removal. Rows without a doc_id are linked, and kept, like others. Null and blank texts fail the quality rules; should a
+later stage get them, language ID drops them (no letter), near-duplicate removal keeps them (linked with nothing), packing
+gives their end id. An empty table gives an empty result. Very long texts are read whole by every stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.llm import langid, neardup, packing, quality
-from glossweave.llm.common import scratch_table, table
+from glossweave.llm.common import fresh, scratch_table, table
 
 LEAST_SCORE = 0.35
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a risk-controlled cutoff reject go."""
-    keep = quality.quality_rules(docs, table(spark, sf_dir, "labels"), carry_hash=True).filter("kept").select("doc_id", "text_hash").distinct()
-    own = docs.withColumn("text_hash", F.xxhash64("text"))
-    same = own["doc_id"].eqNullSafe(keep["doc_id"]) & (own["text_hash"] == keep["text_hash"])
-    return own.join(keep.hint("merge"), same, "left_semi").select(*docs.columns)
+    measured = scratch_table(quality.measure(docs), "quality")
+    return quality.judged(docs, quality.choose_cutoffs(measured, table(spark, sf_dir, "labels")))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: those without a letter and those whose best language is under LEAST_SCORE."""
-    found = langid.identify(docs, docs.filter(~langid.held_out()))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found, (lang, score) = langid.identify(docs, docs.filter(~langid.held_out())), langid.own_names(docs)
+    return found.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (five words, 0.8) the document with the smallest doc_id stays, once."""
-    gone = scratch_table(neardup.near_duplicates(docs, 80).filter("not kept").select("doc_id").distinct(), "gone")
-    rest = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    w = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-    return rest.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*docs.columns)
+    """Of each component of near-duplicates (five words, 0.8) the document with the smallest doc_id stays, once; one without a
+    doc_id only where no other is.
+
+    A row is known by a 64-bit hash of doc_id and text. Verdicts are made of hashes and ids; the texts meet them once.
+    """
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    found = neardup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), 80).select(F.col("doc_id").alias(key), "component_id")
+    ids = keyed.select(key, F.col("doc_id").cast("long").alias("_id"))
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col(key))
+    # partial results of each task come before the shuffle, so copies are one row a task
+    least = ids.groupBy(key).agg(F.min("_id").alias("_id")).join(found.groupBy(key).agg(F.min("component_id").alias("component_id")), key)
+    kept = scratch_table(least.groupBy("component_id").agg(F.min(order).alias("_first")).select(F.col(f"_first.{key}").alias(key)), "kept")
+    single = keyed.dropDuplicates([key])
+    # the same join at every size
+    return single.join(kept.hint("merge"), key, "left_semi").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
