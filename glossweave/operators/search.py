@@ -18,9 +18,10 @@ CAP, SEPARATOR = 10_000, "========\n"
 SMALL = 10_000
 
 
-def in_blocks(words: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """meet(some) of blocks of words that are small enough to send to every task; every word is in one block."""
-    blocks = max(1, -(-words.count() // SMALL))
+def in_blocks(words: DataFrame, meet: Callable[[DataFrame], DataFrame], n: int | None = None) -> DataFrame:
+    """meet(some) of blocks of words that are small enough to send to every task; every word is in one block. n: a bound of how
+    many words there are, where it is known."""
+    blocks = max(1, -(-(words.count() if n is None else n) // SMALL))
     if blocks == 1:
         return meet(F.broadcast(words))
     # a block by hash holds SMALL words, give or take a few in a hundred
@@ -39,6 +40,7 @@ def tiered(words: DataFrame, rows: DataFrame, texts: str | list[str], row_id: st
     texts = [texts] if isinstance(texts, str) else texts
     whole = F.concat_ws("\t", *texts) if whole is None else whole
     words = stored(words.select("word").filter(compact(F.col("word")) != "").distinct(), "words")
+    n = words.count()
     alone = reduce(lambda a, b: a | b, [is_standalone_match(F.col(c), F.col("word")) for c in texts])
     some = rows.select(row_id, *dict.fromkeys(texts))
     if prune:
@@ -46,16 +48,16 @@ def tiered(words: DataFrame, rows: DataFrame, texts: str | list[str], row_id: st
         postings = inverted_index(rows, index or texts, row_id).join(keyed, "term").select("word", row_id)
         one = postings.join(some, row_id).filter(alone).select("word", row_id)
         scan = words.join(postings.select("word").distinct(), "word", "left_anti")
-        one = one.unionByName(in_blocks(scan, lambda w: some.join(w, alone).select("word", row_id)))
+        one = one.unionByName(in_blocks(scan, lambda w: some.join(w, alone).select("word", row_id), n))
     else:
-        one = in_blocks(words, lambda w: some.join(w, alone).select("word", row_id))
+        one = in_blocks(words, lambda w: some.join(w, alone).select("word", row_id), n)
     one = stored(one, "standalone")
     found = one.select("word", F.lit(1).alias("tier"), row_id)
     if standalone_only:
         return found
     rest = words.join(one.select("word").distinct(), "word", "left_anti")
     joined = rows.select(row_id, whole.alias("_whole"))
-    two = in_blocks(rest, lambda w: joined.join(w, is_substring_match(F.col("_whole"), F.col("word"))).select("word", F.lit(2).alias("tier"), row_id))
+    two = in_blocks(rest, lambda w: joined.join(w, is_substring_match(F.col("_whole"), F.col("word"))).select("word", F.lit(2).alias("tier"), row_id), n)
     return found.unionByName(two)
 
 

@@ -142,17 +142,23 @@ def _quoted(x: str | None) -> str:
 
 
 def _search_sql(words: list[str]) -> str:
-    """Tables pairs, gal, kk and notes (word, out, alone) of what each source shows for words, as the start of a WITH."""
-    parts = [f"words(word, one, two) as (values {', '.join(f'({_quoted(w)}, {_quoted(f"(?i){_EDGE}{_pattern(w)}($|[^\\p{{L}}\\p{{N}}_])")}, {_quoted(f"(?i){_pattern(w)}")})' for w in dict.fromkeys(words))})"]
+    """Tables pairs, gal, kk and notes (word, out, alone) of what each source shows for words, as the start of a WITH. Each word's
+    patterns are constants: the engine compiles them once."""
+    words = list(dict.fromkeys(words))
+    parts = [f"words(word) as (values {', '.join(f'({_quoted(w)})' for w in words)})"]
     for name, (rows, texts, index, whole, entry, indexed) in _ROWS.items():
-        alone = " or ".join(f"regexp_matches({c}, one)" for c in texts)
+        hits = []
+        for w in words:
+            alone = " or ".join(f"regexp_matches({c}, {_quoted(f'(?i){_EDGE}{_pattern(w)}($|[^\\p{{L}}\\p{{N}}_])')})" for c in texts)
+            hits.append(f"select {_quoted(w)} as word, row_id, {alone} as alone, contains({whole}, {_quoted(w)}) or regexp_matches({whole}, {_quoted(f'(?i){_pattern(w)}')}) as sub from {name}_r")
         terms = " union ".join(f"select row_id, {n(c)} as term from {name}_r union select row_id, lower(unnest(regexp_extract_all({c}, '{TOK}'))) from {name}_r" for c in index)
         parts += [
             f"{name}_r as ({rows})",
-            f"{name}_k as (select word, row_id from words join ({terms}) on term = {n('word')} where {'true' if indexed else 'false'})",
-            f"{name}_a as (select word, row_id from words join {name}_r on {alone} where (word, row_id) in (select word, row_id from {name}_k) or word not in (select word from {name}_k))",
-            f"{name}_s as (select word, row_id from words join {name}_r on contains({whole}, word) or regexp_matches({whole}, two) where word not in (select word from {name}_a))",
-            f"{name} as (select word, left({_SEP} || string_agg({entry} || {_SEP}, '' order by row_id), 10000) as out, bool_or(tier) as alone from (select *, true as tier from {name}_a union all select *, false from {name}_s) join {name}_r using (row_id) group by 1)",
+            f"{name}_h as materialized ({' union all '.join(hits)})",
+            f"{name}_k as materialized (select distinct word, row_id from words join ({terms}) on term = {n('word')} where {'true' if indexed else 'false'})",
+            f"{name}_a as materialized (select word, row_id from {name}_h where alone and word not in (select word from {name}_k) union all select word, row_id from {name}_h join {name}_k using (word, row_id) where alone)",
+            f"{name}_s as (select word, row_id from {name}_h where sub and word not in (select word from {name}_a))",
+            f"{name} as materialized (select word, left({_SEP} || string_agg({entry} || {_SEP}, '' order by row_id), 10000) as out, bool_or(tier) as alone from (select *, true as tier from {name}_a union all select *, false from {name}_s) join {name}_r using (row_id) group by 1)",
         ]
     return ",\n ".join(parts)
 

@@ -486,10 +486,10 @@ def event_insert(s, d):
     return s.read.parquet(path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("event_stream_append")
+@query("event_stream_append", "select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by 1")
 def event_stream_append(s, d):
     at = scratch_path(s, "stream")
-    return append_events(s, f"{d}/events.parquet*", t(s, d, "events").schema, f"{at}/log", f"{at}/checkpoint").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    return append_events(s, f"{d}/events.parquet*", t(s, d, "events").schema, f"{at}/log", f"{at}/checkpoint").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
