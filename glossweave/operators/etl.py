@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +20,19 @@ PARTS = r"(?i)\s*(?:;|,|\bor\b)\s*"
 
 
 def _starts(c: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, BAD_PREFIXES)), lambda p: F.startswith(c, p))
+    return c.rlike("^(?:" + "|".join(map(re.escape, BAD_PREFIXES)) + ")")
 
 
 def reject_reason(gloss: Column, most: int) -> Column:
     """Null for a gloss that may hold candidates."""
-    raw, low = compact(gloss), normalize(gloss)
-    holds = F.exists(F.array(*map(F.lit, BAD_FRAGMENTS)), lambda p: F.contains(low, p))
-    return F.when(raw == "", "empty_gloss").when(F.length(raw) > most, "long_gloss").when(_starts(low), "gloss_prefix").when(holds, "gloss_fragment").when(F.contains(raw, F.lit(":")), "gloss_explanation")
+    holds = "|".join(map(re.escape, BAD_FRAGMENTS))
+
+    def reason(x):
+        out = F.when(x["raw"] == "", "empty_gloss").when(F.length(x["raw"]) > most, "long_gloss").when(_starts(x["low"]), "gloss_prefix")
+        return out.when(x["low"].rlike(holds), "gloss_fragment").when(F.contains(x["raw"], F.lit(":")), "gloss_explanation")
+
+    # both forms are worked out once, not in each branch
+    return F.element_at(F.transform(F.transform(F.array(compact(gloss)), lambda raw: F.struct(raw.alias("raw"), F.lower(raw).alias("low"))), reason), 1)
 
 
 def candidates(gloss: Column, most: int) -> Column:

@@ -9,7 +9,8 @@ from glossweave.functions.text import normalize, tokens
 
 
 def exact_index(rows: DataFrame, field: str, row_id: str) -> DataFrame:
-    return rows.select(normalize(F.col(field)).alias("term"), row_id).filter("term != ''").groupBy("term").agg(F.sort_array(F.collect_set(row_id)).alias("rows"))
+    """term, row_id: the postings of the whole normalised field, a row for each, so a hot term is no row of its own."""
+    return rows.select(normalize(F.col(field)).alias("term"), row_id).filter("term != ''").distinct()
 
 
 def inverted_index(rows: DataFrame, fields: list[str], row_id: str) -> DataFrame:

@@ -241,3 +241,21 @@ def token_candidates(s, d):
     found = translate.token_candidates(words.select("token").distinct(), lexicon, "english")
     each = found.select("token", "n", F.posexplode("candidates").alias("rank", "c"))
     return words.join(each, "token").select("request_id", F.col("pos").cast("long").alias("pos"), "token", text.normalize(F.col("c.target_text")).alias("target"), (F.col("rank") + 1).cast("long").alias("rank"), "n")
+
+
+@query("sentence_evidence", f"""with r as (select distinct 'the ' || p_name as request_id from part), w as (select request_id, unnest(generate_series(0, len(string_split(request_id, ' ')) - 1)) as pos, unnest(string_split(request_id, ' ')) as token from r),
+ x as (select distinct token, case k when 0 then token else left(token, length(token) - 1) end as variant, k from w, (values (0), (1)) v(k) where k = 0 or (token like '%s' and length(token) > 3 and token not like '%ss')),
+ l as (select {n('regexp_extract(p_name, \'[a-z]+$\')')} as term, p_brand as target, p_partkey from part), c as (select token, target, min(k * 1000000 + p_partkey) as o from x join l on term = variant group by 1, 2),
+ f as (select token, target, row_number() over (partition by token order by o) as rank from c),
+ b as (select token, 'Candidates for the word "' || token || '" (English → Mingrelian); they are for this word, not for the sentence:' || chr(10) || chr(10) ||
+ string_agg('Candidate ' || rank || ':' || chr(10) || '- Mingrelian: ' || target || chr(10) || '- Source: part', chr(10) || chr(10) order by rank) as block from f where rank <= 6 group by 1),
+ e as (select request_id, pos, coalesce(block, token || ': an entry') as block from w left join b using (token) where block is not null or token <> 'the')
+ select request_id, string_agg(block, chr(10) order by pos) as entries from e group by 1""")
+def sentence_evidence(s, d):
+    """What a prompt holds of each name: shortlists of its last word, an entry of the others, nothing of the article."""
+    part = t(s, d, "part")
+    lexicon = part.select(F.col("p_partkey").alias("row_id"), F.lit("english").alias("source"), F.lit("mingrelian").alias("target"), F.regexp_extract("p_name", "[a-z]+$", 0).alias("source_text"), F.col("p_brand").alias("target_text"), F.lit("part").alias("source_name"))
+    name = F.concat(F.lit("the "), "p_name")
+    asked = part.select(name.alias("request_id"), name.alias("input_text")).distinct()
+    entry = lambda words: words.select("word", F.concat(F.lit("\n"), "word", F.lit(": an entry\n")).alias("output"))
+    return translate.sentence_evidence(asked, lexicon, "english", entry)

@@ -53,7 +53,7 @@ def inverted_index_df(s, d):
 
 @query("exact_index", f"select {n('p_name')} as term, count(distinct p_partkey) as n, min(p_partkey) as first from part group by 1")
 def exact_index(s, d):
-    return lookup.exact_index(t(s, d, "part"), "p_name", "p_partkey").select("term", F.size("rows").cast("long").alias("n"), F.col("rows")[0].alias("first"))
+    return lookup.exact_index(t(s, d, "part"), "p_name", "p_partkey").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first"))
 
 
 @query("exact_lookup", "select distinct '  ' || upper(r.p_name) || ' ' as request, p.p_partkey from part r join part p on lower(r.p_name) = lower(p.p_name)")
