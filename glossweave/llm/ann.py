@@ -1,18 +1,22 @@
 """Operator 10: approximate nearest neighbours by cross-polytope hashing.
 
-Each of TABLES tables has a pseudo-rotation (three rounds of random signs and a fast Hadamard transform, on vectors
-padded to a power of two) and a bucket for each signed axis. A vector lies in the bucket of its nearest signed axis; a
-query probes its PROBES nearest. Candidates are reranked exactly, in double precision, on the original vectors. PROBES
-is a share of the axes (1 in 8), so recall does not fall as tables grow. A query whose buckets hold fewer than k rows is
-compared exactly with all rows of its length, in blocks.
+Each of TABLES tables has one or two pseudo-rotations (three rounds of random signs and a fast Hadamard transform, on
+vectors padded to a power of two) and a bucket for each signed axis, or pair of them. A vector lies in the bucket of its
+nearest signed axes; a query probes several, nearest first. Candidates are reranked exactly, in double precision, on the
+original vectors. A query whose buckets hold fewer than k rows is compared exactly with all rows of its length, in blocks.
 
-Equal vectors: only the smallest KEEP = k + 1 ids of a vector can be among k nearest with ties to the smaller id, so the
-rest leave before hashing and a vector with very many copies makes no large bucket; nothing is lost. Buckets over BLOCK
-rows are cut into blocks which each meet the bucket's queries.
+How many buckets a query probes, and whether axes are paired, is fitted for each vector length on a sample of at most FIT
+vectors, drawn by hash: the least share of rows to look at whose recall of the sample's own neighbours is RECALL. In the whole
+table neighbours are nearer, so recall there is no lower. Vectors without structure need near half of all rows; clustered ones
+a few in a thousand. Lengths with under LEAST vectors in the sample look at the nearest 1 in 8 axes.
+
+Equal vectors: only the smallest k + 1 ids of a vector can be among k nearest with ties to the smaller id, so the rest leave
+before hashing and a vector with very many copies makes no large bucket; nothing is lost. Buckets over BLOCK rows are cut into
+blocks which each meet the bucket's queries. Vectors travel as they are given (float32 stays float32).
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do null ids; vectors of
 other lengths are not compared. Rows that repeat an id and vector count once; an id's other rows are not its neighbours.
-Other columns are ignored.
+An empty table gives no rows. A very long vector is one row of each table. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from glossweave.llm.common import scratch_table
 
 TABLES, PROBE_SHARE, BLOCK, PAIRS, SEED = 6, 8, 8192, 16384, 11
+FIT, LEAST, RECALL, MOST_PROBES, ROWS = 8192, 512, 0.95, 256, 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -47,11 +52,64 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return y
 
 
-def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """For each row the nearest signed axes, nearest first: axis, or axis + width where negative."""
-    y = rotate(x, table)
-    y = np.concatenate([y, -y], axis=1)
-    return np.argmax(y, axis=1)[:, None] if probes == 1 else np.argsort(-y, axis=1, kind="stable")[:, : max(1, min(probes, y.shape[1]))]
+def signed(x: np.ndarray, rotation: int) -> np.ndarray:
+    """How near each row is to each signed axis."""
+    y = rotate(x, rotation)
+    return np.concatenate([y, -y], axis=1)
+
+
+def nearest_first(y: np.ndarray, n: int) -> np.ndarray:
+    """The n greatest of each row, greatest first, ties by place."""
+    return np.argmax(y, axis=1)[:, None] if n == 1 else np.argsort(-y, axis=1, kind="stable")[:, : max(1, min(n, y.shape[1]))]
+
+
+def buckets(x: np.ndarray, table: int, probes: int, pairs: bool = False) -> np.ndarray:
+    """For each row the nearest buckets of a table, nearest first: signed axes (the axis, or axis + width where negative), or pairs
+    of them, one of each of two rotations, by the sum of both."""
+    y = signed(x, 2 * table)
+    if not pairs:
+        return nearest_first(y, probes)
+    z = signed(x, 2 * table + 1)
+    if probes == 1:
+        return nearest_first(y, 1) * y.shape[1] + nearest_first(z, 1)
+    # the first `probes` pairs lie among the first axes of either rotation: pair (i, j) has i * j nearer ones
+    m = min(probes, y.shape[1])
+    i, j = np.array([(i, j) for i in range(m) for j in range(m) if (i + 1) * (j + 1) <= probes]).T
+    out = []
+    for lo in range(0, len(x), ROWS):
+        ys, zs = y[lo : lo + ROWS], z[lo : lo + ROWS]
+        a, b = nearest_first(ys, m), nearest_first(zs, m)
+        best = nearest_first(np.take_along_axis(ys, a[:, i], 1) + np.take_along_axis(zs, b[:, j], 1), probes)
+        out.append(np.take_along_axis(a, i[best], 1) * y.shape[1] + np.take_along_axis(b, j[best], 1))
+    return np.concatenate(out)
+
+
+def fit(x: np.ndarray, tables: int, k: int = 5, recall: float = RECALL) -> tuple[int, bool]:
+    """(probes, pairs) with the least share of the sample x to look at that finds so much of the k nearest of its first rows."""
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    asked = min(128, len(x))
+    near = unit[:asked] @ unit.T
+    near[np.arange(asked), np.arange(asked)] = -np.inf
+    truth = np.argpartition(-near, k, axis=1)[:, :k]
+    best = None
+    for pairs in (False, True):
+        width = 2 * (1 << max(0, x.shape[1] - 1).bit_length())
+        total = min(MOST_PROBES, width * width if pairs else width)
+        held = np.stack([buckets(unit, t, 1, pairs)[:, 0] for t in range(tables)])
+        probed = [buckets(unit[:asked], t, total, pairs) for t in range(tables)]
+        # the probe at which each of the neighbours turns up
+        rank = np.full(truth.shape, total)
+        for t in range(tables):
+            hit = held[t][truth][:, :, None] == probed[t][:, None, :]
+            rank = np.minimum(rank, np.where(hit.any(2), hit.argmax(2), total))
+        found = np.bincount(rank.reshape(-1), minlength=total + 1)[:total].cumsum() / truth.size
+        enough = np.nonzero(found >= recall)[0]
+        if len(enough):
+            probes = int(enough[0]) + 1
+            share = np.mean([np.isin(held[t], probed[t][q, :probes]).mean() for t in range(tables) for q in range(min(32, asked))])
+            if best is None or share < best[0]:
+                best = (share, probes, pairs)
+    return best[1:] if best else (max(1, 2 * (1 << max(0, x.shape[1] - 1).bit_length()) // 2), False)
 
 
 def usable(vector: str) -> Column:
@@ -73,14 +131,20 @@ def _groups(batches, keys: list[str]):
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = TABLES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of vectors (vec_id, embedding) for each id divisible by `every`."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+    kind, v = (np.float32, "array<float>") if single else (np.float64, "array<double>")
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(v).alias("v"))
     v = scratch_table(v.filter(F.col("vec_id").isNotNull() & usable("v")).distinct(), "vectors")
     w = Window.partitionBy("v").orderBy("vec_id")
     base = v.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k + 1).drop("n")
     queries = v.filter(F.col("vec_id") % every == 0)
+    # at most FIT vectors, the first by hash; each task hands on no more
+    drawn = [np.array(r["v"], float) for r in v.select("v").orderBy(F.xxhash64("vec_id", F.lit("fit"))).limit(FIT).collect()]
+    lengths = {dim: np.stack([x for x in drawn if len(x) == dim]) for dim in {len(x) for x in drawn}}
+    plans = {dim: fit(x / np.abs(x).max(1, keepdims=True), tables, k) for dim, x in lengths.items() if len(x) >= LEAST}
 
-    def hashed(share: int | None):
-        """Rows of each bucket; without a share one row for each vector, in one bucket for each length."""
+    def hashed(asked: bool | None):
+        """Rows of each bucket, for queries of each that they probe; None: one row for each vector, in one bucket for each length."""
 
         def run(batches):
             for b in batches:
@@ -90,21 +154,22 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = TABLE
                 at = np.concatenate([[0], np.cumsum(size)])
                 for dim in np.unique(size).tolist():
                     rows = np.nonzero(size == dim)[0]
-                    x = flat[at[rows][:, None] + np.arange(dim)]
-                    unit = x / np.abs(x).max(1, keepdims=True)
+                    x = np.ascontiguousarray(flat[at[rows][:, None] + np.arange(dim)], kind)
+                    unit = x.astype(float) / np.abs(x).max(1, keepdims=True)
                     raw = [r.tobytes() for r in x]
-                    for t in range(tables) if share is not None else [-1]:
-                        a = axes(unit, t, 2 * (1 << max(0, dim - 1).bit_length()) // share if share else 1) if t >= 0 else np.zeros((len(rows), 1), np.int64)
+                    probes, pairs = plans.get(dim, (max(1, 2 * (1 << max(0, dim - 1).bit_length()) // PROBE_SHARE), False))
+                    for t in range(tables) if asked is not None else [-1]:
+                        a = buckets(unit, t, probes if asked else 1, pairs) if t >= 0 else np.zeros((len(rows), 1), np.int64)
                         n, p = a.shape
                         take = np.repeat(np.arange(n), p)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n * p, dim, np.int32)), pa.array(np.full(n * p, t, np.int32)), pa.array(a.reshape(-1).astype(np.int32)), pa.array(ids[rows][take]), pa.array([raw[i] for i in take.tolist()], pa.binary())],
+                            [pa.array(np.full(n * p, dim, np.int32)), pa.array(np.full(n * p, t, np.int32)), pa.array(a.reshape(-1).astype(np.int64)), pa.array(ids[rows][take]), pa.array([raw[i] for i in take.tolist()], pa.binary())],
                             ["dim", "t", "axis", "id", "x"],
                         )
 
         return run
 
-    schema = "dim int, t int, axis int, id long, x binary"
+    schema = "dim int, t int, axis long, id long, x binary"
     place = ["dim", "t", "axis"]
     keys = [*place, "block"]
 
@@ -114,7 +179,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = TABLE
             if key != at:
                 at, ids, xs = key, [], []
             some = rows.column("id").to_numpy()
-            x = np.frombuffer(b"".join(rows.column("x").to_pylist())).reshape(len(some), key[0])
+            x = np.frombuffer(b"".join(rows.column("x").to_pylist()), kind).reshape(len(some), key[0]).astype(float)
+            # by a power of two, which changes no cosine, so that squares neither overflow nor vanish
+            x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
             if not q:
                 ids.append(some)
                 xs.append(x)
@@ -163,8 +230,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = TABLE
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    # the groups of met: tables * 2 * width for each vector length
-    found = scratch_table(ranked(met(base.mapInArrow(hashed(0), schema), queries.mapInArrow(hashed(PROBE_SHARE), schema))), "found")
+    found = scratch_table(ranked(met(base.mapInArrow(hashed(False), schema), queries.mapInArrow(hashed(True), schema))), "found")
     full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = scratch_table(queries.join(full, "vec_id", "left_anti"), "short")
     if short.isEmpty():

@@ -375,3 +375,61 @@ def test_nearest_ties_of_parallel_vectors(spark):
     rows += [(tied[0], (x * 2.0**n).tolist()) for n in range(45, 60)]
     got = sorted((r.rank, r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tables=1).collect() if r.query_id == 60000)
     assert got == list(enumerate(sorted(tied)[:5], 1))
+
+
+@pytest.mark.parametrize(("n", "clusters"), [(3000, 0), (15000, 0), (3000, 60), (15000, 300)])
+def test_nearest_recall(spark, n, clusters):
+    """At two sizes, with and without structure: recall against brute force, exact scores and order."""
+    rng = np.random.default_rng(n + clusters)
+    x = rng.standard_normal((n, 32))
+    if clusters:
+        x = rng.standard_normal((clusters, 32))[rng.integers(0, clusters, n)] + 0.3 * x
+    x = x.astype(np.float32)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame([(i, v, "x", 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, t string, rank int").repartition(4)).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    x = x.astype(float)
+    norm, hit = np.sqrt((x * x).sum(1)), 0
+    assert sorted(got) == list(range(0, n, 50))
+    for q, found in got.items():
+        s = (x @ x[q]) / norm / norm[q]
+        found.sort()
+        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5] and all(abs(s[v] - score) < 1e-12 for _, v, score in found)
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:5].tolist()) & {v for _, v, _ in found})
+    assert hit >= 0.9 * 5 * len(got)
+
+
+def test_nearest_empty_and_large_components(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert ann.nearest(none).count() == 0
+    big = [(50, [1e300, 1e300]), (1, [1e-300, 1e-300]), (2, [1e300, -1e300]), (None, [1.0, 1.0])]
+    got = sorted((r.rank, r.vec_id, round(r.score, 9)) for r in ann.nearest(spark.createDataFrame(big, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1.0), (2, 2, 0.0)]
+
+
+def test_buckets_of_pairs_are_nearest_first():
+    x = np.random.default_rng(4).standard_normal((700, 16))
+    y, z = ann.signed(x, 0), ann.signed(x, 1)
+    got = ann.buckets(x, 0, 40, True)
+    for r in range(700):
+        full = (y[r][:, None] + z[r][None, :]).reshape(-1)
+        assert np.allclose(full[got[r]], -np.sort(-full)[:40])
+
+
+def test_long_texts_and_empty_tables(spark, empty):
+    import sentencepiece
+
+    path, long = P.path("piece_bpe_32k.model"), " ".join(f"word{i % 977}é" for i in range(120_000)) + " <|endoftext|> " + "x" * 100_000
+    docs = spark.createDataFrame([(1, long, "en"), (2, None, "en"), (1, long, "en")], "doc_id long, text string, lang string").withColumn("ids", F.lit(1)).withColumn("n_tokens", F.lit("x"))
+    assert merge_dropout.round_trip(empty, path).count() == 0 and merge_dropout.decode(merge_dropout.encode(empty, path), path).count() == 0
+    got = sorted((r.doc_id, r.n_tokens, r.ids_crc32, r.lossless) for r in merge_dropout.round_trip(docs, path).collect())
+    assert got[0] == got[1] and got[2][:2] == (2, 0) and all(r[3] for r in got)
+    plain = merge_dropout.encode(docs, path, rate=0.0)
+    want = sentencepiece.SentencePieceProcessor(model_file=path).encode(long)
+    assert [np.frombuffer(r.ids, "<u4").tolist() == (want if r.doc_id == 1 else []) for r in plain.collect()] == [True] * 3
+    assert {r.doc_id: r.text for r in merge_dropout.decode(plain, path).collect()} == {1: long, 2: ""}
+    pieces = packing.pack(docs.filter("text is not null").limit(1), P.path("byte_bpe_50k.json")).collect()
+    assert sum(r.length for r in pieces) == len(ids_of("byte_bpe_50k.json", long)) + 1 and {r.doc_tokens for r in pieces} == {sum(r.length for r in pieces)}
+    assert {(r.doc_id, r.size) for r in sharding.shard_documents(docs).collect()} == {(1, len(long.encode()) + 1), (2, 1)}
+    assert {r.lang_pred for r in langid.language_id(docs).collect()} == {"en", "und"}
