@@ -9,7 +9,8 @@ at every window; the last rest is cut into powers of two. So no sequence needs p
 
 Ranks within a length are gapless over the whole table; a remainder's combination, copy and place follow from its rank
 by arithmetic, so no task holds more than its share. Null text counts as empty (the end id alone). Rows that repeat a
-doc_id are packed each. Null doc_id is kept as null. Other columns are ignored; an empty table gives no rows.
+doc_id are packed each. Null doc_id is kept as null. A very long text is encoded by one task, and is one row until its windows
+are pieces. Other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

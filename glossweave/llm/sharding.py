@@ -7,7 +7,8 @@ winner lies in the changed subtree move. Shards fill regions in order, so shard
 own and takes documents only into itself.
 
 Columns only, no Python. Null doc_id draws as its own key. Null text has size 1 and the crc of no bytes. Equal doc_ids
-share a shard. Slots follow doc_id, then crc and size; other columns are ignored.
+share a shard, rows that repeat get a slot each. Slots follow doc_id, then crc and size. A very long text is one value of one
+row; texts do not move. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ encode_to_orc deals documents by range of doc_id, so files hold ascending, disjo
 each document: its ids as array<int> (ORC's integer run-length encoding), with row indexes and a Bloom filter on
 doc_id. Stripes are read in parallel; a filter on doc_id prunes files, stripes and row groups by statistics.
 
-Null text counts as empty and gives the end id alone. Rows with a null doc_id come first. Rows that repeat a doc_id
-are all kept, in order of their text. Other columns are ignored. An empty table gives an empty file set.
+Null text counts as empty and gives the end id alone. Rows with a null doc_id come first. Rows that repeat a doc_id are
+all kept, in order of a hash of their text. A very long text is one row of one stripe. Other columns are ignored. An empty
+table gives an empty file set.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ def encode_to_orc(docs: DataFrame, path: str, tokenizer: str, kind: str = "word"
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), b.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), int32_lists(rows)], ["part", "doc_id", "local_start", "n_tokens", "ids"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA).write.options(**ORC).orc(path)
+    # a hash parts the texts of one id, or of none, so that many of them fill several files
+    order = ["doc_id", F.xxhash64("text")]
+    d.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(encode, SCHEMA).write.options(**ORC).orc(path)
 
 
 def read_orc(spark: SparkSession, path: str) -> DataFrame:
