@@ -166,12 +166,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     return judged.select(*cols, (~F.col("base_failed") & ~over_cutoffs()).alias("kept"))
 
 
-def judged(docs: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that quality_rules() keeps by these cutoffs: counted anew where they lie, so no
-    text moves; cutoffs has at most len(BANDS) rows."""
-    text, own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(None).cast("long")
-    rows = measure(docs.select(own.alias("doc_id"), "text", text.alias("_row")), ["_row"]).withColumn("stratum", stratum())
-    return rows.join(F.broadcast(cutoffs), "stratum", "left").filter(~F.col("base_failed") & ~over_cutoffs()).select("_row.*")
+def kept_rows(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_rules() keeps. Each row is written once beside its counts, from
+    which cutoffs are taken; no text is shuffled."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    measured = scratch_table(measure(docs.select("doc_id", "text", row.alias("_row")), ["_row"]), "quality")
+    rows = measured.withColumn("stratum", stratum()).join(F.broadcast(choose_cutoffs(measured.drop("_row"), labels, risk, delta)), "stratum", "left")
+    return rows.filter(~F.col("base_failed") & ~over_cutoffs()).select("_row.*")
 
 
 def sql(risk: float = RISK, delta: float = DELTA) -> str:
