@@ -24,8 +24,7 @@ LEAST_SCORE = 0.35
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a risk-controlled cutoff reject go."""
-    measured = scratch_table(quality.measure(docs), "quality")
-    return quality.judged(docs, quality.choose_cutoffs(measured, table(spark, sf_dir, "labels")))
+    return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +46,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col(key))
     # partial results of each task come before the shuffle, so copies are one row a task
     least = ids.groupBy(key).agg(F.min("_id").alias("_id")).join(found.groupBy(key).agg(F.min("component_id").alias("component_id")), key)
-    kept = scratch_table(least.groupBy("component_id").agg(F.min(order).alias("_first")).select(F.col(f"_first.{key}").alias(key)), "kept")
+    kept = scratch_table(least.groupBy("component_id").agg(F.min(order).alias("_first")).select(F.col(f"_first.{key}").alias(key)), "kept", rows=docs.count())
     single = keyed.dropDuplicates([key])
     # the same join at every size
     return single.join(kept.hint("merge"), key, "left_semi").select(*docs.columns)
