@@ -36,6 +36,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/glossweave-{name}-{uuid.uuid4().hex}"
 
 
+#: Scratch tables need no mark of success: one that was not written whole raises. Each mark is two files of the driver.
+NO_MARK = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -50,11 +52,13 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, was)
 
 
-def scratch_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here and survives lost executors. forget() removes it."""
+def scratch_table(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None, per_file: int = 500_000) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends here and survives lost executors. forget() removes it.
+    rows: a bound of how many there are, where it is known; a small table then makes few files."""
     path = scratch_path(df.sparkSession, name)
+    df = df if rows is None else df.coalesce(max(1, -(-rows // per_file)))
     with shuffles_end(df.sparkSession):
-        df.write.option("compression", compression).parquet(path)
+        df.write.options(**NO_MARK).option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
@@ -65,7 +69,7 @@ def scratch_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     table = os.path.basename(path).replace("-", "_")
     with shuffles_end(spark):
-        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", "zstd").saveAsTable(table)
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).options(**NO_MARK).option("path", path).option("compression", "zstd").saveAsTable(table)
     out = spark.table(table)
     out.scratch, out.scratch_name = path, table
     return out
@@ -129,8 +133,8 @@ def gapless_rank(df: DataFrame, group: str, order: list[str], size: str | None =
     """Adds rank (long, from 0 without gaps in each group, by order) and, with size, before (sum of size of earlier rows).
 
     Rows are dealt by range of (group, order), so a group with a third of all rows spreads over many tasks; each task
-    counts in its own run, and offsets come from one count row per task and group: at most tasks + groups rows, the
-    bound of what is broadcast. group must not be null; rows that tie in order are interchangeable.
+    counts in its own run, and offsets come from one count row per task and group, at most tasks + groups rows, which are
+    joined. group must not be null; rows that tie in order are interchangeable.
     """
     names = df.columns
 
@@ -156,6 +160,7 @@ def gapless_rank(df: DataFrame, group: str, order: list[str], size: str | None =
     ends = local.groupBy(group, "_part").agg((F.max("_rank") + 1).alias("_n"), F.max(F.col("_before") + (F.col(size) if size else 0)).alias("_s"))
     w = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.select(group, "_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_s0"))
-    out = local.join(F.broadcast(starts), [group, "_part"])
+    # the same join at every size
+    out = local.join(starts.hint("merge"), [group, "_part"])
     more = [(F.col("_before") + F.col("_s0")).alias("before")] if size else []
     return out.select(*names, (F.col("_rank") + F.col("_n0")).alias("rank"), *more)

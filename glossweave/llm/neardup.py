@@ -34,7 +34,7 @@ from glossweave.llm.components import connected_components
 
 ROWS, BATCH, LOST, MISS = 6, 36, 1e-6, 1e-9
 MOST_BANDS = 256
-BUCKET, CLUSTER, SHINGLES, PIVOTS = 1024, 512, 4_000_000, 16
+BUCKET, CLUSTER, SHINGLES, PIVOTS, PAIRS = 1024, 512, 4_000_000, 16, 500_000
 _random = np.random.default_rng(7)
 MULTIPLIERS = _random.integers(0, 2**63, ROWS * MOST_BANDS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 PLACES = _random.integers(0, 2**63, 8, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -221,6 +221,11 @@ def survivors(nodes: DataFrame, places: int, threshold: float, miss: float = MIS
                         break
                 one.append(a)
                 two.append(a + k)
+                if sum(map(len, one)) > PAIRS:
+                    # as many pairs as make the same forest
+                    label = _labels(len(node), np.concatenate(one), np.concatenate(two))
+                    own = np.nonzero(label != np.arange(len(node)))[0]
+                    one, two = [own], [label[own]]
             if one:
                 label = _labels(len(node), np.concatenate(one), np.concatenate(two))
                 own = label != np.arange(len(node))
@@ -272,9 +277,9 @@ def _compare(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ordered.select("meeting", "node", "set").mapInArrow(run, "u long, v long").distinct()
 
 
-def exact_links(docs: DataFrame, clusters: DataFrame, percent: int, width: int = 5) -> DataFrame:
-    """u, v: edges whose components are those of the pairs of a cluster (node, cluster, n_shingles) that hold
-    100 * both >= percent * either."""
+def exact_links(docs: DataFrame, clusters: DataFrame, rows: int, percent: int, width: int = 5) -> DataFrame:
+    """u, v: edges whose components are those of the pairs of a cluster (node, cluster, n_shingles; at most so many rows) that
+    hold 100 * both >= percent * either."""
 
     def run_sets(batches):
         for b in batches:
@@ -283,29 +288,29 @@ def exact_links(docs: DataFrame, clusters: DataFrame, percent: int, width: int =
 
     named = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     # the same join at every size: whether the cluster's nodes would fit a broadcast must not change the plan
-    sets = scratch_table(named.join(clusters.select("node").hint("merge"), "node", "left_semi").mapInArrow(run_sets, "node long, set binary"), "sets")
+    sets = scratch_table(named.join(clusters.select("node").hint("merge"), "node", "left_semi").mapInArrow(run_sets, "node long, set binary"), "sets", rows=rows, per_file=20_000)
     size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
     blocks = F.ceil(F.greatest(F.col("m") / CLUSTER, F.col("s") / SHINGLES))
-    members = scratch_table(spread_join(clusters.select("node", "cluster", "n_shingles"), size.select("cluster", "m", blocks.alias("blocks")), "cluster", "m"), "members", "none")
+    members = scratch_table(spread_join(clusters.select("node", "cluster", "n_shingles"), size.select("cluster", "m", blocks.alias("blocks")), "cluster", "m"), "members", "none", rows)
     small, large = members.filter("blocks = 1"), members.filter("blocks > 1")
-    found = scratch_table(_compare(small.select("node", F.col("cluster").alias("meeting")), sets, percent), "links", "none")
+    found = scratch_table(_compare(small.select("node", F.col("cluster").alias("meeting")), sets, percent), "links", "none", rows)
     if large.isEmpty():
         return found
-    large = scratch_table(large.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks")), "large", "none")
+    large = scratch_table(large.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks")), "large", "none", rows)
     # each block meets itself and the pivots of its cluster
     chosen = Window.partitionBy("cluster").orderBy(F.xxhash64("node", F.lit("pivot")), "node")
     pivots = large.withColumn("_n", F.row_number().over(chosen)).filter(F.col("_n") <= PIVOTS)
     meet = F.xxhash64("cluster", "block", F.lit("own"))
     both = large.select("node", meet.alias("meeting")).unionByName(pivots.select("node", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).select("node", meet.alias("meeting")))
-    first = scratch_table(_compare(both.distinct(), sets, percent), "links", "none")
-    parts = connected_components(first).withColumnRenamed("component", "part")
+    first = scratch_table(_compare(both.distinct(), sets, percent), "links", "none", rows)
+    parts = connected_components(first, rows).withColumnRenamed("component", "part")
     large = large.drop("block").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     weight = large.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("p"), F.ceil(F.greatest(F.count(F.lit(1)) / CLUSTER, F.sum("n_shingles") / SHINGLES)).alias("cuts"))
     large = large.join(weight.hint("merge"), ["cluster", "part"])
     # a part over a block's size has blocks of its own; smaller ones share blocks, by size of sets
     own = F.col("p") >= CLUSTER
     name = F.when(own, F.xxhash64("part", F.pmod(F.xxhash64("node"), F.col("cuts")))).otherwise(F.xxhash64(F.floor(F.log("n_shingles") / F.log(F.lit(200.0 / (100 + percent)))), F.pmod(F.xxhash64("part"), "blocks")))
-    large = scratch_table(large.select("node", "cluster", "n_shingles", F.when(own, F.col("part")).alias("part"), name.alias("block")), "large", "none")
+    large = scratch_table(large.select("node", "cluster", "n_shingles", F.when(own, F.col("part")).alias("part"), name.alias("block")), "large", "none", rows)
     ranges = large.groupBy("cluster", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.max("part").alias("part"), F.count(F.lit(1)).alias("n"))
     one, two = ranges.alias("a"), ranges.alias("b")
     near = (100 * F.least("a.high", "b.high") >= percent * F.greatest("a.low", "b.low")) & ~F.coalesce(F.col("a.part") == F.col("b.part"), F.lit(False))
@@ -319,14 +324,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     """doc_id, n_shingles, component_id, kept of docs (doc_id, text); links from `percent` of common to all shingles."""
     rows, bands = banding(percent / 100)
     signed = scratch_table(sign(docs, rows, bands, width), "signed")
-    grouped = signed.filter("set_key is not null").groupBy("set_key")
-    classes = scratch_table(grouped.agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("m")), "classes")
+    grouped, n = signed.filter("set_key is not null").groupBy("set_key"), signed.count()
+    classes = scratch_table(grouped.agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("m")), "classes", rows=n)
     named = classes.filter("node is not null").select("node").distinct()
     nodes = signed.filter("set_key is not null").select(F.col("doc_id").alias("node"), "sig", "bands").join(named, "node", "left_semi")
-    clusters = connected_components(survivors(nodes, rows * bands, percent / 100)).withColumnRenamed("component", "cluster")
-    sized = scratch_table(clusters.join(classes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node"), "clusters")
-    found = connected_components(exact_links(docs, sized, percent, width))
+    clusters = connected_components(survivors(nodes, rows * bands, percent / 100), n)
+    most = clusters.rows
+    clusters = clusters.withColumnRenamed("component", "cluster")
+    sized = scratch_table(clusters.join(classes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node"), "clusters", "none", most)
+    found = connected_components(exact_links(docs, sized, most, percent, width), most)
     labelled = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "m")
-    out = spread_join(signed.select("doc_id", "n_shingles", "set_key"), scratch_table(labelled, "labelled", "none"), "set_key", "m", "left")
+    out = spread_join(signed.select("doc_id", "n_shingles", "set_key"), scratch_table(labelled, "labelled", "none", n), "set_key", "m", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
