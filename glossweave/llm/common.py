@@ -85,6 +85,11 @@ def forget(*tables: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores before it while df has a column of that name."""
     taken = {c.lower() for c in df.columns}
