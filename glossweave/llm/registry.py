@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.llm import ann, exact_dedup, html_text, importance, katz, langid, merge_dropout, neardup, packing, quality, sharding, token_files
+from glossweave.llm import ann, exact_dedup, html_text, importance, katz, langid, merge_dropout, neardup, packing, quality, sharding, token_files, variants
 from glossweave.llm.common import table
 
 
@@ -23,10 +23,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": lambda s, d: sharding.shard_documents(table(s, d, "documents")),
         "op9_katz_lm": lambda s, d: katz.score(table(s, d, "documents")),
         "op10_nearest": lambda s, d: ann.nearest(table(s, d, "embeddings")),
+        "op11_spelling_variants": lambda s, d: variants.group_variants(table(s, d, "documents")),
         "op12_importance": lambda s, d: importance.resample(table(s, d, "documents"), table(s, d, "benchmark")),
         "op13_exact_dedup": lambda s, d: exact_dedup.deduplicate(s, f"{d}/documents.parquet"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.sql(), "op12_importance": importance.sql(), "op13_exact_dedup": exact_dedup.sql()}
+    return {"op5_quality_rules": quality.sql(), "op11_spelling_variants": variants.sql(), "op12_importance": importance.sql(), "op13_exact_dedup": exact_dedup.sql()}
