@@ -54,9 +54,10 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
 
 def scratch_table(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None, per_file: int = 500_000) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and survives lost executors. forget() removes it.
-    rows: a bound of how many there are, where it is known; a small table then makes few files."""
+    rows: a bound of how many there are, where it is known; small rows are then dealt to few writers. As many tasks as before
+    make them."""
     path = scratch_path(df.sparkSession, name)
-    df = df if rows is None else df.coalesce(max(1, -(-rows // per_file)))
+    df = df if rows is None else df.repartition(max(1, -(-rows // per_file)))
     with shuffles_end(df.sparkSession):
         df.write.options(**NO_MARK).option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

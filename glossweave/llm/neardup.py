@@ -1,6 +1,7 @@
 """Operator 2: near-duplicates by MinHash with sequential Bayesian verification.
 
-1. Each text becomes its set of word shingles (64-bit hashes); equal sets are one class, known by its smallest doc_id.
+1. Each text becomes its set of word shingles (64-bit hashes); rows of equal sets are one class, a node with a number of its own,
+   however often the set or a doc_id repeats. Only classes are compared.
 2. A class's MinHash signature (up to ROWS hashes for each band) is banded; classes that share a band's key are candidates.
 3. Candidates in a bucket are compared batch after batch of signature places. With a uniform prior, after n places with
    m matches the posterior chance that the similarity reaches the threshold is P(Bin(n + 1, t) <= m); a pair goes when
@@ -15,7 +16,7 @@ Buckets and clusters over a bound are cut into blocks and compared block against
 one task and no pair is left out. Near copies that lie below the threshold of each other cost block pairs.
 
 Null or blank text: no shingles, linked with nothing. Rows that repeat a text are linked; rows that share a doc_id are
-one document. Null doc_id: component_id null, kept. An empty table gives no rows. A very long text is read whole by one
+one document, whose classes are linked without a comparison. Null doc_id: component_id null, kept. An empty table gives no rows. A very long text is read whole by one
 task, and so are two of them when they are compared. Other columns are ignored, whatever their names.
 """
 
@@ -121,7 +122,7 @@ def _in_blocks(texts: list, most: int = 400_000):
 
 
 def sign(docs: DataFrame, rows: int, bands: int, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the whole set), sig, bands of docs (doc_id, text); the last three null without shingles."""
+    """doc_id, text_key, n_shingles, set_key (of the whole set), sig, bands of docs (doc_id, text); the last three null without shingles."""
 
     def run(batches):
         for b in batches:
@@ -136,9 +137,14 @@ def sign(docs: DataFrame, rows: int, bands: int, width: int = 5) -> DataFrame:
                     sigs.append(sig[i].tobytes() if len(s) else None)
                     all_keys.append(keys[i] if len(s) else None)
                     i += len(s) > 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(all_keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(all_keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "set_key", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    return keyed_texts(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, sig binary, bands array<long>")
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_key: a hash that tells the texts of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
 
 
 def least_matches(threshold: float, places: int, batch: int, miss: float) -> list[tuple[int, int]]:
@@ -278,17 +284,19 @@ def _compare(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def exact_links(docs: DataFrame, clusters: DataFrame, rows: int, percent: int, width: int = 5) -> DataFrame:
-    """u, v: edges whose components are those of the pairs of a cluster (node, cluster, n_shingles; at most so many rows) that
-    hold 100 * both >= percent * either."""
+    """u, v: edges whose components are those of the pairs of a cluster (node, cluster, n_shingles, and doc_id and text_key of a
+    row with the node's text; at most so many rows) that hold 100 * both >= percent * either."""
 
     def run_sets(batches):
         for b in batches:
             sets = [s.tobytes() for texts in _in_blocks(b.column(1).to_pylist()) for s in shingle_sets(texts, width)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
-    named = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    # rows that repeat doc_id and text leave in the task that reads them, but one
+    texts = keyed_texts(docs).filter("doc_id is not null").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
     # the same join at every size: whether the cluster's nodes would fit a broadcast must not change the plan
-    sets = scratch_table(named.join(clusters.select("node").hint("merge"), "node", "left_semi").mapInArrow(run_sets, "node long, set binary"), "sets", rows=rows, per_file=20_000)
+    wanted = texts.join(clusters.select("doc_id", "text_key", "node").hint("merge"), ["doc_id", "text_key"])
+    sets = scratch_table(wanted.select("node", "text").mapInArrow(run_sets, "node long, set binary"), "sets")
     size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
     blocks = F.ceil(F.greatest(F.col("m") / CLUSTER, F.col("s") / SHINGLES))
     members = scratch_table(spread_join(clusters.select("node", "cluster", "n_shingles"), size.select("cluster", "m", blocks.alias("blocks")), "cluster", "m"), "members", "none", rows)
@@ -320,20 +328,40 @@ def exact_links(docs: DataFrame, clusters: DataFrame, rows: int, percent: int, w
     return found.unionByName(first).unionByName(second)
 
 
+def same_document(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """u, v: edges between the classes (set_key, node) of each doc_id of rows (doc_id, set_key) that has several; None if none has."""
+    key = F.xxhash64("set_key")
+    several = rows.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).filter("a <> b").select("doc_id")
+    if several.isEmpty():
+        return None
+    each = rows.join(several.hint("merge"), "doc_id", "left_semi").distinct().join(classes.hint("merge"), "set_key").select("doc_id", "node")
+    each = scratch_table(each, "several")
+    first = each.groupBy("doc_id").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("m"))
+    return spread_join(each, first, "doc_id", "m").select("u", F.col("node").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of docs (doc_id, text); links from `percent` of common to all shingles."""
     rows, bands = banding(percent / 100)
     signed = scratch_table(sign(docs, rows, bands, width), "signed")
-    grouped, n = signed.filter("set_key is not null").groupBy("set_key"), signed.count()
-    classes = scratch_table(grouped.agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("m")), "classes", rows=n)
-    named = classes.filter("node is not null").select("node").distinct()
-    nodes = signed.filter("set_key is not null").select(F.col("doc_id").alias("node"), "sig", "bands").join(named, "node", "left_semi")
-    clusters = connected_components(survivors(nodes, rows * bands, percent / 100), n)
+    n = signed.count()
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least")
+    grouped = signed.filter("set_key is not null").groupBy("set_key").agg(least, *[F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")], F.count(F.lit(1)).alias("m"))
+    # numbered where they are written, once
+    numbered = grouped.filter("least is not null").select("set_key", F.monotonically_increasing_id().alias("node"), "least.*", "n_shingles", "m", "sig", "bands")
+    classes = scratch_table(numbered, "classes")
+    clusters = connected_components(survivors(classes.select("node", "sig", "bands"), rows * bands, percent / 100), n)
     most = clusters.rows
     clusters = clusters.withColumnRenamed("component", "cluster")
-    sized = scratch_table(clusters.join(classes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node"), "clusters", "none", most)
-    found = connected_components(exact_links(docs, sized, most, percent, width), most)
-    labelled = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "m")
+    sized = scratch_table(clusters.join(classes.select("node", "doc_id", "text_key", "n_shingles").hint("merge"), "node"), "clusters", "none", most)
+    links = exact_links(docs, sized, most, percent, width)
+    same = same_document(signed.filter("set_key is not null and doc_id is not null").select("doc_id", "set_key"), classes.select("set_key", "node"))
+    found = connected_components(links if same is None else links.unionByName(same), most if same is None else n)
+    # a component is known by its smallest doc_id
+    members = scratch_table(found.join(classes.select("node", "doc_id").hint("merge"), "node"), "components", "none", found.rows)
+    lowest = members.groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("m"))
+    ends = spread_join(members.select("node", "component"), lowest, "component", "m").select("node", "lowest")
+    labelled = classes.select("set_key", "node", "doc_id", "m").join(ends.hint("merge"), "node", "left").select("set_key", F.coalesce("lowest", "doc_id").alias("component"), "m")
     out = spread_join(signed.select("doc_id", "n_shingles", "set_key"), scratch_table(labelled, "labelled", "none", n), "set_key", "m", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))

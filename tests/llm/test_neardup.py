@@ -59,3 +59,26 @@ def test_long_and_repeated(spark):
     got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     want = [(1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True), (4, 3, False), (5, 5, True), (6, 6, True)] + [(10 + i, 10, i == 0) for i in range(300)]
     assert got == want
+
+
+@pytest.mark.parametrize("unlike", [False, True])
+def test_one_id_many_times(spark, unlike):
+    """One doc_id with one text 2,000 times, or with 2,000 texts: a node for each set, whatever its rows."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(7, " ".join(base)) for _ in range(2000)] + [(8, " ".join([*base, "end"])), (9, "far away from all of the others here")]
+    if unlike:
+        rows += [(9, f"text {i} of the many that one id has {i * i}") for i in range(2000)] + [(11, "text 44 of the many that one id has 1936")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {}
+    for r in neardup.near_duplicates(docs, 85).collect():
+        got.setdefault(r.doc_id, set()).add((r.component_id, r.kept))
+    want = {7: {(7, True)}, 8: {(7, False)}, 9: {(9, True)}}
+    assert got == (want | {11: {(9, False)}} if unlike else want)
+
+
+def test_texts_of_one_id_bridge(spark):
+    """A document that has two texts links what is near to either."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, one), (5, one + " x"), (5, two), (4, two + " y"), (6, "alone in the world of words"), (None, one), (None, None)]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 3, False), (4, 3, False), (6, 6, True), (None, None, True), (None, None, True)], key=repr)
