@@ -29,7 +29,10 @@ STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+")
 #: Elements whose content is not text.
-OPAQUE = frozenset("script style noscript template svg math iframe title textarea canvas".split())
+OPAQUE = frozenset("script style noscript template svg math iframe title textarea canvas noembed noframes".split())
+#: Elements whose content holds no markup and ends at their own end tag alone.
+RAW = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in "script style textarea title iframe xmp noembed noframes".split()}
+COMMENT_END = re.compile(r"--!?>")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 BOILER = frozenset("nav footer aside form menu dialog button fieldset".split())
@@ -51,7 +54,8 @@ FEATURES = 9
 
 
 def tags(source: str):
-    """(text, tag, closing, attributes) of each piece of a page, in order; tag is None for text. Comments and declarations go.
+    """(text, tag, closing, attributes) of each piece of a page, in order; tag is None for text. Comments and declarations go, and
+    so does what is inside raw elements: quotes, `<!--` and tags there mean nothing.
 
     A quote that opens a value and is never closed is an ordinary character; so is a `<` that begins no tag, and one whose
     tag never ends. Each character is looked at a bounded number of times, whatever the markup.
@@ -66,8 +70,9 @@ def tags(source: str):
                 return
             at = lt
         if source.startswith("<!--", at):
-            end = source.find("-->", at + 4)
-            at = end + 3 if end >= 0 else n
+            # `<!-->` and `<!--->` are whole comments
+            end = COMMENT_END.search(source, at + 2)
+            at = end.end() if end else n
             continue
         m = NAME.match(source, at + 1)
         if not m and source[at + 1 : at + 2] not in ("!", "?", "/") or last[">"] < at:
@@ -91,8 +96,12 @@ def tags(source: str):
             end = source.find(">", m.end())
         else:
             end = stop.start()
-        yield "", m[1].lower(), source[at + 1] == "/", source[m.end() : end]
+        tag, closing, attributes = m[1].lower(), source[at + 1] == "/", source[m.end() : end]
+        yield "", tag, closing, attributes
         at = end + 1
+        if tag in RAW and not closing and not attributes.rstrip().endswith("/"):
+            ended = RAW[tag].search(source, at)
+            at = ended.start() if ended else n
 
 
 class Page:

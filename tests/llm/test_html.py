@@ -54,6 +54,14 @@ def test_markup(weights):
     for a in ("hidden", 'hidden=""', 'style="color:red; display : none"', "aria-hidden=true", "style='visibility:hidden'"):
         assert read(f"<article><p>{words}</p><p {a}>Gone from here, as it is not shown.</p></article>") == words, a
     assert read('<p title="it>hello world') == "hello world"
+    article = f"<article><p>{words}</p></article>"
+    for a in ("document.write(\"<a title='\");", "if (a<!--b) x();", "a = '</p><div>' + \"</scripts>\";", "x = `<script`", "<!-- hidden\n//", 'if (a < b && c > "d") {}', "'<title>'"):
+        for tag in ("script", "SCRIPT type='x'", "style", "textarea", "iframe"):
+            end = tag.split()[0].lower()
+            assert read(f"<{tag}>{a}</{end} >{article}") == words, (tag, a)
+            assert read(f"<html><head><{tag}>{a}</{end}></head><body><div class=post><p>{words}<{tag}>{a}</{end}></div>") == words, (tag, a)
+    assert read(f"<title>a <!-- b</title>{article}") == read(f"<!-->{article}") == read(f"<!--->{article}") == read(f"<!-- a > b --!>{article}") == read(f"<script src=x />{article}") == words
+    assert read(f"{article}<script>never closed <p>{words}") == words
     assert read("<article><script>var t='</p>';</script><style>p{}</style><p>" + words + "<!-- <p>no --></p></article>") == words
 
 
