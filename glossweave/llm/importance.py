@@ -2,18 +2,19 @@
 
 Features are runs of 1 to `width` words. How they are counted:
 
-1. Texts of both tables are cut, where they lie, into blocks of about BLOCK words. A block is one row: its distinct words, its
-   distinct runs as tuples of places among these words, how often each occurs, and for each document which runs it has.
-2. The dictionary maps each distinct word of all blocks to an integer id. A block's words meet it once, whatever their number
-   of occurrences, and its runs become tuples of ids.
-3. Tuples are summed over blocks. The bytes of each distinct tuple are put together from the dictionary and hashed once.
-4. Counts are joined back by bucket: a bucket's gain is floor(1000 * ln((t + 1) * (S + buckets) / ((s + 1) * (T + buckets)))),
-   for s of S features of the documents and t of T of the target in it. Gains go back to blocks by tuple.
-5. A document's weight is the floored mean of its features' gains, its score adds Gumbel noise of its doc_id, and the highest
+1. Texts of both tables are cut, where they lie, into blocks of about BLOCK words. A block has a dictionary of its distinct
+   words with an integer id for each; its runs are tuples of ids. The bytes of each distinct tuple are put together from the
+   dictionary and hashed once, and its count and bucket are joined back by the tuple's place. What is stored of a block is a
+   bucket number for each run of each document, and how many runs each bucket has.
+2. Counts are summed by bucket: a bucket's gain is floor(1000 * ln((t + 1) * (S + buckets) / ((s + 1) * (T + buckets)))),
+   for s of S features of the documents and t of T of the target in it. Gains, at most `buckets` numbers, go to the driver
+   and on to the tasks.
+3. A document's weight is the floored mean of its features' gains, its score adds Gumbel noise of its doc_id, and the highest
    scores of documents with enough words are drawn, in order, by a rank that spreads over tasks.
 
-What travels is a row for each distinct word or run of a block, so a word in every document is one row a block; only the gains,
-at most `buckets` rows, are broadcast. A task holds one block and its tuples, or one very long text, which is a block by itself.
+No text, word or run is shuffled: a row for each bucket and task is, and three numbers a document. A dictionary of all tables
+instead would move each distinct word of each block four times. A task holds one block, or one very long text, which is a
+block by itself.
 
 Null and blank texts have no features: weight 0, never drawn where `least` is over 0. A null doc_id draws the noise of an empty id
 and comes last among ties. Rows that repeat are each scored; rows that tie in score and doc_id take their ranks in any order. An
@@ -24,20 +25,20 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import gapless_rank, scratch_table
+from glossweave.llm.common import forget, gapless_rank, scratch_table
 
-BUCKETS, BLOCK, LEAST, PERCENT, SEED = 10_000, 250_000, 20, 10, 2024
+BUCKETS, BLOCK, LEAST, PERCENT, SEED = 10_000, 1_000_000, 20, 10, 2024
 #: A word: ASCII digits, letters in lower case, and all beyond ASCII; as bytes of UTF-8.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-BLOCKS = "block long, target boolean, words array<string>, tuples array<array<int>>, counts array<long>, ids array<long>, lengths array<int>, codes binary"
+BLOCKS = "target boolean, buckets array<int>, counts array<long>, ids array<long>, lengths array<int>, codes binary"
 
 
 class _Places(dict):
@@ -65,17 +66,21 @@ def runs(flat: np.ndarray, lengths: list[int], width: int):
     return tuples, np.concatenate(counts), np.concatenate(codes)
 
 
-def blocks(docs: DataFrame, target: bool, width: int) -> DataFrame:
-    """The texts of docs (doc_id, text) as BLOCKS."""
+def blocks(docs: DataFrame, target: bool, width: int, buckets: int) -> DataFrame:
+    """The texts of docs (doc_id, text) as BLOCKS: the counts of the buckets that occur, and of each text (id, number of words)
+    the buckets of its runs, those of one word of all texts first."""
+    kind = np.uint16 if buckets <= 1 << 16 else np.uint32
 
-    def block(number, places, ids, lengths, flat):
+    def block(places, ids, lengths, flat):
         tuples, counts, codes = runs(np.fromiter(flat, np.int64, len(flat)), lengths, width)
-        kind = np.uint16 if len(tuples) < 1 << 16 else np.uint32
-        row = {"block": [number], "target": [target], "words": [[w.decode() for w in places]], "tuples": [tuples], "counts": [counts], "ids": [ids], "lengths": [lengths], "codes": [codes.astype(kind).tobytes()]}
-        return pa.RecordBatch.from_pydict(row, pa.schema([("block", pa.int64()), ("target", pa.bool_()), ("words", pa.list_(pa.string())), ("tuples", pa.list_(pa.list_(pa.int32()))), ("counts", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("codes", pa.binary())]))
+        words = list(places)
+        bucket = np.fromiter((zlib.crc32(b" ".join([words[i] for i in t])) % buckets for t in tuples), np.int64, len(tuples))
+        total = np.bincount(bucket, counts, buckets).astype(np.int64)
+        some = np.nonzero(total)[0]
+        row = [pa.array([target]), pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[some]], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([bucket[codes].astype(kind).tobytes()])]
+        return pa.RecordBatch.from_arrays(row, ["target", "buckets", "counts", "ids", "lengths", "codes"])
 
     def run(batches):
-        number = 2 * (TaskContext.get().partitionId() << 32) + target
         places, ids, lengths, flat = _Places(), [], [], []
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -84,72 +89,46 @@ def blocks(docs: DataFrame, target: bool, width: int) -> DataFrame:
                 ids.append(d)
                 lengths.append(len(found))
                 if len(flat) >= BLOCK:
-                    yield block(number, places, ids, lengths, flat)
-                    number += 2
+                    yield block(places, ids, lengths, flat)
                     places, ids, lengths, flat = _Places(), [], [], []
         if ids:
-            yield block(number, places, ids, lengths, flat)
+            yield block(places, ids, lengths, flat)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
 
 
-def in_order(rows: DataFrame, place: str, value: str) -> DataFrame:
-    """block, values: the value of each place of a block (a group is one block), by place from 0."""
-    listed = F.array_sort(F.collect_list(F.struct(place, value)))
-    return rows.groupBy("block").agg(F.transform(listed, lambda x: x[value]).alias("values"))
+def gains(cut: DataFrame, buckets: int) -> np.ndarray:
+    """The gain of each bucket; one that occurs in neither table has the gain of no features. `buckets` rows at most are collected."""
+    each = cut.select("target", F.explode(F.arrays_zip("buckets", "counts")).alias("r")).groupBy(F.col("r.buckets").alias("bucket"))
+    total = lambda on: F.sum(F.when(on, F.col("r.counts")).otherwise(0))
+    rows = each.agg(total(~F.col("target")).alias("s"), total(F.col("target")).alias("t")).collect()
+    s, t = np.zeros(buckets), np.zeros(buckets)
+    for r in rows:
+        s[r["bucket"]], t[r["bucket"]] = r["s"], r["t"]
+    ratio = (t + 1.0) * (s.sum() + buckets) / ((s + 1.0) * (t.sum() + buckets))
+    return np.array([math.floor(1000 * math.log(x)) for x in ratio.tolist()], np.int64)
 
 
-def tupled(cut: DataFrame, words: DataFrame) -> DataFrame:
-    """block, target, place, tuple (ids of words), count: the distinct runs of each block."""
-    places = cut.select("block", F.posexplode("words").alias("place", "word"))
-    ids = in_order(places.join(words.hint("merge"), "word"), "place", "id")
-    one = cut.select("block", "target", F.arrays_zip("tuples", "counts").alias("r")).join(ids.hint("merge"), "block")
-    # the block's ids are read before its runs become rows, which do not carry them
-    named = F.transform("r", lambda x: F.struct(F.transform(x["tuples"], lambda i: F.get("values", i)).alias("tuple"), x["counts"].alias("count")))
-    each = one.select("block", "target", named.alias("r")).select("block", "target", F.posexplode("r").alias("place", "r"))
-    return each.select("block", "target", "place", "r.tuple", "r.count")
-
-
-def hashed(tuples: DataFrame, words: DataFrame, width: int, buckets: int) -> DataFrame:
-    """tuple, s, t, bucket of each distinct tuple: its words are joined by one space and hashed."""
-    total = lambda on: F.sum(F.when(on, F.col("count")).otherwise(0))
-    out = tuples.groupBy("tuple").agg(total(~F.col("target")).alias("s"), total(F.col("target")).alias("t"))
-    for i in range(width):
-        named = words.select(F.col("id").alias("_id"), F.col("word").alias(f"_w{i}"))
-        out = out.withColumn("_id", F.get("tuple", F.lit(i))).join(named.hint("merge"), "_id", "left" if i else "inner").drop("_id")
-    bucket = F.crc32(F.concat_ws(" ", *[f"_w{i}" for i in range(width)]).cast("binary")) % buckets
-    return out.select("tuple", "s", "t", bucket.alias("bucket"))
-
-
-def gains(counts: DataFrame, buckets: int) -> DataFrame:
-    """bucket, gain: at most `buckets` rows."""
-    each = counts.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    total = each.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    ratio = (F.col("t") + 1.0) * (F.col("all_s") + buckets) / ((F.col("s") + 1.0) * (F.col("all_t") + buckets))
-    return each.join(F.broadcast(total)).select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
-
-
-def weighed(cut: DataFrame, values: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_words, n_features, weight of the documents of blocks whose runs have these gains."""
+def weighed(cut: DataFrame, gain: np.ndarray, width: int) -> DataFrame:
+    """doc_id, n_words, n_features, weight of the documents of blocks, by the gains of buckets."""
+    kind = np.uint16 if len(gain) <= 1 << 16 else np.uint32
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                gain = np.array(r["values"] or [0], float)
-                codes = np.frombuffer(r["codes"], np.uint16 if len(gain) < 1 << 16 else np.uint32)
+                codes = np.frombuffer(r["codes"], kind)
                 n, low = np.array(r["lengths"], np.int64), 0
-                total, count = np.zeros(len(n)), np.zeros(len(n), np.int64)
+                total, count = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
                 for k in range(width):
                     size = np.maximum(n - k, 0)
-                    high = low + int(size.sum())
-                    total += np.bincount(np.repeat(np.arange(len(n)), size), gain[codes[low:high]], len(n))
-                    count, low = count + size, high
-                weight = np.floor_divide(total.astype(np.int64), np.maximum(count, 1))
+                    sums = np.concatenate([[0], np.cumsum(gain[codes[low : low + int(size.sum())]])])
+                    ends = np.cumsum(size)
+                    total += sums[ends] - sums[ends - size]
+                    count, low = count + size, low + int(ends[-1])
+                weight = np.floor_divide(total, np.maximum(count, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(n), pa.array(count), pa.array(weight)], ["doc_id", "n_words", "n_features", "weight"])
 
-    # a block in which no text has a word has no gains
-    rows = cut.filter("not target").select("block", "ids", "lengths", "codes").join(values.hint("merge"), "block", "left")
-    return rows.select("ids", "lengths", "codes", "values").mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+    return cut.filter("not target").select("ids", "lengths", "codes").mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
 
 def noise(doc_id: Column, seed: int) -> Column:
@@ -161,15 +140,10 @@ def noise(doc_id: Column, seed: int) -> Column:
 def resample(docs: DataFrame, target: DataFrame, width: int = 1, buckets: int = BUCKETS, percent: int = PERCENT, least: int = LEAST, seed: int = SEED) -> DataFrame:
     """doc_id, n_features, weight, score, rank for every row of docs (doc_id, text), drawn towards target (text)."""
     wanted = target.select(F.lit(None).cast("long").alias("doc_id"), "text")
-    cut = scratch_table(blocks(docs, False, width).unionByName(blocks(wanted, True, width)), "blocks")
-    distinct = cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.lit(0))
-    words = scratch_table(distinct.select("word", F.monotonically_increasing_id().alias("id")), "words")
-    tuples = scratch_table(tupled(cut, words), "tuples")
-    counts = scratch_table(hashed(tuples, words, width, buckets), "counts")
-    worth = counts.select("tuple", "bucket").join(F.broadcast(gains(counts, buckets)), "bucket").select("tuple", "gain")
-    own = tuples.filter("not target").select("block", "place", "tuple").join(worth.hint("merge"), "tuple")
-    scored = weighed(cut, in_order(own, "place", "gain"), width).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
+    cut = scratch_table(blocks(docs, False, width, buckets).unionByName(blocks(wanted, True, width, buckets)), "blocks")
+    scored = weighed(cut, gains(cut, buckets), width).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
     scored = scratch_table(scored, "scored")
+    forget(cut)
     able = scored.filter(F.col("n_words") >= least)
     drawn = math.floor(percent * able.count() / 100)
     order = able.select("doc_id", "n_features", "weight", "score", F.lit(0).alias("all"), (-F.col("score")).alias("low"), F.col("doc_id").isNull().alias("none"))
