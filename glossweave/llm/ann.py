@@ -5,10 +5,12 @@ vectors padded to a power of two) and a bucket for each signed axis, or pair of
 nearest signed axes; a query probes several, nearest first. Candidates are reranked exactly, in double precision, on the
 original vectors. A query whose buckets hold fewer than k rows is compared exactly with all rows of its length, in blocks.
 
-How many buckets a query probes, and whether axes are paired, is fitted for each vector length on a sample of at most FIT
-vectors, drawn by hash: the least share of rows to look at whose recall of the sample's own neighbours is RECALL. In the whole
-table neighbours are nearer, so recall there is no lower. Vectors without structure need near half of all rows; clustered ones
-a few in a thousand. Lengths with under LEAST vectors in the sample look at the nearest 1 in 8 axes.
+How many tables are used, how many buckets a query probes in each, and whether axes are paired, is fitted for each vector length
+on a sample of at most FIT vectors, drawn by hash, without most copies: of all plans whose recall of the sample's own neighbours
+is RECALL, the one with the least share of rows to look at, plus COPY for each time that a vector travels: once to each table, and a
+query to each bucket that it probes. Where that is no less than for one bucket with all rows, there is one bucket. Where the sample is all there is,
+recall is that of the sample; in a larger table neighbours are nearer. Vectors without structure need half of all rows or more;
+clustered ones a few in a thousand.
 
 Equal vectors: only the smallest k + 1 ids of a vector can be among k nearest with ties to the smaller id, so the rest leave
 before hashing and a vector with very many copies makes no large bucket; nothing is lost. Buckets over BLOCK rows are cut into
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from glossweave.llm.common import scratch_table
 
-TABLES, PROBE_SHARE, BLOCK, PAIRS, SEED = 6, 8, 8192, 16384, 11
-FIT, LEAST, RECALL, MOST_PROBES, ROWS = 8192, 512, 0.95, 256, 512
+TABLES, BLOCK, PAIRS, SEED = 6, 8192, 16384, 11
+FIT, RECALL, COPY, ROWS = 8192, 0.95, 0.02, 512
+#: Plans with pairs of axes are sought among those of so many probes; those of single axes have no bound.
+PAIR_PROBES = 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -84,32 +88,44 @@ def buckets(x: np.ndarray, table: int, probes: int, pairs: bool = False) -> np.n
     return np.concatenate(out)
 
 
-def fit(x: np.ndarray, tables: int, k: int = 5, recall: float = RECALL) -> tuple[int, bool]:
-    """(probes, pairs) with the least share of the sample x to look at that finds so much of the k nearest of its first rows."""
+def fit(x: np.ndarray, tables: int, k: int = 5, every: int = 50, recall: float = RECALL) -> tuple[int, int, bool]:
+    """(tables, probes, pairs) of the cheapest plan that finds so much of the k nearest, in the sample x, of its first rows, if
+    one in `every` rows is a query; 0 probes: all rows in one bucket."""
+    if len(x) <= k + 1:
+        return 1, 0, False
     unit = x / np.sqrt((x * x).sum(1))[:, None]
     asked = min(128, len(x))
     near = unit[:asked] @ unit.T
     near[np.arange(asked), np.arange(asked)] = -np.inf
     truth = np.argpartition(-near, k, axis=1)[:, :k]
-    best = None
+    best = (1.0 + COPY * (1 + 1 / every), 1, 0, False)
+    width = 2 * (1 << max(0, x.shape[1] - 1).bit_length())
     for pairs in (False, True):
-        width = 2 * (1 << max(0, x.shape[1] - 1).bit_length())
-        total = min(MOST_PROBES, width * width if pairs else width)
-        held = np.stack([buckets(unit, t, 1, pairs)[:, 0] for t in range(tables)])
-        probed = [buckets(unit[:asked], t, total, pairs) for t in range(tables)]
-        # the probe at which each of the neighbours turns up
-        rank = np.full(truth.shape, total)
+        total = min(PAIR_PROBES, width * width) if pairs else width
+        # the probe at which each of the neighbours turns up, and what share of rows is looked at by then
+        rank, seen = np.full(truth.shape, total), np.zeros(total)
         for t in range(tables):
-            hit = held[t][truth][:, :, None] == probed[t][:, None, :]
+            held, probed = buckets(unit, t, 1, pairs)[:, 0], buckets(unit[:asked], t, total, pairs)
+            hit = held[truth][:, :, None] == probed[:, None, :]
             rank = np.minimum(rank, np.where(hit.any(2), hit.argmax(2), total))
-        found = np.bincount(rank.reshape(-1), minlength=total + 1)[:total].cumsum() / truth.size
-        enough = np.nonzero(found >= recall)[0]
-        if len(enough):
-            probes = int(enough[0]) + 1
-            share = np.mean([np.isin(held[t], probed[t][q, :probes]).mean() for t in range(tables) for q in range(min(32, asked))])
-            if best is None or share < best[0]:
-                best = (share, probes, pairs)
-    return best[1:] if best else (max(1, 2 * (1 << max(0, x.shape[1] - 1).bit_length()) // 2), False)
+            names, sizes = np.unique(held, return_counts=True)
+            place = np.minimum(np.searchsorted(names, probed), len(names) - 1)
+            seen += (np.where(names[place] == probed, sizes[place], 0).mean(0) / len(x)).cumsum()
+            found = np.bincount(rank.reshape(-1), minlength=total + 1)[:total].cumsum() / truth.size
+            enough = np.nonzero(found >= recall)[0]
+            if len(enough):
+                probes = int(enough[0]) + 1
+                best = min(best, (seen[probes - 1] + COPY * (t + 1) * (1 + probes / every), t + 1, probes, pairs))
+    return best[1:]
+
+
+def few_copies(x: np.ndarray, k: int) -> np.ndarray:
+    """x with the first k + 1 of equal rows."""
+    _, name = np.unique(x, axis=0, return_inverse=True)
+    name = name.reshape(-1)
+    order = np.argsort(name, kind="stable")
+    nth = np.arange(len(x)) - np.searchsorted(name[order], name[order])
+    return x[np.sort(order[nth <= k])]
 
 
 def usable(vector: str) -> Column:
@@ -141,7 +157,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = TABLE
     # at most FIT vectors, the first by hash; each task hands on no more
     drawn = [np.array(r["v"], float) for r in v.select("v").orderBy(F.xxhash64("vec_id", F.lit("fit"))).limit(FIT).collect()]
     lengths = {dim: np.stack([x for x in drawn if len(x) == dim]) for dim in {len(x) for x in drawn}}
-    plans = {dim: fit(x / np.abs(x).max(1, keepdims=True), tables, k) for dim, x in lengths.items() if len(x) >= LEAST}
+    plans = {dim: fit(few_copies(x / np.abs(x).max(1, keepdims=True), k), tables, k, every) for dim, x in lengths.items()}
 
     def hashed(asked: bool | None):
         """Rows of each bucket, for queries of each that they probe; None: one row for each vector, in one bucket for each length."""
@@ -157,8 +173,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = TABLE
                     x = np.ascontiguousarray(flat[at[rows][:, None] + np.arange(dim)], kind)
                     unit = x.astype(float) / np.abs(x).max(1, keepdims=True)
                     raw = [r.tobytes() for r in x]
-                    probes, pairs = plans.get(dim, (max(1, 2 * (1 << max(0, dim - 1).bit_length()) // PROBE_SHARE), False))
-                    for t in range(tables) if asked is not None else [-1]:
+                    # a length that the sample lacks is rare: its rows are compared with each other
+                    used, probes, pairs = plans.get(dim, (1, 0, False))
+                    for t in range(used) if asked is not None and probes else [-1]:
                         a = buckets(unit, t, probes if asked else 1, pairs) if t >= 0 else np.zeros((len(rows), 1), np.int64)
                         n, p = a.shape
                         take = np.repeat(np.arange(n), p)

@@ -377,20 +377,20 @@ def test_nearest_ties_of_parallel_vectors(spark):
     assert got == list(enumerate(sorted(tied)[:5], 1))
 
 
-@pytest.mark.parametrize(("n", "clusters"), [(3000, 0), (15000, 0), (3000, 60), (15000, 300)])
-def test_nearest_recall(spark, n, clusters):
-    """At two sizes, with and without structure: recall against brute force, exact scores and order."""
-    rng = np.random.default_rng(n + clusters)
-    x = rng.standard_normal((n, 32))
+@pytest.mark.parametrize(("n", "clusters", "dim"), [(3000, 0, 32), (15000, 0, 32), (3000, 60, 32), (15000, 300, 32), (100, 0, 64), (300, 0, 64), (511, 0, 64), (600, 0, 64), (400, 0, 256), (1000, 0, 768), (1000, 50, 768)])
+def test_nearest_recall(spark, n, clusters, dim):
+    """At many sizes and lengths, with and without structure: recall against brute force, exact scores and order."""
+    rng, every = np.random.default_rng(n + clusters), 50 if n >= 3000 else 4
+    x = rng.standard_normal((n, dim))
     if clusters:
-        x = rng.standard_normal((clusters, 32))[rng.integers(0, clusters, n)] + 0.3 * x
+        x = rng.standard_normal((clusters, dim))[rng.integers(0, clusters, n)] + 0.3 * x
     x = x.astype(np.float32)
     got = collections.defaultdict(list)
-    for r in ann.nearest(spark.createDataFrame([(i, v, "x", 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, t string, rank int").repartition(4)).collect():
+    for r in ann.nearest(spark.createDataFrame([(i, v, "x", 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, t string, rank int").repartition(4), every=every).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     x = x.astype(float)
     norm, hit = np.sqrt((x * x).sum(1)), 0
-    assert sorted(got) == list(range(0, n, 50))
+    assert sorted(got) == list(range(0, n, every))
     for q, found in got.items():
         s = (x @ x[q]) / norm / norm[q]
         found.sort()
