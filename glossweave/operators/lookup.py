@@ -51,6 +51,15 @@ def first_match(candidates: DataFrame, request: list[str], order: list[str | Col
     return candidates.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def prioritised(requests: DataFrame, request: str, rows: DataFrame, row_id: str, levels: list[tuple[str, Column]]) -> DataFrame:
+    """request (normalised), priority (from 1), row_id: the first row of the first level that has the request. A level is a field
+    of rows and which rows take part; each level keeps one row of a key before requests meet it."""
+    keys = F.array_compact(F.array(*[F.when(on, F.struct(normalize(F.col(f)).alias(request), F.lit(i + 1).alias("priority"))) for i, (f, on) in enumerate(levels)]))
+    each = rows.select(row_id, F.explode(keys).alias("l")).select("l.*", row_id).filter(F.col(request) != "")
+    first = each.groupBy(request).agg(F.min(F.struct("priority", row_id)).alias("f")).select(request, "f.*")
+    return requests.select(normalize(F.col(request)).alias(request)).distinct().join(first, request)
+
+
 def merge_candidates(candidates: DataFrame, key: str, source: str, order: str) -> DataFrame:
     """key, sources (ordered, each once), first (least order), n."""
     each = candidates.filter(F.col(key) != "").groupBy(key, source).agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("c"))

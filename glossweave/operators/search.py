@@ -16,6 +16,10 @@ from glossweave.sources.shared import stored
 CAP, SEPARATOR = 10_000, "========\n"
 #: So many words meet all rows at once; more of them go in blocks of as many.
 SMALL = 10_000
+#: What tolerant patterns pass over between the letters of a word.
+GAP = r"[^\p{L}\p{N}_\s]+"
+#: So many runs of characters at most are sent to every task; of a word, so many of the rarest are looked up.
+MOST_GRAMS, PROBES = 200_000, 3
 
 
 def in_blocks(words: DataFrame, meet: Callable[[DataFrame], DataFrame], n: int | None = None) -> DataFrame:
@@ -29,36 +33,82 @@ def in_blocks(words: DataFrame, meet: Callable[[DataFrame], DataFrame], n: int |
     return reduce(DataFrame.unionByName, [meet(F.broadcast(words.filter(part == i))) for i in range(blocks)])
 
 
+def bare(c: Column) -> Column:
+    """c as tolerant patterns see it: without the characters that may stand between letters, and with one form of each letter."""
+    # letters are the same to a pattern if their capitals' small letters are; what stands between keeps the optimizer from lower(c)
+    folded = F.translate(F.lower(F.translate(F.upper(F.regexp_replace(c, GAP, "")), "ς", "Σ")), "ς", "σ")
+    return F.regexp_replace(folded, GAP, "")
+
+
+def grams(c: Column, n: int) -> Column:
+    """The distinct runs of n characters of c."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def gram_candidates(words: DataFrame, rows: DataFrame, whole: Column, row_id: str) -> DataFrame:
+    """word, row_id: rows whose text `whole` may hold a word (of words: word, not blank) as tolerant patterns find it.
+
+    Postings of runs of three characters (one or two for such words) are made for the runs that words have. A word meets the
+    rows of all its PROBES rarest runs; a run that no row has ends the search for its words. A word of punctuation alone has no
+    runs and is not in the result. Rows without a word's rarest runs are never looked at by pattern.
+    """
+    keyed = words.select("word", bare(compact(F.col("word"))).alias("_b")).withColumn("_n", F.least(F.length("_b"), F.lit(3))).filter("_n > 0")
+    sizes = [r["_n"] for r in keyed.select("_n").distinct().collect()]
+    if not sizes:
+        return words.select("word").join(rows.select(row_id).limit(0))
+    each = lambda c, on: F.flatten(F.array(*[F.when(on(n), grams(c, n)).otherwise(F.array().cast("array<string>")) for n in sizes]))
+    asked = stored(keyed.select("word", F.explode(each(F.col("_b"), lambda n: F.col("_n") == n)).alias("gram")), "grams")
+    needed = asked.select("gram").distinct()
+    # a bounded number of runs goes to every task; more of them are joined by shuffle
+    needed = F.broadcast(needed) if needed.count() <= MOST_GRAMS else needed
+    postings = rows.select(row_id, bare(whole).alias("_b")).select(row_id, F.explode(each(F.col("_b"), lambda n: F.lit(True))).alias("gram"))
+    postings = stored(postings.join(needed, "gram", "left_semi"), "postings")
+    df = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    rare = Window.partitionBy("word").orderBy(F.coalesce("df", F.lit(0)), "gram")
+    probes = asked.join(df, "gram", "left").withColumn("_r", F.row_number().over(rare)).filter(F.col("_r") <= PROBES)
+    probes = probes.withColumn("_probes", F.count(F.lit(1)).over(Window.partitionBy("word"))).select("word", "gram", "_probes")
+    met = postings.join(probes, "gram").groupBy("word", row_id).agg(F.count(F.lit(1)).alias("_met"), F.max("_probes").alias("_probes"))
+    return met.filter("_met = _probes").select("word", row_id)
+
+
 def tiered(words: DataFrame, rows: DataFrame, texts: str | list[str], row_id: str, prune: bool = True, whole: Column | None = None, index: list[str] | None = None, standalone_only: bool = False) -> DataFrame:
     """word, tier (1: standalone, 2: substring), row_id of distinct words (word).
 
     A word that the index of the columns `index` (texts unless given) knows is checked only in the rows of its posting list
     (prune); any other word is searched in all rows. A word stands alone in any of texts. Tier 2 is only for words without a
-    row in tier 1, and searches `whole` (texts, tab-parted, unless given). Words that no index serves meet all rows in blocks
-    of SMALL. Null and blank words find nothing.
+    row in tier 1, and searches `whole` (texts, tab-parted, unless given; it holds all of texts). What is searched in all rows
+    meets the rows of its gram_candidates(), and words of punctuation alone meet all rows in blocks of SMALL. Null and blank
+    words find nothing.
     """
     texts = [texts] if isinstance(texts, str) else texts
     whole = F.concat_ws("\t", *texts) if whole is None else whole
     words = stored(words.select("word").filter(compact(F.col("word")) != "").distinct(), "words")
-    n = words.count()
+    odd = words.filter(bare(compact(F.col("word"))) == "")
+    n = odd.count()
     alone = reduce(lambda a, b: a | b, [is_standalone_match(F.col(c), F.col("word")) for c in texts])
     some = rows.select(row_id, *dict.fromkeys(texts))
+    may = stored(gram_candidates(words, rows, whole, row_id), "candidates")
+
+    def meet(asked: DataFrame, table: DataFrame, matched: Column) -> DataFrame:
+        out = may.join(asked, "word", "left_semi").join(table, row_id).filter(matched).select("word", row_id)
+        if not n:
+            return out
+        return out.unionByName(in_blocks(odd.join(asked, "word", "left_semi"), lambda w: table.join(w, matched).select("word", row_id), n))
+
     if prune:
         keyed = words.withColumn("term", normalize(F.col("word")))
-        postings = inverted_index(rows, index or texts, row_id).join(keyed, "term").select("word", row_id)
+        postings = stored(inverted_index(rows, index or texts, row_id).join(keyed, "term").select("word", row_id), "postings")
         one = postings.join(some, row_id).filter(alone).select("word", row_id)
-        scan = words.join(postings.select("word").distinct(), "word", "left_anti")
-        one = one.unionByName(in_blocks(scan, lambda w: some.join(w, alone).select("word", row_id), n))
+        one = one.unionByName(meet(words.join(postings.select("word").distinct(), "word", "left_anti"), some, alone))
     else:
-        one = in_blocks(words, lambda w: some.join(w, alone).select("word", row_id), n)
+        one = meet(words, some, alone)
     one = stored(one, "standalone")
     found = one.select("word", F.lit(1).alias("tier"), row_id)
     if standalone_only:
         return found
     rest = words.join(one.select("word").distinct(), "word", "left_anti")
-    joined = rows.select(row_id, whole.alias("_whole"))
-    two = in_blocks(rest, lambda w: joined.join(w, is_substring_match(F.col("_whole"), F.col("word"))).select("word", F.lit(2).alias("tier"), row_id), n)
-    return found.unionByName(two)
+    two = meet(rest, rows.select(row_id, whole.alias("_whole")), is_substring_match(F.col("_whole"), F.col("word")))
+    return found.unionByName(two.select("word", F.lit(2).alias("tier"), row_id))
 
 
 def formatted(found: DataFrame, rows: DataFrame, entry: Column, row_id: str, cap: int = CAP) -> DataFrame:

@@ -101,10 +101,8 @@ def priority_first_match(s, d):
  select request, p as priority, p_partkey from (select request, p, p_partkey, row_number() over (partition by request order by p, p_partkey) as n from r join l on k = request) where n = 1""")
 def seven_level_priority(s, d):
     part = t(s, d, "part")
-    legs = [("p_name", "p_size % 3 = 0"), ("p_type", "p_size > 45"), ("p_brand", "true"), ("p_name", "true"), ("p_type", "p_size > 30"), ("p_brand", "true"), ("p_type", "true")]
-    keys = F.array_compact(F.array(*[F.when(F.expr(c), F.struct(text.normalize(F.col(f)).alias("request"), F.lit(i + 1).alias("priority"))) for i, (f, c) in enumerate(legs)]))
-    rows = part.select("p_partkey", F.explode(keys).alias("l")).select("l.*", "p_partkey")
-    return lookup.first_match(rows.join(part.select(text.normalize(F.col("p_type")).alias("request")).distinct(), "request"), ["request"], ["priority", "p_partkey"])
+    levels = [("p_name", "p_size % 3 = 0"), ("p_type", "p_size > 45"), ("p_brand", "true"), ("p_name", "true"), ("p_type", "p_size > 30"), ("p_brand", "true"), ("p_type", "true")]
+    return lookup.prioritised(part.select(F.col("p_type").alias("request")), "request", part, "p_partkey", [(f, F.expr(on)) for f, on in levels])
 
 
 @query("candidate_merge_dedupe", """with e as (select lower(p_name) as key, p_brand, min(p_partkey) as o, count(*) as c from part group by 1, 2)
@@ -326,11 +324,11 @@ def paired_delta(s, d):
     return evals.paired_delta(half(0), half(1), ["user_id", "event_type"], "v")
 
 
-@query("ablation_full_outer", """with a as (select event_type, user_id, count(*) as n from events where value > 40 group by 1, 2), b as (select event_type, user_id, count(*) as n from events where value <= 5 group by 1, 2)
+@query("ablation_full_outer", """with a as (select event_type, user_id, count(*) as n from events where value > 40 group by 1, 2), b as (select event_type, user_id, count(*) as n from events where value <= 40 group by 1, 2)
  select event_type, user_id, a.n as n_on, b.n as n_off, a.n - b.n as delta from a full join b using (event_type, user_id)""")
 def ablation_full_outer(s, d):
     side = lambda c, name: t(s, d, "events").filter(c).groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias(name))
-    return evals.on_off(side("value > 40", "n"), side("value <= 5", "n"), ["event_type", "user_id"], "n")
+    return evals.on_off(side("value > 40", "n"), side("value <= 40", "n"), ["event_type", "user_id"], "n")
 
 
 @query("repeat_consistency", """with x as (select user_id, event_type, count(*) as n, count(distinct cast(value as bigint) % 2) as k from events group by 1, 2)

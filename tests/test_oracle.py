@@ -1,6 +1,6 @@
 import pytest
 
-from glossweave.plans import dictionaries, evaluation  # noqa: F401
+from glossweave.plans import bridging, dictionaries, evaluation  # noqa: F401
 from glossweave.plans.queries import QUERIES, SQL
 from tests.compare import both
 
