@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,7 +157,7 @@ def bridge_gloss(russian: Column, georgian: Column, target: str | None) -> Colum
 
 @F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.str.normalize("NFC")
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
 #: Texts of these characters alone are composed as they are.
@@ -163,9 +165,9 @@ COMPOSED = r"^[\x{0}-\x{2ff}\x{400}-\x{482}\x{48a}-\x{52f}\x{10a0}-\x{10ff}\x{20
 
 
 def composed(rows: DataFrame, column: str) -> DataFrame:
-    """rows with column in Unicode's composed form (NFC). Only texts that may change leave the JVM."""
+    """rows with column in Unicode's composed form (NFC), in one pass. Only texts that may change leave the JVM."""
     safe = F.coalesce(F.col(column).rlike(COMPOSED), F.lit(True))
-    return rows.filter(safe).unionByName(rows.filter(~safe).withColumn(column, _nfc(F.col(column))))
+    return rows.withColumn(column, F.coalesce(F.when(safe, F.col(column)), _nfc(F.when(~safe, F.col(column)))))
 
 
 def clean_visitor_id(c: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import composed, coverage_tokens, normalize, strip_space
+from glossweave.operators import clients
+from glossweave.operators.lookup import ranked
+from glossweave.sources.shared import stored
 
 
 def composite_score(quality: Column, script: Column, reference: Column, strict: Column) -> Column:
@@ -19,25 +24,57 @@ def composite_score(quality: Column, script: Column, reference: Column, strict:
     return F.struct(s.alias("score"), (ok & (s >= 0.9)).alias("pass"))
 
 
+def token_counts(expected: DataFrame, actual: DataFrame, expected_id: str, actual_id: str, target: str = "english") -> tuple[DataFrame, DataFrame]:
+    """(expected_id, t, ne, total, before) and (actual_id, t, na), stored: how often an expected text (text) has a token, how many
+    tokens it has, and how many of them are rarer; and how often an actual text has a token that some expected one has."""
+    e = composed(expected.select(expected_id, "text"), "text").select(expected_id, F.explode(coverage_tokens(F.col("text"), target)).alias("t"))
+    e = stored(e.groupBy(expected_id, "t").agg(F.count(F.lit(1)).alias("ne")), "expected")
+    a = composed(actual.select(actual_id, "text"), "text").select(actual_id, F.explode(coverage_tokens(F.col("text"), target)).alias("t"))
+    a = stored(a.join(e.select("t").distinct(), "t", "left_semi").groupBy(actual_id, "t").agg(F.count(F.lit(1)).alias("na")), "actual")
+    rare = a.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    own = Window.partitionBy(expected_id)
+    order = own.orderBy(F.coalesce("df", F.lit(0)), "t").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = e.join(rare, "t", "left").select(expected_id, "t", "ne", F.sum("ne").over(own).alias("total"), F.coalesce(F.sum("ne").over(order), F.lit(0)).alias("before"))
+    return stored(ranked, "expected"), a
+
+
+def _scored(pairs: DataFrame, e: DataFrame, a: DataFrame, expected_id: str, actual_id: str) -> DataFrame:
+    """expected_id, actual_id, coverage of pairs."""
+    both = e.join(pairs, expected_id).join(a, [actual_id, "t"]).groupBy(expected_id, actual_id)
+    return both.agg((F.sum(F.least("ne", "na")) / F.max("total")).alias("coverage"))
+
+
 def coverage(expected: DataFrame, actual: DataFrame, expected_id: str, actual_id: str, least: float, target: str = "english") -> DataFrame:
     """expected_id, actual_id, coverage >= least: multiset share of expected tokens in actual.
 
     A pair that reaches the least coverage shares one of the item's rarest tokens: those that a match cannot miss all of. Only
-    pairs that meet on such a token are counted, so that common words make no pairs. least 0 meets on every token.
+    pairs that meet on such a token are counted, so that common words make no pairs. Each table is read once.
     """
-    expected, actual = composed(expected.select(expected_id, "text"), "text"), composed(actual.select(actual_id, "text"), "text")
-    e = expected.select(expected_id, F.explode(coverage_tokens(F.col("text"), target)).alias("t")).groupBy(expected_id, "t").agg(F.count(F.lit(1)).alias("ne"))
-    a = actual.select(actual_id, F.explode(coverage_tokens(F.col("text"), target)).alias("t"))
-    a = a.join(e.select("t").distinct(), "t", "left_semi").groupBy(actual_id, "t").agg(F.count(F.lit(1)).alias("na"))
-    total = e.groupBy(expected_id).agg(F.sum("ne").alias("total"))
-    rare = a.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy(expected_id).orderBy(F.coalesce("df", F.lit(0)), "t").rowsBetween(Window.unboundedPreceding, -1)
-    # tokens, rarest first, until those before make up more than a match may miss
-    probe = e.join(rare, "t", "left").join(total, expected_id).withColumn("_before", F.coalesce(F.sum("ne").over(order), F.lit(0)))
-    probe = probe.filter(F.col("_before") <= (1 - least) * F.col("total") + 1e-9).select(expected_id, "t")
+    e, a = token_counts(expected, actual, expected_id, actual_id, target)
+    probe = e.filter(F.col("before") <= (1 - least) * F.col("total") + 1e-9).select(expected_id, "t")
     pairs = probe.join(a.select(actual_id, "t"), "t").select(expected_id, actual_id).distinct()
-    both = e.join(pairs, expected_id).join(a, [actual_id, "t"]).groupBy(expected_id, actual_id).agg(F.sum(F.least("ne", "na")).alias("both")).join(total, expected_id)
-    return both.select(expected_id, actual_id, (F.col("both") / F.col("total")).alias("coverage")).filter(F.col("coverage") >= least)
+    return _scored(pairs, e, a, expected_id, actual_id).filter(F.col("coverage") >= least)
+
+
+def best_coverage(expected: DataFrame, actual: DataFrame, expected_id: str, actual_id: str, target: str = "english", steps: tuple[float, ...] = (0.1, 0.25, 0.5, 1.0), observe: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """expected_id, best: the greatest coverage of each expected text by any one actual text; those that share no token with any go.
+
+    Texts meet on an item's rarest tokens first, a share of its tokens in each step. What has not met on tokens so far covers no
+    more than the rest of the item, so a token is passed by where that rest is no more than the item's best. observe, if given,
+    gets each step's pairs.
+    """
+    e, a = token_counts(expected, actual, expected_id, actual_id, target)
+    best: DataFrame | None = None
+    for low, high in zip((0.0, *steps), steps, strict=False):
+        probe = e.filter((F.col("before") >= low * F.col("total")) & (F.col("before") < high * F.col("total")))
+        if best is not None:
+            probe = probe.join(best, expected_id, "left").filter(F.col("total") - F.col("before") > F.coalesce("best", F.lit(0.0)) * F.col("total") + 1e-9)
+        pairs = stored(probe.select(expected_id, "t").join(a.select(actual_id, "t"), "t").select(expected_id, actual_id).distinct(), "pairs")
+        if observe:
+            observe(pairs)
+        found = _scored(pairs, e, a, expected_id, actual_id).select(expected_id, F.col("coverage").alias("best"))
+        best = stored((found if best is None else best.unionByName(found)).groupBy(expected_id).agg(F.max("best").alias("best")), "best")
+    return best
 
 
 def signature(text: Column, target: str, ordered: bool = True) -> Column:
@@ -56,6 +93,24 @@ def contains_any(output: Column, values: list[str]) -> Column:
     return F.coalesce(F.exists(F.array(*map(F.lit, values)).cast("array<string>"), lambda v: F.contains(output, v)), F.lit(False))
 
 
+def rubric(rows: DataFrame, instructions: str, output: str, ask: clients.Ask, least: float, evidence: list[str] | None = None, limits: clients.Limits = clients.Limits()) -> DataFrame:
+    """rows (provider, model: the judge's) with score (0 to 1), reason and pass: what a judge says of the column output by the
+    instructions and the columns of evidence. The judge is asked once for equal prompts.
+
+    The verdict is the JSON object in the response, whatever stands around it. A score outside 0 to 1 is cut; one without a score
+    counts 1 or 0 by its pass. A null output, a failed call and a response without a verdict have a null score and do not pass.
+    """
+    parts = [F.lit(f"{instructions}\n"), *[F.concat(F.lit(f"<{c}>\n"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(f"\n</{c}>\n")) for c in evidence or []], F.lit("<output>\n"), F.col(output), F.lit('\n</output>\nAnswer with JSON: {"pass": true or false, "score": 0.0 to 1.0, "reason": "..."}')]
+    told = clients.ask_once(rows.withColumn("_prompt", F.concat(*parts)), "_prompt", ask, limits=limits)
+    verdict = F.try_parse_json(F.regexp_extract("response", r"(?s)(\{.*\})", 1))
+    passed = F.try_variant_get(verdict, "$.pass", "boolean")
+    score = F.coalesce(F.try_variant_get(verdict, "$.score", "double"), passed.cast("double"))
+    score = F.when(score.isNotNull() & ~F.isnan(score), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    reason = F.coalesce(F.try_variant_get(verdict, "$.reason", "string"), F.col("response_error"), F.when(score.isNull() & F.col(output).isNotNull(), "no verdict"))
+    agreed = F.coalesce((score >= least) & F.coalesce(passed, F.lit(True)), F.lit(False))
+    return told.select(*rows.columns, score.alias("score"), reason.alias("reason"), agreed.alias("pass"))
+
+
 def language_gate(c: Column, target: str) -> Column:
     """The looser gate: some letter of the target's script, none of the others', at most two lines, no word that wraps an answer
     anywhere in the text."""
@@ -91,9 +146,10 @@ def row_metadata(response: Column, own: Column) -> Column:
     return F.coalesce(full(response), full(own), F.create_map().cast("map<string,string>"))
 
 
-def case_number(order: list[str | Column], digits: int = 2) -> Column:
-    """The number of a row in order, from 1, with leading zeros. The order is over all rows: for files of cases."""
-    return F.format_string(f"%0{digits}d", F.row_number().over(Window.orderBy(*order)))
+def case_numbers(rows: DataFrame, order: list[str], digits: int = 2, name: str = "case_id") -> DataFrame:
+    """rows with the number of each in order, from 1, with leading zeros. Rows are numbered where they lie after a sort by range;
+    rows that tie take their numbers in any order."""
+    return ranked(rows, order, "_n").withColumn(name, F.format_string(f"%0{digits}d", "_n")).drop("_n")
 
 
 def option(rows: DataFrame, name: str, config: dict[str, str], default: str | None = None) -> Column:
@@ -133,6 +189,16 @@ def metric_means(rows: DataFrame, scores: str) -> DataFrame:
     return m.filter("v is not null").groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
 
 
+def variant_metric_means(rows: DataFrame, scores: str, group: list[str] | None = None) -> DataFrame:
+    """group, metric, n, mean of the variants `scores`, whose fields may differ by row: numbers and truth values count, by their own
+    types; text that looks like a number does not, nor do nulls and nested values."""
+    keys = group or []
+    each = rows.select(*keys, F.explode(F.try_variant_get(F.col(scores), "$", "map<string,variant>")).alias("metric", "v"))
+    kind = F.schema_of_variant("v")
+    number = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get("v", "$", "double")).when(kind == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("double"))
+    return each.select(*keys, "metric", number.alias("v")).filter("v is not null").groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+
+
 def accepted_answers(rows: DataFrame, prompt: str, answer: str) -> DataFrame:
     """prompt (normalised) and accepted: its distinct answers, sorted, parted by a bar."""
     each = rows.select(normalize(F.col(prompt)).alias("prompt"), F.col(answer).alias("a")).distinct()
@@ -158,10 +224,12 @@ def provider_summary(rows: DataFrame, label: Column, success: Column, sizes: dic
 
 
 def markdown(summary: DataFrame, columns: list[str], most: int = 1000) -> str:
-    """A table in Markdown of a summary's first rows: for reports that are read by people."""
+    """A table in Markdown of a summary, for reports that are read by people; one of over `most` rows is an error."""
     cell = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
-    rows = [[cell(r[c]) for c in columns] for r in summary.select(*columns).orderBy(columns[0]).limit(most).collect()]
-    return "\n".join(f"| {' | '.join(r)} |" for r in [columns, ["---"] * len(columns), *rows])
+    found = summary.select(*columns).orderBy(columns[0]).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of over {most} rows; write it with sinks.csv()")
+    return "\n".join(f"| {' | '.join(r)} |" for r in [columns, ["---"] * len(columns), *[[cell(r[c]) for c in columns] for r in found]])
 
 
 def paired_delta(base: DataFrame, candidate: DataFrame, keys: list[str], score: str, band: float = 0.025) -> DataFrame:

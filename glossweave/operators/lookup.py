@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import normalize, tokens
+from glossweave.sources.shared import stored
 
 
 def exact_index(rows: DataFrame, field: str, row_id: str) -> DataFrame:
@@ -60,6 +61,17 @@ def prioritised(requests: DataFrame, request: str, rows: DataFrame, row_id: str,
     return requests.select(normalize(F.col(request)).alias(request)).distinct().join(first, request)
 
 
+def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place in order as name (long, from 1 without gaps), over all rows but by no single task: rows are sorted by
+    range and numbered in each range; the ranges' first numbers come from one row for each range."""
+    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    at = stored(at.withColumn("_range", F.shiftright("_id", 33)), "ranked")
+    ends = at.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_low"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ends.select("_range", (before - F.col("_low") + 1).alias("_start"))
+    return at.join(starts, "_range").withColumn(name, F.col("_id") + F.col("_start")).select(*rows.columns, name)
+
+
 def merge_candidates(candidates: DataFrame, key: str, source: str, order: str) -> DataFrame:
     """key, sources (ordered, each once), first (least order), n."""
     each = candidates.filter(F.col(key) != "").groupBy(key, source).agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("c"))

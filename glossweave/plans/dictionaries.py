@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.functions import text
-from glossweave.operators import search
+from glossweave.operators import evals, search
 from glossweave.plans import translate
 from glossweave.plans.queries import _EDGE, TOK, _pattern, n, query, t
 from glossweave.sources import readers
@@ -18,10 +18,10 @@ PART = "row_number() over (order by p_partkey)"
 
 
 def _file(s: SparkSession, rows: DataFrame, order: str, head: list[str]) -> str:
-    """A text file of the lines (line) of rows in order, after the lines of head."""
+    """A folder of text files, by range, with the lines (line) of rows in order, after the lines of head."""
     first = s.createDataFrame([(float(i - len(head) - 1e9), x) for i, x in enumerate(head)], "o double, line string")
     path = scratch_path(s, "lines")
-    first.unionByName(rows.select(F.col(order).cast("double").alias("o"), "line")).coalesce(1).sortWithinPartitions("o").select("line").write.text(path)
+    first.unionByName(rows.select(F.col(order).cast("double").alias("o"), "line")).repartitionByRange("o").sortWithinPartitions("o").select("line").write.text(path)
     return path
 
 
@@ -64,7 +64,7 @@ def scan_overrides(s, d):
 def scan_lexicon(s, d):
     cells = t(s, d, "part").select("p_partkey", F.when(F.col("p_size") > 5, F.concat(F.lit("  "), "p_name")).otherwise("").alias("headword"), F.concat("p_brand", F.lit(' "x",  y')).alias("headword_raw"), F.col("p_type").alias("translation"))
     path = scratch_path(s, "lexicon")
-    cells.coalesce(1).sortWithinPartitions("p_partkey").select("translation", "headword", "headword_raw").write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    cells.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").select("translation", "headword", "headword_raw").write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
     return readers.master_lexicon(s, path).unionByName(readers.master_lexicon(s, path, enabled=False))
 
 
@@ -72,7 +72,7 @@ def scan_lexicon(s, d):
 def scan_eval_cases(s, d):
     cells = t(s, d, "part").select("p_partkey", F.concat(F.lit("a\n"), "p_type").alias("notes"), F.col("p_name").alias("input_text"), F.col("p_brand").alias("case_id"))
     path = scratch_path(s, "cases")
-    cells.coalesce(1).sortWithinPartitions("p_partkey").drop("p_partkey").write.option("header", True).option("escape", '"').csv(path)
+    cells.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").drop("p_partkey").write.option("header", True).option("escape", '"').csv(path)
     return readers.eval_cases(s, path).select("row_id", "case_id", "input_text", "notes", "direction")
 
 
@@ -91,14 +91,19 @@ def scan_jsonl(s, d):
     return readers.kaikki(s, path).groupBy("word", F.col("senses")[0]["glosses"][0].alias("gloss")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scan_results", "select lang as label, quality = 1 as success, count(*) as n, sum(quality) / 2.0 as score from labels join documents using (doc_id) group by 1, 2")
+@query("scan_results", """with x as (select * from labels join documents using (doc_id)) select lang as label, metric, count(*) as n, avg(v) as mean from (
+ select lang, 'score' as metric, quality / 2.0 as v from x union all select lang, 'clean', case when toxic = 0 then 1.0 else 0.0 end from x where doc_id % 2 = 0 union all select lang, 'size', n_chars + 0.5 from x where doc_id % 3 = 0) group by 1, 2""")
 def scan_results(s, d):
-    rows = t(s, d, "labels").join(t(s, d, "documents").select("doc_id", "lang"), "doc_id")
-    row = F.to_json(F.struct(F.struct(F.col("lang").alias("label")).alias("provider"), (F.col("quality") == 1).alias("success"), F.struct((F.col("quality") / 2).alias("score")).alias("gradingResult")))
-    lines = rows.select("doc_id", F.concat(row, F.lit(",")).alias("line")).unionByName(s.createDataFrame([(10**12, "{}]}}")], "doc_id long, line string"))
-    path = _file(s, lines, "doc_id", ['{"results": {"results": ['])
-    found = readers.result_rows(s, path).filter("provider is not null")
-    return found.groupBy(F.col("provider.label").alias("label"), "success").agg(F.count(F.lit(1)).alias("n"), F.sum("gradingResult.score").alias("score"))
+    """Documents of results whose rows differ in their fields and in the types of these: numbers, truth values, text and nulls."""
+    rows = t(s, d, "labels").join(t(s, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    more = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(', "size": '), F.col("n_chars") + 0.5, F.lit(', "note": {"a": 1}'))).otherwise(', "size": null, "score2": "0.7"')
+    clean = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(', "clean": '), (F.col("toxic") == 0).cast("string"))).otherwise(', "clean": "true"')
+    row = F.concat(F.lit('{"provider": {"label": "'), "lang", F.lit('"}, "namedScores": {"score": '), F.col("quality") / 2, more, clean, F.lit("}}"))
+    # a document of a hundred rows or so each
+    path = scratch_path(s, "results")
+    rows.select(F.floor(F.col("doc_id") / 100).alias("file"), row.alias("r")).groupBy("file").agg(F.array_join(F.collect_list("r"), ",").alias("r")).select(F.concat(F.lit('{"results": {"results": ['), "r", F.lit("]}}")).alias("line")).repartitionByRange(8, "line").write.option("maxRecordsPerFile", 1).text(path)
+    found = readers.result_rows(s, path).select(F.variant_get("row", "$.provider.label", "string").alias("label"), F.variant_get("row", "$.namedScores", "variant").alias("scores"))
+    return evals.variant_metric_means(found, "scores", ["label"])
 
 
 # --- search over several dictionaries

@@ -108,9 +108,27 @@ def row_helpers(s, d):
     )
 
 
-@query("case_numbers", "select item_id, printf('%03d', row_number() over (order by item_id)) as case_id from benchmark")
+@query("case_numbers", "select doc_id, printf('%03d', row_number() over (order by n_chars, doc_id)) as case_id from documents")
 def case_numbers(s, d):
-    return t(s, d, "benchmark").select("item_id", evals.case_number(["item_id"], 3).alias("case_id"))
+    return evals.case_numbers(t(s, d, "documents").select("doc_id", "n_chars"), ["n_chars", "doc_id"], 3).select("doc_id", "case_id")
+
+
+_SCORE = "(length(text) % 11) / 10.0"
+
+
+@query("rubric_scores", f"""select conv_id, turn, case when role = 'user' then null else {_SCORE} end as score, case when role = 'user' then 'no verdict' else 'n' || (length(text) % 11) end as reason, coalesce(case when role <> 'user' then {_SCORE} >= 0.8 end, false) as pass from conversations""")
+def rubric_scores(s, d):
+    """Every turn judged by a stand-in that answers as judges do: JSON in a fence, or nothing that is JSON."""
+
+    def ask(provider: str, model: str):
+        def judge(prompt: str) -> str:
+            n = len(prompt.partition("<output>\n")[2].rpartition("\n</output>")[0]) % 11
+            return "I would rather not say." if provider == "user" else f'Here it is:\n```json\n{{"pass": true, "score": {n / 10}, "reason": "n{n}"}}\n```'
+
+        return judge
+
+    rows = t(s, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("output"), F.col("role").alias("provider"), F.lit("judge-1").alias("model"))
+    return evals.rubric(rows, "Is it said well?", "output", ask, 0.8).select("conv_id", "turn", "score", "reason", "pass")
 
 
 @query("provider_summary", """with x as (select case when lang = 'de' then 'unknown' else lang end as provider, quality = 1 as ok, n_chars from labels join documents using (doc_id))

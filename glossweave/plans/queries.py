@@ -285,7 +285,7 @@ def token_coverage(s, d):
  c as (select item_id, line, sum(least(ne, na)) / max(total) as x from e join a using (t) join s using (item_id) group by 1, 2) select item_id, max(x) as best from c group by 1""")
 def best_variant_coverage(s, d):
     lines = t(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select(F.struct("doc_id", "pos").alias("line"), "text")
-    return evals.coverage(t(s, d, "benchmark"), lines, "item_id", "line", 0.0).groupBy("item_id").agg(F.max("coverage").alias("best"))
+    return evals.best_coverage(t(s, d, "benchmark"), lines, "item_id", "line")
 
 
 @query("reference_signature_match", f"""with s as (select doc_id, array_to_string({_ET}, chr(1)) as sig from documents) select md5(sig) as signature, min(doc_id) as first, count(*) as n from s where sig <> '' group by 1 having count(*) > 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions import prompts
@@ -86,18 +86,35 @@ def sentence_evidence(requests: DataFrame, lexicon: DataFrame, source: str, look
     return every.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("pos", "block"))).alias("e")).select("request_id", F.array_join(F.transform("e", lambda x: x["block"]), "\n").alias("entries"))
 
 
-def translate(requests: DataFrame, lexicon: DataFrame, bridge: DataFrame, memory: DataFrame, lookup_words: Callable[[DataFrame], DataFrame], grammar: str = "", client: Callable[[], clients.Complete] = clients.offline) -> DataFrame:
+def _metrics(values: dict[str, Column]) -> Column:
+    """A map of the values that are not null, as text."""
+    every = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*[c.cast("string") for c in values.values()]))
+    return F.map_filter(every, lambda _, v: v.isNotNull())
+
+
+def translate(
+    requests: DataFrame, lexicon: DataFrame, bridge: DataFrame | Callable[[DataFrame], DataFrame], memory: DataFrame, lookup_words: Callable[[DataFrame], DataFrame], grammar: str = "",
+    client: Callable[[], clients.Complete] = clients.offline, policy: str = "full", lexicon_enabled: bool = True, ask: clients.Ask | None = None, limits: clients.Limits = clients.Limits(),
+) -> DataFrame:
     """One row for each request (request_id unique, input_text, source, target).
 
-    lexicon: row_id, source, target, source_text, target_text, source_name; bridge and memory: source, target, source_text,
-    target_text. One distinct candidate answers; several make a shortlist for the model; none tries the bridge. Then come
+    lexicon: row_id, source, target, source_text, target_text, source_name; memory, and bridge if it is a table: source, target,
+    source_text, target_text; else bridge takes the requests without a candidate and returns request_id and answer, as
+    operators.bridge does. ask, if given, answers prompts by the provider and model of each request (columns of requests), each
+    distinct prompt once; else client answers all. One distinct candidate answers; several make a shortlist for the model; none tries the bridge. Then come
     direct machine translation for DIRECT pairs and the model for PROMPTED ones. Any other pair has response_source
     unsupported and no translation. A null or empty text has no candidates. Returns request_id, translation,
-    full_response, response_source, exact_candidate_count, used_llm, has_dictionary_entries, used_grammar, prompt_chars.
+    full_response, response_source, exact_candidate_count, used_llm, has_dictionary_entries, used_grammar, prompt_chars, and
+    prompt_metrics: what the route tells of itself, as analytics.event() takes it (policy and lexicon_enabled are told, not acted on).
     """
-    r = requests.select("request_id", "input_text", *PAIR).withColumn("_k", normalize(F.col("input_text")))
+    r = requests.select("request_id", "input_text", *PAIR, *([c for c in ("provider", "model")] if ask else [])).withColumn("_k", normalize(F.col("input_text")))
     r = r.join(exact_candidates(r, lexicon), [*PAIR, "_k"], "left").withColumn("n", F.coalesce("n", F.lit(0))).drop("_k")
-    r = clients.machine_translate(r, bridge).withColumnRenamed("mt_text", "bridged")
+    if isinstance(bridge, DataFrame):
+        r = clients.machine_translate(r, bridge).withColumnRenamed("mt_text", "bridged")
+    else:
+        # the bridge's legs, each with its translations, are for requests without a candidate
+        answers = bridge(r.filter("n = 0").select("request_id", "input_text", *PAIR))
+        r = r.join(answers.select("request_id", F.col("answer").alias("bridged")), "request_id", "left")
     r = clients.machine_translate(r, memory)
     only = F.when(F.col("n") == 1, F.col("candidates")[0]["target_text"])
     route = F.when(F.col("n") == 1, "exact_lexicon").when((F.col("n") == 0) & F.col("bridged").isNotNull(), "dictionary_google_bridge")
@@ -109,7 +126,7 @@ def translate(requests: DataFrame, lexicon: DataFrame, bridge: DataFrame, memory
     block = F.when(F.col("n") > 1, prompts.candidate_block(F.col("input_text"), F.col("source"), F.col("target"), F.col("candidates")))
     prompt = prompts.build(F.col("input_text"), F.col("source"), F.col("target"), block, F.col("entries"), F.lit(grammar))
     r = r.withColumn("prompt", F.when(F.col("response_source") == "llm", prompt)).withColumn("only", only).drop("candidates", "entries")
-    r = clients.complete(r, "prompt", client)
+    r = clients.ask_once(r, "prompt", ask, limits=limits) if ask else clients.complete(r, "prompt", client)
     source = F.col("response_source")
     told = F.coalesce(*[F.when(F.col("target") == x, extract_translation(F.col("response"), x)) for x in ("english", "georgian", "mingrelian")])
     answer = F.when(source == "exact_lexicon", F.col("only")).when(source == "dictionary_google_bridge", F.col("bridged")).when(source == "google_translate_direct", F.col("mt_text")).when(source == "llm", told)
@@ -118,7 +135,18 @@ def translate(requests: DataFrame, lexicon: DataFrame, bridge: DataFrame, memory
     for k, head in heads.items():
         full = F.when(source == k, F.concat(F.lit(head), answer)).otherwise(full)
     m = prompts.measure(F.col("prompt"))
+    llm, direct = source == "llm", source == "google_translate_direct"
+    instant = source.isin("exact_lexicon", "dictionary_google_bridge")
+    told_by = F.when(source == "exact_lexicon", "exact_lexicon").when(instant, "dictionary+google_translate")
+    codes = F.when(F.col("source") == "english", "google_translate_en_ka").otherwise("google_translate_ka_en")
+    on = lambda c: F.when(llm, c)
+    metrics = _metrics({
+        "reason": F.when(instant, "instant_lookup").when(direct, source).when(llm, "llm"), "method": F.when(direct, codes).otherwise(told_by), "used_llm": F.when(source != "unsupported", llm), "exact_candidate_count": F.when(instant | llm, F.col("n")),
+        "master_lexicon_enabled": F.when(source != "unsupported", F.lit(lexicon_enabled)), "grammar_policy": F.when(source != "unsupported", F.lit(policy)), "prompt_characters": on(m["prompt_chars"]), "prompt_chars": on(m["prompt_chars"]), "dict_entries_chars": on(m["dict_entries_chars"]),
+        "grammar_chars": on(m["grammar_chars"]), "grammar_included": on(m["grammar_included"]), "used_grammar": on(m["grammar_included"]), "has_dictionary_entries": on(m["dict_entries_chars"] > 0), "used_exact_candidate_shortlist": on(F.col("n") > 1), "skip_word_lookups": on(F.col("n") > 1),
+        "llm_call_ms": on(F.col("llm_call_ms")), "response_characters": on(F.length("response")), "translation_characters": on(F.length(told)),
+    })
     return r.select(
         "request_id", answer.alias("translation"), full.alias("full_response"), "response_source", F.col("n").alias("exact_candidate_count"), (source == "llm").alias("used_llm"),
-        (m["dict_entries_chars"] > 0).alias("has_dictionary_entries"), m["grammar_included"].alias("used_grammar"), m["prompt_chars"].alias("prompt_chars"),
+        (m["dict_entries_chars"] > 0).alias("has_dictionary_entries"), m["grammar_included"].alias("used_grammar"), m["prompt_chars"].alias("prompt_chars"), metrics.alias("prompt_metrics"),
     )

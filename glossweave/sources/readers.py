@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossweave.functions.text import compact, normalize
+from glossweave.operators.lookup import ranked
+from glossweave.sources.shared import stored
 
 KAIKKI = "lang_code string, pos string, word string, forms array<struct<form:string,tags:array<string>>>, senses array<struct<glosses:array<string>>>, _corrupt string"
 
@@ -18,6 +20,10 @@ def _status(spark: SparkSession, path: str):
     return store.getFileStatus(at) if store.exists(at) else None
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return _status(spark, path) is not None
+
+
 def resolve(spark: SparkSession, name: str, folders: list[str]) -> str:
     """The path of name in the first of folders that holds it, else in the last."""
     paths = [f"{f.rstrip('/')}/{name}" for f in folders]
@@ -101,9 +107,23 @@ def blocks(text: Column) -> Column:
 
 
 def context_entries(spark: SparkSession, path: str) -> DataFrame:
-    """row_id, entry: the paragraphs of a text file, which is one text; a missing file has none."""
-    text = F.posexplode(blocks(F.lit(whole_text(spark, path)))).alias("row_id", "entry")
-    return spark.range(1).select(text).select(F.col("row_id").cast("long"), "entry")
+    """row_id, entry: the paragraphs of a text file or folder, read split by split as one text; a missing one has none.
+
+    Blank lines are counted in each split, and one row for each split is summed up to how many come before it: lines between
+    the same blank lines are one paragraph, also where a split ends inside it. Only a paragraph is gathered.
+    """
+    if not _status(spark, path):
+        return spark.createDataFrame([], "row_id long, entry string")
+    at = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")).withColumn("_m", F.monotonically_increasing_id())
+    at = stored(at.withColumn("_blank", F.col("value").rlike(r"^\s*$").cast("long")), "lines")
+    in_split = Window.partitionBy("_f", "_b").orderBy("_m")
+    ends = at.groupBy("_f", "_b").agg(F.sum("_blank").alias("_n"))
+    earlier = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("_f", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_s"))
+    island = at.withColumn("_i", F.sum("_blank").over(in_split)).join(starts, ["_f", "_b"]).filter("_blank = 0")
+    lines_of = F.sort_array(F.collect_list(F.struct("_f", "_b", "_m", "value")))
+    whole = island.groupBy((F.col("_i") + F.col("_s")).alias("_p")).agg(compact_edges(F.array_join(F.transform(lines_of, lambda x: x["value"]), "\n")).alias("entry"))
+    return ranked(whole.filter("entry != ''"), ["_p"], "_n").select((F.col("_n") - 1).alias("row_id"), "entry")
 
 
 def table(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -151,5 +171,10 @@ def grammar(spark: SparkSession, policy: str | None, full: str, compacted: str)
 
 
 def result_rows(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each entry of results.results."""
-    return spark.read.json(path, multiLine=True).select(F.explode("results.results").alias("r")).select("r.*")
+    """file, pos and row (a variant) of each entry of results.results of the JSON files at path, whose fields may differ; each file
+    is one document, read by one task. A file whose results is no list is an error that names it."""
+    doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("doc"))
+    inner = F.when(F.schema_of_variant(F.variant_get("doc", "$.results", "variant")).startswith("OBJECT"), F.variant_get("doc", "$.results.results", "variant"))
+    listed = F.coalesce(F.schema_of_variant(inner).startswith("ARRAY"), F.lit(False))
+    rows = F.when(listed, F.variant_get(inner, "$", "array<variant>")).otherwise(F.raise_error(F.concat(F.lit("no list of results in "), "file")).cast("array<variant>"))
+    return doc.select("file", F.posexplode(rows).alias("pos", "row"))
