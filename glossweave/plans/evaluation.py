@@ -208,8 +208,32 @@ def coerced_values(s, d):
     return e.select("event_id", analytics.to_bool(F.col("f")).alias("flag"), analytics.to_int(F.col("w")).alias("whole"))
 
 
-@query("case_stems", "select word, stem from (values ('კოჩიშა', 'კოჩი'), ('კოჩიშა', 'კოჩ'), ('ცირაკი', 'ცირა'), ('ბაღანეფს', 'ბაღანეფი'), ('ბაღანეფს', 'ბაღანეფ'), ('ბაღანეფს', 'ბაღანი'), ('ბაღანეფს', 'ბაღან')) v(word, stem)")
+#: Words of documents, in Mkhedruli letter by letter, with an ending by their length: stand-ins for inflected words.
+_LATIN, _MKHEDRULI = "abcdefghijklmnopqrstuvwxyz", "აბცდეფგჰიჯკლმნოპქრსტუვწხყზ"
+_ENDED = ["", "ს", "იშ", "ეფს", "ენიშა", "ები", "ში"]
+_INFLECTED = f"""select distinct translate(w, '{_LATIN}', '{_MKHEDRULI}') || ['{"', '".join(_ENDED)}'][length(w) % {len(_ENDED)} + 1] as word from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents)"""
+
+
+def _inflected(s, d):
+    w = t(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    return w.select(F.concat(F.translate("w", _LATIN, _MKHEDRULI), F.get(F.array(*map(F.lit, _ENDED)), F.length("w") % len(_ENDED))).alias("word")).distinct()
+
+
+def _stems_sql() -> str:
+    ends = sorted({*text.CASE_ENDINGS, *[e + v for e in text.EMPHATIC_ENDINGS for v in text.EMPHATIC]}, key=lambda e: (-len(e), e))
+    forms = lambda x: f"case when {x} is null then [] when strpos('{text.VOWELS}', right({x}, 1)) = 0 then [{x} || 'ი', {x}] else [{x}] end"
+    plural = " || ".join(forms(f"case when ends_with(stem, '{p}') and length(stem) >= {len(p) + 3} then left(stem, length(stem) - {len(p)}) end") for p in text.PLURALS)
+    return f"""with w as ({_INFLECTED}), h as (select word, list_filter(['{"', '".join(ends)}'], lambda e: ends_with(word, e) and length(word) - length(e) >= 3)[1] as e from w where length(word) >= 4),
+ s as (select word, left(word, length(word) - length(e)) as stem from h where e is not null), f as (select word, unnest({forms("stem")} || {plural}) as stem from s) select distinct word, stem from f where stem <> word"""
+
+
+@query("case_stems", _stems_sql())
 def case_stems(s, d):
-    """Mkhedruli words: a whole ending, an emphatic one, a plural, and words that are too short or end otherwise."""
-    words = s.createDataFrame([("კოჩიშა",), ("ცირაკი",), ("ბაღანეფს",), ("თის",), ("წყარი",), ("ring",)], "word string")
-    return words.select("word", F.explode(text.case_strip(F.col("word"))).alias("stem"))
+    """Stems of every word of documents, inflected by a stand-in."""
+    return _inflected(s, d).select("word", F.explode(text.case_strip(F.col("word"))).alias("stem"))
+
+
+@query("georgian_variants", f"""with w as ({_INFLECTED}), v as (select word, word as variant from w union select word, left(word, length(word) - 3) || x from w, (values (''), ('ი')) e(x) where word like '%ები' and length(word) > 4
+ union select word, left(word, length(word) - 2) || x from w, (values (''), ('ი')) e(x) where word like '%ში' and length(word) > 3) select word, variant from v""")
+def georgian_variants(s, d):
+    return _inflected(s, d).select("word", F.explode(text.georgian_variants(F.col("word"))).alias("variant"))
