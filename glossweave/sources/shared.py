@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_marked: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset: a temporary folder if driver and executors are one process, else
-    a folder in the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
-        folder = tempfile.mkdtemp(prefix="glossweave-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The folder in spark.checkpoint.dir; where it is unset, a folder in the warehouse. The session's settings stay as they are."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/glossweave-{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which goes when the application ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/glossweave-{spark.sparkContext.applicationId}"
+    if root not in _marked:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+        _marked.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
