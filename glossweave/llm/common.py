@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +101,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def released(run: Callable, *caches: Callable[[], dict]) -> Callable:
+    """run (batches to batches) for mapInArrow, after which the Python worker, which stays for later tasks and for some time beside
+    stages that need none, hands its memory back: what caches give is emptied, and free memory goes to the system."""
+
+    def all_of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for c in caches:
+                c().clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only this C library has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return all_of
+
+
 def list_slices(column: pa.Array) -> Iterator[memoryview]:
     """The bytes of each row of a list<int32> column, little-endian; a null row gives none."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

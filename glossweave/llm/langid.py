@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from glossweave.llm.common import fresh
+from glossweave.llm.common import fresh, released
 
 PER_LANG, SNIPPET, SNIPPETS = 500, 110, 32_000
 HIDDEN, SPAN, POOL, EPOCHS, BATCH, RATE, SEED = 8, 160, 8.0, 6, 100, 0.02, 5
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, labelled: DataFrame, per_lang: int = PER_LANG) ->
                 at = to
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *own])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(own[0], StringType()), StructField(own[1], DoubleType())]))
+    return docs.mapInArrow(released(run), StructType([*docs.schema.fields, StructField(own[0], StringType()), StructField(own[1], DoubleType())]))
 
 
 def own_names(docs: DataFrame) -> tuple[str, str]:

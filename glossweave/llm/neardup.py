@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import scratch_table, spread_join
+from glossweave.llm.common import released, scratch_table, spread_join
 from glossweave.llm.components import connected_components
 
 ROWS, BATCH, LOST, MISS = 6, 36, 1e-6, 1e-9
@@ -52,6 +52,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def word_hashes() -> dict:
+    """The cache of this Python worker."""
+    return _hashes
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x *= np.uint64(0xFF51AFD7ED558CCD)
@@ -139,7 +144,7 @@ def sign(docs: DataFrame, rows: int, bands: int, width: int = 5) -> DataFrame:
                     i += len(s) > 0
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(all_keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "set_key", "sig", "bands"])
 
-    return keyed_texts(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    return keyed_texts(docs).mapInArrow(released(run, word_hashes), "doc_id long, text_key long, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -238,7 +243,7 @@ def survivors(nodes: DataFrame, places: int, threshold: float, miss: float = MIS
                 yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[label[own]])], ["u", "v"])
 
     # rows come sorted, so that runs of a key are whole
-    return placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "node").select("key", "bi", "bj", "node", "sig").mapInArrow(run, "u long, v long").distinct()
+    return placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "node").select("key", "bi", "bj", "node", "sig").mapInArrow(released(run), "u long, v long").distinct()
 
 
 def _links(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -280,7 +285,7 @@ def _compare(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
     ordered = placed.join(sets, "node").repartition("meeting").sortWithinPartitions("meeting", "node")
-    return ordered.select("meeting", "node", "set").mapInArrow(run, "u long, v long").distinct()
+    return ordered.select("meeting", "node", "set").mapInArrow(released(run), "u long, v long").distinct()
 
 
 def exact_links(docs: DataFrame, clusters: DataFrame, rows: int, percent: int, width: int = 5) -> DataFrame:
@@ -296,7 +301,7 @@ def exact_links(docs: DataFrame, clusters: DataFrame, rows: int, percent: int, w
     texts = keyed_texts(docs).filter("doc_id is not null").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
     # the same join at every size: whether the cluster's nodes would fit a broadcast must not change the plan
     wanted = texts.join(clusters.select("doc_id", "text_key", "node").hint("merge"), ["doc_id", "text_key"])
-    sets = scratch_table(wanted.select("node", "text").mapInArrow(run_sets, "node long, set binary"), "sets")
+    sets = scratch_table(wanted.select("node", "text").mapInArrow(released(run_sets, word_hashes), "node long, set binary"), "sets")
     size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
     blocks = F.ceil(F.greatest(F.col("m") / CLUSTER, F.col("s") / SHINGLES))
     members = scratch_table(spread_join(clusters.select("node", "cluster", "n_shingles"), size.select("cluster", "m", blocks.alias("blocks")), "cluster", "m"), "members", "none", rows)

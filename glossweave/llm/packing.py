@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import scratch_table
+from glossweave.llm.common import released, scratch_table
 from glossweave.llm.tokens import encoder
 
 WINDOW, END_ID, SWEEPS = 1024, 0, 300
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             cols = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "part", "n", "rem", "crcs", "rest", "rank", "before"])
 
-    coded = scratch_table(texts.mapInArrow(encode, "doc_id long, part int, n long, rem int, crcs array<long>, rest binary, rank long, before long"), "coded")
+    coded = scratch_table(texts.mapInArrow(released(encode, lambda: encoder(tokenizer, "byte").pieces), "doc_id long, part int, n long, rem int, crcs array<long>, rest binary, rank long, before long"), "coded")
     full = (F.col("n") / window).cast("long")
     ends = scratch_table(coded.groupBy("rem", "part").agg(F.count(F.lit(1)).alias("_n"), F.sum(full).alias("_f")), "ends")
     histogram, windows = np.zeros(window, np.int64), np.zeros(window, np.int64)
@@ -183,4 +183,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             cols = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(released(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
