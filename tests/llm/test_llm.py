@@ -433,3 +433,23 @@ def test_long_texts_and_empty_tables(spark, empty):
     assert sum(r.length for r in pieces) == len(ids_of("byte_bpe_50k.json", long)) + 1 and {r.doc_tokens for r in pieces} == {sum(r.length for r in pieces)}
     assert {(r.doc_id, r.size) for r in sharding.shard_documents(docs).collect()} == {(1, len(long.encode()) + 1), (2, 1)}
     assert {r.lang_pred for r in langid.language_id(docs).collect()} == {"en", "und"}
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.3, 0.8])
+def test_merges_one_by_one_and_together_agree(rate):
+    """The agenda of one word and the steps for many at once: the same ids and candidates for the same draws, word by word."""
+    model = merge_dropout.pieces(P.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghilmnoprstuvyéàüñ")
+    words = ["".join(rng.choice(letters, int(rng.integers(1, merge_dropout.SHORT + 1)))) for _ in range(600)] + ["retitioning", "internationalisation", "aaaaaaaaaaaa", "the", "s"] * 8
+    words = [w for w in [merge_dropout.SPACE + w for w in words] + words if len(w) <= merge_dropout.SHORT]
+    keys = rng.integers(0, 2**63, len(words), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    places = rng.integers(0, 10**6, len(words))
+    first = merge_dropout.gaps(keys, places, np.zeros(len(words), np.int64), rate)
+    many, counts, _ = model.merge_many(words, keys, places, first, rate)
+    differ = 0
+    for w, k, p, f, ids, n in zip(words, keys.tolist(), places.tolist(), first.tolist(), many, counts.tolist(), strict=True):
+        one = model.merge(w, model._skips([f], k, p, rate))
+        assert one == (ids, n), w
+        differ += ids != model.merge(w, iter([merge_dropout.NEVER]))[0]
+    assert differ > 50
