@@ -4,8 +4,11 @@ Words are runs of letters, in lower case for A-Z, of which one letter is left ou
 that are long enough and occur often enough are the vocabulary (word, n). Two words are near if one inserted, deleted or
 replaced letter parts them.
 
+Words are numbered by n, most first, and then in code-point order, so the better of two words is the one of smaller number, and
+numbers travel instead of words.
+
 - Replacements: a word is in one group for each of its places, named by (place, what is before, what is after). A group keeps
-  its size and its top two words by n. In each of its groups a word has size - 1 near words, and the best of them is the first
+  its size and its top two words. In each of its groups a word has size - 1 near words, and the best of them is the first
   of the group, or the second for the first itself. Two words meet in one group at most, so sizes add up.
 - Insertions and deletions: each distinct deletion of a word is looked up in the vocabulary. What is found is near the longer
   word, and the longer word near it; each side keeps a count and its best only.
@@ -14,10 +17,12 @@ replaced letter parts them.
 
 A word makes a row for each letter, whatever its number of near words; counts are summed in each task before they are
 shuffled, so a word in every document is one row a task. A group has at most as many rows as letters can stand at one place.
+Of a word over CHUNK letters a row holds the chunk of the place and hashes (MD5) of what is before and after that chunk.
 
 Null text has no words; neither have empty texts or those without long runs. A null doc_id hashes as an empty id. Rows that
 repeat count each. Ties in n go to the smaller word in code-point order. An empty table gives no rows. A very long text is read
-whole by one task, a very long run costs the square of its length (its deletions). Other columns are ignored, whatever their names.
+whole by one task; a very long run takes time by the square of its length over CHUNK, and room by CHUNK times its length. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +32,12 @@ from pyspark.sql import functions as F
 
 from glossweave.llm.common import forget, scratch_table
 from glossweave.llm.importance import CRC32_TABLE, crc32_sql
+from glossweave.operators.lookup import ranked
 
 LETTERS = r"A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST, TWICE, TIMES, DROP = 7, 2, 10, 31
+CHUNK = 48
 
 
 def without(word: Column, place: Column, instead: str = "") -> Column:
@@ -49,38 +56,53 @@ def vocabulary(docs: DataFrame, least: int = LEAST, twice: int = TWICE, drop: in
     return rows.select(word.alias("word")).filter(F.length("word") >= least).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= twice)
 
 
-def _rank(word: str, n: str) -> Column:
-    """The best word has the least of these."""
-    return F.struct((-F.col(n)).alias("low"), F.col(word).alias("word"))
+def _digest(part: Column) -> Column:
+    return F.when(part == "", F.lit("")).otherwise(F.md5(part.cast("binary")))
+
+
+def _chunks(words: DataFrame, more: int) -> DataFrame:
+    """id, at (before the chunk), and before, chunk and after for each chunk of CHUNK - more letters, chunks being placed as in a word
+    that is longer by `more`."""
+    count = F.ceil((F.length("word") + more) / CHUNK).cast("int")
+    cut = words.select("id", "word", F.explode(F.sequence(F.lit(0), count - 1)).alias("k")).withColumn("at", F.col("k") * CHUNK)
+    end = F.col("at") + (CHUNK - more)
+    return cut.select("id", "at", _digest(F.substr("word", F.lit(1), F.col("at"))).alias("before"), F.substr("word", F.col("at") + 1, F.lit(CHUNK - more)).alias("chunk"), _digest(F.substr("word", end + 1)).alias("after"))
+
+
+def _name(*parts: Column | str) -> Column:
+    """One string of parts, which hold no bar."""
+    return F.concat_ws("|", *parts)
 
 
 def replaced(words: DataFrame) -> DataFrame:
-    """word, near, best: for each group that holds a word with others."""
-    each = words.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("place"))
-    group = each.select("word", "n", without(F.col("word"), F.col("place"), "*").alias("group"))
-    w = Window.partitionBy("group").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    kept = group.select("word", F.count(F.lit(1)).over(w).alias("size"), F.first(_rank("word", "n")).over(w).alias("first"), F.nth_value(_rank("word", "n"), 2).over(w).alias("second"))
-    return kept.filter("size > 1").select("word", (F.col("size") - 1).alias("near"), F.when(F.col("first.word") == F.col("word"), F.col("second")).otherwise(F.col("first")).alias("best"))
+    """id, near, best: for each group that holds a word (id, word) with others."""
+    each = _chunks(words, 0).withColumn("place", F.explode(F.sequence(F.lit(1), F.length("chunk"))))
+    group = each.select("id", _name("at", "before", without(F.col("chunk"), F.col("place"), "*"), "after").alias("group"))
+    w = Window.partitionBy("group").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kept = group.select("id", F.count(F.lit(1)).over(w).alias("size"), F.first("id").over(w).alias("first"), F.nth_value("id", 2).over(w).alias("second"))
+    return kept.filter("size > 1").select("id", (F.col("size") - 1).alias("near"), F.when(F.col("first") == F.col("id"), F.col("second")).otherwise(F.col("first")).alias("best"))
 
 
 def inserted(words: DataFrame) -> DataFrame:
-    """word, near, best: for each word what its deletions find, and what finds it."""
-    shorter = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: without(F.col("word"), i)))
-    cut = words.select(F.col("word").alias("long"), F.col("n").alias("long_n"), F.explode(shorter).alias("word"))
-    found = cut.join(words.hint("merge"), "word")
-    # either end keeps a count and its best
-    ends = found.select(F.explode(F.array(F.struct(F.col("long").alias("word"), _rank("word", "n").alias("best")), F.struct("word", _rank("long", "long_n").alias("best")))).alias("e"))
-    return ends.groupBy("e.word").agg(F.count(F.lit(1)).alias("near"), F.min("e.best").alias("best"))
+    """id, near, best: for each word (id, word) what its deletions find, and what finds it."""
+    shorter = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("chunk")), lambda i: without(F.col("chunk"), i)))
+    name = lambda chunk: _name("at", "before", chunk, "after").alias("name")
+    cut = _chunks(words, 0).withColumn("one", F.explode(shorter)).select(F.col("id").alias("long"), name("one"))
+    found = cut.join(_chunks(words, 1).select(F.col("id").alias("short"), name("chunk")).hint("merge"), "name").select("long", "short")
+    # a deletion at the seam of two chunks is found by either
+    found = found.distinct()
+    ends = found.select(F.explode(F.array(F.struct(F.col("long").alias("id"), F.col("short").alias("best")), F.struct(F.col("short").alias("id"), F.col("long").alias("best")))).alias("e"))
+    return ends.groupBy("e.id").agg(F.count(F.lit(1)).alias("near"), F.min("e.best").alias("best"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
-    """word, root for forms (word, form): each round doubles how far a word looks."""
-    at = scratch_table(forms.select("word", F.col("form").alias("root")), "roots")
+    """id, root for forms (id, form): each round doubles how far a word looks."""
+    at = scratch_table(forms.select("id", F.col("form").alias("root")), "roots")
     while True:
-        step = at.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        new = scratch_table(at.join(step.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        step = at.select(F.col("id").alias("root"), F.col("root").alias("further"))
+        new = scratch_table(at.join(step.hint("merge"), "root", "left").select("id", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         forget(at)
-        at = new.select("word", "root")
+        at = new.select("id", "root")
         if new.filter("moved").isEmpty():
             return at
         at.scratch = new.scratch
@@ -88,14 +110,22 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def group_variants(docs: DataFrame, least: int = LEAST, twice: int = TWICE, times: int = TIMES, drop: int = DROP) -> DataFrame:
     """word, form, root, n, n_near, form_n of the vocabulary of docs (doc_id, text)."""
-    words = scratch_table(vocabulary(docs, least, twice, drop), "vocabulary")
-    near = replaced(words).unionByName(inserted(words)).groupBy("word").agg(F.sum("near").alias("near"), F.min("best").alias("best"))
-    rows = words.join(near.hint("merge"), "word", "left")
-    good = -F.col("best.low") >= times * F.col("n")
-    cols = [F.when(good, F.col("best.word")).alias("form"), F.when(good, -F.col("best.low")).alias("form_n"), F.coalesce("near", F.lit(0)).cast("long").alias("n_near")]
-    found = scratch_table(rows.select("word", "n", *cols), "forms")
-    ends = roots(found.filter("form is not null"))
-    return found.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    counted = scratch_table(vocabulary(docs, least, twice, drop), "vocabulary")
+    words = scratch_table(ranked(counted.withColumn("low", -F.col("n")), ["low", "word"], "id").drop("low"), "words")
+    forget(counted)
+    near = replaced(words).unionByName(inserted(words)).groupBy("id").agg(F.sum("near").alias("near"), F.min("best").alias("best"))
+    rows = words.select("id", "n").join(near.hint("merge"), "id", "left")
+    best = words.select(F.col("id").alias("best"), F.col("n").alias("best_n"))
+    rows = rows.join(best.hint("merge"), "best", "left")
+    good = F.col("best_n") >= times * F.col("n")
+    forms = scratch_table(rows.select("id", F.when(good, F.col("best")).alias("form"), F.when(good, F.col("best_n")).alias("form_n"), F.coalesce("near", F.lit(0)).cast("long").alias("n_near")), "forms")
+    linked = forms.filter("form is not null")
+    named = linked.select("id", "form", "form_n").join(roots(linked).hint("merge"), "id")
+    for end in ("form", "root"):
+        named = named.withColumnRenamed(end, "_id").join(words.select(F.col("id").alias("_id"), F.col("word").alias(end)).hint("merge"), "_id").drop("_id")
+    named = named.select("id", "form", "root", "form_n")
+    out = words.join(forms.select("id", "n_near").hint("merge"), "id").join(named.hint("merge"), "id", "left")
+    return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def sql() -> str:

@@ -66,6 +66,21 @@ def test_all_pairs(spark, seed, least, twice, times, drop):
     assert any(r[1] and r[2] != r[1] for r in want)
 
 
+@pytest.mark.parametrize("chunk", [2, 3, 5])
+def test_long_words_in_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(variants, "CHUNK", chunk)
+    docs = made(4) + [(400 + i, " ".join([w] * 2)) for i, w in enumerate(["aaaaaaa", "aaaaaa", "aabaaa", "baaaaaa", "aaaaaab", "abababab", "bababab", "abababa"])]
+    table = spark.createDataFrame([(d, t, "w", 1, 2) for d, t in docs], SCHEMA)
+    assert sorted(tuple(r) for r in variants.group_variants(table, 2, 2, 3, 31).collect()) == plain(docs, 2, 2, 3, 31)
+
+
+def test_very_long_run(spark):
+    long = "ab" * 10_000
+    docs = [(1, f"{long} {long} {long[:-1]} {long[:-1]} {long[:-1]}x {long[:-1]}x"), (2, "x" + long), (3, "x" + long)]
+    got = {(len(r.word), r.word[0], r.word[-1]): r.n_near for r in variants.group_variants(spark.createDataFrame(docs, "doc_id long, text string"), drop=10**6).collect()}
+    assert got == {(20000, "a", "b"): 3, (19999, "a", "a"): 2, (20000, "a", "x"): 2, (20001, "x", "b"): 1}
+
+
 def test_empty(spark):
     assert variants.group_variants(spark.createDataFrame([], SCHEMA)).count() == 0
 
