@@ -27,8 +27,15 @@ def label(language: Column) -> Column:
 
 
 def candidate_block(text: Column, source: Column, target: Column, candidates: Column) -> Column:
-    """The first SHORTLIST of candidates (array of struct with target_text, source_name), a block each; null without any."""
-    entry = lambda x, i: F.concat_ws("\n", F.format_string("Candidate %d:", i + 1), F.concat(F.lit("- "), label(target), F.lit(": "), x["target_text"]), F.concat(F.lit("- Source: "), x["source_name"]))
+    """The first SHORTLIST of candidates (array of struct with target_text, headword, headword_raw, translation, matched_on,
+    source_name), a block each; fields that are empty, and those that do not go with the target, are left out. Null without any."""
+    filled = lambda on, name, c: F.when(on & (F.coalesce(c, F.lit("")) != ""), F.concat(F.lit(f"- {name}: "), c))
+    to, always = F.lower(target), F.lit(True)
+
+    def entry(x, i):
+        own = [filled(to != "mingrelian", "Mingrelian", x["headword"]), filled(to.isin("mingrelian", "english"), "Mingrelian (Latinized)", x["headword_raw"]), filled(to == "mingrelian", "Gloss", x["translation"])]
+        return F.concat_ws("\n", F.format_string("Candidate %d:", i + 1), F.concat(F.lit("- "), label(target), F.lit(": "), x["target_text"]), *own, filled(always, "Matched on", x["matched_on"]), filled(always, "Source", x["source_name"]))
+
     head = F.concat(F.lit('Exact matches of "'), text, F.lit('" ('), label(source), F.lit(" → "), label(target), F.lit("); choose the one that fits, the plainest form in doubt:\n\n"))
     return F.when(F.size(candidates) > 0, F.concat(head, F.array_join(F.transform(F.slice(candidates, 1, SHORTLIST), entry), "\n\n")))
 

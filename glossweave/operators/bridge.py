@@ -86,6 +86,29 @@ def sole_entries(lexica: Lexica) -> DataFrame:
     return one.filter("a = b").select(*key, F.col("f.text").alias("text"))
 
 
+def candidate_rows(lexica: Lexica) -> DataFrame:
+    """The lexicon that translate() takes: row_id (in order of source and row), source, target, source_text, target_text, source_name,
+    headword, headword_raw, translation and matched_on of every exact candidate. Overrides stand for the dictionaries where there are
+    any, but not for the master lexicon."""
+
+    def rows(d: DataFrame, source, target, key, text, name, order, head, raw, gloss, matched) -> DataFrame:
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return d.select((F.lit(order << 50) + F.col("row_id")).alias("row_id"), lit(source).alias("source"), lit(target).alias("target"), key.alias("source_text"), text.alias("target_text"), F.lit(name).alias("source_name"), lit(head).cast("string").alias("headword"), lit(raw).cast("string").alias("headword_raw"), gloss.alias("translation"), lit(matched).alias("matched_on"))
+
+    c, o, word, sole = F.col, lexica.overrides, F.col("mingrelian"), primary("georgian", "ka")
+    own = rows(o, normalize(c("source_language")), normalize(c("target_language")), c("source_text"), c("target_text"), "translation_overrides", 0, c("source_text"), None, c("target_text"), F.concat("source_language", F.lit("->"), "target_language"))
+    plain = [rows(lexica.pairs, a, b, c(a), c(b), "sentence_pairs", 1, word, None, c("english"), a) for a, b in (("mingrelian", "english"), ("english", "mingrelian"))]
+    plain += [rows(lexica.kk, "mingrelian", "georgian", word, sole, "kk.tsv", 1, word, None, sole, "mingrelian"), rows(lexica.kk, "georgian", "mingrelian", c("georgian"), word, "kk.tsv", 1, word, None, c("georgian"), "georgian")]
+    key = ["source", "target", "_k"]
+    over = own.select("source", "target", normalize(F.col("source_text")).alias("_k")).distinct()
+    left = reduce(DataFrame.unionByName, plain).withColumn("_k", normalize(F.col("source_text"))).join(over, key, "left_anti").drop("_k")
+    m, (h, r) = lexica.lexicon.filter(F.coalesce("translation", F.lit("")) != ""), (normalize(F.col(x)) for x in ("headword", "headword_raw"))
+    heads = F.array_compact(F.array(F.when(h != "", F.struct(c("headword").alias("k"), F.when(h == r, "headword, headword_raw").otherwise("headword").alias("on"))), F.when((r != "") & (h != r), F.struct(c("headword_raw").alias("k"), F.lit("headword_raw").alias("on")))))
+    to_english = rows(m.withColumn("_e", F.explode(heads)), "mingrelian", "english", c("_e.k"), c("translation"), "master_lexicon", 2, c("headword"), c("headword_raw"), c("translation"), c("_e.on"))
+    to_word = rows(m, "english", "mingrelian", c("translation"), c("headword"), "master_lexicon", 2, c("headword"), c("headword_raw"), c("translation"), "translation")
+    return reduce(DataFrame.unionByName, [own, left, to_english, to_word]).filter(normalize(F.col("source_text")) != "")
+
+
 def found_anywhere(lexica: Lexica, target: str) -> DataFrame:
     """_k, mingrelian, text, language: the first entry of any dictionary that has the key in any column, in seven levels; where a
     Mingrelian word has glosses in two languages, the one to translate to target by."""

@@ -13,10 +13,12 @@ from glossweave.functions.extract import extract_translation, strip
 from glossweave.functions.text import english_variants, georgian_variants, is_low_value, normalize, strip_token
 from glossweave.operators import clients
 
-#: Pairs that machine translation answers by itself, and pairs that have a prompt.
+#: Pairs that machine translation answers by itself, and what builds the prompt of each pair that has one.
 DIRECT = [("english", "georgian"), ("georgian", "english")]
-PROMPTED = [("mingrelian", "english"), ("english", "mingrelian"), ("georgian", "mingrelian"), ("mingrelian", "georgian")]
+Builder = Callable[[Column, Column, Column, Column, Column, Column], Column]
+BUILDERS: dict[tuple[str, str], Builder] = {pair: prompts.build for pair in [("mingrelian", "english"), ("english", "mingrelian"), ("georgian", "mingrelian"), ("mingrelian", "georgian")]}
 PAIR = ["source", "target"]
+FIELDS = ["headword", "headword_raw", "translation"]
 
 
 def _among(pairs: list[tuple[str, str]]):
@@ -24,14 +26,27 @@ def _among(pairs: list[tuple[str, str]]):
 
 
 def exact_candidates(requests: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """source, target, _k, n (distinct targets, all of them) and candidates (the shortlist) for each key asked for."""
+    """source, target, _k, n (distinct targets, all of them) and candidates (the shortlist) for each key asked for.
+
+    Rows of one target are one candidate: its sources and what they matched on, each once in order, and the first headword,
+    headword_raw and translation that are not empty (null where the lexicon has no such column).
+    """
     asked = requests.select(*PAIR, "_k").filter("_k != ''").distinct()
-    rows = lexicon.withColumn("_k", normalize(F.col("source_text"))).join(asked, [*PAIR, "_k"], "left_semi").withColumn("_t", normalize(F.col("target_text"))).filter("_t != ''")
-    each = rows.groupBy(*PAIR, "_k", "_t").agg(F.min(F.struct("row_id", "target_text", "source_name")).alias("c"))
+    given = lambda c: F.col(c) if c in lexicon.columns else F.lit(None).cast("string")
+    rows = lexicon.select(*PAIR, normalize(F.col("source_text")).alias("_k"), normalize(F.col("target_text")).alias("_t"), "row_id", "target_text", "source_name", *[given(c).alias(c) for c in [*FIELDS, "matched_on"]])
+    rows = rows.filter("_t != ''").join(asked, [*PAIR, "_k"], "left_semi")
+    filled = [F.min(F.when(F.coalesce(c, F.lit("")) != "", F.struct("row_id", c))).alias(c) for c in FIELDS]
+    # a row for each source and field of a candidate, however many rows say so
+    each = rows.groupBy(*PAIR, "_k", "_t", "source_name", "matched_on").agg(F.min(F.struct("row_id", "target_text")).alias("c"), *filled)
+    each = each.groupBy(*PAIR, "_k", "_t").agg(F.min("c").alias("c"), F.sort_array(F.collect_list(F.struct("c.row_id", "source_name", "matched_on"))).alias("s"), *[F.min(c).alias(c) for c in FIELDS])
+    parts = F.flatten(F.transform("s", lambda x: F.split(F.coalesce(x["matched_on"], F.lit("")), r"\s*,\s*")))
+    matched = F.nullif(F.array_join(F.array_distinct(F.filter(parts, lambda x: x != "")), ", "), F.lit(""))
+    sources = F.array_join(F.array_distinct(F.transform("s", lambda x: x["source_name"])), ", ")
+    each = each.select(*PAIR, "_k", "c.row_id", "c.target_text", sources.alias("source_name"), *[F.col(f"{c}.{c}").alias(c) for c in FIELDS], matched.alias("matched_on"))
     # two aggregates that never hold more than the shortlist of a key
     count = each.groupBy(*PAIR, "_k").agg(F.count(F.lit(1)).alias("n"))
-    ranked = each.select(*PAIR, "_k", "c.*").withColumn("_n", F.row_number().over(Window.partitionBy(*PAIR, "_k").orderBy("row_id", "target_text"))).filter(F.col("_n") <= prompts.SHORTLIST)
-    short = ranked.groupBy(*PAIR, "_k").agg(F.sort_array(F.collect_list(F.struct("_n", "target_text", "source_name"))).alias("candidates"))
+    ranked = each.withColumn("_n", F.row_number().over(Window.partitionBy(*PAIR, "_k").orderBy("row_id", "target_text"))).filter(F.col("_n") <= prompts.SHORTLIST)
+    short = ranked.groupBy(*PAIR, "_k").agg(F.sort_array(F.collect_list(F.struct("_n", "target_text", "source_name", *FIELDS, "matched_on"))).alias("candidates"))
     return count.join(short, [*PAIR, "_k"])
 
 
@@ -94,7 +109,7 @@ def _metrics(values: dict[str, Column]) -> Column:
 
 def translate(
     requests: DataFrame, lexicon: DataFrame, bridge: DataFrame | Callable[[DataFrame], DataFrame], memory: DataFrame, lookup_words: Callable[[DataFrame], DataFrame], grammar: str = "",
-    client: Callable[[], clients.Complete] = clients.offline, policy: str = "full", lexicon_enabled: bool = True, ask: clients.Ask | None = None, limits: clients.Limits = clients.Limits(),
+    client: Callable[[], clients.Complete] = clients.offline, policy: str = "full", lexicon_enabled: bool = True, builders: dict[tuple[str, str], Builder] = BUILDERS, ask: clients.Ask | None = None, limits: clients.Limits = clients.Limits(),
 ) -> DataFrame:
     """One row for each request (request_id unique, input_text, source, target).
 
@@ -102,7 +117,7 @@ def translate(
     source_text, target_text; else bridge takes the requests without a candidate and returns request_id and answer, as
     operators.bridge does. ask, if given, answers prompts by the provider and model of each request (columns of requests), each
     distinct prompt once; else client answers all. One distinct candidate answers; several make a shortlist for the model; none tries the bridge. Then come
-    direct machine translation for DIRECT pairs and the model for PROMPTED ones. Any other pair has response_source
+    direct machine translation for DIRECT pairs and the model for those that have one of builders. Any other pair has response_source
     unsupported and no translation. A null or empty text has no candidates. Returns request_id, translation,
     full_response, response_source, exact_candidate_count, used_llm, has_dictionary_entries, used_grammar, prompt_chars, and
     prompt_metrics: what the route tells of itself, as analytics.event() takes it (policy and lexicon_enabled are told, not acted on).
@@ -118,13 +133,14 @@ def translate(
     r = clients.machine_translate(r, memory)
     only = F.when(F.col("n") == 1, F.col("candidates")[0]["target_text"])
     route = F.when(F.col("n") == 1, "exact_lexicon").when((F.col("n") == 0) & F.col("bridged").isNotNull(), "dictionary_google_bridge")
-    route = route.when(_among(DIRECT) & F.col("mt_text").isNotNull(), "google_translate_direct").when(_among(PROMPTED), "llm").otherwise("unsupported")
+    route = route.when(_among(DIRECT) & F.col("mt_text").isNotNull(), "google_translate_direct").when(_among(list(builders)), "llm").otherwise("unsupported")
     r = r.withColumn("response_source", route)
     # words are looked up only for requests that reach the model without a shortlist
     bare = r.filter("response_source = 'llm' and n = 0")
     r = r.join(evidence(bare, lookup_words), "request_id", "left")
     block = F.when(F.col("n") > 1, prompts.candidate_block(F.col("input_text"), F.col("source"), F.col("target"), F.col("candidates")))
-    prompt = prompts.build(F.col("input_text"), F.col("source"), F.col("target"), block, F.col("entries"), F.lit(grammar))
+    built = {f: f(F.col("input_text"), F.col("source"), F.col("target"), block, F.col("entries"), F.lit(grammar)) for f in dict.fromkeys(builders.values())}
+    prompt = F.coalesce(F.lit(None).cast("string"), *[F.when(_among([p for p, g in builders.items() if g is f]), c) for f, c in built.items()])
     r = r.withColumn("prompt", F.when(F.col("response_source") == "llm", prompt)).withColumn("only", only).drop("candidates", "entries")
     r = clients.ask_once(r, "prompt", ask, limits=limits) if ask else clients.complete(r, "prompt", client)
     source = F.col("response_source")

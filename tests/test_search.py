@@ -38,3 +38,12 @@ def test_empty(spark):
     rows, words = spark.createDataFrame([], "row_id long, entry string"), spark.createDataFrame([("mit",), ("--",)], "word string")
     assert search.tiered(words, rows, "entry", "row_id").count() == 0
     assert search.tiered(words.limit(0), spark.createDataFrame([(1, "mit")], "row_id long, entry string"), "entry", "row_id").count() == 0
+
+
+def test_standalone_only(spark):
+    """Paragraphs in which a word stands alone; without standalone_only also those that only hold it."""
+    notes = search.context(spark.createDataFrame([(1, "a ring here"), (2, "bring it"), (3, "ring-ring")], "row_id long, entry string"))
+    words = spark.createDataFrame([("ring",), ("rin",), ("zz",)], "word string")
+    line = lambda *rows: search.SEPARATOR + "".join(r + "\n" + search.SEPARATOR for r in rows)
+    assert {r.word: (r.output, r.has_standalone) for r in notes.search(words, standalone_only=True).collect()} == {"ring": (line("a ring here", "ring-ring"), True)}
+    assert {r.word: (r.output, r.has_standalone) for r in notes.search(words).collect()} == {"ring": (line("a ring here", "ring-ring"), True), "rin": (line("a ring here", "bring it", "ring-ring"), False)}

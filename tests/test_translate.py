@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from glossweave.functions import prompts
-from glossweave.operators import clients
+from glossweave.operators import bridge, clients
 from glossweave.plans import translate
 from glossweave.sources import sinks
 
@@ -78,3 +78,34 @@ def test_delivery_goes_on_after_a_failure(spark, tmp_path):
 
     sinks.deliver(spark.range(3).coalesce(1), sender)
     assert sorted(p.name for p in tmp_path.iterdir()) == ["0", "2"]
+
+
+def test_candidates_of_every_source(spark):
+    """Fifteen targets, of which twelve show; one target that several sources have is one candidate."""
+    t = spark.createDataFrame
+    lexica = bridge.Lexica(
+        t([(1, "English", "Mingrelian", "moon", "own")], "row_id long, source_language string, target_language string, source_text string, target_text string"),
+        t([(i, f"m{i:02d}", "Sun ") for i in range(15)] + [(90, "lost", "moon")], "row_id long, mingrelian string, english string"),
+        t([], "row_id long, russian string, mingrelian string"), t([(1, "m03", "r", "k1; one")], "row_id long, mingrelian string, russian string, georgian string"),
+        t([(1, "M03", "m-three", "sun"), (2, "m03", "", "SUN"), (3, "moonword", "moonword", "moon")], "row_id long, headword string, headword_raw string, translation string"),
+        t([], "source string, target string, source_text string, target_text string"),
+    )
+    asked = t([(x, "english", "mingrelian") for x in ("sun", "moon", "none")] + [("moonword", "mingrelian", "english"), ("k1; one", "georgian", "mingrelian")], "_k string, source string, target string")
+    got = {r["_k"]: r for r in translate.exact_candidates(asked, bridge.candidate_rows(lexica)).collect()}
+    assert set(got) == {"sun", "moon", "moonword", "k1; one"} and (got["sun"].n, len(got["sun"].candidates)) == (15, 12)
+    assert [c.target_text for c in got["sun"].candidates] == [f"m{i:02d}" for i in range(12)]
+    three = got["sun"].candidates[3]
+    assert (three.source_name, three.matched_on, three.headword, three.headword_raw, three.translation) == ("sentence_pairs, master_lexicon", "english, translation", "m03", "m-three", "Sun ")
+    assert [(c.target_text, c.source_name, c.matched_on) for c in got["moon"].candidates] == [("own", "translation_overrides", "English->Mingrelian"), ("moonword", "master_lexicon", "translation")]
+    assert [(c.target_text, c.matched_on) for c in got["moonword"].candidates] == [("moon", "headword, headword_raw")]
+    block = t([("sun", "english", "mingrelian")], "a string, b string, c string").crossJoin(translate.exact_candidates(asked, bridge.candidate_rows(lexica)).filter("_k = 'sun'")).select(prompts.candidate_block(F.col("a"), F.col("b"), F.col("c"), F.col("candidates"))).first()[0]
+    assert block.count("Candidate ") == 12 and "Candidate 4:\n- Mingrelian: m03\n- Mingrelian (Latinized): m-three\n- Gloss: Sun \n- Matched on: english, translation\n- Source: sentence_pairs, master_lexicon" in block
+
+
+def test_builders_by_pair(spark):
+    """A pair's own prompt; a pair without one is not supported."""
+    requests = spark.createDataFrame([(1, "a", "english", "mingrelian"), (2, "b", "mingrelian", "english"), (3, "c", "georgian", "mingrelian")], "request_id long, input_text string, source string, target string")
+    none = spark.createDataFrame([], "row_id long, source string, target string, source_text string, target_text string, source_name string")
+    own = lambda text, *_: F.concat(F.lit(f'{prompts.FINAL} "own '), text, F.lit('" from '))
+    out = translate.translate(requests, none, none, none, lambda w: w.select("word", F.lit("").alias("output")), builders={("english", "mingrelian"): own, ("mingrelian", "english"): prompts.build})
+    assert {r.request_id: (r.response_source, r.full_response) for r in out.collect()} == {1: ("llm", "<<<TRANSLATION>>>\nown a\n<<<END_TRANSLATION>>>"), 2: ("llm", "<<<TRANSLATION>>>\nb\n<<<END_TRANSLATION>>>"), 3: ("unsupported", None)}
