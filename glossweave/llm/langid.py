@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from glossweave.llm.common import fresh, released
 
-PER_LANG, SNIPPET, SNIPPETS = 500, 110, 32_000
+PER_LANG, SNIPPET, SNIPPETS, PARTS = 500, 110, 32_000, 64
 HIDDEN, SPAN, POOL, EPOCHS, BATCH, RATE, SEED = 8, 160, 8.0, 6, 100, 0.02, 5
 LETTER = regex.compile(r"\p{L}")
 
@@ -172,8 +172,11 @@ def sample(labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     d = d.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
     at = F.pmod("h", F.greatest(F.length("text") - SNIPPET, F.lit(1)).cast("long")).cast("int") + 1
     d = d.select("lang", "h", F.substring("text", at, F.lit(SNIPPET)).alias("text"))
-    w = Window.partitionBy("lang").orderBy("h", "text")
-    return d.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select("lang", "text", "h")
+    # first among PARTS shares of a language, so that no task gets more than PARTS times what is kept
+    for by in (["lang", F.pmod(F.xxhash64("h"), F.lit(PARTS))], ["lang"]):
+        w = Window.partitionBy(*by).orderBy("h", "text")
+        d = d.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select("lang", "text", "h")
+    return d
 
 
 def identify(docs: DataFrame, labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
