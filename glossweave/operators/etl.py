@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import compact, normalize
+from glossweave.sources.shared import dealt
 
 #: How glosses begin, and what they hold, that are not translations.
 BAD_PREFIXES = [
@@ -23,52 +25,81 @@ def _starts(c: Column) -> Column:
     return c.rlike("^(?:" + "|".join(map(re.escape, BAD_PREFIXES)) + ")")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _reason(raw: Column, most: int) -> Column:
+    """reject_reason of a compact gloss."""
+    holds = "|".join(map(re.escape, BAD_FRAGMENTS))
+
+    def reason(low):
+        out = F.when(raw == "", "empty_gloss").when(F.length(raw) > most, "long_gloss").when(_starts(low), "gloss_prefix")
+        return out.when(low.rlike(holds), "gloss_fragment").when(F.contains(raw, F.lit(":")), "gloss_explanation")
+
+    return _let(F.lower(raw), reason)
+
+
 def reject_reason(gloss: Column, most: int) -> Column:
     """Null for a gloss that may hold candidates."""
-    holds = "|".join(map(re.escape, BAD_FRAGMENTS))
+    return _let(compact(gloss), lambda raw: _reason(raw, most))
 
-    def reason(x):
-        out = F.when(x["raw"] == "", "empty_gloss").when(F.length(x["raw"]) > most, "long_gloss").when(_starts(x["low"]), "gloss_prefix")
-        return out.when(x["low"].rlike(holds), "gloss_fragment").when(F.contains(x["raw"], F.lit(":")), "gloss_explanation")
 
-    # both forms are worked out once, not in each branch
-    return F.element_at(F.transform(F.transform(F.array(compact(gloss)), lambda raw: F.struct(raw.alias("raw"), F.lower(raw).alias("low"))), reason), 1)
+def _parts(raw: Column, most: int) -> Column:
+    """candidates of a compact gloss that is not rejected. Parts of compact text are compact once trimmed."""
+    named = lambda x: F.struct(x.alias("x"), F.lower(x).alias("low"))
+    fit = lambda p: (p["x"] != "") & (F.length(p["x"]) <= most) & (F.length(p["x"]) != 1) & ~_starts(p["low"])
+    every = lambda whole: F.filter(F.transform(F.concat(F.array(whole), F.split(whole, PARTS)), lambda x: named(F.btrim(x, F.lit(" .;,:")))), fit)
+    once = lambda parts: _let(F.transform(parts, lambda p: p["low"]), lambda lows: F.filter(parts, lambda p, i: F.array_position(lows, p["low"]) == i + 1))
+    whole = compact(F.regexp_replace(raw, r"\s*\([^)]*\)", ""))
+    return F.transform(_let(_let(whole, every), once), lambda p: p["x"])
 
 
 def candidates(gloss: Column, most: int) -> Column:
     """The gloss without parentheses, then its parts; each once by normalised form."""
-    whole = compact(F.regexp_replace(compact(gloss), r"\s*\([^)]*\)", ""))
-    parts = F.transform(F.concat(F.array(whole), F.split(whole, PARTS)), lambda x: compact(F.btrim(x, F.lit(" .;,:"))))
-    fit = F.filter(parts, lambda x: (x != "") & (F.length(x) <= most) & (F.length(x) != 1) & ~_starts(normalize(x)))
-    once = F.filter(F.transform(fit, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_position(F.transform(fit, normalize), normalize(s["x"])) == s["i"] + 1)
-    return F.when(reject_reason(gloss, most).isNull(), F.transform(once, lambda s: s["x"])).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return _let(compact(gloss), lambda raw: F.when(_reason(raw, most).isNull(), _parts(raw, most)).otherwise(none))
+
+
+def gloss_outcome(gloss: Column, most: int) -> Column:
+    """struct(reason, candidates): why a gloss gives no row (reject_reason, or that no candidate is left), null if it gives some."""
+    none = F.array().cast("array<string>")
+    of = lambda reason, found: F.struct(reason.alias("reason"), found.alias("candidates"))
+    found = lambda c: of(F.when(F.size(c) == 0, "no_clean_gloss_candidate"), c)
+    return _let(compact(gloss), lambda raw: _let(_reason(raw, most), lambda reason: F.when(reason.isNull(), _let(_parts(raw, most), found)).otherwise(of(reason, none))))
 
 
 def gloss_reason(gloss: Column, most: int) -> Column:
-    """Why a gloss gives no row: reject_reason, or that no candidate is left."""
-    return F.coalesce(reject_reason(gloss, most), F.when(F.size(candidates(gloss, most)) == 0, "no_clean_gloss_candidate"))
+    """Why a gloss gives no row."""
+    return gloss_outcome(gloss, most)["reason"]
 
 
 def import_rows(entries: DataFrame, language: str, kinds: list[str], most: int = 80) -> tuple[DataFrame, DataFrame]:
     """(rows, reasons) of entries (line, lang_code, pos, word, forms, senses): rows line, headword, headword_raw, translation, one
     for each normalised triple, the first in the file; reasons reason, n of what was left out, and duplicates, most first.
 
-    A line that is no JSON has null for all but line.
+    A line that is no JSON has null for all but line. Either result reads the entries once and works each gloss out once.
     """
     bad = F.col("word").isNull() & F.col("lang_code").isNull() & F.col("senses").isNull()
-    e = entries.withColumn("reason", F.when(bad, "invalid_json").otherwise(entry_reason(F.col("lang_code"), F.col("pos"), F.col("word"), language, kinds)))
-    roman = F.coalesce(compact(romanization(F.col("forms"))), F.lit(""))
-    good = e.filter("reason is null").select("line", compact(F.col("word")).alias("headword"), roman.alias("headword_raw"), "senses")
-    senses = good.select("line", "headword", "headword_raw", F.posexplode("senses").alias("i", "s"))
-    none = senses.filter(F.coalesce(F.size("s.glosses"), F.lit(0)) <= 0).select(F.lit("sense_without_gloss").alias("reason"))
-    glosses = senses.select("line", "headword", "headword_raw", "i", F.posexplode("s.glosses").alias("j", "g")).withColumn("reason", gloss_reason(F.col("g"), most))
-    each = glosses.filter("reason is null").select("line", "headword", "headword_raw", "i", "j", F.posexplode(candidates(F.col("g"), most)).alias("k", "translation"))
-    w = Window.partitionBy(*[normalize(F.col(c)) for c in ("headword", "headword_raw", "translation")]).orderBy("line", "i", "j", "k")
-    ranked = each.withColumn("_n", F.row_number().over(w))
-    rows = ranked.filter("_n = 1").select("line", "i", "j", "k", "headword", "headword_raw", "translation")
-    left = e.filter("reason is not null").select("reason").unionByName(none).unionByName(glosses.filter("reason is not null").select("reason"))
-    left = left.unionByName(ranked.filter("_n > 1").select(F.lit("duplicate").alias("reason")))
-    return rows, reason_counts(left, "reason").orderBy(F.desc("n"), "reason")
+    e = dealt(entries).withColumn("reason", F.when(bad, "invalid_json").otherwise(entry_reason(F.col("lang_code"), F.col("pos"), F.col("word"), language, kinds)))
+    roman, good = F.coalesce(compact(romanization(F.col("forms"))), F.lit("")), F.col("reason").isNull()
+    e = e.select("line", "reason", F.when(good, compact(F.col("word"))).alias("headword"), F.when(good, roman).alias("headword_raw"), F.when(good, F.col("senses")).alias("senses"))
+    # outer, so that what is left out stays as a row with its reason
+    senses = e.select("line", "reason", "headword", "headword_raw", F.posexplode_outer("senses").alias("i", "s")).filter("reason is not null or i is not null")
+    glosses = senses.select("line", "reason", "headword", "headword_raw", "i", F.posexplode_outer("s.glosses").alias("j", "g"))
+    nothing = F.coalesce("reason", F.when(F.col("j").isNull(), "sense_without_gloss"))
+    outcome = F.when(nothing.isNull(), gloss_outcome(F.col("g"), most)).otherwise(F.struct(nothing.alias("reason"), F.array().cast("array<string>").alias("candidates")))
+    told = glosses.select("line", "headword", "headword_raw", "i", "j", outcome.alias("o"))
+    each = told.select("line", "headword", "headword_raw", "i", "j", F.col("o.reason").alias("reason"), F.posexplode_outer("o.candidates").alias("k", "translation"))
+    # all three are compact
+    triple = {f"_{c}": F.lower(c) for c in ("headword", "headword_raw", "translation")}
+    w = Window.partitionBy(*triple.values()).orderBy("line", "i", "j", "k")
+    # a filter on reason would go below the explode and work each outcome out again
+    rows = each.filter("k is not null").withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("line", "i", "j", "k", "headword", "headword_raw", "translation")
+    groups = each.groupBy("reason", *[F.when(F.col("reason").isNull(), c).alias(a) for a, c in triple.items()]).agg(F.count(F.lit(1)).alias("n"))
+    left = groups.select(F.coalesce("reason", F.lit("duplicate")).alias("reason"), F.when(F.col("reason").isNull(), F.col("n") - 1).otherwise(F.col("n")).alias("n"))
+    return rows, left.groupBy("reason").agg(F.sum("n").alias("n")).filter("n > 0").orderBy(F.desc("n"), "reason")
 
 
 def import_summary(base: DataFrame, candidates_: DataFrame) -> DataFrame:
