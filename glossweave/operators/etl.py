@@ -104,12 +104,12 @@ def import_rows(entries: DataFrame, language: str, kinds: list[str], most: int =
 
 def import_summary(base: DataFrame, candidates_: DataFrame) -> DataFrame:
     """base_rows, candidate_rows, combined_rows and added_rows: how many rows (headword, headword_raw, translation) there are, one
-    for each normalised headword and translation, with and without the candidates."""
-    key = lambda d: d.select(normalize(F.coalesce(F.nullif(compact(F.col("headword")), F.lit("")), F.col("headword_raw"))).alias("h"), normalize(F.col("translation")).alias("t")).filter("h != '' and t != ''")
-    both = key(base).withColumn("own", F.lit(1)).unionByName(key(candidates_).withColumn("own", F.lit(0))).groupBy("h", "t").agg(F.max("own").alias("own"))
-    count = F.count(F.lit(1))
-    one = base.agg(count.alias("base_rows")).withColumn("_k", F.lit(1)).join(candidates_.agg(count.alias("candidate_rows")).withColumn("_k", F.lit(1)), "_k")
-    return one.join(both.agg(count.alias("combined_rows"), F.sum((F.col("own") == 0).cast("long")).alias("added_rows")).withColumn("_k", F.lit(1)), "_k").drop("_k")
+    for each normalised headword and translation, with and without the candidates. Each table is read once."""
+    key = lambda d: d.select(normalize(F.coalesce(F.nullif(compact(F.col("headword")), F.lit("")), F.col("headword_raw"))).alias("h"), normalize(F.col("translation")).alias("t"))
+    both = key(dealt(base)).withColumn("own", F.lit(1)).unionByName(key(candidates_).withColumn("own", F.lit(0)))
+    pairs = both.groupBy("h", "t").agg(F.sum("own").alias("base"), F.sum(1 - F.col("own")).alias("more"))
+    total, fit = lambda c: F.coalesce(F.sum(c), F.lit(0)), (F.col("h") != "") & (F.col("t") != "")
+    return pairs.agg(total("base").alias("base_rows"), total("more").alias("candidate_rows"), F.count_if(fit).alias("combined_rows"), F.count_if(fit & (F.col("base") == 0)).alias("added_rows"))
 
 
 def entry_reason(lang: Column, pos: Column, word: Column, language: str, kinds: list[str]) -> Column:

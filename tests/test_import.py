@@ -37,3 +37,14 @@ def test_import_reads_entries_once(spark):
     one = entries(spark).coalesce(1)
     for df in etl.import_rows(one, "xx", ["noun"]):
         assert plan(df).count("LogicalRDD") == 1 and plan(df).count("array_position") == 1 and "Repartition" in plan(df)
+
+
+def test_import_summary_odd_rows(spark):
+    """One pass over each table; blank ones count as rows but make no pair."""
+    names = "headword string, headword_raw string, translation string"
+    base = spark.createDataFrame([("A", "x", "One"), (" a ", "y", "one"), (None, "b", "two"), ("  ", "b", "TWO"), (None, None, "z"), ("c", "", None)], names)
+    more = spark.createDataFrame([("a", "", "one "), ("A", "", "new"), ("a", "", "NEW"), (None, " B", "two"), ("d", "", " ")], names)
+    out = etl.import_summary(base, more)
+    assert [r.asDict() for r in out.collect()] == [{"base_rows": 6, "candidate_rows": 5, "combined_rows": 3, "added_rows": 1}]
+    assert plan(out).count("LogicalRDD") == 2
+    assert tuple(etl.import_summary(base.limit(0), more.limit(0)).first()) == (0, 0, 0, 0)
