@@ -11,7 +11,7 @@ from glossweave.functions import extract, prompts, text
 from glossweave.operators import analytics, clients, etl, evals, lookup, search
 from glossweave.plans import translate
 from glossweave.sources import readers, sinks
-from glossweave.sources.shared import scratch_path
+from glossweave.sources.shared import dealt, scratch_path
 from glossweave.streaming.events import append_events
 
 NORM = r"lower(regexp_replace(regexp_replace(coalesce({0},''),'^[\s\p{{Z}}]+|[\s\p{{Z}}]+$','','g'),'[\s\p{{Z}}]+',' ','g'))"
@@ -231,7 +231,7 @@ _GLOSS = "p_name || '; ' || p_type || ' or ' || p_brand || ' (x)'"
  select distinct p_partkey, trim(c, ' .;,:') as candidate from y where length(trim(c, ' .;,:')) > 1 and length(trim(c, ' .;,:')) <= 90""")
 def gloss_split_candidates(s, d):
     gloss = F.concat("p_name", F.lit("; "), "p_type", F.lit(" or "), "p_brand", F.lit(" (x)"))
-    return t(s, d, "part").select("p_partkey", F.explode(etl.candidates(gloss, 90)).alias("candidate"))
+    return dealt(t(s, d, "part")).select("p_partkey", F.explode(etl.candidates(gloss, 90)).alias("candidate"))
 
 
 @query("skip_reason_counts", f"""with x as (select unnest(string_split(text, chr(10))) as g from documents), y as (select g, {n('g')} as l from x),

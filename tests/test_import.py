@@ -48,3 +48,20 @@ def test_import_summary_odd_rows(spark):
     assert [r.asDict() for r in out.collect()] == [{"base_rows": 6, "candidate_rows": 5, "combined_rows": 3, "added_rows": 1}]
     assert plan(out).count("LogicalRDD") == 2
     assert tuple(etl.import_summary(base.limit(0), more.limit(0)).first()) == (0, 0, 0, 0)
+
+
+def test_candidates_odd_glosses(spark):
+    """Each part once; the patterns stand in the plan once for the gloss and once for its parts."""
+    odd = [None, "", "a", "A; a", "x y,X  Y or or z", " (p) q (r), (s) ", ".;,", "b  c ; B c", "forms x", "ok, plural of x", "İ x; i̇ x", "y" * 91]
+    rows = spark.createDataFrame([(i, g) for i, g in enumerate(odd)], "i int, g string")
+    got = rows.select("i", etl.candidates(F.col("g"), 90).alias("c"))
+    assert {r.i: r.c for r in got.collect()} == {
+        0: [], 1: [], 2: [], 3: ["A; a"], 4: ["x y,X Y or or z", "x y"], 5: [], 6: [], 7: ["b c ; B c", "b c"], 8: [], 9: ["ok, plural of x", "ok"], 10: ["İ x; i̇ x", "İ x"], 11: [],
+    }
+    assert plan(got).count("abbreviation") == 2
+
+
+def test_gloss_query_spreads_one_file(spark):
+    from glossweave.plans.queries import QUERIES
+
+    assert "Repartition" in plan(QUERIES["gloss_split_candidates"](spark, "/root/testdata/sf0.001"))
