@@ -24,24 +24,52 @@ def composite_score(quality: Column, script: Column, reference: Column, strict:
     return F.struct(s.alias("score"), (ok & (s >= 0.9)).alias("pass"))
 
 
-def token_counts(expected: DataFrame, actual: DataFrame, expected_id: str, actual_id: str, target: str = "english") -> tuple[DataFrame, DataFrame]:
-    """(expected_id, t, ne, total, before) and (actual_id, t, na), stored: how often an expected text (text) has a token, how many
-    tokens it has, and how many of them are rarer; and how often an actual text has a token that some expected one has."""
+#: So many rows of an expected side at most are sent to every task.
+MOST_SENT = 200_000
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """rows (stored), sent to every task where they are few."""
+    return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
+
+
+def _numbered(rows: DataFrame, key: str, n: str, *more: Column) -> DataFrame:
+    """key, ts of rows (key, t, n): each token as often as it counts, the second and later ones told apart by their number, so that
+    what two texts have in common is the intersection of two sets."""
+    again = F.transform(F.sequence(F.lit(2).cast("long"), F.col(n)), lambda i: F.concat("t", F.lit("\u0001"), i.cast("string")))
+    one = F.when(F.col(n) == 1, F.array("t")).otherwise(F.concat(F.array("t"), again))
+    return rows.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list(one))).alias("ts"), *more)
+
+
+def token_counts(expected: DataFrame, actual: DataFrame, expected_id: str, actual_id: str, target: str = "english", distinct: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(expected_id, t, ne, total, before), (expected_id, es, total) and (actual_id, ts), stored: how often an expected text (text)
+    has a token, how many tokens it has, and how many of them are rarer; and the _numbered tokens of an expected text, and of an
+    actual text those that some expected one has. distinct: one row for actual texts of the same such tokens, actual_id a number.
+    """
     e = composed(expected.select(expected_id, "text"), "text").select(expected_id, F.explode(coverage_tokens(F.col("text"), target)).alias("t"))
     e = stored(e.groupBy(expected_id, "t").agg(F.count(F.lit(1)).alias("ne")), "expected")
-    a = composed(actual.select(actual_id, "text"), "text").select(actual_id, F.explode(coverage_tokens(F.col("text"), target)).alias("t"))
-    a = stored(a.join(e.select("t").distinct(), "t", "left_semi").groupBy(actual_id, "t").agg(F.count(F.lit(1)).alias("na")), "actual")
-    rare = a.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    known = _sent(stored(e.select("t").distinct(), "known"))
+    # texts are dealt by their id once, so that their tokens are not moved
+    a = composed(actual.select(actual_id, "text"), "text").repartition(actual_id).select(actual_id, F.explode(coverage_tokens(F.col("text"), target)).alias("t"))
+    a = _numbered(a.join(known, "t", "left_semi").groupBy(actual_id, "t").agg(F.count(F.lit(1)).alias("na")), actual_id, "na")
+    a = stored(a.select("ts").distinct().select(F.monotonically_increasing_id().alias(actual_id), "ts") if distinct else a, "actual")
+    rare = _postings(a, actual_id).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     own = Window.partitionBy(expected_id)
     order = own.orderBy(F.coalesce("df", F.lit(0)), "t").rowsBetween(Window.unboundedPreceding, -1)
     ranked = e.join(rare, "t", "left").select(expected_id, "t", "ne", F.sum("ne").over(own).alias("total"), F.coalesce(F.sum("ne").over(order), F.lit(0)).alias("before"))
-    return stored(ranked, "expected"), a
+    sets = _numbered(e, expected_id, "ne", F.sum("ne").alias("total")).withColumnRenamed("ts", "es")
+    return stored(ranked, "expected"), stored(sets, "expected"), a
+
+
+def _postings(a: DataFrame, actual_id: str) -> DataFrame:
+    """actual_id, t: the tokens of a, and their later numbers, which no other table has as a token."""
+    return a.select(actual_id, F.explode("ts").alias("t"))
 
 
-def _scored(pairs: DataFrame, e: DataFrame, a: DataFrame, expected_id: str, actual_id: str) -> DataFrame:
-    """expected_id, actual_id, coverage of pairs."""
-    both = e.join(pairs, expected_id).join(a, [actual_id, "t"]).groupBy(expected_id, actual_id)
-    return both.agg((F.sum(F.least("ne", "na")) / F.max("total")).alias("coverage"))
+def _scored(pairs: DataFrame, sets: DataFrame, a: DataFrame, expected_id: str, actual_id: str) -> DataFrame:
+    """expected_id, actual_id, coverage of pairs. A text travels once for each of its pairs, its tokens never by themselves."""
+    both = pairs.join(a, actual_id).join(sets, expected_id)
+    return both.select(expected_id, actual_id, (F.size(F.array_intersect("es", "ts")) / F.col("total")).alias("coverage"))
 
 
 def coverage(expected: DataFrame, actual: DataFrame, expected_id: str, actual_id: str, least: float, target: str = "english") -> DataFrame:
@@ -50,29 +78,30 @@ def coverage(expected: DataFrame, actual: DataFrame, expected_id: str, actual_id
     A pair that reaches the least coverage shares one of the item's rarest tokens: those that a match cannot miss all of. Only
     pairs that meet on such a token are counted, so that common words make no pairs. Each table is read once.
     """
-    e, a = token_counts(expected, actual, expected_id, actual_id, target)
-    probe = e.filter(F.col("before") <= (1 - least) * F.col("total") + 1e-9).select(expected_id, "t")
-    pairs = probe.join(a.select(actual_id, "t"), "t").select(expected_id, actual_id).distinct()
-    return _scored(pairs, e, a, expected_id, actual_id).filter(F.col("coverage") >= least)
+    e, sets, a = token_counts(expected, actual, expected_id, actual_id, target)
+    probe = stored(e.filter(F.col("before") <= (1 - least) * F.col("total") + 1e-9).select(expected_id, "t"), "probe")
+    pairs = _postings(a, actual_id).join(_sent(probe), "t").select(expected_id, actual_id).distinct()
+    return _scored(pairs, sets, a, expected_id, actual_id).filter(F.col("coverage") >= least)
 
 
 def best_coverage(expected: DataFrame, actual: DataFrame, expected_id: str, actual_id: str, target: str = "english", steps: tuple[float, ...] = (0.1, 0.25, 0.5, 1.0), observe: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """expected_id, best: the greatest coverage of each expected text by any one actual text; those that share no token with any go.
 
     Texts meet on an item's rarest tokens first, a share of its tokens in each step. What has not met on tokens so far covers no
-    more than the rest of the item, so a token is passed by where that rest is no more than the item's best. observe, if given,
-    gets each step's pairs.
+    more than the rest of the item, so a token is passed by where that rest is no more than the item's best. Actual texts of the
+    same tokens, as far as items have these, are one. observe, if given, gets each step's pairs.
     """
-    e, a = token_counts(expected, actual, expected_id, actual_id, target)
+    e, sets, a = token_counts(expected, actual, expected_id, actual_id, target, distinct=True)
     best: DataFrame | None = None
     for low, high in zip((0.0, *steps), steps, strict=False):
         probe = e.filter((F.col("before") >= low * F.col("total")) & (F.col("before") < high * F.col("total")))
         if best is not None:
             probe = probe.join(best, expected_id, "left").filter(F.col("total") - F.col("before") > F.coalesce("best", F.lit(0.0)) * F.col("total") + 1e-9)
-        pairs = stored(probe.select(expected_id, "t").join(a.select(actual_id, "t"), "t").select(expected_id, actual_id).distinct(), "pairs")
+        probe = _sent(stored(probe.select(expected_id, "t"), "probe"))
+        pairs = stored(_postings(a, actual_id).join(probe, "t").select(expected_id, actual_id).distinct(), "pairs")
         if observe:
             observe(pairs)
-        found = _scored(pairs, e, a, expected_id, actual_id).select(expected_id, F.col("coverage").alias("best"))
+        found = _scored(pairs, sets, a, expected_id, actual_id).select(expected_id, F.col("coverage").alias("best"))
         best = stored((found if best is None else best.unionByName(found)).groupBy(expected_id).agg(F.max("best").alias("best")), "best")
     return best
 
