@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glossweave.functions.text import case_strip, compact, is_standalone_match, is_substring_match, normalize, preverb_strip
 from glossweave.operators.lookup import inverted_index
-from glossweave.sources.shared import stored
+from glossweave.sources.shared import dealt, stored
 
 CAP, SEPARATOR = 10_000, "========\n"
 #: So many words meet all rows at once; more of them go in blocks of as many.
@@ -83,6 +83,8 @@ def tiered(words: DataFrame, rows: DataFrame, texts: str | list[str], row_id: st
     texts = [texts] if isinstance(texts, str) else texts
     whole = F.concat_ws("\t", *texts) if whole is None else whole
     words = stored(words.select("word").filter(compact(F.col("word")) != "").distinct(), "words")
+    if words.isEmpty():
+        return words.select("word", F.lit(1).alias("tier")).join(rows.select(row_id).limit(0))
     odd = words.filter(bare(compact(F.col("word"))) == "")
     n = odd.count()
     alone = reduce(lambda a, b: a | b, [is_standalone_match(F.col(c), F.col("word")) for c in texts])
@@ -129,7 +131,8 @@ def formatted(found: DataFrame, rows: DataFrame, entry: Column, row_id: str, cap
 @dataclass
 class Source:
     """A dictionary to search: rows (row_id, ...), the columns in which a word may stand alone, the columns of its index, the
-    text for substrings, and how a row is shown. indexed=False looks through all rows for every word."""
+    text for substrings, and how a row is shown. indexed=False looks through all rows for every word. kept: rows is a table that
+    many tasks can read."""
 
     name: str
     rows: DataFrame
@@ -138,11 +141,17 @@ class Source:
     index: list[str] | None = None
     whole: Column | None = None
     indexed: bool = True
+    kept: bool = False
+
+    def keep(self) -> Source:
+        """The source with its rows stored over many files: a search reads them several times, and by row at some cost."""
+        return self if self.kept else replace(self, rows=stored(dealt(self.rows), "source"), kept=True)
 
     def search(self, words: DataFrame, standalone_only: bool = False, cap: int = CAP) -> DataFrame:
         """word, output, has_standalone of the words (word) that are found."""
-        found = tiered(words, self.rows, self.texts, "row_id", self.indexed, self.whole, self.index, standalone_only)
-        return formatted(found, self.rows, self.entry, "row_id", cap)
+        rows = self.keep().rows
+        found = tiered(words, rows, self.texts, "row_id", self.indexed, self.whole, self.index, standalone_only)
+        return formatted(found, rows, self.entry, "row_id", cap)
 
 
 def sentence_pairs(rows: DataFrame) -> Source:
@@ -196,7 +205,7 @@ def _output(word: Column, *parts: Column) -> Column:
 def from_english(requests: DataFrame, pairs: Source, gal: Source, kk: Source, notes: Source) -> DataFrame:
     """word, output of requests (word, russian, georgian: its translations, null where there is none): pairs by the word, gal
     and kk by its Russian, kk by its Georgian; notes by its Georgian if none of them has a standalone row."""
-    r = requests.select("word", F.coalesce("russian", "word").alias("ru"), F.coalesce("georgian", "word").alias("ka")).distinct()
+    r, kk = requests.select("word", F.coalesce("russian", "word").alias("ru"), F.coalesce("georgian", "word").alias("ka")).distinct(), kk.keep()
     r = _searched(r, [("pairs", "word", pairs), ("gal", "ru", gal), ("kk_ru", "ru", kk), ("kk_ka", "ka", kk)], ("ka", notes))
     return r.select("word", _output(F.col("word"), F.col("pairs"), F.col("gal"), F.col("kk_ru"), F.col("kk_ka"), F.col("context")).alias("output"))
 
@@ -209,26 +218,25 @@ def from_georgian(requests: DataFrame, pairs: Source, gal: Source, kk: Source, n
     return r.select("word", _output(F.col("word"), F.col("pairs"), F.col("kk"), F.col("gal"), F.col("context")).alias("output"))
 
 
-def _stems(lost: DataFrame, stems: Column, kind: str, pairs: Source, gal: Source, kk: Source, notes: Source) -> DataFrame:
-    """word, more: for words of lost, what their first stem that any source knows shows; standalone rows alone where there are any."""
-    s = lost.select("word", F.posexplode(stems).alias("i", "stem"))
+def _stems(lost: DataFrame, stems: list[tuple[str, Column]], pairs: Source, gal: Source, kk: Source, notes: Source) -> DataFrame:
+    """word, more: for words of lost, what their first stem that any source knows shows; standalone rows alone where there are any.
+    stems: kinds and their stems (array) in order; one search is for all of them."""
+    tried = reduce(DataFrame.unionByName, [lost.select("word", F.lit(n).alias("n"), F.lit(kind).alias("kind"), F.posexplode(c).alias("i", "stem")) for n, (kind, c) in enumerate(stems)])
     legs = [("pairs", "stem", pairs), ("gal", "stem", gal), ("kk", "stem", kk), ("context", "stem", notes)]
-    s, alone = _searched(s, legs), F.col("any")
+    s, alone = _searched(tried, legs), F.col("any")
     shown = F.concat(*[F.when(~alone | F.col(f"{name}_alone"), F.col(name)).otherwise("") for name, _, _ in legs])
-    head = F.concat(F.lit(f"\n[{kind}-stripped fallback: "), "word", F.lit(" → "), "stem", F.lit("]\n"))
-    hits = s.select("word", "i", shown.alias("shown"), head.alias("head")).filter("shown != ''")
-    return hits.groupBy("word").agg(F.min(F.struct("i", F.concat("head", "shown").alias("more"))).alias("m")).select("word", "m.more")
+    head = F.concat(F.lit("\n["), "kind", F.lit("-stripped fallback: "), "word", F.lit(" → "), "stem", F.lit("]\n"))
+    hits = s.select("word", "n", "i", shown.alias("shown"), head.alias("head")).filter("shown != ''")
+    return hits.groupBy("word").agg(F.min(F.struct("n", "i", F.concat("head", "shown").alias("more"))).alias("m")).select("word", "m.more")
 
 
 def from_mingrelian(words: DataFrame, pairs: Source, gal: Source, kk: Source, notes: Source, case_stems: Callable[[Column], Column] = case_strip, verb_stem: Callable[[Column], Column] = preverb_strip) -> DataFrame:
     """word, output of words (word): pairs, gal and kk, then notes if none of them has a standalone row. A word that nothing
     matches is tried without its case ending, each stem in order, and then without its preverb."""
+    pairs, gal, kk, notes = pairs.keep(), gal.keep(), kk.keep(), notes.keep()
     r = _searched(words.select("word").distinct(), [("pairs", "word", pairs), ("gal", "word", gal), ("kk", "word", kk)], ("word", notes))
     r = r.select("word", F.concat("pairs", "gal", "kk", "context").alias("shown"))
     lost = r.filter("shown = ''").select("word")
-    cases = _stems(lost, case_stems(F.col("word")), "Case", pairs, gal, kk, notes)
-    left = lost.join(cases.select("word"), "word", "left_anti")
-    verb = verb_stem(F.col("word"))
-    verbs = _stems(left, F.array_compact(F.array(verb)), "Preverb", pairs, gal, kk, notes)
-    more = cases.unionByName(verbs)
+    kinds = [("Case", case_stems(F.col("word"))), ("Preverb", F.array_compact(F.array(verb_stem(F.col("word")))))]
+    more = _stems(lost, kinds, pairs, gal, kk, notes)
     return r.join(more, "word", "left").select("word", _output(F.col("word"), F.col("shown"), F.coalesce("more", F.lit(""))).alias("output"))

@@ -5,7 +5,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from glossweave.functions.text import is_substring_match
+from glossweave.functions.text import is_substring_match, preverb_strip
 from glossweave.operators import search
 
 TEXTS = ["The MIT License, in full.", "m.i.t li-cense", "M I T", "mit\nlicense", "committee", "Größe der GROSSE ſtadt", "ΟΔΟΣ και οδός", "a", "b a", "…—", "x.y", "K is Kelvin", "", None, "naïve re-entry", "reentry", "İstanbul", "გამარჯობა, ქვეყანა", "𝒳𝒴𝒵 letters", "m…i…t"]
@@ -47,3 +47,22 @@ def test_standalone_only(spark):
     line = lambda *rows: search.SEPARATOR + "".join(r + "\n" + search.SEPARATOR for r in rows)
     assert {r.word: (r.output, r.has_standalone) for r in notes.search(words, standalone_only=True).collect()} == {"ring": (line("a ring here", "ring-ring"), True)}
     assert {r.word: (r.output, r.has_standalone) for r in notes.search(words).collect()} == {"ring": (line("a ring here", "ring-ring"), True), "rin": (line("a ring here", "bring it", "ring-ring"), False)}
+
+
+def test_mingrelian_sources_are_kept(spark, monkeypatch):
+    """Each source is stored over several files once and searched twice, for the words and for all stems; a case stem goes before a verb's."""
+    seen, real = [], search.tiered
+    monkeypatch.setattr(search, "tiered", lambda words, rows, *a, **k: seen.append(tuple(sorted(rows.inputFiles()))) or real(words, rows, *a, **k))
+    ids = spark.range(400).select(F.col("id").alias("row_id"))
+    text = F.element_at(F.create_map(*map(F.lit, [7, "zeta", 8, "realpha", 9, "alphas"])), F.col("row_id").cast("int"))
+    pairs = search.sentence_pairs(ids.select("row_id", F.coalesce(text, F.lit("other")).alias("mingrelian"), F.lit("e").alias("english")))
+    gal = search.russian_dictionary(ids.select("row_id", F.lit("r").alias("russian"), F.lit("m").alias("mingrelian")))
+    kk = search.four_column_dictionary(ids.select("row_id", F.lit("m").alias("mingrelian"), F.lit("i").alias("ipa"), F.lit("r").alias("russian"), F.lit("g").alias("georgian")))
+    notes = search.context(ids.select("row_id", F.lit("note").alias("entry")))
+    words = spark.createDataFrame([(w,) for w in ["zeta", "zetas", "rezeta", "rezetas", "realphas"]], "word string")
+    stems = lambda w: F.when(w.endswith("s"), F.array(F.concat(w, F.lit("y")), F.regexp_replace(w, "s$", ""))).otherwise(F.array().cast("array<string>"))
+    got = {r.word: r.output for r in search.from_mingrelian(words, pairs, gal, kk, notes, stems, lambda w: preverb_strip(w, ["re"])).collect()}
+    shown = lambda x: search.SEPARATOR + f"Mingrelian: {x}\nEnglish: e\n" + search.SEPARATOR
+    more = {"zeta": shown("zeta"), "zetas": f"\n[Case-stripped fallback: zetas → zeta]\n{shown('zeta')}", "rezeta": f"\n[Preverb-stripped fallback: rezeta → zeta]\n{shown('zeta')}", "rezetas": "", "realphas": f"\n[Case-stripped fallback: realphas → realpha]\n{shown('realpha')}"}
+    assert got == {w: f"\nResults for {w}:\n{x}" for w, x in more.items()}
+    assert len(seen) == 8 and len(set(seen)) == 4 and min(map(len, seen)) > 4
